@@ -47,7 +47,7 @@ def mod97(iban: Column) -> Column:
     s = F.regexp_replace(iban, " ", "")
     turned = F.concat(F.substring(s, 5, 64), F.left(s, F.lit(4)))
     code = lambda c: F.ascii(c)
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda a, c: F.when(code(c) >= 65, (a * 100 + code(c) - 55) % 97).otherwise((a * 10 + code(c) - 48) % 97))
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda a, c: F.when(code(c) >= 65, (a * 100 + code(c) - 55) % 97).otherwise((a * 10 + code(c) - 48) % 97))
 
 
 CHECKS = {

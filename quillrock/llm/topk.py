@@ -12,7 +12,7 @@ pass over the vectors. A task hands on at most k rows a query.
 Odd cases: rows with a null id, a null or empty vector, null or non-finite components take no part;
 vectors of another dimension than the query's are no candidates; rows that repeat an id count once, by their
 greatest vector, and never meet a query of the same id; extra columns are ignored. Products are summed in
-doubles where these are exact, else in Python's integers.
+doubles where these are exact, else in Python's integers; a score beyond 64 bits is the greatest or least of them.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     if not q.size or not v.size or np.abs(q).max() * np.abs(v).max() * q.shape[1] < EXACT:
         return (q @ v.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return (whole(q) @ whole(v).T).astype(np.int64)
+    return np.clip(whole(q) @ whole(v).T, LEAST + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
 class Best:

@@ -261,7 +261,7 @@ def test_top_k(spark, sf_dir):
     inf, nan = float("inf"), float("nan")
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(0, 1 + i % 5, 8)]) for i in range(400)]
-    rows += [(1000, None), (1001, [1.0, None]), (1002, [inf] * 8), (1003, [nan] * 8), (None, [1.0] * 8), (500, [0.0] * 8), (600, [1.0, 2.0]), (601, [1.0, 2.0]), (7, [1e9] * 8), (800, [3e6] * 8), (1100, [])]
+    rows += [(1000, None), (1001, [1.0, None]), (1002, [inf] * 8), (1003, [nan] * 8), (None, [1.0] * 8), (500, [0.0] * 8), (600, [1.0, 2.0]), (601, [1.0, 2.0]), (7, [1e5] * 8), (800, [3e6] * 8), (1100, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     vec = {}
     for i, v in rows:
@@ -286,7 +286,7 @@ def test_mixing(table):
         total[r.source] += n(r)
     for r in rows:
         times[r.source] += n(r)
-    first = Counter((r.doc_id, r.text) for r in rows if r.__getattr__("__qr_epoch") == 1)
+    first = Counter((r.doc_id, r.text) for r in rows if r["__qr_epoch"] == 1)
     assert first == Counter((r.doc_id, r.text) for r in base)  # one whole pass of everything
     used = {s: v for s, v in total.items() if v}
     if used:
