@@ -30,7 +30,7 @@ def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     listed = joined.listed.where("p >= 0")
     least = listed.groupBy("key").agg(F.min("sid").alias("b"))
-    star = scratch.table(salted_join(listed.select("key", F.col("sid").alias("a")), least, "key", "inner", 4, F.col("a")).where("a <> b").select("a", "b").distinct(), "star")
+    star = scratch.table(salted_join(listed.select("key", "n", F.col("sid").alias("a")), least, "key", "inner", 4, F.col("a")).where("a <> b").groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= Joined.wanted(F.col("n"))).select("a", "b"), "star")
     sure = joined.subset_links() if joined.boundary else star.where("false")
     first = scratch.table(joined.verified(star).unionByName(sure).distinct(), "links1")
     comp = components(first, scratch, "cc1")
@@ -44,9 +44,10 @@ def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     right = {c: F.col(f"y.{c}") for c in ("n", "p")}
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") < F.col("y.sid")))
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ordered & joined.pair_condition(left, right))
-    pairs = scratch.table(cross.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "cross")
-    second = scratch.table(joined.verified(pairs), "links2")
-    scratch.drop("star", "placed", "cross")
+    many = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min("x.n").alias("n"))
+    pairs = scratch.table(many.where(F.col("m") >= Joined.wanted(F.col("n"))).select("a", "b"), "cross")
+    second = joined.verified(pairs)
+    scratch.drop("star", "placed")
     # the second links join components of the first round
     name = comp.select("sid", "comp")
     ends = second.join(name.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", "left").join(name.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", "left")
@@ -65,7 +66,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     units = joined.units.select("id", "n", "sid")
     full = salted_join(units.where("n > 0"), comp, "sid", "left", 8, F.col("id")).select("id", "n", F.coalesce("comp", "sid").alias("c"))
     full = scratch.table(full, "classes")
-    scratch.drop("listed", "members", "links1", "links2", "lifted")
+    scratch.drop("listed", "links1", "lifted", "cross", "sure1", "sure2")
     least = full.groupBy("c").agg(F.min("id").alias("component_id"))
     done = salted_join(full, least, "c", "inner", 8, F.col("id")).select("id", "n", "component_id")
     empty = units.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

@@ -3,11 +3,12 @@
 Flow, for units (documents or lines) given as texts:
 
 1. scan 1 hashes every unit and writes (unit, set id, set size) and a fixed-size rarity sketch;
-2. scan 2 orders each set's shingles by (sketched rarity, hash) and writes the prefix that a partner at
-   or above the threshold must share - or, for sets below the boundary, all subsets of the fixed size;
-3. keys held by two sets or more remain; scan 3 gathers the members of those sets only, found by a
-   bitmap of fixed size (wrong hits of the bitmap cost rows, never results);
-4. candidate pairs are verified by counting the intersection.
+2. scan 2 orders each set's shingles by (sketched rarity, hash) and emits a prefix of which a partner at
+   or above the threshold must share an entry, or SHARED entries for all but short sets (the prefix is then
+   longer by as many less one) - or, for sets below the boundary, all subsets of the fixed size;
+3. keys held by two sets or more remain, and give candidate pairs;
+4. a scan gathers the members of the candidates only, found by a bitmap of fixed size (wrong hits of the
+   bitmap cost rows, never results), and pairs are verified by counting the intersection.
 
 Any total order of shingles gives whole results; rarity only makes the lists short.
 Equal sets have one id and are never paired. Ids and shingles are 64-bit hashes.
@@ -21,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -30,6 +31,12 @@ from .common import Scratch, salted_join, slices
 BITMAP_BITS = 26
 BITMAP_CHUNKS = 64
 _SEEN = 500_000
+#: Sets of SHARED_FROM members or more are candidates only if they share SHARED prefix entries.
+SHARED, SHARED_FROM = 3, 24
+
+
+def shared(n) -> int:
+    return SHARED if n >= SHARED_FROM else 1
 
 
 def need(s: int, t: int, pct: int) -> int:
@@ -81,7 +88,7 @@ def scan_units(df: DataFrame, cut, k: int) -> DataFrame:
 
 
 def read_sketch(scanned: DataFrame) -> np.ndarray:
-    """Summed in the executors; the driver gets SKETCH_CHUNKS rows, 8 MB whatever the corpus."""
+    """Summed in the executors; the driver gets SKETCH_CHUNKS rows, 16 MB whatever the corpus."""
     rows = scanned.where("chunk is not null").select("chunk", "z").repartition(4, "chunk").mapInArrow(S.merge_sketches, "chunk int, z binary")
     return S.sketch_array(rows.collect())
 
@@ -97,10 +104,13 @@ def choose_boundary(sketch: np.ndarray, pct: int, most: int = 24) -> int:
     A scanned set of n members costs its prefix, times the mean length of a list in excess of the
     sketch's background, plus a verification of n members.
     """
-    full = sketch[sketch > 0].astype(float)
-    if not len(full):
+    n = np.bincount(sketch, minlength=256)[1:].astype(float)
+    if not n.sum():
         return 0
-    length = 1 + max(0.0, (full**2).sum() / full.sum() - np.median(full)) / max(1.0, np.median(full))
+    rank = np.arange(1, 256)
+    count = np.where(rank <= 64, rank, 64 * 2.0 ** ((rank - 64) / 16))
+    middle = max(1.0, count[np.searchsorted(np.cumsum(n), n.sum() / 2)])
+    length = 1 + max(0.0, (n * count**2).sum() / (n * count).sum() - middle) / middle
     best = 0
     for n in range(1, most + 1):
         prefix = n - need(n, -(-pct * n // 100), pct) + 1
@@ -123,7 +133,7 @@ def keys_of(members: np.ndarray, rarity: np.ndarray, pct: int, boundary: int):
                 out += [(xxhash.xxh3_64_intdigest(head + b"".join(c)), -1 - t) for c in combinations(listed, need(s, l, pct))]
         if 100 * n < pct * (boundary + 1):
             return out
-    prefix = n - -(-pct * n // 100) + 1
+    prefix = n - -(-pct * n // 100) + shared(n)
     count = rarity[(members >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((members, count))[:prefix]
     return out + [(int(members[i]), p) for p, i in enumerate(order)]
@@ -163,7 +173,7 @@ def scan_keys(df: DataFrame, cut, k: int, pct: int, rarity, boundary: int, least
                 h, unit = hashes[where], np.repeat(np.arange(len(large)), ln)
                 order = np.lexsort((h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)], unit))
                 place = np.arange(len(h)) - np.repeat(first, ln)
-                prefix = ln - -(-pct * ln // 100) + 1
+                prefix = ln - -(-pct * ln // 100) + np.where(ln >= SHARED_FROM, SHARED, 1)
                 keep = place < np.repeat(prefix, ln)
                 parts.append((h[order][keep], place[keep].astype(np.int32), sids[large][unit[keep]], ln[unit[keep]].astype(np.int32)))
             key, p, sid, size = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -241,27 +251,29 @@ class Joined:
         sketch = read_sketch(scanned)
         self.units = scanned.where("chunk is null").drop("chunk", "z")
         self.boundary = choose_boundary(sketch, pct) if boundary is None else boundary
-        rarity = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-        entries = scratch.table(scan_keys(df, cut, k, pct, rarity, self.boundary, least), "entries")
-        shared = entries.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key")
-        self.listed = scratch.table(entries.join(shared, "key").dropDuplicates(["key", "sid", "p"]), "listed")
-        scratch.drop("entries")
+        rarity = spark.sparkContext.broadcast(sketch)
+        entries = scan_keys(df, cut, k, pct, rarity, self.boundary, least)
+        # one shuffle: the window spills, and needs no second copy of the entries
+        by_key = Window.partitionBy("key")
+        entries = entries.withColumn("lo", F.min("sid").over(by_key)).withColumn("hi", F.max("sid").over(by_key)).where("lo <> hi").drop("lo", "hi")
+        self.listed = scratch.table(entries.dropDuplicates(["key", "sid", "p"]), "listed")
         rarity.unpersist()
-        self._members: DataFrame | None = None
-
-    def members(self) -> DataFrame:
-        if self._members is None:
-            bitmap = self.df.sparkSession.sparkContext.broadcast(build_bitmap(self.listed.where("p >= 0").select("sid").distinct()))
-            self._members = self.scratch.table(scan_members(self.df, self.cut, self.k, bitmap, self.least), "members")
-            bitmap.unpersist()
-        return self._members
+        self.scans = 0
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b), those at or above the threshold."""
-        m = self.members()
+        """Of a written table of distinct pairs (a, b), those at or above the threshold."""
+        if pairs.limit(1).count() == 0:
+            return pairs
+        self.scans += 1
+        sids = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+        bitmap = self.df.sparkSession.sparkContext.broadcast(build_bitmap(sids))
+        m = self.scratch.table(scan_members(self.df, self.cut, self.k, bitmap, self.least), f"members{self.scans}")
+        bitmap.unpersist()
         both = pairs.join(m.select(F.col("sid").alias("a"), F.col("members").alias("ma")), "a").join(m.select(F.col("sid").alias("b"), F.col("members").alias("mb")), "b")
         both = both.withColumn("o", F.size(F.array_intersect("ma", "mb"))).withColumn("u", F.size("ma") + F.size("mb") - F.col("o"))
-        return both.where(F.lit(100) * F.col("o") >= F.lit(self.pct) * F.col("u")).select("a", "b")
+        sure = self.scratch.table(both.where(F.lit(100) * F.col("o") >= F.lit(self.pct) * F.col("u")).select("a", "b"), f"sure{self.scans}")
+        self.scratch.drop(f"members{self.scans}")
+        return sure
 
     def subset_links(self) -> DataFrame:
         """Links of two sets below the boundary: a shared subset of the fixed size proves the overlap.
@@ -277,12 +289,18 @@ class Joined:
         """Length, prefix and positional filters on two entries of one key, x the smaller set."""
         want = F.ceil(F.lit(self.pct) * (x["n"] + y["n"]) / F.lit(100 + self.pct))
         least = F.ceil(F.lit(2 * self.pct) * x["n"] / F.lit(100 + self.pct))
+        wanted = self.wanted(x["n"])
         return (
             (F.lit(100) * x["n"] >= F.lit(self.pct) * y["n"])
-            & (x["p"] <= x["n"] - least)
-            & (F.lit(1) + F.least(x["n"] - x["p"], y["n"] - y["p"]) - 1 >= want)
+            & (x["p"] <= x["n"] - least + wanted - 1)
+            & (wanted + F.least(x["n"] - x["p"], y["n"] - y["p"]) - 1 >= want)
         )
 
+    @staticmethod
+    def wanted(n):
+        """Entries that a pair must share, by the size of its smaller set."""
+        return F.when(n >= SHARED_FROM, F.lit(SHARED)).otherwise(F.lit(1))
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str, salts: int = 8) -> DataFrame:
     """(sid, comp): comp is the least node reachable. Rounds of least-neighbour labels and pointer jumps.
