@@ -1,4 +1,553 @@
-"""Queries of the reference operators, each with its SQL where SQL can say it."""
+"""Queries of the retrieval and record operators over the shared tables, each with its SQL.
 
-QUERIES = {}
-ORACLES = {}
+Stand-ins: embeddings.label and documents.lang for a category, benchmark for a curated table, pages for
+crawled pages, events for a request log, orders for dated records, lineitem for child rows.
+Small fixed rows stand as literals on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, fees, lang, text
+from ..functions.vectors import dot
+from ..operators import classify, compose, crawl, drift, html, records, retrieval
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal(spark: SparkSession, rows: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+
+# ---- retrieval -------------------------------------------------------------------------------------
+
+VEC = "SELECT vec_id AS {p}id, CAST(embedding AS DOUBLE[]) AS {p}vec, label FROM embeddings"
+SCORED = "round(list_inner_product(q.qvec, c.cvec), 6)"
+
+
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("category"))
+    return q, e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"), F.col("label").alias("category"))
+
+
+@query(f"""WITH q AS ({VEC.format(p='q')}), c AS ({VEC.format(p='c')})
+SELECT qid, cid, {SCORED} AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY {SCORED} DESC, cid) AS INTEGER) AS rank
+FROM q JOIN c ON q.label = c.label AND qid <> cid WHERE qid % 25 = 0 QUALIFY rank <= 5""")
+def retrieve_topk_in_category(spark, sf_dir):
+    return retrieval.top_k(*_vectors(spark, sf_dir), 5, "category")
+
+
+@query(f"""WITH q AS ({VEC.format(p='q')}), c AS ({VEC.format(p='c')})
+SELECT qid, cid, {SCORED} AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY {SCORED} DESC, cid) AS INTEGER) AS rank
+FROM q JOIN c ON qid <> cid WHERE qid % 25 = 0 QUALIFY rank <= 5""")
+def retrieve_topk_global(spark, sf_dir):
+    q, c = _vectors(spark, sf_dir)
+    return retrieval.top_k(q.drop("category"), c.drop("category"), 5)
+
+
+@query(f"""WITH q AS ({VEC.format(p='q')}), c AS ({VEC.format(p='c')}),
+w AS (SELECT qid, cid, q.label AS ql, c.label AS cl, {SCORED} AS score, row_number() OVER (PARTITION BY qid ORDER BY {SCORED} DESC, cid) AS r FROM q JOIN c ON qid <> cid WHERE qid % 25 = 0 QUALIFY r <= 40)
+SELECT qid, cid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS INTEGER) AS rank FROM w WHERE ql = cl QUALIFY rank <= 5""")
+def retrieve_postfilter_oversample(spark, sf_dir):
+    return retrieval.post_filtered(*_vectors(spark, sf_dir), 5)
+
+
+@query("""WITH p AS (SELECT label AS pid, i, round(avg(x), 5) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, i),
+e AS (SELECT vec_id AS qid, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+s AS (SELECT qid, pid, round(sum(x * m), 6) AS score FROM e JOIN p USING (i) GROUP BY qid, pid),
+b AS (SELECT qid, pid, score, round(score - lead(score) OVER w, 6) AS gap, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY qid ORDER BY score DESC, pid))
+SELECT qid, CASE WHEN score >= 0.2 AND coalesce(gap >= 0.015, true) THEN CAST(pid AS VARCHAR) ELSE 'unknown_service' END AS category, score, gap FROM b WHERE r = 1""")
+def classify_profile_margin(spark, sf_dir):
+    """Label centroids as profiles: one row a label, so the broadcast is as small as the taxonomy."""
+    e = table(spark, sf_dir, "embeddings")
+    parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("m"))
+    profiles = parts.groupBy(F.col("label").alias("pid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("pvec"))
+    return retrieval.classify(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), profiles, 0.2, 0.015, "unknown_service")
+
+
+ALIASES = "('tion', 'the', 0), ('tion', 'thetion', 1), ('quer', 'que', 2), ('quer', 'queaux', 3), ('haus', 'ung', 4), ('none', '', 5)"
+
+
+def _named(spark, sf_dir):
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), text.norm(F.col("text")).alias("norm"))
+    return q, literal(spark, ALIASES, "category, alias, pos")
+
+
+HITS = f"""WITH a AS (SELECT * FROM (VALUES {ALIASES}) t(category, alias, pos)),
+q AS (SELECT doc_id AS qid, nfc_normalize(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS norm FROM documents),
+h AS (SELECT qid, category, arg_max(alias, (len(alias), -pos)) AS alias FROM q JOIN a ON alias <> '' AND contains(norm, alias) GROUP BY qid, category)"""
+
+
+@query(f"{HITS} SELECT * FROM h")
+def classify_alias_longest(spark, sf_dir):
+    return classify.alias_hits(*_named(spark, sf_dir))
+
+
+@query(f"""{HITS}, p AS (SELECT qid, count(*) AS n, min(category) AS only_one FROM h GROUP BY qid)
+SELECT q.qid, coalesce(n, 0) AS n_hits, CASE WHEN n = 1 THEN only_one ELSE 'unknown_service' END AS category,
+CASE WHEN n = 1 THEN 'alias' WHEN n > 1 THEN 'alias+embedding' ELSE 'embedding' END AS method FROM q LEFT JOIN p ON q.qid = p.qid""")
+def classify_routed(spark, sf_dir):
+    q, a = _named(spark, sf_dir)
+    return classify.route(q, classify.alias_hits(q, a))
+
+
+ALIAS_ROWS = "('a', 'Tin '), ('b', 'tin'), ('a', 'vat'), ('a', 'VAT'), ('c', 'deed')"
+
+
+@query(f"SELECT lower(trim(alias)) AS alias, count(*) AS n, count(DISTINCT category) AS n_categories FROM (VALUES {ALIAS_ROWS}) t(category, alias) GROUP BY 1 HAVING count(*) > 1")
+def alias_ambiguity(spark, sf_dir):
+    return literal(spark, ALIAS_ROWS, "category, alias").groupBy(F.lower(F.trim("alias")).alias("alias")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("n_categories")).where("n > 1")
+
+
+# ---- pages -----------------------------------------------------------------------------------------
+
+WS = r"[ \t\n\x0b\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+VISIBLE = rf"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(HTML, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&quot;', '"'), '{WS}', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, {VISIBLE.replace('HTML', 'html')} AS text FROM pages")
+def html_visible_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"))
+
+
+@query(f"""WITH v AS (SELECT page_id, html, {VISIBLE.replace('HTML', 'html')} AS t FROM pages)
+SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, length(t) AS visible_chars, length(t) < 400 AS likely_js, regexp_matches(lower(t), 'log ?in|sign ?in|password') AS login_wall,
+len(list_distinct(regexp_extract_all(lower(html), 'href="([^"]*\\.pdf)"', 1))) AS n_pdf FROM v""")
+def html_titles_and_signals(spark, sf_dir):
+    v = table(spark, sf_dir, "pages").select("page_id", "html", text.visible_text(F.col("html")).alias("t"))
+    return v.select(
+        "page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.length("t").cast("long").alias("visible_chars"), (F.length("t") < 400).alias("likely_js"),
+        F.lower("t").rlike("log ?in|sign ?in|password").alias("login_wall"), F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit('href="([^"]*\\.pdf)"'), 1))).cast("long").alias("n_pdf"),
+    )
+
+
+HTML_ROWS = """(1, '<table><tr><th>Service</th><th>Fee</th></tr><tr><td><a href="/x">Deed</a></td><td>100&nbsp;TK</td></tr><tr><td> </td><td></td></tr></table><p>x</p><table><tr><td>a &amp;lt; b</td></tr></table>'), (2, '<p>none</p>'), (3, '<TABLE class="t"><TR><TD>1</TD></TR></TABLE>')"""
+
+
+@query("SELECT * FROM (VALUES (1, 0, 0, 0, 'Service'), (1, 0, 0, 1, 'Fee'), (1, 0, 1, 0, 'Deed'), (1, 0, 1, 1, '100 TK'), (1, 1, 0, 0, 'a < b'), (3, 0, 0, 0, '1')) t(id, table_no, row_no, col_no, cell)")
+def html_tables_explode(spark, sf_dir):
+    t = literal(spark, HTML_ROWS, "id, html").select("id", F.posexplode(html.tables(F.col("html"))).alias("table_no", "t"))
+    return t.select("id", "table_no", F.posexplode("t").alias("row_no", "r")).select("id", "table_no", "row_no", F.posexplode("r").alias("col_no", "cell"))
+
+
+def _links(spark, sf_dir):
+    found = html.links(table(spark, sf_dir, "pages"))
+    found = found.withColumn("target", html.resolve(F.col("url"), F.col("href")))
+    return found.withColumn("score", html.keyword_score(F.lower(F.concat_ws(" ", "label", "target")), F.col("target"), PAGE_WORDS))
+
+
+#: The pages hold invented words; these stand for the vocabulary, over the same operator.
+PAGE_WORDS = (("the", 5), ("th", 2), ("que", 4), ("fee", 5), ("form", 2))
+PAGE_SCORE = " + ".join(f"CASE WHEN contains(blob, '{w}') THEN {n} ELSE 0 END" for w, n in PAGE_WORDS) + " + CASE WHEN ends_with(lower(target), '.pdf') THEN 3 ELSE 0 END"
+LINK_SQL = rf"""WITH m AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 0)) AS tag, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 0), 1) - 1 AS pos FROM pages),
+x AS (SELECT url, pos, regexp_extract(tag, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS href, regexp_extract(tag, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2) AS inner_html FROM m),
+l AS (SELECT url, pos, href, left({VISIBLE.replace('HTML', 'inner_html')}, 90) AS label FROM x WHERE NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:)')),
+t AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href ELSE NULL END AS target FROM l),
+s AS (SELECT url, pos, label, target, CAST({PAGE_SCORE} AS INTEGER) AS score FROM (SELECT *, lower(label || ' ' || target) AS blob FROM t))"""
+
+
+@query(LINK_SQL + " SELECT url, CAST(pos AS INTEGER) AS pos, label, target, score FROM s")
+def html_links_scored(spark, sf_dir):
+    return _links(spark, sf_dir).select("url", "pos", "label", "target", "score")
+
+
+@query(LINK_SQL + " SELECT url, target, arg_max(score, (score, length(label), -pos)) AS score, arg_max(label, (score, length(label), -pos)) AS label FROM s WHERE score > 0 GROUP BY url, target")
+def best_link_per_url(spark, sf_dir):
+    return html.best_links(_links(spark, sf_dir))
+
+
+HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
+
+
+@query(f"SELECT {HOST} AS host, count(*) AS n_pages, count(DISTINCT url) AS n_urls FROM pages GROUP BY 1")
+def host_counts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(html.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"), F.countDistinct("url").alias("n_urls"))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT {HOST} AS host, contains({HOST}, 'm.') AS restricted FROM pages)
+SELECT page_id, host, restricted FROM (SELECT page_id, {HOST} AS host FROM pages) p JOIN r USING (host)""")
+def pages_by_host_robots(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", html.host(F.col("url")).alias("host"))
+    robots = p.select("host", F.col("host").contains("m.").alias("restricted")).dropDuplicates(["host"])
+    return p.join(robots, "host").select("page_id", "host", "restricted")
+
+
+FACTS = f"""SELECT url, page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '[0-9][0-9,]{{1,}}\\s*/?-?\\s*টাকা|TK\\s*[0-9,]+|BDT\\s*[0-9,]+', 0), lambda x: try_cast(regexp_replace(x, '[^0-9]', '', 'g') AS BIGINT)), lambda x: x > 0))) AS amounts, sha1(t) AS text_sha1, length(t) AS chars
+FROM (SELECT url, page_id, {VISIBLE.replace('HTML', 'html')} AS t FROM pages)"""
+
+
+def _priced(spark, sf_dir, shift: int):
+    """Pages with a price line; snapshot B (shift 1) changes some prices, some texts, and has new pages."""
+    p = table(spark, sf_dir, "pages")
+    price = F.when(F.col("page_id") % 7 == 0, 100 + shift).otherwise(F.col("page_id") + 1)
+    return p.withColumn("html", F.concat("html", F.lit("<p>TK "), price.cast("string"), F.lit("</p>"), F.when(F.col("page_id") % 11 == 0, F.lit(f"<p>v{shift}</p>")).otherwise("")))
+
+
+@query(f"SELECT url, array_to_string(list_transform(amounts, lambda x: CAST(x AS VARCHAR)), ',') AS amounts, text_sha1, chars FROM ({FACTS})")
+def page_facts(spark, sf_dir):
+    f = html.page_facts(table(spark, sf_dir, "pages"))
+    return f.select("url", F.array_join(F.col("amounts").cast("array<string>"), ",").alias("amounts"), "text_sha1", F.col("chars").cast("long").alias("chars"))
+
+
+DRIFT = """WITH k AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
+d AS (SELECT url, page_id, CASE WHEN page_id % 13 = 0 THEN 'new' WHEN page_id % 7 = 0 THEN 'amounts' WHEN page_id % 11 = 0 THEN 'text' END AS kind FROM k)"""
+
+
+def _findings(spark, sf_dir):
+    one = Window.partitionBy("url").orderBy("page_id")
+    pick = lambda p: p.withColumn("r", F.row_number().over(one)).where("r = 1")
+    before, after = (pick(_priced(spark, sf_dir, s)) for s in (0, 1))
+    return drift.diff(html.page_facts(before.where("page_id % 13 <> 0")), html.page_facts(after))
+
+
+@query(DRIFT + " SELECT url, kind, CASE WHEN kind = 'amounts' THEN 1 ELSE 0 END AS n_removed, CASE WHEN kind = 'amounts' THEN 1 ELSE 0 END AS n_added FROM d WHERE kind IS NOT NULL")
+def snapshot_drift(spark, sf_dir):
+    return _findings(spark, sf_dir)
+
+
+INDEX = f"SELECT DISTINCT url, {HOST} AS category FROM pages"
+
+
+@query(f"{DRIFT} SELECT {HOST} AS category, count(*) AS n_urls FROM d WHERE kind IS NOT NULL GROUP BY 1")
+def drift_affected_rollup(spark, sf_dir):
+    index = table(spark, sf_dir, "pages").select("url", html.host(F.col("url")).alias("category")).distinct()
+    return drift.affected(_findings(spark, sf_dir), index)
+
+
+@query("""SELECT target, count(DISTINCT url) AS n_pages, min(url) AS first_page FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"#]+)"', 1)) AS target FROM pages) GROUP BY target""")
+def url_inverted_index(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"#]+)"'), 1))).alias("target"))
+    return p.groupBy("target").agg(F.countDistinct("url").alias("n_pages"), F.min("url").alias("first_page"))
+
+
+# ---- dates and freshness ---------------------------------------------------------------------------
+
+AS_OF = "1998-10-01"
+AGE = f"date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}')"
+FRESH_ROWS = "(1, CAST(NULL AS DATE), CAST(NULL AS DATE), 'source_read', false), (2, DATE '2026-09-01', NULL, 'source_read', true), (3, DATE '2026-05-11', NULL, 'source_read', true), (4, NULL, NULL, 'source_read', true), (5, NULL, DATE '2020-01-20', 'source_read', true), (6, DATE '2026-09-01', NULL, 'unverified', true)"
+
+
+@query(f"""SELECT o_orderkey, {AGE} AS age_days, CASE WHEN o_orderstatus = 'P' THEN 'unverified' WHEN {AGE} > 90 THEN 'stale' ELSE 'fresh' END AS level FROM orders""")
+def freshness_levels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    age = dates.age_days(F.col("o_orderdate").cast("date"), AS_OF)
+    status = F.when(F.col("o_orderstatus") == "P", "unverified").otherwise("source_read")
+    return o.select("o_orderkey", age.cast("long").alias("age_days"), dates.freshness(age, F.lit(None).cast("int"), status, F.lit(True)).alias("level"))
+
+
+@query("SELECT * FROM (VALUES (1, 'none'), (2, 'fresh'), (3, 'stale'), (4, 'unknown'), (5, 'stale'), (6, 'unverified')) t(id, level)")
+def freshness_precedence(spark, sf_dir):
+    r = literal(spark, FRESH_ROWS, "id, d, fee, status, known")
+    age = lambda c: dates.age_days(F.col(c), "2026-09-16")
+    return r.select("id", dates.freshness(age("d"), age("fee"), F.col("status"), F.col("known")).alias("level"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN {AGE} < 365 THEN {AGE} || ' days ago' ELSE 'about ' || CAST(floor({AGE} / 365) AS BIGINT) || ' year' || CASE WHEN {AGE} >= 730 THEN 's' ELSE '' END || ', ' || {AGE} % 365 || ' days ago' END AS age FROM orders""")
+def freshness_age_text(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.age_text(dates.age_days(F.col("o_orderdate").cast("date"), AS_OF)).alias("age"))
+
+
+@query(f"""SELECT c_nationkey, max({AGE}) AS worst_age, arg_max(o_orderkey, ({AGE}, -o_orderkey)) AS o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def worst_age_per_group(spark, sf_dir):
+    age = dates.age_days(F.col("o_orderdate").cast("date"), AS_OF)
+    j = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", age.alias("age")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("c_nationkey").agg(F.max("age").cast("long").alias("worst_age"), F.max_by("o_orderkey", F.struct("age", -F.col("o_orderkey"))).alias("o_orderkey"))
+
+
+DATE_ROWS = "(1, 'সোমবার, ২০ জানুয়ারী, ২০২০'), (2, '১১ মে ২০২৬'), (3, '31 ফেব্রুয়ারি 2020'), (4, '5 blah 2020'), (5, ''), (6, '3 ডিসেX 2021')"
+
+
+@query("SELECT * FROM (VALUES (1, DATE '2020-01-20'), (2, DATE '2026-05-11'), (3, CAST(NULL AS DATE)), (4, NULL), (5, NULL), (6, DATE '2021-12-03')) t(id, d)")
+def bengali_dates(spark, sf_dir):
+    return literal(spark, DATE_ROWS, "id, raw").select("id", dates.bengali_date(F.col("raw")).alias("d"))
+
+
+STALE_ROWS = "(1, 'কনটেন্টটি শেষ হাল-নাগাদ করা হয়েছে: সোমবার, ২০ জানুয়ারী, ২০২০'), (2, 'x Last updated: 19 জানুয়ারী 2020 y'), (3, 'nothing')"
+
+
+@query("SELECT * FROM (VALUES (1, DATE '2020-01-20', 'cms_footer'), (2, DATE '2020-01-19', 'content_marker'), (3, CAST(NULL AS DATE), CAST(NULL AS VARCHAR))) t(id, updated, kind)")
+def staleness_extract(spark, sf_dir):
+    return literal(spark, STALE_ROWS, "id, page").select("id", dates.staleness(F.col("page")).alias("s")).select("id", "s.updated", "s.kind")
+
+
+# ---- lookups, records, chunks ----------------------------------------------------------------------
+
+PATTERNS = "('BUILDING', 'p1', 0), ('BUILDING', 'p2', 1), ('MACHINERY', 'p3', 2)"
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+def record_left_lookup(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where("n_regionkey < 3").select("n_nationkey", "n_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+
+
+@query(f"""SELECT c_custkey, coalesce(string_agg(id, ',' ORDER BY pos), '') AS patterns FROM customer LEFT JOIN (VALUES {PATTERNS}) t(category, id, pos) ON c_mktsegment = category GROUP BY c_custkey""")
+def pattern_lookup_1n(spark, sf_dir):
+    p = literal(spark, PATTERNS, "category, id, pos").groupBy("category").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return c.join(F.broadcast(p), F.col("c_mktsegment") == F.col("category"), "left").select("c_custkey", F.coalesce(F.array_join(F.transform("p", lambda x: x["id"]), ","), F.lit("")).alias("patterns"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def record_without_dimension(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, doc_id || '::line' || (i - 1) AS id, (i) || '. ' || l AS text FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l FROM documents)""")
+def chunk_explode(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "l"))
+    return d.select("doc_id", "pos", F.concat(F.col("doc_id").cast("string"), F.lit("::line"), F.col("pos").cast("string")).alias("id"), F.concat((F.col("pos") + 1).cast("string"), F.lit(". "), "l").alias("text"))
+
+
+@query("""SELECT lang, CASE WHEN length(l) < 80 THEN 'short' ELSE 'long' END AS chunk_kind, count(*) AS n FROM (SELECT lang, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY ALL""")
+def chunk_kind_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("l"))
+    return d.groupBy("lang", F.when(F.length("l") < 80, "short").otherwise("long").alias("chunk_kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SERVICE = """named_struct('category', 'deed', 'service_name_en', 'Deed', 'service_name_bn', 'দলিল', 'office', 'Registry', 'source_url', 'http://x', 'variants',
+array(named_struct('variant_id', 'v1', 'label_en', 'Normal', 'required_docs', array(named_struct('doc', 'Form A'), named_struct('doc', 'Photo')), 'steps', array(named_struct('step', 'Apply'), named_struct('step', 'Pay')))),
+'fees', array(named_struct('fee_key', 'f1', 'label_en', 'Base', 'label_bn', '', 'amount_bdt', cast(100 as decimal(18,2)), 'source_url', 'http://x', 'verification', named_struct('status', 'source_read')), named_struct('fee_key', 'f2', 'label_en', '', 'label_bn', 'ফি', 'amount_bdt', cast(null as decimal(18,2)), 'source_url', '', 'verification', named_struct('status', 'source_read'))))"""
+
+
+def _service(spark):
+    return spark.sql(f"SELECT r.* FROM (SELECT {SERVICE} AS r)")
+
+
+@query("""SELECT * FROM (VALUES ('deed::identity', 'deed', 'identity', 'দলিল | Deed | Registry'), ('deed::v1::steps', 'deed', 'steps', 'দলিল Normal — process: 1. Apply 2. Pay'), ('deed::v1::doc0', 'deed', 'required_doc', 'দলিল Normal — required document: Form A'),
+('deed::v1::doc1', 'deed', 'required_doc', 'দলিল Normal — required document: Photo'), ('deed::fee_labels', 'deed', 'fee_labels', 'দলিল Deed — fee categories: Base / ফি')) t(id, category, chunk_kind, text)""")
+def record_chunks(spark, sf_dir):
+    return records.chunks(_service(spark))
+
+
+@query("SELECT * FROM (VALUES ('deed', 'unknown_category'), ('deed', 'verified_without_amount'), ('deed', 'fee_without_source')) t(category, rule)")
+def record_constraints(spark, sf_dir):
+    return records.violations(_service(spark), literal(spark, "('passport')", "id"))
+
+
+TAXA = "('ok_id', 'deed,dolil,দলিল', 1), ('BadId', 'one', 1), ('unknown_service', 'a,b,c', 2)"
+
+
+@query("SELECT * FROM (VALUES ('BadId', 'not_snake_case'), ('BadId', 'few_aliases'), ('BadId', 'no_bengali_alias'), ('unknown_service', 'reserved'), ('unknown_service', 'no_bengali_alias')) t(id, rule)")
+def taxonomy_constraints(spark, sf_dir):
+    t = literal(spark, TAXA, "id, aliases, priority").withColumn("a", F.split("aliases", ","))
+    rules = F.array(
+        F.when(~F.col("id").rlike("^[a-z][a-z0-9_]*$"), "not_snake_case"), F.when(F.col("id").isin("unknown_service", "out_of_scope"), "reserved"),
+        F.when(F.size("a") < 3, "few_aliases"), F.when(~F.exists("a", lambda x: x.rlike("[ঀ-৿]")), "no_bengali_alias"),
+    )
+    return t.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n_rows, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS rows, 'row' || lpad(CAST(count(*) AS VARCHAR), 2, '0') AS last_key FROM lineitem GROUP BY l_orderkey""")
+def record_fold_from_rows(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_rows"), F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_part"), rows.alias("r"))
+    return g.select("l_orderkey", "n_rows", "first_part", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",").alias("rows"), F.concat(F.lit("row"), F.lpad(F.col("n_rows").cast("string"), 2, "0")).alias("last_key"))
+
+
+# ---- checks of numbers and documents ---------------------------------------------------------------
+
+NUMS = "list_sort(list_distinct(list_transform(regexp_extract_all({c}, '([0-9][0-9,]*)', 1), lambda x: CASE WHEN ltrim(replace(x, ',', ''), '0') = '' THEN '0' ELSE ltrim(replace(x, ',', ''), '0') END)))"
+
+
+@query(f"""SELECT d.doc_id, len({NUMS.format(c='d.text')}) AS n_numbers, array_to_string(list_sort(list_filter({NUMS.format(c='d.text')}, lambda x: NOT list_contains(list_concat(CASE WHEN b.text IS NULL THEN [] ELSE {NUMS.format(c='b.text')} END, ['', '0']), x))), ',') AS unsupported
+FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id""")
+def numbers_validate(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", text.number_set(F.col("text")).alias("known"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.number_set(F.col("text")).alias("used"))
+    j = d.join(b, F.col("doc_id") % 40 == F.col("item_id"), "left")
+    allowed = F.array_union(F.coalesce("known", F.array().cast("array<string>")), F.array(F.lit(""), F.lit("0")))
+    return j.select("doc_id", F.size("used").cast("long").alias("n_numbers"), F.array_join(F.array_sort(F.array_except("used", allowed)), ",").alias("unsupported"))
+
+
+PRINTED = "(1, 100), (1, 250), (2, 75), (3, 0)"
+KNOWN = "(1, 100), (2, 75), (2, 80)"
+
+
+@query(f"SELECT p.* FROM (VALUES {PRINTED}) p(category, amount) ANTI JOIN (VALUES {KNOWN}) k(category, amount) USING (category, amount)")
+def grounding_amounts(spark, sf_dir):
+    return literal(spark, PRINTED, "category, amount").join(literal(spark, KNOWN, "category, amount"), ["category", "amount"], "left_anti")
+
+
+@query("""SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, left(b.text, 60)))""")
+def grounding_docs(spark, sf_dir):
+    """Curated passages of which no document holds the first 60 characters; the benchmark is a fixed curated table."""
+    b = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("head")))
+    hit = table(spark, sf_dir, "documents").select("text").join(b, F.contains(F.col("text"), F.col("head"))).select("item_id").distinct()
+    return b.select("item_id").join(hit, "item_id", "left_anti")
+
+
+@query("SELECT doc_id, contains(lower(text), 'idiot') OR contains(lower(text), 'scum') AS has_forbidden, contains(lower(text), 'the') AND contains(lower(text), 'tion') AS has_required FROM documents")
+def contains_assertions(spark, sf_dir):
+    t = F.lower("text")
+    must, never = F.array(F.lit("the"), F.lit("tion")), F.array(F.lit("idiot"), F.lit("scum"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.exists(never, lambda w: F.contains(t, w)).alias("has_forbidden"), F.forall(must, lambda w: F.contains(t, w)).alias("has_required"))
+
+
+SAFETY = "(1, 'unverified', '### Fees\nx http://a', 'http://a'), (2, 'source_read', 'no link', 'http://b'), (3, 'source_read', '### Fees http://c Source last updated', 'http://c'), (4, CAST(NULL AS STRING), '### Fees', 'http://d')"
+
+
+@query("SELECT * FROM (VALUES (1, 'fees_unverified'), (1, 'date_missing'), (2, 'source_missing'), (2, 'date_missing'), (4, 'fees_without_record')) t(id, problem)")
+def safety_violations(spark, sf_dir):
+    a = literal(spark, SAFETY.replace("\n", " "), "id, status, md, url")
+    known, fee = F.col("status").isNotNull(), F.col("md").contains("### Fees")
+    rules = F.array(
+        F.when(~known & fee, "fees_without_record"), F.when((F.col("status") == "unverified") & fee, "fees_unverified"),
+        F.when(known & ~F.contains("md", "url"), "source_missing"), F.when(known & ~F.col("md").contains("Source last updated"), "date_missing"),
+    )
+    return a.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("problem"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS passed, round(avg(quality), 6) AS pass_rate, round(avg(toxic), 6) AS violation_rate FROM labels")
+def eval_scores(spark, sf_dir):
+    return table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("passed"), F.round(F.avg("quality"), 6).alias("pass_rate"), F.round(F.avg("toxic"), 6).alias("violation_rate"))
+
+
+# ---- text measures ---------------------------------------------------------------------------------
+
+TERMS = ("the", "tion", "que")
+
+
+@query("SELECT doc_id, " + ", ".join(f"CAST((length(text) - length(replace(text, '{t}', ''))) / {len(t)} AS BIGINT) AS n_{t}" for t in TERMS) + " FROM documents")
+def term_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *(text.occurrences(F.col("text"), t).alias(f"n_{t}") for t in TERMS))
+
+
+@query("""SELECT doc_id, round(len(regexp_extract_all(text, '[ঀ-৿]')) / greatest(length(text), 1), 6) AS bengali, round(len(regexp_extract_all(text, '[A-Za-z]')) / greatest(length(text), 1), 6) AS latin,
+len(regexp_extract_all(text, '[A-Za-z]{2,}')) AS n_tokens FROM documents""")
+def script_ratios(spark, sf_dir):
+    n = lambda p: F.regexp_count("text", F.lit(p))
+    size = F.greatest(F.length("text"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(n("[ঀ-৿]") / size, 6).alias("bengali"), F.round(n("[A-Za-z]") / size, 6).alias("latin"), n("[A-Za-z]{2,}").cast("long").alias("n_tokens"))
+
+
+@query("""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{2,}') AS w FROM documents)
+SELECT doc_id, CASE WHEN length(trim(text)) < 40 THEN 'empty' WHEN len(w) >= 20 AND len(list_filter(w, lambda x: regexp_matches(x, '[aeiouAEIOU]') AND length(x) <= 14)) / len(w) < 0.55 THEN 'legacy_unknown' ELSE 'plain' END AS encoding FROM t""")
+def encoding_class(spark, sf_dir):
+    """Classes that text without Bengali script can have; the others need the font's tables."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), 0)
+    wordish = F.size(F.filter(w, lambda x: x.rlike("[aeiouAEIOU]") & (F.length(x) <= 14)))
+    kind = F.when(F.length(F.trim("text")) < 40, "empty").when((F.size(w) >= 20) & (wordish / F.greatest(F.size(w), F.lit(1)) < 0.55), "legacy_unknown").otherwise("plain")
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("encoding"))
+
+
+LANG_ROWS = "(1, 'jonmo nibondhon korte koto taka lage'), (2, 'e-Return filing fee koto'), (3, 'motorcycle registration fee koto'), (4, 'passport fee is 3000 taka right?'), (5, 'NID তে আমার নাম ভুল'), (6, 'what documents do I need'), (7, ''), (8, '12345')"
+
+
+@query("SELECT * FROM (VALUES (1, 'bn'), (2, 'en'), (3, 'bn'), (4, 'en'), (5, 'bn'), (6, 'en'), (7, 'en'), (8, 'en')) t(id, lang)")
+def lang_detect(spark, sf_dir):
+    return literal(spark, LANG_ROWS, "id, q").select("id", lang.detect(F.col("q")).alias("lang"))
+
+
+@query(f"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains({lang.ROMANISED!r}, w))) AS hits FROM documents""")
+def lang_function_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", lang.romanised_hits(F.col("text")).cast("long").alias("hits"))
+
+
+@query("""SELECT o_orderkey, translate(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), '0123456789', '০১২৩৪৫৬৭৮৯') AS bn FROM orders""")
+def digits_translate_format(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.to_bengali_digits(F.format_number(F.floor("o_totalprice"), 0)).alias("bn"))
+
+
+FEE_ROWS = "(1, 'ক) মোটরসাইকেল ৩৪৫/-টাকা (ভ্যাটসহ) (খ) ৫১৮/- টাকা (ভ্যাটসহ)'), (2, 'স্মার্ট কার্ড অপেশাদার লাইসেন্স ২৫৪২/- টাকা (ভ্যাটসহ)'), (3, 'রেজিস্ট্রেশন ফি-এর ৩ ভাগের ১ ভাগ'), (4, 'মোট ৯,৩১৩/- টাকা প্রতিকিস্তি ১১৫০/- টাকা'), (5, 'বিনামূল্যে'), (6, ''), (7, '১০০ টাকা [ব্যাংকের তালিকা ৫০ টাকা]'), (8, '১০০ টাকা ২০০ টাকা'), (9, '৩৪৫.৫০ টাকা')"
+
+
+@query("SELECT * FROM (VALUES (1, '345,518', 'split'), (2, '2542', 'single'), (3, '', 'no_amount'), (4, '', 'ambiguous'), (5, '0', 'free'), (6, '', 'empty'), (7, '100', 'single'), (8, '', 'not_split'), (9, '345', 'single')) t(id, amounts, outcome)")
+def fee_parse_cells(spark, sf_dir):
+    p = literal(spark, FEE_ROWS, "id, cell").select("id", fees.parse_fee_cell(F.col("cell")).alias("p"))
+    return p.select("id", F.array_join(F.col("p.amounts").cast("array<string>"), ",").alias("amounts"), "p.outcome")
+
+
+LIST_ROWS = "(1, '১) আবেদন ফরম এক কপি। ২) ফরম (ক্রমিক ১-৩৭) সহ ৭) ফটোকপি ৩) ফি জমাদানের রশিদ'), (2, 'no list here at all'), (3, '')"
+
+
+@query("SELECT * FROM (VALUES (1, 0, '১) আবেদন ফরম এক কপি।'), (1, 1, '২) ফরম (ক্রমিক ১-৩৭) সহ ৭) ফটোকপি'), (1, 2, '৩) ফি জমাদানের রশিদ'), (2, 0, 'no list here at all')) t(id, pos, item)")
+def split_numbered_docs(spark, sf_dir):
+    return literal(spark, LIST_ROWS, "id, cell").select("id", F.posexplode(fees.split_numbered(F.col("cell"))).alias("pos", "item"))
+
+
+NFC_ROWS = "(1, '\u09df', '\u09af\u09bc'), (2, '\u09dc', '\u09a1\u09bc'), (3, 'e\u0301', '\u00e9'), (4, 'a', 'b')"
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false)) t(id, same)")
+def nfc_equality(spark, sf_dir):
+    return literal(spark, NFC_ROWS, "id, a, b").select("id", (text.nfc(F.col("a")) == text.nfc(F.col("b"))).alias("same"))
+
+
+CMAP, GLYPH = "(1, 'ক'), (2, 'খ'), (3, 'গ')", "(1, 'ক'), (2, 'ঘ'), (3, NULL), (4, 'ঙ')"
+
+
+@query("SELECT * FROM (VALUES (2, 'খ', 'ঘ'), (3, 'গ', CAST(NULL AS VARCHAR))) t(cid, uni, glyph)")
+def cmap_corrections(spark, sf_dir):
+    return literal(spark, CMAP, "cid, uni").join(literal(spark, GLYPH, "cid, glyph"), "cid").where(~F.col("uni").eqNullSafe(F.col("glyph"))).select("cid", "uni", "glyph")
+
+
+OCR = "(1, 'ফি ১০০ টাকা', 0.91), (2, 'ফি ২০০ টাকা', 0.5), (3, 'no amount', 0.99)"
+
+
+@query("SELECT * FROM (VALUES (1, CAST(100 AS BIGINT), true), (2, CAST(200 AS BIGINT), false)) t(id, amount, reported)")
+def ocr_candidates(spark, sf_dir):
+    o = literal(spark, OCR, "id, line, confidence").where(F.col("line").rlike(fees.AMOUNT))
+    return o.select("id", fees.whole(F.regexp_extract("line", fees.AMOUNT, 1)).alias("amount"), (F.col("confidence") >= 0.8).alias("reported"))
+
+
+# ---- request log -----------------------------------------------------------------------------------
+
+LOG = "SELECT user_id AS host, event_id AS seq, epoch_us(ts) AS ts_us, CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 200 ELSE 404 END AS status FROM events"
+
+
+def _log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "view", 200).otherwise(404)
+    return e.select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), status.alias("status"))
+
+
+@query(f"WITH l AS ({LOG}), g AS (SELECT host, seq, round((ts_us - lag(ts_us) OVER (PARTITION BY host ORDER BY ts_us, seq)) / 1e6, 3) AS gap FROM l) SELECT host, seq, gap, round(greatest(coalesce(6.0::DOUBLE - gap, 0.0::DOUBLE), 0.0::DOUBLE), 3) AS wait FROM g")
+def host_request_gap(spark, sf_dir):
+    return crawl.gaps(_log(spark, sf_dir)).select("host", "seq", "gap", "wait")
+
+
+@query(f"WITH l AS ({LOG}) SELECT host, seq, count(*) OVER w AS n, count(*) OVER w <= 25 AS allowed FROM l WINDOW w AS (PARTITION BY host ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING)")
+def host_rate_budget(spark, sf_dir):
+    return crawl.budget(_log(spark, sf_dir)).select("host", "seq", "n", "allowed")
+
+
+@query(f"""WITH l AS ({LOG}), i AS (SELECT *, sum(CASE WHEN status BETWEEN 200 AND 399 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS island FROM l),
+s AS (SELECT host, seq, CAST(sum(CASE WHEN status IN (403, 429, 503) THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM i) SELECT host, seq, streak, streak >= 2 AS parked FROM s""")
+def host_block_streak(spark, sf_dir):
+    return crawl.block_streaks(_log(spark, sf_dir)).select("host", "seq", "streak", "parked")
+
+
+# ---- answers and traces ----------------------------------------------------------------------------
+
+ANSWERS = """(1, 'en', 'Deed', 'source_read', 'stale', array('Form A', 'Photo'), array(named_struct('label', 'Base', 'amount', 4025), named_struct('label', 'Copy', 'amount', 0)), 'http://a'),
+(2, 'bn', 'Deed', 'source_read', 'fresh', array('Form A'), array(named_struct('label', 'Base', 'amount', 4025), named_struct('label', 'Late', 'amount', NULL)), 'http://a'), (3, 'en', 'Deed', 'unverified', 'unverified', array('Form A'), array(named_struct('label', 'Base', 'amount', 1)), 'http://b'), (4, 'en', NULL, NULL, NULL, NULL, NULL, NULL)"""
+
+
+@query("""SELECT qid, replace(answer, '~', chr(10)) AS answer FROM (VALUES (1, '## Deed~~> Source is stale.~~### Documents~- Form A~- Photo~~### Fees~| Base | 4,025 |~| Copy | Free |~~Source: http://a'),
+(2, '## Deed~~### Documents~- Form A~~### Fees~| Base | ৪,০২৫ / 4,025 |~| Late | NOT VERIFIED |~~Source: http://a'), (3, '## Deed~~> Source is unverified.~~Source: http://b'), (4, '## No matching service')) t(qid, answer)""")
+def compose_answer(spark, sf_dir):
+    return compose.answers(literal(spark, ANSWERS, "qid, lang, title, status, level, docs, fees, source_url"))
+
+
+@query("SELECT conv_id, count(*) AS steps, count(DISTINCT role) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+def trace_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("steps"), F.countDistinct("role").alias("roles"), F.sum(F.length("text")).alias("chars"), F.max_by("role", "turn").alias("last_role"))
