@@ -24,13 +24,14 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(a, b) links between distinct sets, enough to span every component; and the components.
 
-    First each set is verified against the least set of each of its lists. Sets that this joins need no
-    further pair between them, so a group of n near copies costs some n pairs, not n * n. Then all pairs
-    of a list that lie in different components are verified, so no link is lost.
+    First each set is verified against the hub of each of its lists, the set with the most shared entries:
+    the original has more than its changed copies. Sets that this joins need no further pair between them,
+    so a group of n near copies costs some n pairs, not n * n. Then all pairs of a list that lie in different
+    components are verified, so no link is lost.
     """
     listed = joined.listed.where("p >= 0")
-    least = listed.groupBy("key").agg(F.min("sid").alias("b"))
-    star = scratch.table(salted_join(listed.select("key", "n", F.col("sid").alias("a")), least, "key", "inner", 4, F.col("a")).where("a <> b").groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= Joined.wanted(F.col("n"))).select("a", "b"), "star")
+    hub = listed.groupBy("key").agg(F.max(F.struct("w", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("b"))
+    star = scratch.table(salted_join(listed.select("key", "n", F.col("sid").alias("a")), hub, "key", "inner", 4, F.col("a")).where("a <> b").groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= Joined.wanted(F.col("n"))).select("a", "b"), "star")
     sure = joined.subset_links() if joined.boundary else star.where("false")
     first = scratch.table(joined.verified(star).unionByName(sure).distinct(), "links1")
     comp = components(first, scratch, "cc1")
@@ -39,6 +40,8 @@ def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     # one list's pairs only between components, the smaller set first
     e = placed.join(open_keys, "key")
+    still = e.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= Joined.wanted(F.col("n"))).select("sid")
+    e = scratch.table(e.join(still, "sid"), "open")
     x, y = e.alias("x"), e.alias("y")
     left = {c: F.col(f"x.{c}") for c in ("n", "p")}
     right = {c: F.col(f"y.{c}") for c in ("n", "p")}
@@ -47,7 +50,7 @@ def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     many = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min("x.n").alias("n"))
     pairs = scratch.table(many.where(F.col("m") >= Joined.wanted(F.col("n"))).select("a", "b"), "cross")
     second = joined.verified(pairs)
-    scratch.drop("star", "placed")
+    scratch.drop("star", "placed", "open")
     # the second links join components of the first round
     name = comp.select("sid", "comp")
     ends = second.join(name.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", "left").join(name.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", "left")

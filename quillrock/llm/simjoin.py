@@ -31,12 +31,13 @@ from .common import Scratch, salted_join, slices
 BITMAP_BITS = 26
 BITMAP_CHUNKS = 64
 _SEEN = 500_000
-#: Sets of SHARED_FROM members or more are candidates only if they share SHARED prefix entries.
-SHARED, SHARED_FROM = 3, 24
+#: (least size, entries): sets of so many members are candidates only if they share so many prefix entries.
+SHARED = ((96, 8), (24, 3), (0, 1))
 
 
-def shared(n) -> int:
-    return SHARED if n >= SHARED_FROM else 1
+def shared(n):
+    """Entries that a pair must share, by the size of its smaller set; n: int or array."""
+    return np.select([n >= at for at, _ in SHARED], [m for _, m in SHARED])
 
 
 def need(s: int, t: int, pct: int) -> int:
@@ -133,7 +134,7 @@ def keys_of(members: np.ndarray, rarity: np.ndarray, pct: int, boundary: int):
                 out += [(xxhash.xxh3_64_intdigest(head + b"".join(c)), -1 - t) for c in combinations(listed, need(s, l, pct))]
         if 100 * n < pct * (boundary + 1):
             return out
-    prefix = n - -(-pct * n // 100) + shared(n)
+    prefix = n - -(-pct * n // 100) + int(shared(n))
     count = rarity[(members >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((members, count))[:prefix]
     return out + [(int(members[i]), p) for p, i in enumerate(order)]
@@ -173,7 +174,7 @@ def scan_keys(df: DataFrame, cut, k: int, pct: int, rarity, boundary: int, least
                 h, unit = hashes[where], np.repeat(np.arange(len(large)), ln)
                 order = np.lexsort((h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)], unit))
                 place = np.arange(len(h)) - np.repeat(first, ln)
-                prefix = ln - -(-pct * ln // 100) + np.where(ln >= SHARED_FROM, SHARED, 1)
+                prefix = ln - -(-pct * ln // 100) + shared(ln)
                 keep = place < np.repeat(prefix, ln)
                 parts.append((h[order][keep], place[keep].astype(np.int32), sids[large][unit[keep]], ln[unit[keep]].astype(np.int32)))
             key, p, sid, size = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -256,7 +257,11 @@ class Joined:
         # one shuffle: the window spills, and needs no second copy of the entries
         by_key = Window.partitionBy("key")
         entries = entries.withColumn("lo", F.min("sid").over(by_key)).withColumn("hi", F.max("sid").over(by_key)).where("lo <> hi").drop("lo", "hi")
-        self.listed = scratch.table(entries.dropDuplicates(["key", "sid", "p"]), "listed")
+        found = scratch.table(entries.dropDuplicates(["key", "sid", "p"]), "found")
+        # a set with too few shared entries is in no pair; the others know how many they have
+        weight = found.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
+        self.listed = scratch.table(found.join(weight, "sid").where((F.col("p") < 0) | (F.col("w") >= self.wanted(F.col("n")))), "listed")
+        scratch.drop("found")
         rarity.unpersist()
         self.scans = 0
 
@@ -299,7 +304,10 @@ class Joined:
     @staticmethod
     def wanted(n):
         """Entries that a pair must share, by the size of its smaller set."""
-        return F.when(n >= SHARED_FROM, F.lit(SHARED)).otherwise(F.lit(1))
+        out = F.lit(SHARED[-1][1])
+        for at, m in reversed(SHARED[:-1]):
+            out = F.when(n >= at, F.lit(m)).otherwise(out)
+        return out
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, salts: int = 8) -> DataFrame:
