@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
-_CACHE = 400_000
+_CACHE = 800_000
 _loaded: dict[str, Words] = {}
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 DEAL_BITS = 40
@@ -42,12 +42,29 @@ class Words(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._parts(word)
+        if ids is None:
+            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) < _CACHE:
             self[word] = ids
         return ids
 
 
+    def _parts(self, word: bytes) -> bytes | None:
+        """Ids by way of a likelier word: its lower case, or what stands before one last mark after a letter.
+
+        The tokenizer lowers case, and a mark after a letter begins a pre-token of its own.
+        """
+        if word.isalpha():
+            low = word.lower()
+            return self[low] if low != word else None
+        if len(word) > 1 and word[-1:] in b".,;:!?":
+            head = word[:-1]
+            if head[-1:].isalpha() or head[-1] >= 128 and head.decode()[-1].isalpha():
+                return self[head] + self[word[-1:]]
+        return None
+
+
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
