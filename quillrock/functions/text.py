@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 #: Decoded in this order, so "&amp;lt;" ends as "<" (fixed values).
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"'))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no function for it. Apply once, at a scan."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
