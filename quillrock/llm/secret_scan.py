@@ -28,6 +28,8 @@ PATTERNS = {
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "mixed": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}",
 }
+#: Strings of which every match of the kind holds one.
+MARKS = {"access": ("AKIA",), "pem": ("-----BEGIN ",), "vendor": ("gh", "xox", "AIza", "sk_live_"), "jwt": ("eyJ",)}
 BASE = ("assign", "access", "hex")
 CANDIDATE = "struct<start:long,rank:int,end:long,kind:string,hash:long>"
 
@@ -51,7 +53,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     df = docs.select(
         F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    df = with_matches(df, "text", PATTERNS)
+    df = with_matches(df, "text", PATTERNS, marks=MARKS)
     found = [_found(kind, rank) for rank, kind in enumerate(PATTERNS)]
     return df.select("id", "owner", "repo", F.monotonically_increasing_id().alias("row"), F.concat(*found).alias("found"))
 

@@ -6,24 +6,33 @@ between matches and of the matches add up to positions, in code points.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_matches(df: DataFrame, text: str, patterns: dict[str, str], context: int = 0) -> DataFrame:
+def with_matches(df: DataFrame, text: str, patterns: dict[str, str], context: int = 0, marks: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Adds, per kind, a column `m_<kind>`: array of (m, start, before, after) of the pattern's matches.
 
+    marks: per kind, strings of which every match holds one; a text without them is not searched. A text
+    without a match is not split.
+
     before and after hold up to `context` characters next to the match, not reaching into other matches
     of the kind. Patterns must not match the empty string.
     """
-    cols = {}
+    found, pieces = {}, {}
     for kind, pattern in patterns.items():
-        cols[f"__p_{kind}"] = F.split(F.col(text), pattern, -1)
-        cols[f"__m_{kind}"] = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
-    df = df.withColumns(cols)
+        every = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
+        if marks and kind in marks:
+            every = F.when(reduce(or_, [F.contains(F.col(text), F.lit(m)) for m in marks[kind]]), every)
+        found[f"__m_{kind}"] = every
+        pieces[f"__p_{kind}"] = F.when(F.size(f"__m_{kind}") > 0, F.split(F.col(text), pattern, -1))
+    df = df.withColumns(found).withColumns(pieces)
     df = df.withColumns({f"__s_{kind}": _starts(kind) for kind in patterns})
     out = {f"m_{kind}": F.when(F.size(f"__m_{kind}") > 0, _matches(kind, context)) for kind in patterns}
-    return df.withColumns(out).drop(*cols, *(f"__s_{kind}" for kind in patterns))
+    return df.withColumns(out).drop(*found, *pieces, *(f"__s_{kind}" for kind in patterns))
 
 
 def _starts(kind: str) -> Column:
