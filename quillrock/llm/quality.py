@@ -15,8 +15,6 @@ and judged each; extra columns are ignored; constant statistics are held by a fl
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,8 +40,7 @@ _U = np.uint64
 def text_statistics(texts: list[str | None]) -> np.ndarray:
     """Rows of STATS."""
     raw = [(t or "").encode() for t in texts]
-    words = [b.split() for b in raw]
-    n = np.fromiter(map(len, words), np.int64, len(words))
+    flat, n = S.word_hashes(raw)
     out = np.zeros((len(texts), 6), np.int64)
     out[:, 0] = n
     for i, (t, b) in enumerate(zip(texts, raw, strict=True)):
@@ -53,16 +50,15 @@ def text_statistics(texts: list[str | None]) -> np.ndarray:
             lines = [line for line in b.split(b"\n") if not line.isspace() and line]
             out[i, 3] = len(lines) - len(set(lines))
             out[i, 5] = len(lines)
-    total = int(n.sum())
+    total = len(flat)
     if total >= WINDOW:
-        flat = np.fromiter(map(S._HASHES.__getitem__, chain.from_iterable(words)), np.uint64, total)
         roll = np.zeros(total - WINDOW + 1, np.uint64)
         for j in range(WINDOW):
             roll = roll * _U(0xD6E8FEB86659FD93) + flat[j : total - WINDOW + 1 + j]
-        doc = np.repeat(np.arange(len(words)), n)
+        doc = np.repeat(np.arange(len(raw)), n)
         at = np.flatnonzero(doc[: len(roll)] == doc[WINDOW - 1 :])
         h = S.mix(roll[at])
-        order = np.lexsort((h, doc[at]))
+        order = S.ordered(doc[at], h)
         same = (h[order][1:] == h[order][:-1]) & (doc[at][order][1:] == doc[at][order][:-1])
         twice = np.zeros(len(at), bool)
         twice[1:] |= same
@@ -72,7 +68,7 @@ def text_statistics(texts: list[str | None]) -> np.ndarray:
         np.add.at(edge, start, 1)
         np.add.at(edge, start + WINDOW, -1)
         covered = np.cumsum(edge[:-1]) > 0
-        out[:, 4] = np.bincount(doc[covered], minlength=len(words))
+        out[:, 4] = np.bincount(doc[covered], minlength=len(raw))
     return out
 
 

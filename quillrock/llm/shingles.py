@@ -3,48 +3,82 @@
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 SKETCH_BITS = 24
 SKETCH_CHUNKS = 32
-_CACHE_WORDS = 400_000
 _U = np.uint64
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; remembers a bounded number of words per worker."""
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < _CACHE_WORDS:
-            self[word] = h
-        return h
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_BYTE = mix(np.arange(1, 257).astype(np.uint64))
+_BLOCK = 1 << 20
 
-_HASHES = WordHashes()
 
+def word_hashes(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all units in order, and the number of words of each unit.
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(31))) * _U(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(32))
+    Words are runs of anything but ASCII white space. A hash is the mixed sum of its bytes' values, each times
+    a value of its place. Blocks of about _BLOCK bytes (or one longer word) bound the memory.
+    """
+    data = np.frombuffer(b"\n".join(units) + b"\n", np.uint8)
+    solid = ~_SPACE[data]
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if solid[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[0::2], edge[1::2]
+    unit_ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1)
+    lens = np.diff(np.searchsorted(starts, unit_ends), prepend=0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), lens
+    place = mix(np.arange(1, int((ends - starts).max()) + 1).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.concatenate((np.searchsorted(starts, np.arange(0, len(data), _BLOCK)), [len(starts)])))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        size = ends[lo:hi] - starts[lo:hi]
+        first = np.cumsum(size) - size
+        span = data[starts[lo] : ends[hi - 1]]
+        value = _BYTE[span[solid[starts[lo] : ends[hi - 1]]]]
+        value *= place[np.arange(len(value)) - np.repeat(first, size)]
+        out[lo:hi] = mix(np.add.reduceat(value, first))
+    return out, lens
+
+
+def ordered(unit: np.ndarray, h: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """The order by (unit, count, h), units from 0 and counts of one byte: one sort of a 64-bit prefix of the three.
+
+    Where different hashes of a unit share the prefix, all three are sorted in full.
+    """
+    if not len(unit):
+        return np.zeros(0, np.int64)
+    bits = int(unit.max()).bit_length() + (8 if count is not None else 0)
+    lead = unit.astype(np.uint64) if count is None else unit.astype(np.uint64) << _U(8) | count
+    key = h if not bits else lead << _U(64 - bits) | h >> _U(bits)
+    order = np.argsort(key)
+    key, sorted_h = key[order], h[order]
+    if ((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+        return np.lexsort((h, unit) if count is None else (h, count, unit))
+    return order
 
 
 def shingle_sets(units: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct k-word shingle hashes of each unit, joined, and offsets (len(units) + 1).
 
-    Words are runs of anything but ASCII white space. A unit with fewer than k words, but at least one,
-    has its whole word sequence as its only shingle; one without words has none.
+    A unit with fewer than k words, but at least one, has its whole word sequence as its only shingle;
+    one without words has none.
     """
-    words = [u.split() for u in units]
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    total = int(lens.sum())
-    flat = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, total)
-    starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
+    flat, lens = word_hashes(units)
+    total = len(flat)
+    starts = np.cumsum(lens) - lens
     counts = np.maximum(lens - (k - 1), 0)
     if total >= k:
         roll = np.zeros(total - k + 1, np.uint64)
@@ -56,17 +90,20 @@ def shingle_sets(units: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(counts) - counts
     n = int(counts.sum())
     where = np.arange(n) - np.repeat(first, counts) + np.repeat(starts, counts)
-    h, unit = roll[where], np.repeat(np.arange(len(words)), counts)
+    h, unit = roll[where], np.repeat(np.arange(len(lens)), counts)
     short = np.flatnonzero((lens > 0) & (lens < k))
     if len(short):
-        own = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[i]), 1) for i in short), np.uint64, len(short))
-        h, unit = np.concatenate((h, own)), np.concatenate((unit, short))
-    order = np.lexsort((h, unit))
+        own = lens[short].astype(np.uint64) * _U(0xA0761D6478BD642F)
+        for j in range(k - 1):
+            on = lens[short] > j
+            own[on] = own[on] * _U(0xD6E8FEB86659FD93) + flat[starts[short][on] + j]
+        h, unit = np.concatenate((h, mix(own))), np.concatenate((unit, short))
+    order = ordered(unit, h)
     h, unit = h[order], unit[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
     h, unit = h[fresh], unit[fresh]
-    return h, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(words))))).astype(np.int64)
+    return h, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(lens))))).astype(np.int64)
 
 
 def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -172,7 +172,7 @@ def scan_keys(df: DataFrame, cut, k: int, pct: int, rarity, boundary: int, least
                 first = np.cumsum(ln) - ln
                 where = np.arange(int(ln.sum())) - np.repeat(first, ln) + np.repeat(offsets[:-1][large], ln)
                 h, unit = hashes[where], np.repeat(np.arange(len(large)), ln)
-                order = np.lexsort((h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)], unit))
+                order = S.ordered(unit, h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)])
                 place = np.arange(len(h)) - np.repeat(first, ln)
                 prefix = ln - -(-pct * ln // 100) + shared(ln)
                 keep = place < np.repeat(prefix, ln)
