@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillrock.llm import line_dedup, mixing, ngram_join, packing, pii, quality, queries, secret_scan, token_counts, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, h int, sid string, part int"
@@ -185,6 +186,17 @@ def test_line_dedup_near_lines(spark):
     assert got == {1: rows[0][1], 2: "", 3: "short line", 4: rows[3][1]}
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    """op10 and the pipeline remove repeats of lines of any length."""
+    licence = "Released under the MIT License."
+    rows = [(1, f"{licence}\nYes.", "en", "s", 0), (2, f"first\n{licence}\n\nYes.", "en", "s", 0), (3, "ab ab ab ab ab ab ab ab ab\nab ab ab ab ab ab ab ab ab", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "1,3", 3: "1"}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}[2] == "first\n"
+
+
 def stats(t):
     w, b = (t or "").encode().split(), (t or "").encode()
     win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
