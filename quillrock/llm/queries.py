@@ -66,7 +66,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    cleaned = line_dedup.dedup_lines(docs, out="clean_text", least_words=1)
+    cleaned = line_dedup.dedup_lines(docs, out="clean_text", k=None, least_words=1)
     removed = F.col("removed_lines")
     return cleaned.select(
         "doc_id",

@@ -106,6 +106,24 @@ def shingle_sets(units: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(lens))))).astype(np.int64)
 
 
+def word_bags(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each unit, a word's second and later occurrence as members of their own, and offsets."""
+    flat, lens = word_hashes(units)
+    unit = np.repeat(np.arange(len(lens)), lens)
+    order = ordered(unit, flat)
+    h, unit = flat[order], unit[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
+    at = np.arange(len(h))
+    nth = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
+    return np.where(fresh, h, mix(h + nth * _U(0xA0761D6478BD642F))), np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
+
+
+def members_of(units: list[bytes], k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of k-word shingles or, for k None, bags of words."""
+    return word_bags(units) if k is None else shingle_sets(units, k)
+
+
 def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit id of each set that depends on its members only; 0 for an empty set."""
     n = np.diff(offsets)

@@ -10,6 +10,9 @@ Flow, for units (documents or lines) given as texts:
 4. a scan gathers the members of the candidates only, found by a bitmap of fixed size (wrong hits of the
    bitmap cost rows, never results), and pairs are verified by counting the intersection.
 
+For sets of words (k None) a prefix entry that is common is no key of its own: it is joined with each later
+entry of the prefix, which is then one longer (`word_keys`), and one shared key makes a candidate.
+
 Any total order of shingles gives whole results; rarity only makes the lists short.
 Equal sets have one id and are never paired. Ids and shingles are 64-bit hashes.
 """
@@ -35,6 +38,11 @@ _SEEN = 500_000
 SHARED = ((96, 8), (24, 3), (0, 1))
 
 
+#: Rank (shingles.rank_of) of 512 uses: a word counted more often is common; sets of LONG members or more have single words as keys, however common.
+RARE = 112
+LONG = 120
+
+
 def shared(n):
     """Entries that a pair must share, by the size of its smaller set; n: int or array."""
     return np.select([n >= at for at, _ in SHARED], [m for _, m in SHARED])
@@ -64,14 +72,14 @@ def _units(batch, cut):
     return row, no, units
 
 
-def scan_units(df: DataFrame, cut, k: int) -> DataFrame:
+def scan_units(df: DataFrame, cut, k: int | None) -> DataFrame:
     """df: (id, h, text). One row per unit, and the rows of the sketch (chunk not null)."""
 
     def run(batches):
         sketch = S.Sketch()
         for b in slices(batches):
             row, no, units = _units(b, cut)
-            hashes, offsets = S.shingle_sets(units, k)
+            hashes, offsets = S.members_of(units, k)
             sketch.add(hashes)
             n = np.diff(offsets)
             take = pa.array(row, pa.int32())
@@ -140,14 +148,32 @@ def keys_of(members: np.ndarray, rarity: np.ndarray, pct: int, boundary: int):
     return out + [(int(members[i]), p) for p, i in enumerate(order)]
 
 
-def scan_keys(df: DataFrame, cut, k: int, pct: int, rarity, boundary: int, least: int) -> DataFrame:
+def word_keys(h: np.ndarray, count: np.ndarray, place: np.ndarray, n: np.ndarray, pct: int, rare: int):
+    """(key, index of its first entry) of sets of words in order of rarity; n: each entry's set's size.
+
+    Sets of n members can miss d = n - ceil(pct * n / 100) of a partner's, so the first shared entry is among
+    the first d + 1 and the second among the first d + 2. Sets that may meet shorter and longer ones than
+    LONG have both kinds of keys. Two shared entries are sure if pct > 50 and no set has pct * (n + 1) > 100 * n.
+    """
+    d = n - -(-pct * n // 100)
+    one = np.flatnonzero((place <= d) & ((count <= rare) | (n >= LONG)))
+    two = np.flatnonzero((place <= d) & (count > rare) & (pct * n < 100 * LONG))
+    times = (d - place)[two] + 1
+    i = np.repeat(two, times)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+    pair = S.mix(h[i] * np.uint64(0xD6E8FEB86659FD93) + h[j])
+    return np.concatenate((h[one], pair)), np.concatenate((one, i))
+
+
+def scan_keys(df: DataFrame, cut, k: int | None, pct: int, rarity, boundary: int, least: int) -> DataFrame:
     """Keys of every distinct set of at least `least` members; a worker skips sets that it has just seen."""
+    rare = RARE
 
     def run(batches):
         counts, seen = rarity.value, set()
         for b in slices(batches):
             _, _, units = _units(b, cut)
-            hashes, offsets = S.shingle_sets(units, k)
+            hashes, offsets = S.members_of(units, k)
             sids, n = S.set_ids(hashes, offsets), np.diff(offsets)
             keys, kp, ks, kn = [], [], [], []
             use = []
@@ -174,6 +200,12 @@ def scan_keys(df: DataFrame, cut, k: int, pct: int, rarity, boundary: int, least
                 h, unit = hashes[where], np.repeat(np.arange(len(large)), ln)
                 order = S.ordered(unit, h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)])
                 place = np.arange(len(h)) - np.repeat(first, ln)
+                if k is None:
+                    h, unit = h[order], unit[order]
+                    key, at = word_keys(h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)], place, ln[unit], pct, rare)
+                    parts.append((key, place[at].astype(np.int32), sids[large][unit[at]], ln[unit[at]].astype(np.int32)))
+                    large = ()
+            if len(large):
                 prefix = ln - -(-pct * ln // 100) + shared(ln)
                 keep = place < np.repeat(prefix, ln)
                 parts.append((h[order][keep], place[keep].astype(np.int32), sids[large][unit[keep]], ln[unit[keep]].astype(np.int32)))
@@ -216,14 +248,14 @@ def build_bitmap(sids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def scan_members(df: DataFrame, cut, k: int, bitmap, least: int) -> DataFrame:
+def scan_members(df: DataFrame, cut, k: int | None, bitmap, least: int) -> DataFrame:
     """(sid, members) of the sets whose bit is set."""
 
     def run(batches):
         bits, seen = bitmap.value, set()
         for b in slices(batches):
             _, _, units = _units(b, cut)
-            hashes, offsets = S.shingle_sets(units, k)
+            hashes, offsets = S.members_of(units, k)
             sids, n = S.set_ids(hashes, offsets), np.diff(offsets)
             at = S.mix(sids.view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)
             hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
@@ -245,15 +277,25 @@ def scan_members(df: DataFrame, cut, k: int, bitmap, least: int) -> DataFrame:
 class Joined:
     """Scans done; `listed` holds the entries of keys that two sets or more share."""
 
-    def __init__(self, df: DataFrame, scratch: Scratch, cut, k: int, pct: int, least: int = 1, boundary: int | None = None):
+    def __init__(self, df: DataFrame, scratch: Scratch, cut, k: int | None, pct: int, least: int = 1, boundary: int | None = None):
         self.df, self.scratch, self.cut, self.k, self.pct, self.least = df, scratch, cut, k, pct, least
         spark = df.sparkSession
         scanned = scratch.table(scan_units(df, cut, k), "units")
         sketch = read_sketch(scanned)
         self.units = scanned.where("chunk is null").drop("chunk", "z")
+        self.want, self.scans = self.wanted, 0
         self.boundary = choose_boundary(sketch, pct) if boundary is None else boundary
         rarity = spark.sparkContext.broadcast(sketch)
         entries = scan_keys(df, cut, k, pct, rarity, self.boundary, least)
+        if k is None:
+            # an entry without a partner of a size within the threshold is in no pair; the nearest sizes tell
+            by_size = Window.partitionBy("key").orderBy("n", "sid")
+            entries = entries.repartition("key").dropDuplicates(["key", "sid", "p", "n"])
+            entries = entries.withColumn("lo", F.lag("n").over(by_size)).withColumn("hi", F.lead("n").over(by_size))
+            met = (F.lit(100) * F.col("lo") >= F.lit(pct) * F.col("n")) | (F.lit(100) * F.col("n") >= F.lit(pct) * F.col("hi"))
+            self.want, self.listed = lambda n: F.lit(1), scratch.table(entries.where(met).drop("lo", "hi"), "listed")
+            rarity.unpersist()
+            return
         # one shuffle: the window spills, and needs no second copy of the entries
         by_key = Window.partitionBy("key")
         entries = entries.withColumn("lo", F.min("sid").over(by_key)).withColumn("hi", F.max("sid").over(by_key)).where("lo <> hi").drop("lo", "hi")
@@ -263,7 +305,6 @@ class Joined:
         self.listed = scratch.table(found.join(weight, "sid").where((F.col("p") < 0) | (F.col("w") >= self.wanted(F.col("n")))), "listed")
         scratch.drop("found")
         rarity.unpersist()
-        self.scans = 0
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of a written table of distinct pairs (a, b), those at or above the threshold."""
@@ -294,7 +335,7 @@ class Joined:
         """Length, prefix and positional filters on two entries of one key, x the smaller set."""
         want = F.ceil(F.lit(self.pct) * (x["n"] + y["n"]) / F.lit(100 + self.pct))
         least = F.ceil(F.lit(2 * self.pct) * x["n"] / F.lit(100 + self.pct))
-        wanted = self.wanted(x["n"])
+        wanted = self.want(x["n"])
         return (
             (F.lit(100) * x["n"] >= F.lit(self.pct) * y["n"])
             & (x["p"] <= x["n"] - least + wanted - 1)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillrock.llm import line_dedup, mixing, ngram_join, packing, pii, quality, queries, secret_scan, token_counts, topk, toxicity
+from quillrock.llm import line_dedup, mixing, ngram_join, packing, pii, quality, queries, secret_scan, simjoin, token_counts, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, h int, sid string, part int"
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -197,6 +197,54 @@ def test_line_dedup_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}[2] == "first\n"
 
 
+def bag_gone(rows):
+    """(doc_id, text) -> removed line numbers by all pairs of lines as bags of words."""
+    lines = []
+    for d, t in {(r.doc_id, r.text) for r in rows}:
+        lines += [((-(2**63) if d is None else d, i), (d, t), i, Counter(line.encode().split())) for i, line in enumerate((t or "").split("\n")) if line.encode().split()]
+    lines.sort(key=lambda x: x[0])
+    out, sizes = defaultdict(list), [sum(x[3].values()) for x in lines]
+    for n, (_, doc, i, w) in enumerate(lines):
+        for m in range(n):
+            if 100 * min(sizes[n], sizes[m]) >= 80 * max(sizes[n], sizes[m]):
+                o = sum((w & lines[m][3]).values())
+                if 100 * o >= 80 * (sizes[n] + sizes[m] - o):
+                    out[doc].append(i)
+                    break
+    return out
+
+
+@pytest.mark.parametrize("rare", [None, 0, 2])
+def test_line_dedup_words(spark, docs, monkeypatch, rare):
+    """Every pair of lines whose words are similar, for any limit of what is rare; sizes around simjoin.LONG."""
+    if rare is not None:
+        monkeypatch.setattr(simjoin, "RARE", rare)
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(60):
+        base = rng.choice([f"w{i}" for i in range(400)], int(rng.integers(1, 30)) if g % 2 else int(rng.integers(90, 190))).tolist()
+        for _ in range(4):
+            v = list(base)
+            for _ in range(int(rng.integers(0, len(v) // 8 + 2))):
+                v[int(rng.integers(len(v)))] = f"n{rng.integers(50)}"
+            rows.append((len(rows), " ".join(v[: len(v) - int(rng.integers(0, len(v) // 8 + 1))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id < 80").withColumn("doc_id", F.col("doc_id") + 1000))
+    want = bag_gone(df.collect())
+    assert sum(map(len, want.values())) > 60
+    got = line_dedup.dedup_lines(df, out="clean", k=None, least_words=1).collect()
+    assert {(r.doc_id, r.text): r.removed_lines for r in got if r.removed_lines} == want
+
+
+def test_line_dedup_one_word_changed(spark, tmp_path):
+    """One word of an ordinary line changed: shingles lose five each way, words one; op10 and the pipeline."""
+    base = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(base), "en", "s", 0), (2, " ".join([*base[:10], "new", *base[11:]]) + "\nrest", "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed_lines for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}[2] == "rest"
+
+
 def stats(t):
     w, b = (t or "").encode().split(), (t or "").encode()
     win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
