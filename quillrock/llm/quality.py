@@ -27,11 +27,13 @@ from .common import Scratch, slices
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Least standard deviation of each statistic, in its transformed unit.
-FLOORS = np.array([0.4, 0.12, 0.08, 0.15, 0.15])
+#: Least standard deviation of each statistic, in its transformed unit; 0.03 is one symbol in some 1,100 characters.
+FLOORS = np.array([0.4, 0.12, 0.03, 0.13, 0.15])
 DIM = len(FLOORS)
 #: Median of chi-square with 5 degrees of freedom: distances are scaled to it.
 CHI2_MEDIAN = 4.351
+#: Its 99.999 % quantile.
+CUTOFF = 30.856
 PER_BIN = 8.0
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _U = np.uint64
@@ -156,7 +158,7 @@ def _bin():
     return F.floor(F.log(F.greatest(F.col("d2"), F.lit(1e-3))) * PER_BIN).cast("int").alias("bin")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 3, cutoff: float = 60.0, least_rows: int = 100) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 3, cutoff: float = CUTOFF, least_rows: int = 100) -> DataFrame:
     """One row per input row: id, STATS, base_failed, d2 (null: not fitted), kept."""
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.table(statistics(docs, id_col, text_col, lang_col, source_col), "stats")

@@ -272,6 +272,19 @@ def test_quality_verdict(spark):
     assert all(r.kept == (r.id < 1000) for r in got)
 
 
+def test_quality_single_statistics(spark):
+    """Symbols at a tenth of the characters, or mostly repeated lines, are enough by themselves."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i:04}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(60, 300)))), "en", "s") for i in range(300)]
+    symbols = lambda w, i: "w#" + w[2:] if i % 2 else w
+    rows += [(1000 + i, " ".join(symbols(w, j) for j, w in enumerate(rng.choice(words, 150))), "en", "s") for i in range(10)]
+    rows += [(2000 + i, "\n".join(f"wwwww\nwwwww\n{w}" for w in rng.choice(words, 50, replace=False)), "en", "s") for i in range(10)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert [r.id for r in got if r.kept != (r.id < 1000)] == []
+
+
 def test_packing(table):
     from tokenizers import Tokenizer
 
