@@ -2,8 +2,8 @@
 
 Base candidates are fixed by three patterns. Further candidates (private-key headers, vendor tokens, signed
 web tokens, long mixed strings) are reported only if they look live: a hash that fewer than
-`copied_owners` owners hold. A hash that more owners hold is a widely copied example. The count covers the
-whole corpus. Built-in functions only; secret values never leave the scan, only their hashes.
+`copied_owners` owners and fewer than `copied_repos` repositories hold. A hash that more of either hold is a
+widely copied example. A repository counts once for each of its owners. The counts cover the whole corpus. Built-in functions only; secret values never leave the scan, only their hashes.
 
 Odd cases: null text counts as empty; null owners and repositories are one owner and one repository;
 repeated rows are reported each, and count once towards ownership; extra columns are ignored.
@@ -65,14 +65,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", copied_owners: int = 3) -> DataFrame:
-    """One row per input row: id, base and spans as arrays of (start, rank, end, kind), n_copied, n_live, max_owners."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", copied_owners: int = 3, copied_repos: int = 4) -> DataFrame:
+    """One row per input row: id, base and spans as arrays of (start, rank, end, kind), n_copied, n_live, max_owners, max_repos."""
     scratch = Scratch(docs.sparkSession, "secrets")
     found = scratch.table(candidates(docs, id_col, text_col, owner_col, repo_col), "found")
     owned = ownership(found)
     each = found.where(F.size("found") > 0).select("id", "row", F.explode("found").alias("f")).select("id", "row", F.col("f.hash").alias("hash"), "f")
     judged = salted_join(each, owned, "hash", "left", 8, F.col("row"))
-    live = F.col("owners") < copied_owners
+    live = (F.col("owners") < copied_owners) & (F.col("repos") < copied_repos)
     span = F.struct(F.col("f.start"), F.col("f.rank"), F.col("f.end"), F.col("f.kind"))
     base = F.col("f.rank") < len(BASE)
     per = judged.groupBy("id", "row").agg(
@@ -81,13 +81,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count(F.when(~live, 1)).alias("n_copied"),
         F.count(F.when(live, 1)).alias("n_live"),
         F.max("owners").alias("max_owners"),
+        F.max("repos").alias("max_repos"),
     )
     kind = "struct<start:long,rank:int,end:long,kind:string>"
     zero = F.lit(0).cast("long")
-    rest = found.where(F.size("found") == 0).select("id", "row", none_of(kind).alias("base"), none_of(kind).alias("spans"), zero.alias("n_copied"), zero.alias("n_live"), zero.alias("max_owners"))
+    rest = found.where(F.size("found") == 0).select("id", "row", none_of(kind).alias("base"), none_of(kind).alias("spans"), zero.alias("n_copied"), zero.alias("n_live"), zero.alias("max_owners"), zero.alias("max_repos"))
     return per.unionByName(rest).drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_copied", "n_live", "max_owners")
+    return found.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_copied", "n_live", "max_owners", "max_repos")

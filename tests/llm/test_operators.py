@@ -84,6 +84,14 @@ def test_secret_ownership(spark):
     assert got[9].spans == "jwt:4:39" and got[9].n_live == 1
 
 
+def test_secret_repositories(spark):
+    jwt = lambda c: f"eyJ{c * 10}.{c * 10}.{c * 10}"
+    rows = [(i, f"see {jwt('a')}", "one", f"repo{i}") for i in range(5)] + [(9 + i, f"see {jwt('b')}", "one", f"repo{i % 2}") for i in range(6)]
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))).collect()}
+    assert got[0].spans == "" and (got[0].n_copied, got[0].max_owners, got[0].max_repos) == (1, 1, 5)
+    assert got[9].spans == "jwt:4:39" and (got[9].n_live, got[9].max_owners, got[9].max_repos) == (1, 1, 2)
+
+
 def test_iban_and_context(spark):
     rows = [(1, "bank account DE89 3704 0044 0532 0130 00 ok"), (2, "DE89 3704 0044 0532 0130 01"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789")]
     got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
