@@ -1,8 +1,10 @@
-"""Shared helpers of the corpus operators: scratch tables, salted joins, Arrow scans."""
+"""Shared helpers of the corpus operators: scratch tables, joins that split hot keys, Arrow scans."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -54,7 +56,7 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000, text: str = "text"):
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 2_000_000, text: str = "text"):
     """Cut Arrow batches so that a slice holds a bounded number of rows and, but for one long text, of bytes."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
@@ -69,12 +71,37 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_00
             yield b.slice(start)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, salts: int, by) -> DataFrame:
-    """Equi-join of rows with a hot key against one row per key: the one row is repeated once per salt.
+#: Rows of one key that stay together in split_join.
+TOGETHER = 128
 
-    `right` holds each key once, so the join never multiplies rows; a key with a third of all rows is
-    spread over `salts` tasks.
+
+def split_join(left: DataFrame, right: DataFrame, key: str, by, how: str = "inner", counted: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Equi-join (inner or left) of rows that may pile up on a key against one row per key.
+
+    A key with more than TOGETHER rows is dealt, by the hash of `by`, over as many salts as it has that many rows,
+    and its one row on the right is repeated for each; so the right side grows by less than a hundredth of the left
+    one. Only the 2 * partitions most frequent keys count: a further one has less than half a task's rows. Their
+    counts, a bounded number of rows, are collected and broadcast. `counted`: a written table with the keys of left;
+    `counts`: (key, __n), where they are known.
     """
-    l = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if counts is None:
+        counts = (left if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where((F.col("__n") > TOGETHER) & F.col(key).isNotNull()).orderBy(F.desc("__n")).limit(2 * parts).collect()
+    if not hot:
+        return left.join(right, key, how)
+    kind = left.schema[key].dataType.simpleString()
+    salts = F.broadcast(spark.createDataFrame([(r[key], min(4 * parts, -(-r["__n"] // TOGETHER))) for r in hot], f"{key} {kind}, __salts int"))
+    l = left.join(salts, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    piled = F.col(key).isin([r[key] for r in hot])
+    r = right.where(~piled | F.col(key).isNull()).withColumn("__salt", F.lit(0))
+    r = r.unionByName(right.where(piled).join(salts, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts"))
     return l.join(r, [key, "__salt"], how).drop("__salt")
+
+
+def trim() -> None:
+    """Give a worker's free memory back, so that the next stage's worker state does not add to it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)

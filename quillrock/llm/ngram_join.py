@@ -13,79 +13,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join
+from .common import Scratch, split_join
 from .simjoin import Joined, components, whole
 
 
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("h"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+
+
+def _hubs(long: DataFrame) -> DataFrame:
+    """Of each long list the set with the most entries: an original has more than its changed copies."""
+    weight = long.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
+    return long.join(weight, "sid").groupBy("key").agg(F.max(F.struct("w", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("b"))
 
 
 def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(a, b) links between distinct sets, enough to span every component; and the components.
 
-    First each set is verified against the hub of each of its lists, the set with the most shared entries:
-    the original has more than its changed copies. Sets that this joins need no further pair between them,
-    so a group of n near copies costs some n pairs, not n * n. Then all pairs of a list that lie in different
-    components are verified, so no link is lost.
+    What hubs have joined comes first; candidate pairs are verified only between its components.
     """
-    listed = joined.listed.where("p >= 0")
-    hub = listed.groupBy("key").agg(F.max(F.struct("w", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("b"))
-    star = scratch.table(salted_join(listed.select("key", "n", F.col("sid").alias("a")), hub, "key", "inner", 4, F.col("a")).where("a <> b").groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= Joined.wanted(F.col("n"))).select("a", "b"), "star")
-    sure = joined.subset_links() if joined.boundary else star.where("false")
-    first = scratch.table(joined.verified(star).unionByName(sure).distinct(), "links1")
-    comp = components(first, scratch, "cc1")
-    # c: component of a set; entries of lists that lie in one component are done
-    placed = scratch.table(salted_join(listed, comp, "sid", "left", 4, F.col("key")).withColumn("c", F.coalesce("comp", "sid")).drop("comp"), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    # one list's pairs only between components, the smaller set first
-    e = placed.join(open_keys, "key")
-    still = e.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= Joined.wanted(F.col("n"))).select("sid")
-    e = scratch.table(e.join(still, "sid"), "open")
-    x, y = e.alias("x"), e.alias("y")
-    left = {c: F.col(f"x.{c}") for c in ("n", "p")}
-    right = {c: F.col(f"y.{c}") for c in ("n", "p")}
-    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") < F.col("y.sid")))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ordered & joined.pair_condition(left, right))
-    many = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min("x.n").alias("n"))
-    pairs = scratch.table(many.where(F.col("m") >= Joined.wanted(F.col("n"))).select("a", "b"), "cross")
-    second = joined.verified(pairs)
-    scratch.drop("star", "placed", "open")
-    # the second links join components of the first round
-    name = comp.select("sid", "comp")
-    ends = second.join(name.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", "left").join(name.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    lifted = scratch.table(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "lifted")
-    over = components(lifted, scratch, "cc2")
-    alone = over.join(comp, "sid", "left_anti").select("sid", "comp")
-    final = comp.join(over.select(F.col("sid").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("sid", F.coalesce("top", "comp").alias("comp"))
-    return first.unionByName(second), scratch.table(final.unionByName(alone), "components")
+    joined.rounds(_hubs)
+    if not joined.near.limit(1).count():
+        sure = joined.verified(joined.pairs, "links")
+        return sure, components(sure, scratch, "cc")
+    first = components(joined.near, scratch, "cc1")
+    ends = split_join(joined.pairs, first.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", F.col("b"), "left")
+    ends = split_join(ends, first.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", F.col("a"), "left", counted=joined.pairs)
+    open_pairs = scratch.table(ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open")
+    sure = scratch.table(joined.verified(open_pairs, "sure").unionByName(joined.near), "links")
+    return sure, components(sure, scratch, "cc2")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, pct: int = 85, boundary: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least id reachable, itself included)."""
-    scratch = Scratch(docs.sparkSession, "ngram")
-    joined = Joined(_docs(docs, id_col, text_col), scratch, whole, k, pct, boundary=boundary)
-    _, comp = links(joined, scratch)
-    units = joined.units.select("id", "n", "sid")
-    full = salted_join(units.where("n > 0"), comp, "sid", "left", 8, F.col("id")).select("id", "n", F.coalesce("comp", "sid").alias("c"))
-    full = scratch.table(full, "classes")
-    scratch.drop("listed", "links1", "lifted", "cross", "sure1", "sure2")
+    scratch, units, full = _classes(docs, id_col, text_col, k, pct, boundary)
     least = full.groupBy("c").agg(F.min("id").alias("component_id"))
-    done = salted_join(full, least, "c", "inner", 8, F.col("id")).select("id", "n", "component_id")
+    done = split_join(full, least, "c", F.col("id")).select("id", "n", "component_id")
     empty = units.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return done.unionByName(empty).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, boundary: int | None):
+    """The units, and of those with words (id, h, n, c): c names the component."""
+    scratch = Scratch(docs.sparkSession, "ngram")
+    joined = Joined(_docs(docs, id_col, text_col), scratch, whole, k, pct, boundary=boundary)
+    _, comp = links(joined, scratch)
+    units = joined.units.select("id", "h", "n", "sid")
+    full = split_join(units.where("n > 0"), comp, "sid", F.col("id"), "left").select("id", "h", "n", F.coalesce("comp", "sid").alias("c"))
+    return scratch, units, scratch.table(full, "classes")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, pct: int = 80) -> DataFrame:
-    """The rows of docs whose id is the least of its component; rows that share an id count as one document.
+    """Of the rows of each component one: of the least id (null ids last) and, of rows that share it, the least text hash.
 
-    Documents without words are in no group and stay.
+    Rows equal in id and text count as one document, of which one stays. Documents without words are in no
+    group and all stay.
     """
-    group = ngram_components(docs, id_col, text_col, k, pct)
-    # a null id stays where no linked document has an id
-    go = group.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__go")).distinct()
-    kept = docs.join(go, F.col(id_col).cast("long").eqNullSafe(F.col("__go")), "left_anti")
-    return kept
+    _, _, full = _classes(docs, id_col, text_col, k, pct, None)
+    first = full.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"))
+    stay = first.select(F.col("f.id").alias("__qr_id"), F.col("f.h").alias("__qr_h"))
+    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    has = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # `stay` is one row a component: rows of an equal id and text are counted off by a number that only they share
+    kept = docs.where(has).join(stay, ident.eqNullSafe(F.col("__qr_id")) & (F.xxhash64(text) == F.col("__qr_h")), "left_semi")
+    twice = full.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__qr_id"), F.col("h").alias("__qr_h"))
+    same = ident.eqNullSafe(F.col("__qr_id")) & (F.xxhash64(text) == F.col("__qr_h"))
+    repeated = kept.join(twice, same, "left_semi").select(ident.alias("__qr_id"), F.xxhash64(text).alias("__qr_h"), F.struct(*[F.col(c) for c in docs.columns]).alias("__qr_row"))
+    one = repeated.groupBy("__qr_id", "__qr_h").agg(F.first("__qr_row").alias("__qr_row")).select("__qr_row.*")
+    return kept.join(twice, same, "left_anti").unionByName(one).unionByName(docs.where(~has))
 
 
 ORACLE = r"""

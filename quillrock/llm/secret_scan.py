@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join
+from .common import Scratch, split_join
 from .spans import joined, none_of, with_matches
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -71,7 +71,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = scratch.table(candidates(docs, id_col, text_col, owner_col, repo_col), "found")
     owned = ownership(found)
     each = found.where(F.size("found") > 0).select("id", "row", F.explode("found").alias("f")).select("id", "row", F.col("f.hash").alias("hash"), "f")
-    judged = salted_join(each, owned, "hash", "left", 8, F.col("row"))
+    judged = split_join(each, owned, "hash", F.col("row"), "left")
     live = (F.col("owners") < copied_owners) & (F.col("repos") < copied_repos)
     span = F.struct(F.col("f.start"), F.col("f.rank"), F.col("f.end"), F.col("f.kind"))
     base = F.col("f.rank") < len(BASE)

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-SKETCH_BITS = 24
+SKETCH_BITS = 23
 SKETCH_CHUNKS = 32
 _U = np.uint64
 
@@ -24,11 +24,26 @@ _BYTE = mix(np.arange(1, 257).astype(np.uint64))
 _BLOCK = 1 << 20
 
 
+#: An odd factor, its inverse modulo 2 ** 64, and the powers of both for the places of a block.
+_R = 0x9E3779B97F4A7C15
+_RI = pow(_R, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POW, _INV = _powers(_R, _BLOCK), _powers(_RI, _BLOCK)
+
+
 def word_hashes(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all units in order, and the number of words of each unit.
 
-    Words are runs of anything but ASCII white space. A hash is the mixed sum of its bytes' values, each times
-    a value of its place. Blocks of about _BLOCK bytes (or one longer word) bound the memory.
+    Words are runs of anything but ASCII white space. A hash is the mixed sum of its bytes' values, each times a
+    power for its place in the word: differences of one running sum over a block, times the inverse of the power
+    for the word's start. Blocks of about _BLOCK bytes (or one longer word) bound the memory.
     """
     data = np.frombuffer(b"\n".join(units) + b"\n", np.uint8)
     solid = ~_SPACE[data]
@@ -38,18 +53,18 @@ def word_hashes(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     unit_ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1)
     lens = np.diff(np.searchsorted(starts, unit_ends), prepend=0)
-    if not len(starts):
-        return np.zeros(0, np.uint64), lens
-    place = mix(np.arange(1, int((ends - starts).max()) + 1).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
     out = np.empty(len(starts), np.uint64)
-    cuts = np.unique(np.concatenate((np.searchsorted(starts, np.arange(0, len(data), _BLOCK)), [len(starts)])))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        size = ends[lo:hi] - starts[lo:hi]
-        first = np.cumsum(size) - size
-        span = data[starts[lo] : ends[hi - 1]]
-        value = _BYTE[span[solid[starts[lo] : ends[hi - 1]]]]
-        value *= place[np.arange(len(value)) - np.repeat(first, size)]
-        out[lo:hi] = mix(np.add.reduceat(value, first))
+    lo = 0
+    while lo < len(starts):
+        at = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, at + _BLOCK, "right")))
+        size = int(ends[hi - 1] - at)
+        power, inverse = (_POW, _INV) if size <= _BLOCK else (_powers(_R, size), _powers(_RI, size))
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[at : at + size]] * power[:size], out=total[1:])
+        first = starts[lo:hi] - at
+        out[lo:hi] = mix((total[ends[lo:hi] - at] - total[first]) * inverse[first])
+        lo = hi
     return out, lens
 
 
@@ -106,9 +121,11 @@ def shingle_sets(units: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(lens))))).astype(np.int64)
 
 
-def word_bags(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each unit, a word's second and later occurrence as members of their own, and offsets."""
-    flat, lens = word_hashes(units)
+def word_bags(flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of the bags of word hashes, each member's word, and offsets.
+
+    A word's second and later occurrence in a unit are members of their own; the first one's member is the word.
+    """
     unit = np.repeat(np.arange(len(lens)), lens)
     order = ordered(unit, flat)
     h, unit = flat[order], unit[order]
@@ -116,29 +133,71 @@ def word_bags(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
     at = np.arange(len(h))
     nth = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
-    return np.where(fresh, h, mix(h + nth * _U(0xA0761D6478BD642F))), np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
+    return np.where(fresh, h, mix(h + nth * _U(0xA0761D6478BD642F))), h, np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
+
+
+#: Bits of a set's id that are parities of its members, by hash; the other bits are a hash of the members.
+PARITY = 40
+#: Sets of so many members or more spread their parities over 64 further bits, which are kept beside the id (`wide_of`).
+WIDE = 40
 
 
-def members_of(units: list[bytes], k: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of k-word shingles or, for k None, bags of words."""
-    return word_bags(units) if k is None else shingle_sets(units, k)
+_AT = np.arange(PARITY + 64)
+_OWN = np.where(_AT < PARITY, _U(1) << (_AT % 64).astype(np.uint64), _U(0))
+_FURTHER = np.where(_AT >= PARITY, _U(1) << ((_AT - PARITY) % 64).astype(np.uint64), _U(0))
+
+
+def _parities(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities over PARITY + 64 slots of the mixed members of sets that begin at `at`."""
+    slot = ((m >> _U(32)) * _U(PARITY + 64) >> _U(32)).astype(np.int64)
+    return np.bitwise_xor.reduceat(_OWN[slot], at), np.bitwise_xor.reduceat(_FURTHER[slot], at)
 
 
 def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set that depends on its members only; 0 for an empty set."""
+    """A 64-bit id of each set, or of each bag of words in any order, that depends on its members only; 0 for an empty set.
+
+    The upper PARITY bits say whether an odd number of members falls on each of so many hash values, so two sets
+    differ in at least as many members as these bits (`apart`). Sets below WIDE fold their further parities into
+    them. Sums and parities count repeated members, so a bag needs no sorting.
+    """
     n = np.diff(offsets)
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         m = mix(h + _U(0x632BE59BD9B4E019))
         at = offsets[:-1][full]
-        s, x = np.add.reduceat(m, at), np.bitwise_xor.reduceat(m, at)
-        out[full] = mix(s * _U(0x9E3779B97F4A7C15) + (x ^ n[full].astype(np.uint64)))
+        parity, more = _parities(m, at)
+        fold = more & _U((1 << PARITY) - 1) ^ more >> _U(PARITY)
+        parity = np.where(n[full] < WIDE, parity ^ fold, parity)
+        s, x = np.add.reduceat(m, at), np.add.reduceat((m ^ m >> _U(29)) * _U(0xA0761D6478BD642F), at)
+        low = mix(s * _U(0x9E3779B97F4A7C15) + (x ^ n[full].astype(np.uint64))) >> _U(PARITY)
+        out[full] = parity << _U(64 - PARITY) | low
     return out.view(np.int64)
 
 
+def wide_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The further parities of sets of n members each, h in order; 0 for sets below WIDE."""
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        out[full] = _parities(mix(h + _U(0x632BE59BD9B4E019)), (np.cumsum(n) - n)[full])[1]
+    out[n < WIDE] = 0
+    return out
+
+
+def apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> np.ndarray:
+    """Members, at least, in which sets differ, by ids, sizes and further parities (0: not known)."""
+    own = np.bitwise_count((x ^ y).view(np.uint64) >> _U(64 - PARITY)).astype(np.int64)
+    more = np.where((wx != 0) & (wy != 0), np.bitwise_count(wx ^ wy), 0)
+    return np.where((nx >= WIDE) == (ny >= WIDE), own + more, 0)
+
+
 class Sketch:
-    """One-row counting sketch of fixed size over shingle hashes; counts stop at 65,535, which is as common as any."""
+    """One-row counting sketch of fixed size over members; a task's counts stop at 65,535, sums do not.
+
+    In a corpus of many times more members than counters, every counter stands on a background; then only members
+    well above it are known as common. The order of members changes the length of lists, never a result.
+    """
 
     def __init__(self):
         self.counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -157,19 +216,28 @@ def merge_sketches(batches):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for i, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(z), np.uint16).astype(np.uint32)
-            sums[i] = sums[i] + part if i in sums else part
+            part = np.frombuffer(zlib.decompress(z), np.uint16)
+            sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
     for i, v in sums.items():
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "z": pa.array([zlib.compress(rank_of(v).tobytes(), 1)], pa.binary())})
 
 
 def rank_of(counts: np.ndarray) -> np.ndarray:
-    """One byte a count: exact up to 64, then in steps of a sixteenth of an octave."""
-    return np.where(counts <= 64, counts, np.minimum(64 + 16 * np.log2(np.maximum(counts, 1) / 64), 255)).astype(np.uint8)
+    """One byte a count: exact up to 32, then in steps of an eighth of an octave, up to some 8 billion."""
+    return np.where(counts <= 32, counts, np.minimum(32 + 8 * np.log2(np.maximum(counts, 1) / 32), 255)).astype(np.uint8)
+
+
+def count_of(ranks: np.ndarray) -> np.ndarray:
+    """About the count of each rank."""
+    return np.where(ranks <= 32, ranks, 32 * 2.0 ** ((ranks.astype(float) - 32) / 8))
+
+
+def rank_at(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    return ranks[(h >> _U(64 - SKETCH_BITS)).astype(np.int64)]
 
 
 def sketch_array(rows) -> np.ndarray:
-    """Ranks of all counters; 16 MB whatever the corpus."""
+    """Ranks of all counters; 8 MB whatever the corpus."""
     out = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.uint8)
     for r in rows:
         out[r["chunk"]] = np.frombuffer(zlib.decompress(r["z"]), np.uint8)

@@ -1,46 +1,57 @@
-"""Exact Jaccard joins of shingle sets: the engine of the n-gram join and of line dedup.
+"""Exact Jaccard joins of sets (word shingles) or bags (words of a line): the engine of the n-gram join and of line dedup.
 
 Flow, for units (documents or lines) given as texts:
 
-1. scan 1 hashes every unit and writes (unit, set id, set size) and a fixed-size rarity sketch;
-2. scan 2 orders each set's shingles by (sketched rarity, hash) and emits a prefix of which a partner at
-   or above the threshold must share an entry, or SHARED entries for all but short sets (the prefix is then
-   longer by as many less one) - or, for sets below the boundary, all subsets of the fixed size;
-3. keys held by two sets or more remain, and give candidate pairs;
-4. a scan gathers the members of the candidates only, found by a bitmap of fixed size (wrong hits of the
-   bitmap cost rows, never results), and pairs are verified by counting the intersection.
-
-For sets of words (k None) a prefix entry that is common is no key of its own: it is joined with each later
-entry of the prefix, which is then one longer (`word_keys`), and one shared key makes a candidate.
-
-Any total order of shingles gives whole results; rarity only makes the lists short.
-Equal sets have one id and are never paired. Ids and shingles are 64-bit hashes.
+1. a scan hashes every unit and writes (unit, set id, set size) and a fixed-size rarity sketch;
+2. a scan orders each set's members by (sketched rarity, hash) and packs a prefix of them as entries of inverted
+   lists - long enough that a pair at or above the threshold shares one entry, or SHARED entries for all but
+   short sets - or, for sets below the boundary, all subsets of the fixed size (postings.py);
+3. short lists give pairs by the length and positional filters. Long or dense lists give none: one set of each
+   is its hub, every other set of the list is verified against it, and what a set does not share with the hub is
+   ordered and packed again. If two sets are similar and one of them is not similar to the hub, they differ
+   from it in a common member (below), so a prefix of these differences finds them. Lists get shorter by their
+   hub and by what it joins until none is left: a group of n near copies costs some n pairs a round;
+4. a scan gathers the members of the sets in pairs and long lists, found by a bitmap (wrong hits of the bitmap
+   cost rows, never results), and pairs are verified by counting the intersection.
+
+Why the differences suffice: write X and Y for what sets x and y do not share with the hub h. Then x and y differ
+in X xor Y. If X and Y had no common member, the Jaccard distance of x and y would be at least that of y and h,
+as |Y| <= |h| + |y|; so a pair that is similar while y and h are not has a common member in X and Y, and the first
+one in any order stands behind at most as many others in either as x and y may differ.
+
+For bags a prefix entry that is common is no key of its own: it is joined with each later entry of the prefix,
+which is then one longer (`word_keys`), and one shared key makes a candidate.
+
+Any total order of members gives whole results; rarity only makes the lists short. Equal sets have one id and
+are never paired. Ids, members and keys are 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import postings as P
 from . import shingles as S
-from .common import Scratch, salted_join, slices
+from .common import Scratch, slices, split_join, trim
+from .postings import need
 
-BITMAP_BITS = 26
-BITMAP_CHUNKS = 64
-_SEEN = 500_000
+_SEEN = 200_000
 #: (least size, entries): sets of so many members are candidates only if they share so many prefix entries.
 SHARED = ((96, 8), (24, 3), (0, 1))
-
-
-#: Rank (shingles.rank_of) of 512 uses: a word counted more often is common; sets of LONG members or more have single words as keys, however common.
-RARE = 112
+#: Rank (shingles.rank_of) of 512 uses: a word counted more often is common; bags of LONG members or more have single words as keys, however common.
+RARE = 64
 LONG = 120
+MANY_WORDS = 3
+#: Entries aimed at in a bucket of lists.
+PER_BUCKET = 64_000
 
 
 def shared(n):
@@ -48,9 +59,13 @@ def shared(n):
     return np.select([n >= at for at, _ in SHARED], [m for _, m in SHARED])
 
 
-def need(s: int, t: int, pct: int) -> int:
-    """Least overlap of sets of sizes s and t with 100 * overlap >= pct * union."""
-    return -(-pct * (s + t) // (100 + pct))
+def one(n):
+    return np.ones_like(n)
+
+
+def shared_words(n, pct: int):
+    """The same for bags: where neither bag of a pair has keys of two words, they must share MANY_WORDS single ones."""
+    return np.where(pct * n >= 100 * LONG, MANY_WORDS, 1)
 
 
 def whole(text: str | None) -> list[bytes]:
@@ -62,7 +77,7 @@ def lines(text: str | None) -> list[bytes]:
 
 
 def _units(batch, cut):
-    """Ids of the rows, and of each unit the row and the number in it, and its bytes."""
+    """Of each unit the row and the number in it, and its bytes."""
     row, no, units = [], [], []
     for i, t in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
         parts = cut(t)
@@ -72,6 +87,47 @@ def _units(batch, cut):
     return row, no, units
 
 
+class Sets:
+    """The sets (k-word shingles) or bags (k None) of a batch of units; a bag is sorted only where it is asked for."""
+
+    def __init__(self, units: list[bytes], k: int | None):
+        self.k = k
+        if k is None:
+            self.h, lens = S.word_hashes(units)
+            self.offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
+        else:
+            self.h, self.offsets = S.shingle_sets(units, k)
+        self.sids, self.n = S.set_ids(self.h, self.offsets), np.diff(self.offsets)
+
+    def take(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members of the units of `use`, the words or shingles that give their rarity, and sizes."""
+        n = self.n[use]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(self.offsets[:-1][use], n)
+        h = self.h[at]
+        if self.k is None:
+            members, words, _ = S.word_bags(h, n)
+            return members, words, n
+        return h, h, n
+
+
+class Fresh:
+    """Sets that this task has not just seen; how many it remembers is bounded, so a set may come again."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, sids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        use, seen = [], self.seen
+        for i, sid in zip(at.tolist(), sids[at].tolist(), strict=True):
+            if sid not in seen:
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(sid)
+                use.append(i)
+        return np.array(use, np.int64)
+
+
 def scan_units(df: DataFrame, cut, k: int | None) -> DataFrame:
     """df: (id, h, text). One row per unit, and the rows of the sketch (chunk not null)."""
 
@@ -79,12 +135,11 @@ def scan_units(df: DataFrame, cut, k: int | None) -> DataFrame:
         sketch = S.Sketch()
         for b in slices(batches):
             row, no, units = _units(b, cut)
-            hashes, offsets = S.members_of(units, k)
-            sketch.add(hashes)
-            n = np.diff(offsets)
+            sets = Sets(units, k)
+            sketch.add(sets.h)
             take = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), pa.array(S.set_ids(hashes, offsets)), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                [b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), pa.array(sets.sids), pa.array(sets.n.astype(np.int32)), pa.nulls(len(no), pa.int32()), pa.nulls(len(no), pa.binary())],
                 ["id", "h", "unit", "sid", "n", "chunk", "z"],
             )
         for i, z in sketch.chunks():
@@ -92,13 +147,15 @@ def scan_units(df: DataFrame, cut, k: int | None) -> DataFrame:
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([i], pa.int32()), pa.array([z], pa.binary())],
                 ["id", "h", "unit", "sid", "n", "chunk", "z"],
             )
+        del sketch
+        trim()
 
     return df.select("id", "h", "text").mapInArrow(run, "id long, h long, unit int, sid long, n int, chunk int, z binary")
 
 
 def read_sketch(scanned: DataFrame) -> np.ndarray:
-    """Summed in the executors; the driver gets SKETCH_CHUNKS rows, 16 MB whatever the corpus."""
-    rows = scanned.where("chunk is not null").select("chunk", "z").repartition(4, "chunk").mapInArrow(S.merge_sketches, "chunk int, z binary")
+    """Summed in the executors; the driver gets SKETCH_CHUNKS rows, 8 MB whatever the corpus."""
+    rows = scanned.where("chunk is not null").select("chunk", "z").repartition(8, "chunk").mapInArrow(S.merge_sketches, "chunk int, z binary")
     return S.sketch_array(rows.collect())
 
 
@@ -107,17 +164,16 @@ def subset_count(n: int, pct: int, boundary: int) -> int:
     return sum(comb(n, need(min(n, t), max(n, t), pct)) for t in range(1, boundary + 1) if 100 * min(n, t) >= pct * max(n, t))
 
 
-def choose_boundary(sketch: np.ndarray, pct: int, most: int = 24) -> int:
+def choose_boundary(ranks: np.ndarray, pct: int, most: int = 24) -> int:
     """Largest size up to which enumerating subsets costs no more than scanning the inverted lists.
 
     A scanned set of n members costs its prefix, times the mean length of a list in excess of the
     sketch's background, plus a verification of n members.
     """
-    n = np.bincount(sketch, minlength=256)[1:].astype(float)
+    n = np.bincount(ranks, minlength=256)[1:].astype(float)
     if not n.sum():
         return 0
-    rank = np.arange(1, 256)
-    count = np.where(rank <= 64, rank, 64 * 2.0 ** ((rank - 64) / 16))
+    count = S.count_of(np.arange(1, 256))
     middle = max(1.0, count[np.searchsorted(np.cumsum(n), n.sum() / 2)])
     length = 1 + max(0.0, (n * count**2).sum() / (n * count).sum() - middle) / middle
     best = 0
@@ -129,107 +185,90 @@ def choose_boundary(sketch: np.ndarray, pct: int, most: int = 24) -> int:
     return best
 
 
-def keys_of(members: np.ndarray, rarity: np.ndarray, pct: int, boundary: int):
-    """(key, position) of one set: subsets (position -1 - partner's size) and/or prefix entries."""
-    n = len(members)
-    out = []
-    if n <= boundary:
-        listed = [m.tobytes() for m in members]
-        for t in range(1, boundary + 1):
-            s, l = min(n, t), max(n, t)
-            if 100 * s >= pct * l:
-                head = bytes((s, l))
-                out += [(xxhash.xxh3_64_intdigest(head + b"".join(c)), -1 - t) for c in combinations(listed, need(s, l, pct))]
-        if 100 * n < pct * (boundary + 1):
-            return out
-    prefix = n - -(-pct * n // 100) + int(shared(n))
-    count = rarity[(members >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((members, count))[:prefix]
-    return out + [(int(members[i]), p) for p, i in enumerate(order)]
+def subset_keys(members: np.ndarray, pct: int, boundary: int) -> list[tuple[int, int]]:
+    """(key, -1 - partner's size) of all subsets of one set of at most `boundary` members that a partner may share."""
+    n, out = len(members), []
+    listed = [m.tobytes() for m in np.sort(members)]
+    for t in range(1, boundary + 1):
+        s, l = min(n, t), max(n, t)
+        if 100 * s >= pct * l:
+            head = bytes((s, l))
+            out += [(xxhash.xxh3_64_intdigest(head + b"".join(c)), -1 - t) for c in combinations(listed, need(s, l, pct))]
+    return out
 
 
 def word_keys(h: np.ndarray, count: np.ndarray, place: np.ndarray, n: np.ndarray, pct: int, rare: int):
-    """(key, index of its first entry) of sets of words in order of rarity; n: each entry's set's size.
+    """(key, index of its first entry) of bags of words in order of rarity; n: each entry's bag's size.
 
-    Sets of n members can miss d = n - ceil(pct * n / 100) of a partner's, so the first shared entry is among
-    the first d + 1 and the second among the first d + 2. Sets that may meet shorter and longer ones than
-    LONG have both kinds of keys. Two shared entries are sure if pct > 50 and no set has pct * (n + 1) > 100 * n.
+    Bags of n members can miss d = n - ceil(pct * n / 100) of a partner's, so the first shared entry is among
+    the first d + 1 and the second among the first d + 2. Bags that may meet shorter and longer ones than
+    LONG have both kinds of keys; those that meet none with keys of two words have
+    MANY_WORDS - 1 more. Two shared entries are sure if pct > 50 and no bag has pct * (n + 1) > 100 * n.
     """
     d = n - -(-pct * n // 100)
-    one = np.flatnonzero((place <= d) & ((count <= rare) | (n >= LONG)))
+    single = np.flatnonzero((place < d + shared_words(n, pct)) & ((count <= rare) | (n >= LONG)))
     two = np.flatnonzero((place <= d) & (count > rare) & (pct * n < 100 * LONG))
     times = (d - place)[two] + 1
     i = np.repeat(two, times)
     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
     pair = S.mix(h[i] * np.uint64(0xD6E8FEB86659FD93) + h[j])
-    return np.concatenate((h[one], pair)), np.concatenate((one, i))
+    return np.concatenate((h[single], pair)), np.concatenate((single, i))
 
 
-def scan_keys(df: DataFrame, cut, k: int | None, pct: int, rarity, boundary: int, least: int) -> DataFrame:
-    """Keys of every distinct set of at least `least` members; a worker skips sets that it has just seen."""
+def scan_keys(df: DataFrame, cut, k: int | None, pct: int, rarity, boundary: int, least: int, bits: int, long_list: int) -> DataFrame:
+    """Packed entries of every distinct set of at least `least` members."""
     rare = RARE
 
     def run(batches):
-        counts, seen = rarity.value, set()
+        ranks, fresh, packer = rarity.value, Fresh(), P.Packer(bits, long_list)
         for b in slices(batches):
-            _, _, units = _units(b, cut)
-            hashes, offsets = S.members_of(units, k)
-            sids, n = S.set_ids(hashes, offsets), np.diff(offsets)
-            keys, kp, ks, kn = [], [], [], []
-            use = []
-            for i in np.flatnonzero(n >= max(1, least)).tolist():
-                if (sid := int(sids[i])) not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(sid)
-                    use.append(i)
-            large = [i for i in use if n[i] > boundary]
-            for i in use:
-                if n[i] <= boundary:
-                    for key, p in keys_of(hashes[offsets[i] : offsets[i + 1]], counts, pct, boundary):
-                        keys.append(key)
-                        kp.append(p)
-                        ks.append(sids[i])
-                        kn.append(n[i])
-            parts = [(np.array(keys, np.uint64), np.array(kp, np.int32), np.array(ks, np.int64), np.array(kn, np.int32))]
-            if large:
-                large = np.array(large)
-                ln = n[large]
-                first = np.cumsum(ln) - ln
-                where = np.arange(int(ln.sum())) - np.repeat(first, ln) + np.repeat(offsets[:-1][large], ln)
-                h, unit = hashes[where], np.repeat(np.arange(len(large)), ln)
-                order = S.ordered(unit, h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)])
-                place = np.arange(len(h)) - np.repeat(first, ln)
-                if k is None:
-                    h, unit = h[order], unit[order]
-                    key, at = word_keys(h, counts[(h >> np.uint64(64 - S.SKETCH_BITS)).astype(np.int64)], place, ln[unit], pct, rare)
-                    parts.append((key, place[at].astype(np.int32), sids[large][unit[at]], ln[unit[at]].astype(np.int32)))
-                    large = ()
-            if len(large):
-                prefix = ln - -(-pct * ln // 100) + shared(ln)
-                keep = place < np.repeat(prefix, ln)
-                parts.append((h[order][keep], place[keep].astype(np.int32), sids[large][unit[keep]], ln[unit[keep]].astype(np.int32)))
-            key, p, sid, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(p), pa.array(sid), pa.array(size)], ["key", "p", "sid", "n"])
-
-    return df.select("text").mapInArrow(run, "key long, p int, sid long, n int")
-
-
-def build_bitmap(sids: DataFrame) -> np.ndarray:
-    """One bit per id, in an array of fixed size that is put together in the executors."""
-    per = (1 << BITMAP_BITS) // BITMAP_CHUNKS
+            sets = Sets(_units(b, cut)[2], k)
+            use = fresh(sets.sids, np.flatnonzero(sets.n >= max(1, least)))
+            for i in use[sets.n[use] <= boundary].tolist():
+                keys = subset_keys(sets.h[sets.offsets[i] : sets.offsets[i + 1]], pct, boundary)
+                if keys:
+                    key, p = zip(*keys, strict=True)
+                    m, n = len(keys), int(sets.n[i])
+                    yield from packer.add(key, np.full(m, sets.sids[i]), np.zeros(m), np.full(m, n), np.full(m, n), p, np.zeros(m))
+            # sets of the boundary that may have a partner above it are listed as well
+            use = use[100 * (sets.n[use]) >= pct * (boundary + 1)]
+            if not len(use):
+                continue
+            h, words, n = sets.take(use)
+            unit = np.repeat(np.arange(len(use)), n)
+            rank = S.rank_at(words, ranks)
+            # sets of shingles are too large for parities to tell them apart
+            wide = S.wide_of(words, n) if k is None else np.zeros(len(n), np.uint64)
+            order = S.ordered(unit, h, rank)
+            h, rank, place = h[order], rank[order], np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            if k is None:
+                key, at = word_keys(h, rank, place, n[unit], pct, rare)
+            else:
+                at = np.flatnonzero(place < np.repeat(n - -(-pct * n // 100) + shared(n), n))
+                key = h[at]
+            size = n[unit[at]]
+            yield from packer.add(key, sets.sids[use][unit[at]], wide[unit[at]], size, size, place[at], np.zeros(len(at)))
+        yield from packer.end()
+        del packer, fresh
+        trim()
+
+    return df.select("text").mapInArrow(run, P.BLOBS)
+
+
+def build_bitmap(sids: DataFrame, bits: int, chunks: int = 64) -> np.ndarray:
+    """One bit per id, put together in the executors."""
+    per = (1 << bits) // chunks
 
     def run(batches):
-        bits: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         for b in batches:
-            at = S.mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)
+            at = S.mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
             chunk = (at // np.uint64(per)).astype(np.int64)
             for c in np.unique(chunk).tolist():
-                if c not in bits:
-                    bits[c] = np.zeros(per, bool)
-                bits[c][(at[chunk == c] % np.uint64(per)).astype(np.int64)] = True
-        for c, v in bits.items():
+                if c not in found:
+                    found[c] = np.zeros(per, bool)
+                found[c][(at[chunk == c] % np.uint64(per)).astype(np.int64)] = True
+        for c, v in found.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "z": pa.array([np.packbits(v).tobytes()], pa.binary())})
 
     def merge(batches):
@@ -241,133 +280,173 @@ def build_bitmap(sids: DataFrame) -> np.ndarray:
         for c, v in sums.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "z": pa.array([v.tobytes()], pa.binary())})
 
-    out = np.zeros((BITMAP_CHUNKS, per // 8), np.uint8)
-    rows = sids.select("sid").mapInArrow(run, "chunk int, z binary").repartition(4, "chunk").mapInArrow(merge, "chunk int, z binary")
-    for r in rows.collect():
+    out = np.zeros((chunks, per // 8), np.uint8)
+    for r in sids.select("sid").mapInArrow(run, "chunk int, z binary").repartition(8, "chunk").mapInArrow(merge, "chunk int, z binary").collect():
         out[r["chunk"]] |= np.frombuffer(r["z"], np.uint8)
     return out.reshape(-1)
 
 
-def scan_members(df: DataFrame, cut, k: int | None, bitmap, least: int) -> DataFrame:
-    """(sid, members) of the sets whose bit is set."""
+def scan_members(df: DataFrame, cut, k: int | None, bitmap, bits: int, least: int) -> DataFrame:
+    """(sid, members) of the sets whose bit is set; members are sorted."""
 
     def run(batches):
-        bits, seen = bitmap.value, set()
+        marks, fresh = bitmap.value, Fresh()
         for b in slices(batches):
-            _, _, units = _units(b, cut)
-            hashes, offsets = S.members_of(units, k)
-            sids, n = S.set_ids(hashes, offsets), np.diff(offsets)
-            at = S.mix(sids.view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)
-            hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
-            use = []
-            for i in np.flatnonzero((hit == 1) & (n >= max(1, least))).tolist():
-                if (sid := int(sids[i])) not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(sid)
-                    use.append(i)
-            if use:
-                members = [pa.array(hashes[offsets[i] : offsets[i + 1]].view(np.int64)) for i in use]
-                ends = np.concatenate(([0], np.cumsum([len(m) for m in members]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sids[use]), pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(members))], ["sid", "members"])
+            sets = Sets(_units(b, cut)[2], k)
+            at = S.mix(sets.sids.view(np.uint64)) >> np.uint64(64 - bits)
+            hit = (marks[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+            use = fresh(sets.sids, np.flatnonzero((hit == 1) & (sets.n >= max(1, least))))
+            if len(use):
+                h, _, n = sets.take(use)
+                h = h[S.ordered(np.repeat(np.arange(len(use)), n), h)]
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.sids[use]), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["sid", "members"])
+        trim()
 
     return df.select("text").mapInArrow(run, "sid long, members array<long>").dropDuplicates(["sid"])
 
 
+def differences(rarity, pct: int, bits: int, long_list: int):
+    """For mapInArrow over (a, b, ma, mb), b the hub: rows (a, b) where they are similar, and entries of what a does not share with b."""
+
+    def run(batches):
+        ranks, packer = rarity.value, P.Packer(bits, long_list)
+        out = ["a", "b", "bucket", "blob"]
+
+        def blobs(found):
+            for x in found:
+                none = pa.nulls(len(x), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, x.column(0), x.column(1)], out)
+
+        for batch in batches:
+            near = []
+            for i in range(len(batch)):
+                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                ma, mb = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in (2, 3))
+                d = np.setxor1d(ma, mb, assume_unique=True)
+                na, nb = len(ma), len(mb)
+                o = (na + nb - len(d)) // 2
+                linked = 100 * o >= pct * (na + nb - o)
+                if linked:
+                    near.append((a, b))
+                t = 100 * na // pct
+                most = na + t - 2 * need(na, t, pct) + 2
+                order = np.lexsort((d, S.rank_at(d, ranks), np.isin(d, mb, assume_unique=True)))[: most + 1]
+                m = len(order)
+                key = S.mix(d[order] + np.uint64(b * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+                yield from blobs(packer.add(key, np.full(m, a), np.zeros(m), np.full(m, na), np.full(m, len(d)), np.arange(m), np.full(m, linked)))
+            if near:
+                x, y = zip(*near, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())], out)
+        yield from blobs(packer.end())
+        trim()
+
+    return run
+
+
 class Joined:
-    """Scans done; `listed` holds the entries of keys that two sets or more share."""
+    """The units and, after `rounds`, the links found by hubs (`near`) and the candidate pairs still to verify (`pairs`).
+
+    `wanted` are the sets in long lists or pairs.
+    hubs: given a table (key, sid, n) of the sets of long lists, one row (key, b) a key.
+    """
 
     def __init__(self, df: DataFrame, scratch: Scratch, cut, k: int | None, pct: int, least: int = 1, boundary: int | None = None):
         self.df, self.scratch, self.cut, self.k, self.pct, self.least = df, scratch, cut, k, pct, least
-        spark = df.sparkSession
+        self.spark, self.long_list, self.dense = df.sparkSession, P.LONG_LIST, P.DENSE
         scanned = scratch.table(scan_units(df, cut, k), "units")
-        sketch = read_sketch(scanned)
+        ranks = read_sketch(scanned)
         self.units = scanned.where("chunk is null").drop("chunk", "z")
-        self.want, self.scans = self.wanted, 0
-        self.boundary = choose_boundary(sketch, pct) if boundary is None else boundary
-        rarity = spark.sparkContext.broadcast(sketch)
-        entries = scan_keys(df, cut, k, pct, rarity, self.boundary, least)
-        if k is None:
-            # an entry without a partner of a size within the threshold is in no pair; the nearest sizes tell
-            by_size = Window.partitionBy("key").orderBy("n", "sid")
-            entries = entries.repartition("key").dropDuplicates(["key", "sid", "p", "n"])
-            entries = entries.withColumn("lo", F.lag("n").over(by_size)).withColumn("hi", F.lead("n").over(by_size))
-            met = (F.lit(100) * F.col("lo") >= F.lit(pct) * F.col("n")) | (F.lit(100) * F.col("n") >= F.lit(pct) * F.col("hi"))
-            self.want, self.listed = lambda n: F.lit(1), scratch.table(entries.where(met).drop("lo", "hi"), "listed")
-            rarity.unpersist()
-            return
-        # one shuffle: the window spills, and needs no second copy of the entries
-        by_key = Window.partitionBy("key")
-        entries = entries.withColumn("lo", F.min("sid").over(by_key)).withColumn("hi", F.max("sid").over(by_key)).where("lo <> hi").drop("lo", "hi")
-        found = scratch.table(entries.dropDuplicates(["key", "sid", "p"]), "found")
-        # a set with too few shared entries is in no pair; the others know how many they have
-        weight = found.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
-        self.listed = scratch.table(found.join(weight, "sid").where((F.col("p") < 0) | (F.col("w") >= self.wanted(F.col("n")))), "listed")
-        scratch.drop("found")
-        rarity.unpersist()
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of a written table of distinct pairs (a, b), those at or above the threshold."""
-        if pairs.limit(1).count() == 0:
-            return pairs
-        self.scans += 1
-        sids = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-        bitmap = self.df.sparkSession.sparkContext.broadcast(build_bitmap(sids))
-        m = self.scratch.table(scan_members(self.df, self.cut, self.k, bitmap, self.least), f"members{self.scans}")
-        bitmap.unpersist()
-        both = pairs.join(m.select(F.col("sid").alias("a"), F.col("members").alias("ma")), "a").join(m.select(F.col("sid").alias("b"), F.col("members").alias("mb")), "b")
-        both = both.withColumn("o", F.size(F.array_intersect("ma", "mb"))).withColumn("u", F.size("ma") + F.size("mb") - F.col("o"))
-        sure = self.scratch.table(both.where(F.lit(100) * F.col("o") >= F.lit(self.pct) * F.col("u")).select("a", "b"), f"sure{self.scans}")
-        self.scratch.drop(f"members{self.scans}")
-        return sure
+        self.boundary = choose_boundary(ranks, pct) if boundary is None else boundary
+        self.rarity = self.spark.sparkContext.broadcast(ranks)
+        lost = F.col("n") * (100 - pct) / 100
+        entries = self.units.agg(F.sum(lost + 2 if k is None else lost + 4)).first()[0] or 0
+        self.bits = min(20, max(8, int(entries / PER_BUCKET).bit_length()))
 
-    def subset_links(self) -> DataFrame:
-        """Links of two sets below the boundary: a shared subset of the fixed size proves the overlap.
+    def _lists(self, blobs: DataFrame, turn: int, wanted, bits: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b, m, w) and long lists (key, sid, n) of packed entries.
 
-        A key belongs to one pair of sizes. All sets of one size in it link with all of the other (or,
-        for equal sizes, with one another), so a link to the least set of the other side is enough.
+        Each round asks for longer and denser lists before it calls for a hub: that settles what is left sooner,
+        and changes the cost only.
         """
-        e = self.listed.where("p < 0").withColumn("t", -F.col("p") - 1)
-        own = e.groupBy("key", "n").agg(F.min("sid").alias("b")).withColumnRenamed("n", "t")
-        return e.join(own, ["key", "t"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
-
-    def pair_condition(self, x, y):
-        """Length, prefix and positional filters on two entries of one key, x the smaller set."""
-        want = F.ceil(F.lit(self.pct) * (x["n"] + y["n"]) / F.lit(100 + self.pct))
-        least = F.ceil(F.lit(2 * self.pct) * x["n"] / F.lit(100 + self.pct))
-        wanted = self.want(x["n"])
-        return (
-            (F.lit(100) * x["n"] >= F.lit(self.pct) * y["n"])
-            & (x["p"] <= x["n"] - least + wanted - 1)
-            & (wanted + F.least(x["n"] - x["p"], y["n"] - y["p"]) - 1 >= want)
-        )
-
-    @staticmethod
-    def wanted(n):
-        """Entries that a pair must share, by the size of its smaller set."""
-        out = F.lit(SHARED[-1][1])
-        for at, m in reversed(SHARED[:-1]):
-            out = F.when(n >= at, F.lit(m)).otherwise(out)
-        return out
-
-
-def components(edges: DataFrame, scratch: Scratch, name: str, salts: int = 8) -> DataFrame:
+        name, limits = f"found{turn}", (self.long_list << turn, self.dense, P.EACH << turn)
+        dealt = blobs.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
+        found = self.scratch.table(dealt.mapInArrow(P.read_lists(self.pct, wanted, bits, *limits), P.FOUND), name)
+        return found.where("key is null").select("a", "b", "m", "w"), found.where("key is not null").select("key", F.col("a").alias("sid"), "n").distinct()
+
+    def rounds(self, hubs) -> None:
+        scratch, pct = self.scratch, self.pct
+        pairs, long = self._lists(scan_keys(self.df, self.cut, self.k, pct, self.rarity, self.boundary, self.least, self.bits, self.long_list), 0, partial(shared_words, pct=pct) if self.k is None else shared, self.bits)
+        counted = pairs.groupBy("a", "b").agg(F.sum("m").alias("m"), F.min("w").alias("w")).where("m >= w").select("a", "b")
+        many, near, turn = [scratch.table(counted, "pairs0")], [], 0
+        long = scratch.table(long, "long0")
+        self.members = None
+        while long.limit(1).count():
+            if self.members is None:
+                self._gather(many[0].select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")))
+                listed = scratch.table(self.members.join(long.select("sid").distinct(), "sid", "left_semi"), "listed")
+            hub = hubs(long)
+            star = split_join(long.select("key", F.col("sid").alias("a")), hub, "key", F.col("a")).where("a <> b").select("a", "b").distinct()
+            star = scratch.table(star, f"star{turn}")
+            # few buckets for few entries: a pair that shares several keys of a bucket is given once
+            bits = min(20, (star.count() // 1000).bit_length())
+            step = scratch.table(self._both(star, listed).mapInArrow(differences(self.rarity, pct, bits, self.long_list << turn + 1), f"a long, b long, {P.BLOBS}"), f"step{turn}")
+            near.append(step.where("bucket is null").select("a", "b"))
+            turn += 1
+            pairs, long = self._lists(step.where("bucket is not null"), turn, one, bits)
+            many.append(pairs.select("a", "b"))
+            long = scratch.table(long, f"long{turn}")
+        if self.members is None:
+            self._gather(many[0].select(F.explode(F.array("a", "b")).alias("sid")))
+        self.pairs = many[0] if len(many) == 1 else scratch.table(_union(many).distinct(), "pairs")
+        empty = self.pairs.where("false")
+        self.near = scratch.table(_union(near).distinct(), "near") if near else empty
+        self.rarity.unpersist()
+        scratch.drop("listed", *(f"{x}{i}" for x in ("found", "long", "star", "step") for i in range(turn + 1)))
+
+    def _gather(self, sids: DataFrame) -> None:
+        """Members of the sets of sids, by one more scan; the bitmap has 16 bits a set, up to 16 MB."""
+        self.wanted = sids = self.scratch.table(sids.distinct(), "wanted")
+        bits = min(27, max(20, (16 * sids.count()).bit_length()))
+        bitmap = self.spark.sparkContext.broadcast(build_bitmap(sids, bits))
+        self.members = self.scratch.table(scan_members(self.df, self.cut, self.k, bitmap, bits, self.least), "members")
+        bitmap.unpersist()
+
+    def _both(self, pairs: DataFrame, m: DataFrame) -> DataFrame:
+        """(a, b, ma, mb) of a written table of pairs; a set that is in many pairs is spread over tasks."""
+        out = split_join(pairs.select("a", "b"), m.select(F.col("sid").alias("a"), F.col("members").alias("ma")), "a", F.col("b"))
+        return split_join(out, m.select(F.col("sid").alias("b"), F.col("members").alias("mb")), "b", F.col("a"), counted=pairs).select("a", "b", "ma", "mb")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Of a written table of distinct pairs (a, b), those at or above the threshold."""
+        both = self._both(pairs, self.members).withColumn("o", F.size(F.array_intersect("ma", "mb"))).withColumn("u", F.size("ma") + F.size("mb") - F.col("o"))
+        return self.scratch.table(both.where(F.lit(100) * F.col("o") >= F.lit(self.pct) * F.col("u")).select("a", "b"), name)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(sid, comp): comp is the least node reachable. Rounds of least-neighbour labels and pointer jumps.
 
-    Labels are written each round; nothing but a count of changes reaches the driver.
+    Labels are written each round; nothing but a count of changes and the few hot keys (split_join) reach the driver.
     """
     both = scratch.table(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"{name}-edges")
     labels = scratch.table(both.groupBy(F.col("u").alias("sid")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), f"{name}-0")
     i = 0
     while True:
         i += 1
-        sent = salted_join(both, labels.withColumnRenamed("sid", "u"), "u", "inner", salts, F.col("v")).groupBy(F.col("v").alias("sid")).agg(F.min("comp").alias("got"))
-        new = labels.join(sent, "sid", "left").select("sid", F.col("comp").alias("was"), F.least("comp", F.coalesce("got", "comp")).alias("comp"))
+        sent = split_join(both, labels.withColumnRenamed("sid", "u"), "u", F.col("v")).groupBy(F.col("v").alias("sid")).agg(F.min("comp").alias("got"))
+        new = scratch.table(labels.join(sent, "sid", "left").select("sid", F.col("comp").alias("was"), F.least("comp", F.coalesce("got", "comp")).alias("via")), f"{name}-n{i}")
         # a label is itself a node: take its label
-        jumped = salted_join(new.withColumnRenamed("comp", "via"), labels.select(F.col("sid").alias("via"), F.col("comp").alias("further")), "via", "left", salts, F.col("sid"))
+        jumped = split_join(new, labels.select(F.col("sid").alias("via"), F.col("comp").alias("further")), "via", F.col("sid"), "left")
         out = scratch.table(jumped.select("sid", "was", F.least("via", F.coalesce("further", "via")).alias("comp")), f"{name}-{i}")
         changed = out.where("was <> comp").limit(1).count()
-        scratch.drop(f"{name}-{i - 1}")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-n{i}")
         labels = out.select("sid", "comp")
         if not changed:
             scratch.drop(f"{name}-edges")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillrock.llm import line_dedup, mixing, ngram_join, packing, pii, quality, queries, secret_scan, simjoin, token_counts, topk, toxicity
+from quillrock.llm import line_dedup, mixing, ngram_join, packing, pii, postings, quality, queries, secret_scan, simjoin, token_counts, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, h int, sid string, part int"
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -149,6 +149,66 @@ def test_ngram_small_sets(spark):
         assert Counter(map(tuple, ngram_join.ngram_components(df, boundary=b).collect())) == want
 
 
+def near_group(size, words, changes, seed):
+    """Copies of one passage, each with some words changed to rare ones; and a second such group that shares half of the first."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(words)]
+    other = [*base[: words // 2], *(f"c{i}" for i in range(words // 2))]
+    rows = []
+    for i in range(size):
+        w = list(base if i % 2 else other)
+        for _ in range(int(rng.integers(0, changes + 1))):
+            w[int(rng.integers(len(w)))] = f"n{rng.integers(60)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("words,changes,pct", [(60, 4, 85), (160, 9, 85), (60, 4, 80), (30, 1, 92), (120, 2, 95)])
+def test_ngram_hubs(spark, monkeypatch, words, changes, pct):
+    """Lists so short that hubs must do the work; pairs are similar to each other but not always to the hub."""
+    monkeypatch.setattr(postings, "LONG_LIST", 8)
+    monkeypatch.setattr(postings, "DENSE", 4)
+    rows = near_group(160, words, changes, words)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = classes(df.collect(), 4, pct)
+    assert len(set(c for _, _, c in want)) > 1
+    assert Counter(map(tuple, ngram_join.ngram_components(df, pct=pct, boundary=0).collect())) == want
+
+
+@pytest.mark.parametrize("words,changes", [(12, 2), (40, 8), (150, 30)])
+def test_line_hubs(spark, monkeypatch, words, changes):
+    monkeypatch.setattr(postings, "LONG_LIST", 8)
+    monkeypatch.setattr(postings, "DENSE", 4)
+    df = spark.createDataFrame(near_group(150, words, changes, words), "doc_id long, text string").repartition(3)
+    want = bag_gone(df.collect())
+    got = line_dedup.dedup_lines(df, out="clean").collect()
+    assert {(r.doc_id, r.text): r.removed_lines for r in got if r.removed_lines} == want
+
+
+def test_ngram_every_threshold(spark):
+    """Two texts that differ in their last word only, for all sizes about the borders of the size classes."""
+    rows = []
+    for n in [*range(20, 34), *range(92, 106)]:
+        w = [f"w{n}_{i}" for i in range(n)]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join([*w, "more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    for pct in (50, 92, 95, 97):
+        assert Counter(map(tuple, ngram_join.ngram_components(df, pct=pct).collect())) == classes(df.collect(), 4, pct)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c", "x", [5], 7)], "doc_id long, text string, clean string, removed_lines array<int>, id int")
+    got = line_dedup.dedup_lines(df, out="clean")
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c\na b c", "a b c", [1], 7)]
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (7, None), (7, " ")], "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.keep_one_of_each(df).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (7, None), (7, " ")], key=str)
+
+
 def test_keep_one(docs):
     kept = sorted(r.doc_id for r in ngram_join.keep_one_of_each(docs).select("doc_id").collect())
     assert kept == sorted(d for d, _, c in classes(docs.collect(), 5, 80) if d == c)
@@ -178,7 +238,7 @@ def gone_lines(rows):
 def test_line_dedup(table):
     rows = table.collect()
     want = gone_lines(rows)
-    got = line_dedup.dedup_lines(table, out="clean").select("doc_id", "text", "clean", "removed_lines").collect()
+    got = line_dedup.dedup_lines(table, out="clean", k=5, least_words=8).select("doc_id", "text", "clean", "removed_lines").collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.removed_lines == want.get((r.doc_id, r.text), [])
@@ -190,7 +250,7 @@ def test_line_dedup_near_lines(spark):
     base = [f"w{i}" for i in range(60)]
     change = lambda i: " ".join([*base[:i], "new", *base[i + 1 :]])
     rows = [(1, "intro\n" + " ".join(base)), (2, change(30)), (3, change(10) + "\nshort line"), (4, " ".join(reversed(base)))]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), k=5, least_words=8).collect()}
     assert got == {1: rows[0][1], 2: "", 3: "short line", 4: rows[3][1]}
 
 
@@ -239,7 +299,7 @@ def test_line_dedup_words(spark, docs, monkeypatch, rare):
     df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id < 80").withColumn("doc_id", F.col("doc_id") + 1000))
     want = bag_gone(df.collect())
     assert sum(map(len, want.values())) > 60
-    got = line_dedup.dedup_lines(df, out="clean", k=None, least_words=1).collect()
+    got = line_dedup.dedup_lines(df, out="clean").collect()
     assert {(r.doc_id, r.text): r.removed_lines for r in got if r.removed_lines} == want
 
 
