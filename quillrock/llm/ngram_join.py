@@ -22,9 +22,8 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _hubs(long: DataFrame) -> DataFrame:
-    """Of each long list the set with the most entries: an original has more than its changed copies."""
-    weight = long.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
-    return long.join(weight, "sid").groupBy("key").agg(F.max(F.struct("w", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("b"))
+    """Sets with the most entries first: an original has more than its changed copies."""
+    return long.groupBy("sid").agg((-F.count(F.lit(1))).alias("o"))
 
 
 def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

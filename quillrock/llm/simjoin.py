@@ -344,11 +344,62 @@ def differences(rarity, pct: int, bits: int, long_list: int):
     return run
 
 
+#: Sets, and lists, up to which their order is broadcast, 16 bytes each; beyond it they are joined.
+ORDERED = 2_000_000
+
+
+def _map_of(df: DataFrame, column: str):
+    """Two arrays, the values of `column` sorted and their other column."""
+    got = df.toPandas()
+    keys, values = got[column].to_numpy(), got[got.columns[1] if got.columns[0] == column else got.columns[0]].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
+def hub_pairs(long: DataFrame, order: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): b the hub of a list of long (key, sid, n), its first set by `order` (sid, o); a another set of it."""
+    sc = long.sparkSession.sparkContext
+    order = scratch.table(order, f"order{name}")
+    if order.count() > ORDERED:
+        hub = order.join(long, "sid").groupBy("key").agg(F.min(F.struct("o", "sid")).alias("f")).select("key", F.col("f.sid").alias("b"))
+        return split_join(long.select("key", F.col("sid").alias("a")), hub, "key", F.col("a")).where("a <> b").select("a", "b").distinct()
+    sids = order.orderBy("o", "sid").select("sid").toPandas()["sid"].to_numpy()
+    by_sid = np.argsort(sids, kind="stable")
+    sent = sc.broadcast((sids, sids[by_sid], by_sid))
+
+    def least(batches):
+        _, named, rank = sent.value
+        for b in batches:
+            key, r = b.column(0).to_numpy(), rank[np.searchsorted(named, b.column(1).to_numpy())]
+            at = np.lexsort((r, key))
+            at = at[np.concatenate(([True], np.diff(key[at]) != 0))] if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(r[at].astype(np.int32))], ["key", "r"])
+
+    hubs = scratch.table(long.select("key", "sid").mapInArrow(least, "key long, r int").groupBy("key").agg(F.min("r").alias("r")), f"hubs{name}")
+    if hubs.count() > ORDERED:
+        named = long.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(sids.tolist())], "r int, b long")
+        hub = hubs.join(named, "r").select("key", "b")
+        return split_join(long.select("key", F.col("sid").alias("a")), hub, "key", F.col("a")).where("a <> b").select("a", "b").distinct()
+    lists = sc.broadcast(_map_of(hubs, "key"))
+
+    def pairs(batches):
+        keys, first = lists.value
+        names = sent.value[0]
+        for b in batches:
+            a = b.column(1).to_numpy()
+            hub = names[first[np.searchsorted(keys, b.column(0).to_numpy())]]
+            both = np.unique(np.stack((a, hub), 1)[a != hub], axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+
+    return long.select("key", "sid").mapInArrow(pairs, "a long, b long").distinct()
+
+
 class Joined:
     """The units and, after `rounds`, the links found by hubs (`near`) and the candidate pairs still to verify (`pairs`).
 
     `wanted` are the sets in long lists or pairs.
-    hubs: given a table (key, sid, n) of the sets of long lists, one row (key, b) a key.
+    hubs: given a table (key, sid, n) of the sets of long lists, their order (sid, o): the first of a list is its hub.
     """
 
     def __init__(self, df: DataFrame, scratch: Scratch, cut, k: int | None, pct: int, least: int = 1, boundary: int | None = None):
@@ -369,7 +420,7 @@ class Joined:
         Each round asks for longer and denser lists before it calls for a hub: that settles what is left sooner,
         and changes the cost only.
         """
-        name, limits = f"found{turn}", (self.long_list << turn, self.dense, P.EACH << turn)
+        name, limits = f"found{turn}", (self.long_list << turn, self.dense, P.EACH << 2 * turn)
         dealt = blobs.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
         found = self.scratch.table(dealt.mapInArrow(P.read_lists(self.pct, wanted, bits, *limits), P.FOUND), name)
         return found.where("key is null").select("a", "b", "m", "w"), found.where("key is not null").select("key", F.col("a").alias("sid"), "n").distinct()
@@ -385,9 +436,7 @@ class Joined:
             if self.members is None:
                 self._gather(many[0].select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")))
                 listed = scratch.table(self.members.join(long.select("sid").distinct(), "sid", "left_semi"), "listed")
-            hub = hubs(long)
-            star = split_join(long.select("key", F.col("sid").alias("a")), hub, "key", F.col("a")).where("a <> b").select("a", "b").distinct()
-            star = scratch.table(star, f"star{turn}")
+            star = scratch.table(hub_pairs(long, hubs(long), scratch, str(turn)), f"star{turn}")
             # few buckets for few entries: a pair that shares several keys of a bucket is given once
             bits = min(20, (star.count() // 1000).bit_length())
             step = scratch.table(self._both(star, listed).mapInArrow(differences(self.rarity, pct, bits, self.long_list << turn + 1), f"a long, b long, {P.BLOBS}"), f"step{turn}")
