@@ -100,6 +100,18 @@ def split_join(left: DataFrame, right: DataFrame, key: str, by, how: str = "inne
     return l.join(r, [key, "__salt"], how).drop("__salt")
 
 
+_state: dict[str, object] = {}
+
+
+def worker_state(key: str, make):
+    """What this worker keeps between tasks, such as a loaded tokenizer and its cache: of one kind only, the last asked for."""
+    if key not in _state:
+        _state.clear()
+        trim()
+        _state[key] = make()
+    return _state[key]
+
+
 def trim() -> None:
     """Give a worker's free memory back, so that the next stage's worker state does not add to it."""
     pa.default_memory_pool().release_unused()

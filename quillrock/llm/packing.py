@@ -8,11 +8,13 @@ documents of their other bins - these are dealt anew, over fewer partitions - an
 as that saves bins. Only lengths are shuffled, never texts or tokens.
 
 Odd cases: a null text counts as empty and gives one piece, the end token; an id may be null or repeat - each
-row is packed on its own; extra columns are ignored; an empty table gives an empty result.
+row is packed on its own, so rows that repeat or tie are packed each; extra columns are ignored; an empty table
+gives an empty result. A text of any length is tokenised whole; words over _LONGEST bytes are not remembered.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, worker_state
 
-_CACHE = 800_000
-_loaded: dict[str, Words] = {}
+#: Words that a worker remembers, and the longest of them in bytes.
+_CACHE = 400_000
+_LONGEST = 48
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 DEAL_BITS = 40
 
@@ -45,33 +48,36 @@ class Words(dict):
         ids = self._parts(word)
         if ids is None:
             ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < _CACHE:
+        if len(word) <= _LONGEST and len(self) < _CACHE:
             self[word] = ids
         return ids
 
-
     def _parts(self, word: bytes) -> bytes | None:
         """Ids by way of a likelier word: its lower case, or what stands before one last mark after a letter.
 
-        The tokenizer lowers case, and a mark after a letter begins a pre-token of its own.
+        The tokenizer normalises and lowers case, and then a mark after a letter begins a pre-token of its own.
         """
         if word.isalpha():
             low = word.lower()
             return self[low] if low != word else None
-        if len(word) > 1 and word[-1:] in b".,;:!?":
-            head = word[:-1]
-            if head[-1:].isalpha() or head[-1] >= 128 and head.decode()[-1].isalpha():
-                return self[head] + self[word[-1:]]
+        if len(word) > 1 and word[-1:] in b".,;:!?" and _ends_in_letter(word[:-1]):
+            return self[word[:-1]] + self[word[-1:]]
         return None
 
 
+def _ends_in_letter(head: bytes) -> bool:
+    """Whether the last character is an ASCII letter, or a Latin one that is still a letter when normalised in lower case."""
+    if head[-1] < 128:
+        return head[-1:].isalpha()
+    last = head.decode()[-1]
+    return last < "\u0250" and unicodedata.category(unicodedata.normalize("NFC", last).lower()[-1])[0] == "L"
+
+
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = Words(tokenizer)
-        get = _loaded[tokenizer].__getitem__
+        get = worker_state(tokenizer, lambda: Words(tokenizer)).__getitem__
         for b in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -149,14 +155,17 @@ def _pack(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return rows.assign(bin=bins, offset=offsets, closed=certified | (fill == capacity), fill=fill)[["part", "row", "doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "closed", "fill"]]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_part: int = 60_000, rounds: int = 3) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_part: int = 60_000) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Rounds end where a partition is left alone, all bounds are met, or a round saves no bin.
+    """
     scratch = Scratch(docs.sparkSession, "pack")
     cut = scratch.table(pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = cut.where(F.col("length") == capacity).select(*cut.columns, F.lit(-1).alias("round"), F.lit(0).cast("long").alias("part"), F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"))
     rest, done = cut.where(F.col("length") < capacity), [whole]
-    was, bins = -1, 0
-    for turn in range(rounds):
+    was, turn = -1, 0
+    while True:
         n = rest.count()
         parts = max(1, -(-n // per_part))
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
@@ -165,13 +174,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         )
         columns = [*cut.columns, F.lit(turn).alias("round"), "part", "bin", "offset"]
         bins = packed.where("offset = 0 and not closed").count()
-        last = parts == 1 or turn == rounds - 1 or not bins or 0 <= was <= bins
-        was = bins
-        if last:
+        if parts == 1 or not bins or 0 <= was <= bins:
             done.append(packed.select(*columns))
             break
         done.append(packed.where("closed").select(*columns))
-        rest = packed.where("not closed").select(*cut.columns)
+        rest, was, turn = packed.where("not closed").select(*cut.columns), bins, turn + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
