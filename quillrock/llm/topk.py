@@ -9,9 +9,14 @@ the bucket where vectors get too short. What is left is verified by exact intege
 Queries come in blocks of at most `block` rows, so that what is broadcast is bounded; each block takes one
 pass over the vectors. A task hands on at most k rows a query.
 
-Odd cases: rows with a null id, a null or empty vector, null or non-finite components take no part;
-vectors of another dimension than the query's are no candidates; rows that repeat an id count once, by their
-greatest vector, and never meet a query of the same id; extra columns are ignored. Products are summed in
+Before the scan the SEED longest vectors are searched on the driver: each query's k-th best score among them is a
+threshold that every task starts from, so later buckets are pruned from their first row.
+
+Odd cases: rows with a null or empty vector, null or non-finite components take no part; vectors of another
+dimension than the query's are no candidates; each row counts, so rows that repeat an id are candidates (and
+queries) each, and only a query's own row is none of its candidates; a null id is no query, and last among ties;
+rows that tie in score and id come in any order, which leaves the result the same; an empty table gives an empty
+result; extra columns are ignored. Products are summed in
 doubles where these are exact, else in Python's integers; a score beyond 64 bits is the greatest or least of them.
 """
 
@@ -27,14 +32,18 @@ from .common import Scratch
 EXACT = 2.0**53
 HIGH = 0.7
 LEAST = np.iinfo(np.int64).min
+#: Greatest id; stands for a null one.
+NO_ID = 2**63 - 1
+#: Longest vectors that are searched first.
+SEED = 4096
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v array<long>, norm) of the rows that take part."""
+    """(row, id, v array<long>, norm) of the rows that take part; a null id stands as NO_ID."""
     raw = F.col(vec_col).cast("array<double>")
-    ok = F.col(id_col).isNotNull() & (F.size(raw) > 0) & ~F.exists(raw, lambda x: x.isNull() | F.isnan(x) | (F.abs(F.coalesce(x, F.lit(0.0))) == float("inf")))
-    v = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(raw, lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    v = v.groupBy("id").agg(F.max("v").alias("v"))
+    ok = (F.size(raw) > 0) & ~F.exists(raw, lambda x: x.isNull() | F.isnan(x) | (F.abs(F.coalesce(x, F.lit(0.0))) == float("inf")))
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    v = vectors.where(F.coalesce(ok, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), ident.alias("id"), F.transform(raw, lambda x: F.floor(x * scale).cast("long")).alias("v"))
     return v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
 
 
@@ -51,26 +60,32 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best of each query: score descending, then id ascending."""
+    """The k best of each query, score descending, then id ascending; scores below a query's floor don't count."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
         self.score = np.full((n, k), LEAST)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.id = np.full((n, k), NO_ID)
+        self.floor = np.full(n, LEAST) if floor is None else floor
+
+    def least(self) -> np.ndarray:
+        """Scores that a vector must reach."""
+        return np.maximum(self.score[:, -1], self.floor)
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        keep = scores >= self.score[q, -1]
+        keep = scores >= max(self.score[q, -1], self.floor[q])
         if keep.any():
             s, i = np.concatenate((self.score[q], scores[keep])), np.concatenate((self.id[q], ids[keep]))
             top = np.lexsort((i, ~s))[: self.k]
             self.score[q], self.id[q] = s[top], i[top]
 
 
-def search_bucket(q: np.ndarray, q_norm: np.ndarray, q_id: np.ndarray, v: np.ndarray, norm: np.ndarray, ids: np.ndarray, best: Best) -> None:
+def search_bucket(q: np.ndarray, q_norm: np.ndarray, q_row: np.ndarray, v: np.ndarray, norm: np.ndarray, ids: np.ndarray, rows: np.ndarray, best: Best) -> None:
     """One bucket, sorted by descending norm, against all queries of a block."""
     most = norm[0]
-    theta = best.score[:, -1].astype(float)
-    theta[best.score[:, -1] == LEAST] = -np.inf
+    at_least = best.least()
+    theta = at_least.astype(float)
+    theta[at_least == LEAST] = -np.inf
     theta -= np.abs(np.where(np.isfinite(theta), theta, 0)) * 1e-12
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where((q_norm > 0) & (most > 0), theta / (q_norm * most), np.where(theta > 0, np.inf, -np.inf))
@@ -82,7 +97,7 @@ def search_bucket(q: np.ndarray, q_norm: np.ndarray, q_id: np.ndarray, v: np.nda
             scores = products(q[part], v[: int(upto[np.searchsorted(wide, part)].max())])
             for row, i in enumerate(part.tolist()):
                 s = scores[row, : int(upto[np.searchsorted(wide, i)])]
-                ok = np.flatnonzero((s >= best.score[i, -1]) & (ids[: len(s)] != q_id[i]))
+                ok = np.flatnonzero((s >= at_least[i]) & (rows[: len(s)] != q_row[i]))
                 if len(ok) > 4 * best.k:
                     cut = np.partition(s[ok], len(ok) - best.k)[len(ok) - best.k]
                     ok = ok[s[ok] >= cut]
@@ -98,7 +113,7 @@ def search_bucket(q: np.ndarray, q_norm: np.ndarray, q_id: np.ndarray, v: np.nda
             # at cosine c >= t: |u_f - c x| <= sqrt((1 - c c)(1 - x x)); the interval over all such c
             lo = -1.0 if x <= -t else x * t - spread
             hi = 1.0 if x >= t else x * t + spread
-            ok = np.flatnonzero((unit[:, f] >= lo) & (unit[:, f] <= hi) & (ids != q_id[i]))
+            ok = np.flatnonzero((unit[:, f] >= lo) & (unit[:, f] <= hi) & (rows != q_row[i]))
             s = products(q[i : i + 1], v[ok])[0]
             best.add(i, s, ids[ok])
 
@@ -109,52 +124,66 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     sc = vectors.sparkSession.sparkContext
     v = scratch.table(quantised(vectors, id_col, vec_col, scale), "vectors")
     parts = v.rdd.getNumPartitions()
-    ordered = scratch.table(v.repartitionByRange(max(1, parts), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id"), "buckets")
-    queries = v.where(F.pmod("id", F.lit(every)) == 0)
+    ordered = scratch.table(v.repartitionByRange(max(1, parts), F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row"), "buckets")
+    queries = v.where((F.pmod("id", F.lit(every)) == 0) & (F.col("id") != NO_ID))
     # blocks by hash: sizes differ little, and a block is bounded by splitting on the count
     blocks = max(1, -(-2 * queries.count() // block))
-    queries = queries.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    queries = queries.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    longest = v.orderBy(F.desc("norm"), "row").limit(SEED).collect()
     found = None
     for i in range(blocks):
-        rows = queries.where(F.col("b") == i).select("id", "v", "norm").orderBy("id").toPandas()
-        sent = sc.broadcast([(int(a), np.array(b, np.float64), float(c)) for a, b, c in rows.itertuples(index=False)])
+        asked: dict[int, list] = {}
+        for r in queries.where(F.col("b") == i).select("row", "id", "v", "norm").orderBy("row").collect():
+            asked.setdefault(len(r["v"]), []).append(r)
+        sent = sc.broadcast({d: _block(rows, [r for r in longest if len(r["v"]) == d], k) for d, rows in asked.items()})
 
         def run(batches, sent=sent):
-            dims: dict[int, list] = {}
-            for q in sent.value:
-                dims.setdefault(len(q[1]), []).append(q)
-            state = {d: (np.array([x[1] for x in qs]), np.array([x[2] for x in qs]), np.array([x[0] for x in qs], np.int64), Best(len(qs), k)) for d, qs in dims.items()}
+            state = {d: (q, norm, row, qid, Best(len(row), k, floor)) for d, (q, norm, row, qid, floor) in sent.value.items()}
             for b in batches:
-                width = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+                width = pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
                 for d in np.unique(width).tolist():
                     if d in state:
                         part = b.filter(pa.array(width == d))
                         for at in range(0, len(part), 4096):
-                            bucket = part.slice(at, 4096)
-                            search_bucket(*state[d][:3], _matrix(bucket.column(1)), bucket.column(2).to_numpy(), bucket.column(0).to_numpy(), state[d][3])
-            for _, _, qid, best in state.values():
+                            x = part.slice(at, 4096)
+                            search_bucket(*state[d][:3], _matrix(x.column(2)), x.column(3).to_numpy(), x.column(1).to_numpy(), x.column(0).to_numpy(), state[d][4])
+            for _, _, row, qid, best in state.values():
                 got = best.score > LEAST
                 at, _ = np.nonzero(got)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(best.id[got]), pa.array(best.score[got])], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(qid[at]), pa.array(best.id[got]), pa.array(best.score[got])], ["q", "query_id", "vec_id", "score"])
 
-        one = ordered.select("id", "v", "norm").mapInArrow(run, "query_id long, vec_id long, score long")
+        one = ordered.select("row", "id", "v", "norm").mapInArrow(run, "q long, query_id long, vec_id long, score long")
         # only k rows a query and task come here
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        one = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        one = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
         one = scratch.table(one, f"found{i}")
         sent.unpersist()
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def _block(rows: list, longest: list, k: int) -> tuple:
+    """Queries of one dimension as arrays (vectors, norms, rows, ids), and the k-th score of each among the longest vectors."""
+    q, norm = np.array([r["v"] for r in rows], np.float64), np.array([r["norm"] for r in rows])
+    row, qid = np.array([r["row"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64)
+    floor = np.full(len(rows), LEAST)
+    if len(longest) > k:
+        v, own = np.array([r["v"] for r in longest], np.float64), np.array([r["row"] for r in longest], np.int64)
+        for part in np.array_split(np.arange(len(rows)), max(1, len(rows) * len(longest) // 4_000_000)):
+            s = products(q[part], v)
+            s[row[part][:, None] == own] = LEAST
+            floor[part] = np.partition(s, len(longest) - k, axis=1)[:, len(longest) - k]
+    return q, norm, row, qid, floor
+
+
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, max(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 10
 """
