@@ -5,7 +5,8 @@ US social security numbers are added where their score reaches `least`. Built-in
 no shuffle. The patterns are written with possessive repeats and look-behinds that keep the leftmost
 matches but make one pass over long runs.
 
-Odd cases: null text counts as empty; ids may be null or repeat, rows stay one to one; extra columns are ignored.
+Odd cases: null text counts as empty; ids may be null or repeat, rows stay one to one; extra columns are ignored; spans
+that begin together stand in the order of the kinds; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Strings of which every match of the kind holds one.
+MARKS = {"email": ("@",), "ip": (".",), "phone": ("+",)}
 BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed span without context, and words that raise it (fixed values).
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
@@ -72,7 +75,7 @@ def _spans(kind: str, rank: int) -> Column:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = 48, least: float = 0.5) -> DataFrame:
     """One row per input row: id, base and spans as arrays of (start, rank, end, kind, score)."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = with_matches(df, "text", PATTERNS, context)
+    df = with_matches(df, "text", PATTERNS, context, MARKS)
     base, more = [], []
     for rank, kind in enumerate(PATTERNS):
         spans = _spans(kind, rank)

@@ -6,7 +6,8 @@ web tokens, long mixed strings) are reported only if they look live: a hash that
 widely copied example. A repository counts once for each of its owners. The counts cover the whole corpus. Built-in functions only; secret values never leave the scan, only their hashes.
 
 Odd cases: null text counts as empty; null owners and repositories are one owner and one repository;
-repeated rows are reported each, and count once towards ownership; extra columns are ignored.
+repeated rows are reported each, and count once towards ownership; extra columns are ignored; spans that begin
+together stand in the order of the kinds; texts of any length are searched whole.
 """
 
 from __future__ import annotations

@@ -35,17 +35,27 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str], context: in
     return df.withColumns(out).drop(*found, *pieces, *(f"__s_{kind}" for kind in patterns))
 
 
+#: Starts that one growing string holds: it is copied at each match, so a full one is put aside.
+BLOCK = 256
+
+
 def _starts(kind: str) -> Column:
     """Starts of the matches as strings, and an empty one at the end; null without a match."""
     p, m = f"__p_{kind}", f"__m_{kind}"
 
     def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x[p])
-        more = F.when(x[m].isNull(), a["s"]).otherwise(F.concat(a["s"], start.cast("string"), F.lit(",")))
-        return F.struct((start + F.coalesce(F.length(x[m]), F.lit(0))).alias("at"), more.alias("s"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("s"))
-    return F.when(F.size(m) > 0, F.split(F.aggregate(F.arrays_zip(p, m), zero, step)["s"], ","))
+        start, full = a["at"] + F.length(x[p]), a["k"] >= BLOCK
+        more = F.when(x[m].isNull(), F.lit("")).otherwise(F.concat(start.cast("string"), F.lit(",")))
+        return F.struct(
+            (start + F.coalesce(F.length(x[m]), F.lit(0))).alias("at"),
+            F.when(full, F.lit(1)).otherwise(a["k"] + 1).alias("k"),
+            F.when(full, more).otherwise(F.concat(a["s"], more)).alias("s"),
+            F.when(full, F.array_append(a["done"], a["s"])).otherwise(a["done"]).alias("done"),
+        )
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.lit("").alias("s"), F.array().cast("array<string>").alias("done"))
+    whole = F.aggregate(F.arrays_zip(p, m), zero, step, lambda a: F.concat(F.array_join(a["done"], ""), a["s"]))
+    return F.when(F.size(m) > 0, F.split(whole, ","))
 
 
 def _matches(kind: str, context: int) -> Column:
