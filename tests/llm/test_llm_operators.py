@@ -394,7 +394,7 @@ def test_token_counts(table):
 
     path = queries.tokenizer("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = Counter(map(tuple, token_counts.count_tokens(table, path, per_task=50, table_size=60).collect()))
+    got = Counter(map(tuple, token_counts.count_tokens(table, path, sample=5, table_size=60).collect()))
     assert got == Counter((r.doc_id, len((r.text or "").encode()), len(sp.encode(r.text or ""))) for r in table.collect())
 
 
@@ -404,17 +404,16 @@ def test_top_k(spark, sf_dir):
     rows = [(i, [float(x) for x in rng.normal(0, 1 + i % 5, 8)]) for i in range(400)]
     rows += [(1000, None), (1001, [1.0, None]), (1002, [inf] * 8), (1003, [nan] * 8), (None, [1.0] * 8), (500, [0.0] * 8), (600, [1.0, 2.0]), (601, [1.0, 2.0]), (7, [1e5] * 8), (800, [3e6] * 8), (1100, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    vec = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(x * 1024)) for x in v]
-            vec[i] = max(vec.get(i, q), q)
-    want = set()
-    for q in [i for i in vec if i % 100 == 0]:
-        s = sorted((-sum(a * b for a, b in zip(vec[q], v, strict=True)), i) for i, v in vec.items() if i != q and len(v) == len(vec[q]))
-        want |= {(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:10])}
-    assert set(map(tuple, topk.top_k(df).collect())) == want
-    assert set(map(tuple, topk.top_k(df, block=4).collect())) == want
+    rows += [(100, [2.0] * 8), (300, [9.0] * 8), (3, [9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vec = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (q, x) in enumerate(vec):
+        if q is not None and q % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i is None, i or 0) for m, (i, v) in enumerate(vec) if m != n and len(v) == len(x))
+            want.update((q, r + 1, None if none else i, -y) for r, (y, none, i) in enumerate(s[:10]))
+    assert Counter(map(tuple, topk.top_k(df).collect())) == want
+    assert Counter(map(tuple, topk.top_k(df, block=4).collect())) == want
     assert topk.top_k(df.where("false")).count() == 0
 
 
@@ -464,3 +463,45 @@ def test_toxicity_odd_rows(spark, odd):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(odd.where("false"), model, cuts).count() == 0
     assert toxicity.clean(odd, model, cuts).columns == odd.columns
+
+
+def test_packing_ids_of_odd_words():
+    """Words whose normal or lower form ends otherwise than they do, before marks; against the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    words, library, rng = packing.Words(path), Tokenizer.from_file(path), random.Random(1)
+    some = ["İ,", "İ;", "İ!", "\u0958.", "é,", "ẞ:", "Σ.", "ǅ?", "a\u0301."]
+    alphabet = "abzAZ.,;:!?'-éÉİıßẞñÅ\u212bΣς\u0958\u0301\u0307\xa0ǅ12"
+    some += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(5000)]
+    for t in some:
+        got = np.frombuffer(b"".join(words[w] for w in t.encode().split()), "<u4").tolist()
+        assert got == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_convolution_of_known_words_is_the_dense_one():
+    rng = np.random.default_rng(5)
+    model = toxicity.Cnn(np.unique(rng.integers(1, toxicity.MASK, 400)))
+    model.emb[1:] = rng.normal(0, 1, model.emb[1:].shape)
+    model.b = [rng.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    known = np.flatnonzero(model.slot)
+    for size in (0, 1, 2, 5, 60):
+        for share in (0.0, 0.1, 0.9):
+            words = np.where(rng.random(size) < share, rng.choice(known, size), 0) | np.where(rng.random(size) < share, rng.choice(known, size), 0) << toxicity.BITS
+            pad = max(toxicity.WIDTHS) - 1
+            e = np.zeros((size + 2 * pad, toxicity.DIM), np.float32)
+            e[pad : pad + size] = model.emb[model.slot[words & toxicity.MASK]] + model.emb[model.slot[words >> toxicity.BITS]]
+            want = []
+            for k, w, b in zip(toxicity.WIDTHS, model.w, model.b, strict=True):
+                r = np.array([sum(e[i + j] @ w[j] for j in range(k)) + b for i in range(len(e) - k + 1)])
+                want += np.maximum(r, 0).max(0).tolist()
+            assert np.allclose(model.responses(words)[0], want, atol=1e-4)
+
+
+def test_spans_of_many_matches(spark):
+    """More matches than one string of starts holds."""
+    text = "".join(f"a{i}@b.com x" for i in range(700))
+    got = pii.digest(pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert got.spans == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z0-9]+@b\.com", text))
