@@ -13,6 +13,7 @@ MONTHS = (
     ("জানুয়ারী", 1), ("জানুয়ারি", 1), ("ফেব্রুয়ারী", 2), ("ফেব্রুয়ারি", 2), ("মার্চ", 3), ("এপ্রিল", 4), ("মে", 5), ("জুন", 6),
     ("জুলাই", 7), ("আগস্ট", 8), ("আগষ্ট", 8), ("সেপ্টেম্বর", 9), ("অক্টোবর", 10), ("নভেম্বর", 11), ("ডিসেম্বর", 12),
 )
+#: Update marks of pages (fixed patterns).
 FOOTER = r"হাল[\s​‌‍-]*নাগাদ[^:]*:\s*([^\n]{0,60}?)(?:\s+এ\s|$)"
 MARKER = r"Last updated[:\s]*([০-৯0-9]{1,2}\s+\S+\s+[০-৯0-9]{4})"
 
@@ -57,3 +58,8 @@ def freshness(age: Column, worst_fee_age: Column, status: Column, exists: Column
     """Level of a record. Unverified outweighs a stale fee, which outweighs the record's own age."""
     own = F.when(age.isNull(), "unknown").when(age > STALE_DAYS, "stale").otherwise("fresh")
     return F.when(~exists, "none").when(status == "unverified", "unverified").when(worst_fee_age > STALE_DAYS, "stale").otherwise(own)
+
+
+def updated_in(text: Column) -> Column:
+    """The date of a page's own update mark, or null."""
+    return staleness(text)["updated"]

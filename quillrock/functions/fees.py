@@ -19,23 +19,37 @@ def whole(c: Column) -> Column:
     return F.get(F.split(F.replace(to_ascii_digits(c), F.lit(","), F.lit("")), r"\."), F.lit(0)).try_cast("long")
 
 
-def parse_fee_cell(c: Column) -> Column:
-    """Struct (amounts array<bigint>, vat boolean, outcome) of one cell."""
-    t = F.trim(F.regexp_replace(squeeze(c), r"\[[^\]]*\]", " "))
+def parse_fees(c: Column) -> Column:
+    """Struct (fees array<struct<amount, label, vat, method>>, outcome, note) of one cell.
+
+    VAT: a part that says it is included has it; a percentage anywhere in the cell says it is not; else unknown.
+    """
+    clean = squeeze(c)
+    t = F.trim(F.regexp_replace(clean, r"\[[^\]]*\]", " "))
     hits = F.transform(F.regexp_extract_all(t, F.lit(AMOUNT), 1), whole)
-    parts = F.filter(F.split(t, LABEL), lambda p: p.rlike(AMOUNT))
-    split = F.transform(parts, lambda p: whole(F.regexp_extract(p, AMOUNT, 1)))
-    none = F.array().cast("array<bigint>")
     n = F.size(hits)
-    free = t.rlike(FREE) & (n == 0)
-    unsure = t.rlike(AMBIGUOUS)
+    parts = F.filter(F.split(t, LABEL), lambda p: p.rlike(AMOUNT))
+    extra = t.rlike(r"\p{Nd}+\s*%\s*ভ্যাট")
+    within = lambda p: p.contains("ভ্যাটসহ") | p.contains("ভ্যাট সহ")
+    fee = lambda amount, label, vat, method: F.struct(amount.cast("long").alias("amount"), label.alias("label"), vat.alias("vat"), F.lit(method).alias("method"))
     outcome = (
-        F.when(F.coalesce(squeeze(c), F.lit("")) == "", "empty").when(free, "free").when(n == 0, "no_amount").when(unsure, "ambiguous")
-        .when(n == 1, "single").when(F.size(split) == n, "split").otherwise("not_split")
+        F.when(F.coalesce(clean, F.lit("")) == "", "empty").when(t.rlike(FREE) & (n == 0), "free").when(n == 0, "no_amount").when(t.rlike(AMBIGUOUS), "ambiguous")
+        .when(n == 1, "single").when(F.size(parts) == n, "split").otherwise("not_split")
     )
-    amounts = F.when(outcome == "free", F.array(F.lit(0).cast("bigint"))).when(outcome == "single", hits).when(outcome == "split", split).otherwise(none)
-    vat = F.when(outcome == "free", True).when(outcome.isin("single", "split"), F.when(t.contains("ভ্যাটসহ") | t.contains("ভ্যাট সহ"), True).when(t.rlike(r"\p{Nd}+\s*%\s*ভ্যাট"), False))
-    return F.struct(amounts.alias("amounts"), vat.alias("vat"), outcome.alias("outcome"))
+    fees = (
+        F.when(outcome == "free", F.array(fee(F.lit(0), F.lit("বিনামূল্যে"), F.lit(True), "free of charge")))
+        .when(outcome == "single", F.array(fee(hits[0], F.left(t, F.lit(180)), F.when(within(t), True).when(extra, False), "one amount")))
+        .when(outcome == "split", F.transform(parts, lambda p: fee(whole(F.regexp_extract(p, AMOUNT, 1)), F.left(F.trim(p), F.lit(180)), F.when(p.contains("ভ্যাটসহ"), True).when(extra, False), "labelled part")))
+        .otherwise(F.array().cast("array<struct<amount:bigint,label:string,vat:boolean,method:string>>"))
+    )
+    note = F.when(outcome == "empty", "empty fee cell").when(outcome == "no_amount", "no amount in cell").when(outcome == "ambiguous", "conditional amounts").when(outcome == "not_split", "amounts cannot be told apart")
+    return F.struct(fees.alias("fees"), outcome.alias("outcome"), note.alias("note"))
+
+
+def parse_fee_cell(c: Column) -> Column:
+    """Struct (amounts array<bigint>, vats array<boolean>, outcome): the figures of `parse_fees`."""
+    read = parse_fees(c)
+    return F.struct(F.transform(read["fees"], lambda f: f["amount"]).alias("amounts"), F.transform(read["fees"], lambda f: f["vat"]).alias("vats"), read["outcome"].alias("outcome"))
 
 
 def split_numbered(c: Column, marker: str = r"(?:^|(?<=[\s;।]))[০-৯]{1,2}\)", least: int = 12) -> Column:

@@ -68,26 +68,78 @@ def named_rows(rows: DataFrame, terms: DataFrame, fee_words: str) -> DataFrame:
     return hit.unionByName(rows.where(F.lower("text").rlike(fee_words))).distinct()
 
 
+def ungrounded(passages: DataFrame, id_col: str, text_col: str, docs: DataFrame, doc_col: str, head: int = 60, block: int = 20_000) -> DataFrame:
+    """Ids of the passages that share no head with any document: neither text holds the first `head` characters of the other.
+
+    Passages go to the executors in blocks of a bounded number, each an automaton of their heads that takes one pass over the
+    documents, and one of the documents' heads over them; no pair of a passage and a document is formed unless it holds.
+    """
+    import ahocorasick
+    import pandas as pd
+
+    spark, found = passages.sparkSession, None
+    spare = passages.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    blocks = max(1, -(-spare.count() // block))
+    spare = spare.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    for i in range(blocks):
+        sent = spark.sparkContext.broadcast([(r["id"], r["t"]) for r in spare.where(F.col("b") == i).collect()])
+
+        def run(batches, sent=sent):
+            heads, owners = ahocorasick.Automaton(), {}
+            for key, t in sent.value:
+                owners.setdefault(t[:head], []).append(key)
+            for h, keys in owners.items():
+                if h:
+                    heads.add_word(h, keys)
+            everywhere = set(owners.get("", ()))
+            if len(heads):
+                heads.make_automaton()
+            hit: set = set()
+            for d in batches:
+                texts = d["t"].dropna()
+                for t in texts if len(heads) else ():
+                    for _, keys in heads.iter(t):
+                        hit.update(keys)
+                if len(texts):
+                    hit |= everywhere
+                short = ahocorasick.Automaton()
+                for h in {t[:head] for t in texts}:
+                    if h:
+                        short.add_word(h, h)
+                    else:
+                        hit.update(k for k, _ in sent.value)
+                if len(short):
+                    short.make_automaton()
+                    hit.update(k for k, t in sent.value if k not in hit and next(short.iter(t), None))
+            yield pd.DataFrame({"id": sorted(hit)})
+
+        kind = spare.schema["id"].dataType.simpleString()
+        got = docs.select(F.col(doc_col).alias("t")).mapInPandas(run, f"id {kind}").distinct()
+        found = got if found is None else found.unionByName(got)
+    return spare.select("id").join(found, "id", "left_anti").select(F.col("id").alias(id_col))
+
+
 def frontier(wanted: DataFrame, seen: DataFrame, keys: list[str], place: str) -> DataFrame:
     """Actions that have not been taken, each once, the first of equals."""
     first = wanted.groupBy(*keys).agg(F.min(place).alias(place))
     return first.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
-def closure(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """(src, dst) pairs reachable over edges (src, dst) in at most 2 ** rounds steps; each round doubles the reach.
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) pairs reachable over edges (src, dst); each round doubles the reach, until one adds nothing.
 
-    For maps of one font, which are small; stops when a round adds nothing.
+    For maps of one font, which are small. A round's table is let go when the next one stands.
     """
-    reach, n = edges.select("src", "dst").distinct().cache(), -1
-    for _ in range(rounds):
-        size = reach.count()
-        if size == n:
-            break
-        n = size
+    reach = edges.select("src", "dst").distinct().cache()
+    size = reach.count()
+    while True:
         step = reach.select(F.col("src"), F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        reach = reach.unionByName(step).distinct().cache()
-    return reach
+        wider = reach.unionByName(step).distinct().cache()
+        n = wider.count()
+        reach.unpersist()
+        if n == size:
+            return wider
+        reach, size = wider, n
 
 
 def fee_table_amounts(markdown: Column) -> Column:

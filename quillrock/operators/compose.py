@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import to_bengali_digits
+from ..functions.text import filled, number_set, to_bengali_digits
 
 
 def amount_text(amount: Column, lang: Column) -> Column:
@@ -29,3 +29,86 @@ def answers(matched: DataFrame) -> DataFrame:
         warning, docs, fees, F.when(~none, F.concat(F.lit("Source: "), F.col("source_url"))),
     )
     return matched.select("qid", F.array_join(F.filter(sections, lambda s: s.isNotNull()), "\n\n").alias("answer"))
+
+
+#: Words of the sections by language; a caller may give others.
+WORDS = {
+    "en": {"none": "No matching service", "warn": "Check before you go", "confirm": "Confirm at", "unread": "No verified details yet.", "where": "Check at", "contact": "Contact:", "documents": "Required documents",
+           "missing": "Not available from a verified source", "steps": "Process", "fees": "Fees", "updated": "Updated", "unknown": "unknown", "scams": "Protect yourself", "source": "Source:", "dated": "Source last updated", "checked": "Checked", "apply": "Apply at"},
+}
+WORDS["bn"] = WORDS["en"] | {"documents": "প্রয়োজনীয় কাগজপত্র", "fees": "ফি", "dated": "উৎস সর্বশেষ হালনাগাদ"}
+
+
+def age_note(age: Column, status: Column, days: int = 365) -> Column:
+    """What a fee's age calls for; nothing for a fee without a date or of a fresh source."""
+    return F.when(status == "unverified", "not verified").when(age > days, "more than a year old: likely out of date").when(age > 90, "older than the limit: confirm it")
+
+
+def _lines(items: Column, shape) -> Column:
+    return F.array_join(F.transform(items, shape), "\n")
+
+
+def full_answers(matched: DataFrame, lang: str = "en", words: dict | None = None) -> DataFrame:
+    """matched (qid, rationale, record, level, notes, patterns, lead) -> qid, answer, of the language's words.
+
+    record: struct of records.RECORD or null; patterns: array<struct<claim, why, source, source_date, caveat>>; lead: an accepted
+    generated answer or null. Order: no match and stop; title; warnings; unverified and stop; lead; documents; steps;
+    fees; patterns; provenance. Where there is a lead, what follows is folded away beneath it.
+    """
+    w = words or WORDS[lang]
+    r = F.col("record")
+    none, unread = r.isNull(), F.coalesce(r["verification"]["status"] == "unverified", F.lit(False))
+    after = ~none & ~unread
+    docs = F.flatten(F.transform(r["variants"], lambda v: v["required_docs"]))
+    steps = F.flatten(F.transform(r["variants"], lambda v: v["steps"]))
+    label = (lambda f: filled(f["label_bn"], f["label_en"], f["fee_key"])) if lang == "bn" else (lambda f: filled(f["label_en"], f["label_bn"], f["fee_key"]))
+    day = lambda d: F.coalesce(d.cast("string"), F.lit(w["unknown"]))
+    head = lambda name: F.lit(f"### {w[name]}\n")
+    fee = lambda f: F.concat(F.lit("| "), label(f), F.lit(" | "), amount_text(f["amount_bdt"], F.lit("bn")), F.lit(" | "), day(f["source_last_updated"]), F.lit(" |"))
+    step = lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["step"], F.coalesce(F.concat(F.lit(" — "), s["where"]), F.lit("")))
+    scam = lambda p: F.concat(F.lit("- **"), p["claim"], F.lit("**"), F.coalesce(F.concat(F.lit(" "), p["why"]), F.lit("")), F.lit(" ("), p["source"], F.lit(", "), day(p["source_date"]), F.lit(")"), F.coalesce(F.concat(F.lit(" "), p["caveat"]), F.lit("")))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    contact = F.concat(F.lit(f"{w['contact']} "), r["contact"])
+    origin = F.concat_ws("\n", F.concat(F.lit(f"---\n{w['source']} "), r["source_url"]), F.concat(F.lit(f"{w['dated']} "), day(r["source_last_updated"]), F.lit(f" · {w['checked']} "), day(r["last_scraped_date"])), F.concat(F.lit(f"{w['apply']} "), r["apply_portal"]), contact)
+    sections = F.array(
+        F.when(none, F.concat(F.lit(f"## {w['none']}\n"), F.coalesce("rationale", F.lit("")))),
+        F.when(~none, F.concat_ws("\n", F.concat(F.lit("## "), r["service_name_bn"]), r["service_name_en"], r["office"])),
+        F.when(~none & F.col("level").isin("stale", "unknown", "unverified"), F.concat_ws("\n", F.lit(f"> **{w['warn']}**"), F.nullif(_lines(F.coalesce("notes", F.array().cast("array<string>")), lambda n: F.concat(F.lit("> - "), n)), F.lit("")), F.concat(F.lit(f"> - {w['confirm']} "), r["source_url"]))),
+        F.when(~none & unread, F.concat_ws("\n", F.lit(w["unread"]), F.nullif(_lines(F.slice(F.coalesce(r["notes"], F.array().cast("array<string>")), 1, 2), lambda n: F.concat(F.lit("- "), n)), F.lit("")), F.concat(F.lit(f"{w['where']} "), r["source_url"]), contact)),
+        F.when(after & F.col("lead").isNotNull(), F.concat(F.col("lead"), F.lit("\n\n<details><summary>…</summary>"))),
+        F.when(after, F.concat(head("documents"), F.when(some(docs), _lines(docs, lambda d: F.concat(F.lit("- "), d["doc"]))).otherwise(F.lit(f"_{w['missing']}_")))),
+        F.when(after & some(steps), F.concat(head("steps"), _lines(steps, step))),
+        F.when(after & some(r["fees"]), F.concat(head("fees"), F.lit(f"| {w['fees']} | BDT | {w['updated']} |\n|---|---|---|\n"), _lines(r["fees"], fee))),
+        F.when(after & some(F.col("patterns")), F.concat(head("scams"), _lines(F.col("patterns"), scam))),
+        F.when(after, origin),
+        F.when(after & F.col("lead").isNotNull(), F.lit("</details>")),
+    )
+    return matched.select("qid", F.array_join(F.filter(sections, lambda s: s.isNotNull()), "\n\n").alias("answer"))
+
+
+def facts(chunks: Column, record: Column, patterns: Column, most: int = 4) -> Column:
+    """The lines that a text generator may draw on: the first chunks, every fee with its date, every pattern."""
+    none = F.array().cast("array<string>")
+    day = lambda d: F.coalesce(d.cast("string"), F.lit("unknown"))
+    fee = lambda f: F.concat(F.lit("FEE "), filled(f["label_en"], f["label_bn"], f["fee_key"]), F.lit(": "), amount_text(f["amount_bdt"], F.lit("en")), F.lit(" (source of "), day(f["source_last_updated"]), F.lit(")"))
+    parts = F.concat(
+        F.transform(F.slice(F.coalesce(chunks, none), 1, most), lambda c: F.concat(F.lit("CHUNK "), c)),
+        F.coalesce(F.transform(record["fees"], fee), none),
+        F.coalesce(F.transform(patterns, lambda p: F.concat(F.lit("WARNING "), p["claim"])), none),
+        F.when(record.isNull(), none).otherwise(F.array(F.concat(F.lit("SOURCE "), record["source_url"]))),
+    )
+    return F.array_join(parts, "\n")
+
+
+def accepted(generated: Column, facts_block: Column) -> Column:
+    """A generated text if every number in it stands in the facts; else null, and the template answers alone."""
+    loose = F.array_except(number_set(generated), F.array_union(number_set(facts_block), F.array(F.lit(""), F.lit("0"))))
+    return F.when(F.size(loose) == 0, generated)
+
+
+def unfolded(markdown: Column) -> Column:
+    """Struct (before, summary, inside, after) of the first <details> part; without one all is `before`."""
+    p = r"(?s)^(.*?)<details><summary>(.*?)</summary>(.*?)</details>(.*)$"
+    hit = markdown.rlike(p)
+    part = lambda i: F.when(hit, F.trim(F.regexp_extract(markdown, p, i)))
+    return F.struct(F.coalesce(part(1), markdown).alias("before"), part(2).alias("summary"), part(3).alias("inside"), part(4).alias("after"))

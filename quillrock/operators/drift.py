@@ -6,14 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(url, kind, removed, added): 'new' pages, changed amounts, changed text."""
-    j = after.select("url", F.col("amounts").alias("a2"), F.col("text_sha1").alias("s2")).join(before.select("url", F.col("amounts").alias("a1"), F.col("text_sha1").alias("s1")), "url", "left")
-    removed, added = F.array_except("a1", "a2"), F.array_except("a2", "a1")
-    kind = F.when(F.col("s1").isNull(), "new").when(F.size(removed) + F.size(added) > 0, "amounts").when(~F.col("s1").eqNullSafe(F.col("s2")), "text")
-    return j.select("url", kind.alias("kind"), F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"), F.when(F.col("s1").isNull(), 0).otherwise(F.size(added)).alias("n_added")).where(kind.isNotNull())
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row per page of `after`: status 'new', 'changed', 'text' (no fact changed) or 'identical', and what changed.
 
+    Facts (url, updated, amounts, text_sha1) are one row a page. A new page has nothing to be compared with.
+    """
+    was = before.select("url", F.col("updated").alias("was"), F.col("amounts").alias("a1"), F.col("text_sha1").alias("s1"), F.lit(True).alias("old"))
+    j = after.join(was, "url", "left")
+    none = F.array().cast("array<bigint>")
+    removed, added = F.array_sort(F.array_except("a1", "amounts")), F.array_sort(F.array_except("amounts", "a1"))
+    dated = F.col("old") & ~F.col("was").eqNullSafe(F.col("updated"))
+    priced = F.col("old") & (F.size(removed) + F.size(added) > 0)
+    status = F.when(F.col("old").isNull(), "new").when(dated | priced, "changed").when(~F.col("s1").eqNullSafe(F.col("text_sha1")), "text").otherwise("identical")
+    return j.select(
+        "url", status.alias("status"), F.coalesce(dated, F.lit(False)).alias("dated"), F.coalesce(priced, F.lit(False)).alias("priced"),
+        "was", F.col("updated").alias("now"), F.coalesce(removed, none).alias("removed"), F.when(F.col("old"), added).otherwise(none).alias("added"),
+    )
 
-def affected(findings: DataFrame, index: DataFrame) -> DataFrame:
+
+def findings(seen: DataFrame) -> DataFrame:
+    """(url, kind, was, now, removed, added): a row for each changed fact of `compared`, 'source_date' and 'amounts'.
+
+    New pages and pages of which only the text changed are no findings.
+    """
+    none = F.array().cast("array<bigint>")
+    date = seen.where("dated").select("url", F.lit("source_date").alias("kind"), "was", "now", none.alias("removed"), none.alias("added"))
+    nothing = F.lit(None).cast("date")
+    return date.unionByName(seen.where("priced").select("url", F.lit("amounts").alias("kind"), nothing.alias("was"), nothing.alias("now"), "removed", "added"))
+
+
+def run_report(seen: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: pages checked, pages that could not be read, findings, and pages by status."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    told = F.sum(F.col("dated").cast("long") + F.col("priced").cast("long"))
+    return seen.agg(F.count(F.lit(1)).alias("checked"), F.coalesce(told, F.lit(0).cast("long")).alias("findings"), *map(count, ("new", "changed", "text", "identical"))).crossJoin(errors.agg(F.count(F.lit(1)).alias("errors")))
+
+
+def affected(changes: DataFrame, index: DataFrame) -> DataFrame:
     """Categories touched by findings, through (url, category)."""
-    return findings.join(index, "url").groupBy("category").agg(F.countDistinct("url").alias("n_urls"))
+    return changes.join(index, "url").groupBy("category").agg(F.countDistinct("url").alias("n_urls"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import to_ascii_digits, visible_text
+from ..functions.dates import updated_in
+from ..functions.text import nfc, to_ascii_digits, visible_text
 
 #: Words that make a link worth following, and their weights (fixed values).
 KEYWORDS = (
@@ -14,6 +15,7 @@ KEYWORDS = (
     ("faq", 3), ("প্রশ্ন", 3), ("জিজ্ঞাসা", 3), ("form", 2), ("ফরম", 2), ("প্রজ্ঞাপন", 4), ("circular", 4), ("পরিপত্র", 4), ("gazette", 4), ("গেজেট", 4), ("notice", 2), ("বিজ্ঞপ্তি", 2),
     ("how", 2), ("process", 3), ("প্রক্রিয়া", 4), ("পদ্ধতি", 4),
 )
+#: Patterns of links and amounts in pages (fixed values).
 LINK = r"""(?is)<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 PAGE_AMOUNT = r"[\p{Nd}][\p{Nd},]{1,}\s*/?-?\s*(?:টাকা|টাকার)|TK\s*[\p{Nd},]+|BDT\s*[\p{Nd},]+"
 
@@ -58,11 +60,68 @@ def tables(html: Column) -> Column:
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """(url, amounts, text_sha1, chars): what two visits to a page are compared by. Zero is no amount."""
-    t = pages.select("url", visible_text(F.col("html")).alias("t"))
+    """(url, updated, amounts, text_sha1, chars): what two visits to a page are compared by. Text is NFC; zero is no amount."""
+    t = pages.select("url", nfc(visible_text(F.col("html"))).alias("t"))
     n = lambda x: F.regexp_replace(to_ascii_digits(x), "[^0-9]", "").try_cast("long")
     amounts = F.array_sort(F.array_distinct(F.filter(F.transform(F.regexp_extract_all("t", F.lit(PAGE_AMOUNT), 0), n), lambda x: x > 0)))
-    return t.select("url", amounts.alias("amounts"), F.sha1("t").alias("text_sha1"), F.length("t").alias("chars"))
+    return t.select("url", updated_in(F.col("t")).alias("updated"), amounts.alias("amounts"), F.sha1("t").alias("text_sha1"), F.length("t").alias("chars"))
+
+
+def followed(links: DataFrame, suffix: str = ".gov.bd") -> DataFrame:
+    """Of resolved links (url, target) those worth a visit: over http(s), and on the page's host, on a host of `suffix`, or a PDF."""
+    to = host(F.col("target"))
+    return links.where(F.col("target").rlike("(?i)^https?://") & ((to == host(F.col("url"))) | to.endswith(suffix) | is_pdf(F.col("target"))))
+
+
+def is_pdf(url: Column) -> Column:
+    """By the path's ending; a query or fragment does not hide it."""
+    return F.lower(F.regexp_replace(url, r"[?#].*$", "")).endswith(".pdf")
+
+
+def in_order(scored: DataFrame) -> DataFrame:
+    return scored.orderBy(F.desc("score"), F.desc("label"), F.desc("target"))
+
+
+def link_preview(scored: DataFrame, n: int = 25, chars: int = 70) -> DataFrame:
+    """Per page the n best links (score, label, target, each descending), labels cut: what a reader is shown."""
+    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "label", "target")), asc=False), 1, n)
+    return scored.groupBy("url").agg(best.alias("links")).select("url", F.transform("links", lambda x: x.withField("label", F.left(x["label"], F.lit(chars)))).alias("links"))
+
+
+def table_preview(html: Column, most: tuple[int, int, int] = (3, 12, 6), chars: int = 120) -> Column:
+    """The first tables of two rows or more: rows of cut cells with the addresses that the row links to."""
+    n_tables, n_rows, n_cells = most
+    cell = lambda x: F.left(visible_text(x), F.lit(chars))
+    row = lambda r: F.struct(
+        F.slice(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), cell), 1, n_cells).alias("cells"),
+        F.regexp_extract_all(r, F.lit(r"""(?is)href=["']([^"']+)["']"""), 1).alias("links"),
+    )
+    rows = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), row), lambda r: F.exists(r["cells"], lambda c: c != ""))
+    found = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1), rows), lambda t: F.size(t) >= 2)
+    return F.slice(F.transform(found, lambda t: F.slice(t, 1, n_rows)), 1, n_tables)
+
+
+def signals(pages: DataFrame, least: int = 400) -> DataFrame:
+    """(page_id, title, visible_chars, likely_js, login_wall, n_pdf): a password field makes a login wall; PDFs by their path."""
+    t = visible_text(F.col("html"))
+    pdfs = F.array_distinct(F.filter(F.regexp_extract_all("html", F.lit(r"""(?is)href=["']([^"']+)["']"""), 1), is_pdf))
+    return pages.select(
+        "page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.length(t).cast("long").alias("visible_chars"), (F.length(t) < least).alias("likely_js"),
+        F.col("html").rlike(r"""(?i)type=["']?password""").alias("login_wall"), F.size(pdfs).cast("long").alias("n_pdf"),
+    )
+
+
+def kind_of(content_type: Column, url: Column) -> Column:
+    """How a body is to be read: 'pdf', 'html' or 'other'."""
+    c = F.lower(F.coalesce(content_type, F.lit("")))
+    return F.when(c.contains("pdf") | is_pdf(url), "pdf").when(c.contains("html") | (c == ""), "html").otherwise("other")
+
+
+def fee_strings(text: Column, pattern: str = PAGE_AMOUNT, before: int = 35, after: int = 35) -> Column:
+    """array<struct<amount, context>>: amounts as written, once each in order of first sight, with the text about the first."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
+    begin = lambda x: F.greatest(F.instr(text, x) - before, F.lit(1))
+    return F.transform(found, lambda x: F.struct(x.alias("amount"), F.substring(text, begin(x), F.instr(text, x) - begin(x) + F.length(x) + after).alias("context")))
 
 
 def host(url: Column) -> Column:

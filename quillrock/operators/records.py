@@ -1,8 +1,8 @@
-"""Nested service records: schema, chunks, folding of rows into records, constraints."""
+"""Nested service records: schema, chunks, constraints, warnings, counts. Offices' rows are folded in offices.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
@@ -45,8 +45,69 @@ def violations(records: DataFrame, valid: DataFrame) -> DataFrame:
         F.explode(F.filter(F.array(
             F.when(F.col("f.amount_bdt").isNotNull() & (F.col("f.verification.status") == "unverified"), "amount_without_verification"),
             F.when(F.col("f.amount_bdt").isNull() & (F.col("f.verification.status") != "unverified"), "verified_without_amount"),
-            F.when(filled(F.col("f.source_url")).isNull(), "fee_without_source"),
+            F.when(F.col("f.amount_bdt").isNotNull() & filled(F.col("f.source_url")).isNull(), "fee_without_source"),
         ), lambda r: r.isNotNull())).alias("rule"),
     )
     source = records.where(filled(F.col("source_url")).isNull()).select("category", F.lit("record_without_source").alias("rule"))
     return unknown.unionByName(broken).unionByName(source)
+
+
+def scam_texts(records: DataFrame, words: tuple[str, ...], exempt: str) -> DataFrame:
+    """(category, rule) of records that hold a word of the curated table anywhere, unless they hold the exempting phrase."""
+    blob = F.lower(F.to_json(F.struct(*[F.col(c) for c in records.columns])))
+    found = F.filter(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(blob, w))
+    return records.where(~F.contains(blob, F.lit(exempt))).select("category", F.explode(found).alias("w")).select("category", F.concat(F.lit("scam_text:"), "w").alias("rule"))
+
+
+def warnings(records: DataFrame, today: Column, days: int = 90) -> DataFrame:
+    """(category, rule): old sources of records and of fees with an amount, and read records without a date."""
+    age = F.datediff(today, "source_last_updated")
+    own = F.when(F.col("source_last_updated").isNull() & (F.col("verification.status") != "unverified"), "undated_record").when(age > days, "old_record")
+    record = records.select("category", own.alias("rule")).where("rule is not null")
+    fee = records.select("category", F.explode("fees").alias("f")).where(F.col("f.amount_bdt").isNotNull() & (F.datediff(today, "f.source_last_updated") > days))
+    return record.unionByName(fee.select("category", F.lit("old_fee").alias("rule")))
+
+
+def severities(errors: DataFrame, warned: DataFrame) -> DataFrame:
+    """(severity, n) of both kinds, 0 where there is none."""
+    n = lambda df, name: df.agg(F.lit(name).alias("severity"), F.count(F.lit(1)).alias("n"))
+    return n(errors, "error").unionByName(n(warned, "warning"))
+
+
+def counts(records: DataFrame) -> DataFrame:
+    """(category, n_fees, n_amounts, n_verified, n_docs)."""
+    docs = F.flatten(F.transform("variants", lambda v: v["required_docs"]))
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    return records.select(
+        "category", size("fees").alias("n_fees"), size(F.filter("fees", lambda f: f["amount_bdt"].isNotNull())).alias("n_amounts"),
+        size(F.filter("fees", lambda f: f["verification"]["status"] != "unverified")).alias("n_verified"), size(docs).alias("n_docs"),
+    )
+
+
+def valid_categories(categories: DataFrame, fallbacks: DataFrame) -> DataFrame:
+    """(id): what a record may be filed under."""
+    return categories.select("id").unionByName(fallbacks.select("id")).distinct()
+
+
+def urls_in_use(records: DataFrame) -> DataFrame:
+    """(url, categories): every source of a record or of one of its fees, once, with the records that depend on it."""
+    every = F.array_distinct(F.concat(F.array("source_url"), F.coalesce(F.transform("fees", lambda f: f["source_url"]), F.array().cast("array<string>"))))
+    one = records.select("category", F.explode(every).alias("url")).where("url is not null")
+    return one.groupBy("url").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+
+
+def priority_gap(categories: DataFrame, priority: int = 1, want: int = 5) -> DataFrame:
+    """One row with the number of categories of a priority if it is not the planned one."""
+    return categories.agg(F.count_if(F.col("mvp_priority") == priority).alias("n")).where(F.col("n") != want)
+
+
+def taxonomy_problems(categories: DataFrame, audited: DataFrame) -> DataFrame:
+    """(id, severity, rule) of categories (id, sources, ingest_tier) against audited sources (url, reachable, likely_js)."""
+    source = categories.select("id", F.explode("sources").alias("url")).join(audited, "url", "left")
+    rule = F.when(F.col("reachable").isNull(), "not_audited").when(~F.col("reachable"), "not_reachable").when(F.col("likely_js"), "js_shell")
+    named = source.select("id", F.when(rule == "js_shell", "warning").otherwise("error").alias("severity"), rule.alias("rule")).where("rule is not null")
+    bare = categories.where(F.coalesce(F.size("sources"), F.lit(0)) <= 0)
+    return (
+        named.unionByName(bare.where("ingest_tier <> 'unmapped'").select("id", F.lit("error").alias("severity"), F.lit("no_sources").alias("rule")))
+        .unionByName(bare.select("id", F.lit("warning").alias("severity"), F.lit("unmapped").alias("rule")))
+    )

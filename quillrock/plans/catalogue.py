@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fees, lang, text
 from ..functions.vectors import dot
-from ..operators import classify, compose, crawl, drift, html, records, retrieval
+from ..operators import audit, classify, compose, crawl, drift, html, records, retrieval
 from .registry import ORACLES, QUERIES, literal, query, table  # noqa: F401
 
 # ---- retrieval -------------------------------------------------------------------------------------
@@ -108,14 +108,10 @@ def html_visible_text(spark, sf_dir):
 
 
 @query(f"""WITH v AS (SELECT page_id, html, {VISIBLE.replace('HTML', 'html')} AS t FROM pages)
-SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, length(t) AS visible_chars, length(t) < 400 AS likely_js, regexp_matches(lower(t), 'log ?in|sign ?in|password') AS login_wall,
-len(list_distinct(regexp_extract_all(lower(html), 'href="([^"]*\\.pdf)"', 1))) AS n_pdf FROM v""")
+SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, length(t) AS visible_chars, length(t) < 400 AS likely_js, regexp_matches(html, '(?i)type=["'']?password') AS login_wall,
+len(list_distinct(list_filter(regexp_extract_all(html, '(?is)href=["'']([^"'']+)["'']', 1), lambda x: ends_with(lower(regexp_replace(x, '[?#].*$', '')), '.pdf')))) AS n_pdf FROM v""")
 def html_titles_and_signals(spark, sf_dir):
-    v = table(spark, sf_dir, "pages").select("page_id", "html", text.visible_text(F.col("html")).alias("t"))
-    return v.select(
-        "page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.length("t").cast("long").alias("visible_chars"), (F.length("t") < 400).alias("likely_js"),
-        F.lower("t").rlike("log ?in|sign ?in|password").alias("login_wall"), F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit('href="([^"]*\\.pdf)"'), 1))).cast("long").alias("n_pdf"),
-    )
+    return html.signals(table(spark, sf_dir, "pages"))
 
 
 HTML_ROWS = """(1, '<table><tr><th>Service</th><th>Fee</th></tr><tr><td><a href="/x">Deed</a></td><td>100&nbsp;TK</td></tr><tr><td> </td><td></td></tr></table><p>x</p><table><tr><td>a &amp;lt; b</td></tr></table>'), (2, '<p>none</p>'), (3, '<TABLE class="t"><TR><TD>1</TD></TR></TABLE>')"""
@@ -170,14 +166,7 @@ def pages_by_host_robots(spark, sf_dir):
 
 
 FACTS = f"""SELECT url, page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '[0-9][0-9,]{{1,}}\\s*/?-?\\s*টাকা|TK\\s*[0-9,]+|BDT\\s*[0-9,]+', 0), lambda x: try_cast(regexp_replace(x, '[^0-9]', '', 'g') AS BIGINT)), lambda x: x > 0))) AS amounts, sha1(t) AS text_sha1, length(t) AS chars
-FROM (SELECT url, page_id, {VISIBLE.replace('HTML', 'html')} AS t FROM pages)"""
-
-
-def _priced(spark, sf_dir, shift: int):
-    """Pages with a price line; snapshot B (shift 1) changes some prices, some texts, and has new pages."""
-    p = table(spark, sf_dir, "pages")
-    price = F.when(F.col("page_id") % 7 == 0, 100 + shift).otherwise(F.col("page_id") + 1)
-    return p.withColumn("html", F.concat("html", F.lit("<p>TK "), price.cast("string"), F.lit("</p>"), F.when(F.col("page_id") % 11 == 0, F.lit(f"<p>v{shift}</p>")).otherwise("")))
+FROM (SELECT url, page_id, nfc_normalize({VISIBLE.replace('HTML', 'html')}) AS t FROM pages)"""
 
 
 @query(f"SELECT url, array_to_string(list_transform(amounts, lambda x: CAST(x AS VARCHAR)), ',') AS amounts, text_sha1, chars FROM ({FACTS})")
@@ -187,28 +176,48 @@ def page_facts(spark, sf_dir):
 
 
 DRIFT = """WITH k AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
-d AS (SELECT url, page_id, CASE WHEN page_id % 13 = 0 THEN 'new' WHEN page_id % 7 = 0 THEN 'amounts' WHEN page_id % 11 = 0 THEN 'text' END AS kind FROM k)"""
+d AS (SELECT url, page_id, page_id % 13 = 0 AS fresh, page_id % 13 <> 0 AND page_id % 7 = 0 AS priced, page_id % 13 <> 0 AND page_id % 17 = 0 AS dated, page_id % 11 = 0 AS worded FROM k)"""
+
 
+def _snapshot(spark, sf_dir, shift: int):
+    """Pages, one a url, with a price line and an update mark; snapshot 1 changes some prices, dates and texts."""
+    first = Window.partitionBy("url").orderBy("page_id")
+    p = table(spark, sf_dir, "pages").withColumn("r", F.row_number().over(first)).where("r = 1")
+    price = F.when(F.col("page_id") % 7 == 0, 100 + shift).otherwise(F.col("page_id") + 1)
+    day = F.when(F.col("page_id") % 17 == 0, 10 + shift).otherwise(5)
+    mark = F.concat(F.lit("<p>Last updated: "), day.cast("string"), F.lit(" মার্চ 2021 </p>"))
+    return p.withColumn("html", F.concat("html", F.lit("<p>TK "), price.cast("string"), F.lit("</p>"), mark, F.when(F.col("page_id") % 11 == 0, F.lit(f"<p>v{shift}</p>")).otherwise("")))
 
-def _findings(spark, sf_dir):
-    one = Window.partitionBy("url").orderBy("page_id")
-    pick = lambda p: p.withColumn("r", F.row_number().over(one)).where("r = 1")
-    before, after = (pick(_priced(spark, sf_dir, s)) for s in (0, 1))
-    return drift.diff(html.page_facts(before.where("page_id % 13 <> 0")), html.page_facts(after))
 
+def _compared(spark, sf_dir):
+    return drift.compared(html.page_facts(_snapshot(spark, sf_dir, 0).where("page_id % 13 <> 0")), html.page_facts(_snapshot(spark, sf_dir, 1)))
 
-@query(DRIFT + " SELECT url, kind, CASE WHEN kind = 'amounts' THEN 1 ELSE 0 END AS n_removed, CASE WHEN kind = 'amounts' THEN 1 ELSE 0 END AS n_added FROM d WHERE kind IS NOT NULL")
+
+@query(DRIFT + """ SELECT url, 'source_date' AS kind, DATE '2021-03-10' AS was, DATE '2021-03-11' AS now, '' AS removed, '' AS added FROM d WHERE dated
+UNION ALL SELECT url, 'amounts', NULL, NULL, '100', '101' FROM d WHERE priced""")
 def snapshot_drift(spark, sf_dir):
-    return _findings(spark, sf_dir)
+    found = drift.findings(_compared(spark, sf_dir))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("removed", "added")})
+
+
+@query(DRIFT + " SELECT url, CASE WHEN fresh THEN 'new' WHEN priced OR dated THEN 'changed' WHEN worded THEN 'text' ELSE 'identical' END AS status FROM d")
+def snapshot_status(spark, sf_dir):
+    return _compared(spark, sf_dir).select("url", "status")
+
+
+@query(DRIFT + """ SELECT count(*) AS checked, CAST(sum(CAST(priced AS INTEGER) + CAST(dated AS INTEGER)) AS BIGINT) AS findings, count(*) FILTER (fresh) AS n_new, count(*) FILTER (priced OR dated) AS n_changed,
+count(*) FILTER (NOT fresh AND NOT priced AND NOT dated AND worded) AS n_text, count(*) FILTER (NOT fresh AND NOT priced AND NOT dated AND NOT worded) AS n_identical, (SELECT count(*) FROM pages WHERE page_id % 19 = 0) AS errors FROM d""")
+def rescrape_report(spark, sf_dir):
+    return drift.run_report(_compared(spark, sf_dir), table(spark, sf_dir, "pages").where("page_id % 19 = 0"))
 
 
 INDEX = f"SELECT DISTINCT url, {HOST} AS category FROM pages"
 
 
-@query(f"{DRIFT} SELECT {HOST} AS category, count(*) AS n_urls FROM d WHERE kind IS NOT NULL GROUP BY 1")
+@query(f"{DRIFT} SELECT {HOST} AS category, count(*) AS n_urls FROM d WHERE priced OR dated GROUP BY 1")
 def drift_affected_rollup(spark, sf_dir):
     index = table(spark, sf_dir, "pages").select("url", html.host(F.col("url")).alias("category")).distinct()
-    return drift.affected(_findings(spark, sf_dir), index)
+    return drift.affected(drift.findings(_compared(spark, sf_dir)), index)
 
 
 @query("""SELECT target, count(DISTINCT url) AS n_pages, min(url) AS first_page FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"#]+)"', 1)) AS target FROM pages) GROUP BY target""")
@@ -259,10 +268,10 @@ def bengali_dates(spark, sf_dir):
     return literal(spark, DATE_ROWS, "id, raw").select("id", dates.bengali_date(F.col("raw")).alias("d"))
 
 
-STALE_ROWS = "(1, 'কনটেন্টটি শেষ হাল-নাগাদ করা হয়েছে: সোমবার, ২০ জানুয়ারী, ২০২০'), (2, 'x Last updated: 19 জানুয়ারী 2020 y'), (3, 'nothing')"
+STALE_ROWS = "(1, 'পাতাটি হাল নাগাদ হয়েছে: রবিবার, ৩ এপ্রিল, ২০২২'), (2, 'foo Last updated: 7 মে 2019 bar'), (3, 'no mark')"
 
 
-@query("SELECT * FROM (VALUES (1, DATE '2020-01-20', 'cms_footer'), (2, DATE '2020-01-19', 'content_marker'), (3, CAST(NULL AS DATE), CAST(NULL AS VARCHAR))) t(id, updated, kind)")
+@query("SELECT * FROM (VALUES (1, DATE '2022-04-03', 'cms_footer'), (2, DATE '2019-05-07', 'content_marker'), (3, CAST(NULL AS DATE), CAST(NULL AS VARCHAR))) t(id, updated, kind)")
 def staleness_extract(spark, sf_dir):
     return literal(spark, STALE_ROWS, "id, page").select("id", dates.staleness(F.col("page")).alias("s")).select("id", "s.updated", "s.kind")
 
@@ -317,7 +326,7 @@ def record_chunks(spark, sf_dir):
     return records.chunks(_service(spark))
 
 
-@query("SELECT * FROM (VALUES ('deed', 'unknown_category'), ('deed', 'verified_without_amount'), ('deed', 'fee_without_source')) t(category, rule)")
+@query("SELECT * FROM (VALUES ('deed', 'unknown_category'), ('deed', 'verified_without_amount')) t(category, rule)")
 def record_constraints(spark, sf_dir):
     return records.violations(_service(spark), literal(spark, "('passport')", "id"))
 
@@ -366,12 +375,11 @@ def grounding_amounts(spark, sf_dir):
     return literal(spark, PRINTED, "category, amount").join(literal(spark, KNOWN, "category, amount"), ["category", "amount"], "left_anti")
 
 
-@query("""SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, left(b.text, 60)))""")
+@query("""SELECT item_id FROM benchmark b WHERE b.text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, left(b.text, 60)) OR contains(b.text, left(d.text, 60)))""")
 def grounding_docs(spark, sf_dir):
-    """Curated passages of which no document holds the first 60 characters; the benchmark is a fixed curated table."""
-    b = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("head")))
-    hit = table(spark, sf_dir, "documents").select("text").join(b, F.contains(F.col("text"), F.col("head"))).select("item_id").distinct()
-    return b.select("item_id").join(hit, "item_id", "left_anti")
+    """Passages of which no document holds the head, and that hold no document's head."""
+    b = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", "text")
+    return audit.ungrounded(b, "item_id", "text", table(spark, sf_dir, "documents").select("text"), "text")
 
 
 @query("SELECT doc_id, contains(lower(text), 'idiot') OR contains(lower(text), 'scum') AS has_forbidden, contains(lower(text), 'the') AND contains(lower(text), 'tion') AS has_required FROM documents")
@@ -428,7 +436,7 @@ def encoding_class(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", kind.alias("encoding"))
 
 
-LANG_ROWS = "(1, 'jonmo nibondhon korte koto taka lage'), (2, 'e-Return filing fee koto'), (3, 'motorcycle registration fee koto'), (4, 'passport fee is 3000 taka right?'), (5, 'NID তে আমার নাম ভুল'), (6, 'what documents do I need'), (7, ''), (8, '12345')"
+LANG_ROWS = "(1, 'amar sonod kothay pabo bolun'), (2, 'shipping costs for small parcels koto now'), (3, 'parcel weight limit koto'), (4, 'is the price 900 taka for two parcels'), (5, 'আমার parcel কোথায়'), (6, 'where can I send a letter'), (7, ''), (8, '12345')"
 
 
 @query("SELECT * FROM (VALUES (1, 'bn'), (2, 'en'), (3, 'bn'), (4, 'en'), (5, 'bn'), (6, 'en'), (7, 'en'), (8, 'en')) t(id, lang)")
@@ -446,19 +454,19 @@ def digits_translate_format(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.to_bengali_digits(F.format_number(F.floor("o_totalprice"), 0)).alias("bn"))
 
 
-FEE_ROWS = "(1, 'ক) মোটরসাইকেল ৩৪৫/-টাকা (ভ্যাটসহ) (খ) ৫১৮/- টাকা (ভ্যাটসহ)'), (2, 'স্মার্ট কার্ড অপেশাদার লাইসেন্স ২৫৪২/- টাকা (ভ্যাটসহ)'), (3, 'রেজিস্ট্রেশন ফি-এর ৩ ভাগের ১ ভাগ'), (4, 'মোট ৯,৩১৩/- টাকা প্রতিকিস্তি ১১৫০/- টাকা'), (5, 'বিনামূল্যে'), (6, ''), (7, '১০০ টাকা [ব্যাংকের তালিকা ৫০ টাকা]'), (8, '১০০ টাকা ২০০ টাকা'), (9, '৩৪৫.৫০ টাকা')"
+FEE_ROWS = "(1, 'ক) ছোট পার্সেল ৪১০/-টাকা (ভ্যাটসহ) (খ) বড় ৬২০/- টাকা'), (2, 'নীল রঙের খাম ১৭০৫/- টাকা (ভ্যাটসহ)'), (3, 'মূল দামের ৫ ভাগের ২ ভাগ'), (4, 'সব মিলে ৮,৪০০/- টাকা, কিস্তি ৭০০/- টাকা'), (5, 'বিনামূল্যে'), (6, ''), (7, '১০০ টাকা [ব্যাংকের তালিকা ৫০ টাকা]'), (8, '১০০ টাকা ২০০ টাকা'), (9, '৩৪৫.৫০ টাকা')"
 
 
-@query("SELECT * FROM (VALUES (1, '345,518', 'split'), (2, '2542', 'single'), (3, '', 'no_amount'), (4, '', 'ambiguous'), (5, '0', 'free'), (6, '', 'empty'), (7, '100', 'single'), (8, '', 'not_split'), (9, '345', 'single')) t(id, amounts, outcome)")
+@query("SELECT * FROM (VALUES (1, '410,620', 'split'), (2, '1705', 'single'), (3, '', 'no_amount'), (4, '', 'ambiguous'), (5, '0', 'free'), (6, '', 'empty'), (7, '100', 'single'), (8, '', 'not_split'), (9, '345', 'single')) t(id, amounts, outcome)")
 def fee_parse_cells(spark, sf_dir):
     p = literal(spark, FEE_ROWS, "id, cell").select("id", fees.parse_fee_cell(F.col("cell")).alias("p"))
     return p.select("id", F.array_join(F.col("p.amounts").cast("array<string>"), ",").alias("amounts"), "p.outcome")
 
 
-LIST_ROWS = "(1, '১) আবেদন ফরম এক কপি। ২) ফরম (ক্রমিক ১-৩৭) সহ ৭) ফটোকপি ৩) ফি জমাদানের রশিদ'), (2, 'no list here at all'), (3, '')"
+LIST_ROWS = "(1, '১) দুই পাতার খসড়া চিঠি। ২) খাম (আকার ৪-৯) সহ ৬) ছবি ছাড়া ৩) ডাক মাশুলের রসিদ'), (2, 'no list here at all'), (3, '')"
 
 
-@query("SELECT * FROM (VALUES (1, 0, '১) আবেদন ফরম এক কপি।'), (1, 1, '২) ফরম (ক্রমিক ১-৩৭) সহ ৭) ফটোকপি'), (1, 2, '৩) ফি জমাদানের রশিদ'), (2, 0, 'no list here at all')) t(id, pos, item)")
+@query("SELECT * FROM (VALUES (1, 0, '১) দুই পাতার খসড়া চিঠি।'), (1, 1, '২) খাম (আকার ৪-৯) সহ ৬) ছবি ছাড়া'), (1, 2, '৩) ডাক মাশুলের রসিদ'), (2, 0, 'no list here at all')) t(id, pos, item)")
 def split_numbered_docs(spark, sf_dir):
     return literal(spark, LIST_ROWS, "id, cell").select("id", F.posexplode(fees.split_numbered(F.col("cell"))).alias("pos", "item"))
 

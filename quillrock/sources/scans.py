@@ -66,3 +66,24 @@ def fetched(spark: SparkSession, bodies: str, meta: str) -> DataFrame:
     body = spark.read.format("binaryFile").load(bodies).select(stem.alias("stem"), F.col("content").alias("body"))
     side = spark.read.option("multiLine", True).schema(FETCHED).json(meta).withColumn("stem", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(?:\.meta)?\.json$", 1))
     return side.join(body, "stem")
+
+
+def index(spark: SparkSession, path: str, categories: list[str] | None = None) -> DataFrame:
+    """What sinks.write_index wrote; of the named categories only their folders are read."""
+    chunks = spark.read.parquet(path)
+    return chunks if categories is None else chunks.where(F.col("category").isin(*categories))
+
+
+def last_facts(spark: SparkSession, path: str, before: str) -> DataFrame:
+    """Of dated snapshots of page facts (run_date, url, ...), each page's last one before a day."""
+    seen = spark.read.parquet(path).where(F.col("run_date") < F.lit(before).cast("date"))
+    last = F.max_by(F.struct(*[F.col(c) for c in seen.columns]), "run_date")
+    return seen.groupBy("url").agg(last.alias("r")).select("r.*")
+
+
+def checklists(spark: SparkSession, path: str, labels: dict[str, str]) -> DataFrame:
+    """(section, pos, doc) of a JSON map of sections to documents; a section with a label puts it before each of them."""
+    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    named = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)) if labels else F.create_map().cast("map<string,string>")
+    rows = m.select(F.explode("m").alias("section", "docs")).select("section", F.posexplode("docs").alias("pos", "doc"))
+    return rows.withColumn("doc", F.concat(F.coalesce(F.concat(F.try_element_at(named, F.col("section")), F.lit(": ")), F.lit("")), "doc"))

@@ -43,3 +43,8 @@ def write_trace(steps: DataFrame, path: str) -> None:
 def gate(violations: DataFrame) -> bool:
     """Whether a run passes: no violation row. Reads at most one."""
     return violations.limit(1).count() == 0
+
+
+def write_raw(fetched: DataFrame, path: str) -> None:
+    """Bodies with what is known of them (url, final_url, status, content_type, fetched_at, body), by the day they were read."""
+    fetched.withColumn("day", F.to_date("fetched_at")).write.mode("append").partitionBy("day").parquet(path)
