@@ -75,28 +75,33 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 2_00
 TOGETHER = 128
 
 
+#: Keys, at most, that split_join deals out.
+MOST_SPLIT = 2000
+
+
 def split_join(left: DataFrame, right: DataFrame, key: str, by, how: str = "inner", counted: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Equi-join (inner or left) of rows that may pile up on a key against one row per key.
+    """Equi-join (inner or left) of rows that may pile up on a whole-number key against one row per key.
 
-    A key with more than TOGETHER rows is dealt, by the hash of `by`, over as many salts as it has that many rows,
-    and its one row on the right is repeated for each; so the right side grows by less than a hundredth of the left
-    one. Only the 2 * partitions most frequent keys count: a further one has less than half a task's rows. Their
-    counts, a bounded number of rows, are collected and broadcast. `counted`: a written table with the keys of left;
-    `counts`: (key, __n), where they are known.
+    A key with more than TOGETHER rows is dealt, by the hash of `by`, over about as many salts as it has that many rows,
+    and its one row on the right is repeated for each; so the right side grows by little beside the left one. Only the
+    most frequent keys count, twice the partitions or MOST_SPLIT: a further one has few rows beside a task's. They
+    are collected, a bounded number, and stand in the plan as sets of literals. `counted`: a written table with the
+    keys of left; `counts`: (key, __n), where they are known.
     """
-    spark = left.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:
         counts = (left if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.where((F.col("__n") > TOGETHER) & F.col(key).isNotNull()).orderBy(F.desc("__n")).limit(2 * parts).collect()
+    hot = counts.where((F.col("__n") > TOGETHER) & F.col(key).isNotNull()).orderBy(F.desc("__n")).limit(min(2 * parts, MOST_SPLIT)).collect()
     if not hot:
         return left.join(right, key, how)
-    kind = left.schema[key].dataType.simpleString()
-    salts = F.broadcast(spark.createDataFrame([(r[key], min(4 * parts, -(-r["__n"] // TOGETHER))) for r in hot], f"{key} {kind}, __salts int"))
-    l = left.join(salts, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
-    piled = F.col(key).isin([r[key] for r in hot])
-    r = right.where(~piled | F.col(key).isNull()).withColumn("__salt", F.lit(0))
-    r = r.unionByName(right.where(piled).join(salts, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts"))
+    by_salts: dict[int, list[int]] = {}
+    for r in hot:
+        by_salts.setdefault(min(1 << (r["__n"] // TOGETHER).bit_length(), 4 * parts), []).append(r[key])
+    salts = F.lit(1)
+    for n, keys in by_salts.items():
+        salts = F.when(F.col(key).isin(keys), n).otherwise(salts)
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(by), salts).cast("int"))
+    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return l.join(r, [key, "__salt"], how).drop("__salt")
 
 

@@ -128,8 +128,8 @@ def _entries_batch(key, sid, n) -> pa.RecordBatch:
 class Lists:
     """The lists of one bucket. wanted(n): keys that a pair must share, by the size of its smaller set."""
 
-    def __init__(self, pct: int, wanted, long_list: int, dense: int, each: int):
-        self.pct, self.wanted, self.long_list, self.dense, self.each = pct, wanted, long_list, dense, each
+    def __init__(self, pct: int, wanted, bits: int, long_list: int, dense: int, each: int, further: bool):
+        self.pct, self.wanted, self.bits, self.long_list, self.dense, self.each, self.further = pct, wanted, bits, long_list, dense, each, further
         self.clear()
 
     def clear(self):
@@ -150,7 +150,7 @@ class Lists:
         key, sid, wide, n, dn, p, linked = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         marks = sid == 0
         self.hot = np.union1d(self.hot, key[marks])
-        order = np.lexsort((sid, n, key))
+        order = self._order(key, sid, n)
         order = order[~marks[order]]
         key, sid, wide, n, dn, p, linked = (x[order] for x in (key, sid, wide, n, dn, p, linked))
         fresh = np.ones(len(key), bool)
@@ -181,6 +181,19 @@ class Lists:
         if rows.any():
             yield _entries_batch(key[rows], sid[rows], n[rows])
 
+    def _order(self, key, sid, n):
+        """By (key, n, sid): one sort of key and n together, as the bucket's bits of a key are known and its last 16 are empty."""
+        room = 16 + self.bits
+        both = key << _U(self.bits) | np.minimum(n, (1 << room) - 1).astype(np.uint64)
+        order = np.argsort(both)
+        sorted_both = both[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = sorted_both[1:] == sorted_both[:-1]
+        same[:-1] |= same[1:]
+        tied = np.flatnonzero(same)
+        order[tied] = order[tied][np.lexsort((sid[order[tied]], n[order[tied]], sorted_both[tied]))]
+        return order
+
     def _subsets(self, key, sid, n, p):
         """A key belongs to one pair of sizes, s and t: a set of s members links with the least set of t, and the other way."""
         t = -1 - p
@@ -213,7 +226,7 @@ class Lists:
             w = self.wanted(n1)
             differ = p[i] + p[j] + np.abs((dn[i] - p[i]) - (dn[j] - p[j])) - 2 * (w - 1)
             most_apart = n1 + n2 - 2 * need(n1, n2, self.pct)
-            ok = (differ <= most_apart) & (S.apart(sid[i], sid[j], n1, n2, wide[i], wide[j]) <= most_apart) & ((linked[i] & linked[j]) == 0)
+            ok = (differ <= most_apart) & (S.apart(sid[i], sid[j], n1, n2, wide[i], wide[j], self.further) <= most_apart) & ((linked[i] & linked[j]) == 0)
             i, j, w = i[ok], j[ok], w[ok]
             if len(i):
                 made += np.bincount(run[i], minlength=len(c))
@@ -231,11 +244,11 @@ class Lists:
         return dense
 
 
-def read_lists(pct: int, wanted, bits: int, long_list: int, dense: int, each: int):
+def read_lists(pct: int, wanted, bits: int, long_list: int, dense: int, each: int, further: bool):
     """For mapInArrow over rows (bucket, blob) sorted by bucket: FOUND rows, pairs (key null) or entries of long lists (a is the set)."""
 
     def run(batches):
-        lists, now = Lists(pct, wanted, long_list, dense, each), -1
+        lists, now = Lists(pct, wanted, bits, long_list, dense, each, further), -1
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now:

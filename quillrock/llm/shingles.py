@@ -185,11 +185,20 @@ def wide_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> np.ndarray:
-    """Members, at least, in which sets differ, by ids, sizes and further parities (0: not known)."""
+def parities(members: np.ndarray) -> np.uint64:
+    """Parities of one set over 64 slots of their own; they do not add to those of an id."""
+    return np.bitwise_xor.reduce(_U(1) << (mix(members + _U(0xD1B54A32D192ED03)) >> _U(58)))
+
+
+def apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, wx: np.ndarray, wy: np.ndarray, further: bool) -> np.ndarray:
+    """Members, at least, in which sets differ, by ids, sizes and other parities (0: not known).
+
+    The others are the ids' further ones (`wide_of`), or parities over slots of their own.
+    """
     own = np.bitwise_count((x ^ y).view(np.uint64) >> _U(64 - PARITY)).astype(np.int64)
     more = np.where((wx != 0) & (wy != 0), np.bitwise_count(wx ^ wy), 0)
-    return np.where((nx >= WIDE) == (ny >= WIDE), own + more, 0)
+    alike = (nx >= WIDE) == (ny >= WIDE)
+    return np.where(alike, own + more, 0) if further else np.maximum(np.where(alike, own, 0), more)
 
 
 class Sketch:

@@ -334,7 +334,7 @@ def differences(rarity, pct: int, bits: int, long_list: int):
                 order = np.lexsort((d, S.rank_at(d, ranks), np.isin(d, mb, assume_unique=True)))[: most + 1]
                 m = len(order)
                 key = S.mix(d[order] + np.uint64(b * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                yield from blobs(packer.add(key, np.full(m, a), np.zeros(m), np.full(m, na), np.full(m, len(d)), np.arange(m), np.full(m, linked)))
+                yield from blobs(packer.add(key, np.full(m, a), np.full(m, S.parities(ma)), np.full(m, na), np.full(m, len(d)), np.arange(m), np.full(m, linked)))
             if near:
                 x, y = zip(*near, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())], out)
@@ -422,7 +422,7 @@ class Joined:
         """
         name, limits = f"found{turn}", (self.long_list << turn, self.dense, P.EACH << 2 * turn)
         dealt = blobs.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-        found = self.scratch.table(dealt.mapInArrow(P.read_lists(self.pct, wanted, bits, *limits), P.FOUND), name)
+        found = self.scratch.table(dealt.mapInArrow(P.read_lists(self.pct, wanted, bits, *limits, turn == 0), P.FOUND), name)
         return found.where("key is null").select("a", "b", "m", "w"), found.where("key is not null").select("key", F.col("a").alias("sid"), "n").distinct()
 
     def rounds(self, hubs) -> None:
