@@ -26,20 +26,30 @@ def _hubs(long: DataFrame) -> DataFrame:
     return long.groupBy("sid").agg((-F.count(F.lit(1))).alias("o"))
 
 
+def _few(pairs: DataFrame) -> DataFrame:
+    """Of each set its pairs with the least and the greatest partner: at most four a set, and enough to join most groups."""
+    ends = lambda one, other: pairs.groupBy(one).agg(F.min(other).alias("x"), F.max(other).alias("y")).select(F.col(one).alias("s"), F.explode(F.array("x", "y")).alias("t"))
+    both = ends("a", "b").unionByName(ends("b", "a"))
+    return both.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
+
 def links(joined: Joined, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(a, b) links between distinct sets, enough to span every component; and the components.
 
-    What hubs have joined comes first; candidate pairs are verified only between its components.
+    Where hubs were needed, what they have joined comes first, with a few verified pairs of each set; the other
+    candidate pairs are verified only between the components that these make.
     """
     joined.rounds(_hubs)
     if not joined.near.limit(1).count():
         sure = joined.verified(joined.pairs, "links")
         return sure, components(sure, scratch, "cc")
-    first = components(joined.near, scratch, "cc1")
+    some = joined.verified(scratch.table(_few(joined.pairs), "few"), "first")
+    near = scratch.table(joined.near.unionByName(some).distinct(), "joined")
+    first = components(near, scratch, "cc1")
     ends = split_join(joined.pairs, first.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", F.col("b"), "left")
     ends = split_join(ends, first.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", F.col("a"), "left", counted=joined.pairs)
     open_pairs = scratch.table(ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open")
-    sure = scratch.table(joined.verified(open_pairs, "sure").unionByName(joined.near), "links")
+    sure = scratch.table(joined.verified(open_pairs, "sure").unionByName(near), "links")
     return sure, components(sure, scratch, "cc2")
 
 

@@ -438,7 +438,7 @@ class Joined:
                 listed = scratch.table(self.members.join(long.select("sid").distinct(), "sid", "left_semi"), "listed")
             star = scratch.table(hub_pairs(long, hubs(long), scratch, str(turn)), f"star{turn}")
             # few buckets for few entries: a pair that shares several keys of a bucket is given once
-            bits = min(20, (star.count() // 1000).bit_length())
+            bits = min(20, (star.count() // 8000).bit_length())
             step = scratch.table(self._both(star, listed).mapInArrow(differences(self.rarity, pct, bits, self.long_list << turn + 1), f"a long, b long, {P.BLOBS}"), f"step{turn}")
             near.append(step.where("bucket is null").select("a", "b"))
             turn += 1
