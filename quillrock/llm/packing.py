@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, worker_state
 
 #: Words that a worker remembers, and the longest of them in bytes.
-_CACHE = 400_000
-_LONGEST = 48
+_CACHE = 800_000
+_LONGEST = 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 DEAL_BITS = 40
 
