@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
+#: While it is set, Spark deletes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written under spark.checkpoint.dir, so that no lineage or executor-local block is needed.
 
@@ -31,19 +35,31 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillrock-")
         ship(spark)
-        self.spark, self.root = spark, f"{base.rstrip('/')}/quillrock/{label}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.names = spark, f"{base.rstrip('/')}/quillrock/{label}-{uuid.uuid4().hex[:12]}", set()
         atexit.register(self.clear)
 
     def table(self, df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
+        """df, written and read again. What the write shuffled is deleted with its end: the table takes its place."""
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+        was = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
             self._delete(f"{self.root}/{name}")
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete every table but these."""
+        self.drop(*sorted(self.names.difference(names)))
 
     def clear(self) -> None:
         try:

@@ -59,7 +59,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, boun
     _, comp = links(joined, scratch)
     units = joined.units.select("id", "h", "n", "sid")
     full = split_join(units.where("n > 0"), comp, "sid", F.col("id"), "left").select("id", "h", "n", F.coalesce("comp", "sid").alias("c"))
-    return scratch, units, scratch.table(full, "classes")
+    full = scratch.table(full, "classes")
+    scratch.keep("units", "classes")
+    return scratch, units, full
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, pct: int = 80) -> DataFrame:

@@ -21,7 +21,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 _BYTE = mix(np.arange(1, 257).astype(np.uint64))
-_BLOCK = 1 << 20
+#: Bytes hashed at a time: few enough for a core's cache.
+_BLOCK = 1 << 15
 
 
 #: An odd factor, its inverse modulo 2 ** 64, and the powers of both for the places of a block.

@@ -451,7 +451,7 @@ class Joined:
         empty = self.pairs.where("false")
         self.near = scratch.table(_union(near).distinct(), "near") if near else empty
         self.rarity.unpersist()
-        scratch.drop("listed", *(f"{x}{i}" for x in ("found", "long", "star", "step") for i in range(turn + 1)))
+        scratch.drop("listed", *(f"{x}{i}" for x in ("found", "long", "star", "step", "order", "hubs") for i in range(turn + 1)))
 
     def _gather(self, sids: DataFrame) -> None:
         """Members of the sets of sids, by one more scan; the bitmap has 16 bits a set, up to 16 MB."""
