@@ -346,6 +346,8 @@ def differences(rarity, pct: int, bits: int, long_list: int):
 
 #: Sets, and lists, up to which their order is broadcast, 16 bytes each; beyond it they are joined.
 ORDERED = 2_000_000
+#: Sets up to which their ids are broadcast to find their members, some 60 bytes each; beyond it they are joined.
+FEW = 1_000_000
 
 
 def _map_of(df: DataFrame, column: str):
@@ -435,7 +437,7 @@ class Joined:
         while long.limit(1).count():
             if self.members is None:
                 self._gather(many[0].select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")))
-                listed = scratch.table(self.members.join(long.select("sid").distinct(), "sid", "left_semi"), "listed")
+                listed = scratch.table(self._of(scratch.table(long.select("sid").distinct(), "inlists")), "listed")
             star = scratch.table(hub_pairs(long, hubs(long), scratch, str(turn)), f"star{turn}")
             # few buckets for few entries: a pair that shares several keys of a bucket is given once
             bits = min(20, (star.count() // 1000).bit_length())
@@ -451,7 +453,7 @@ class Joined:
         empty = self.pairs.where("false")
         self.near = scratch.table(_union(near).distinct(), "near") if near else empty
         self.rarity.unpersist()
-        scratch.drop("listed", *(f"{x}{i}" for x in ("found", "long", "star", "step", "order", "hubs") for i in range(turn + 1)))
+        scratch.drop("listed", "inlists", *(f"{x}{i}" for x in ("found", "long", "star", "step", "order", "hubs") for i in range(turn + 1)))
 
     def _gather(self, sids: DataFrame) -> None:
         """Members of the sets of sids, by one more scan; the bitmap has 16 bits a set, up to 16 MB."""
@@ -461,6 +463,10 @@ class Joined:
         self.members = self.scratch.table(scan_members(self.df, self.cut, self.k, bitmap, bits, self.least), "members")
         bitmap.unpersist()
 
+    def _of(self, sids: DataFrame) -> DataFrame:
+        """The members of a written table of sets: all members are shuffled only if there are more than FEW sets."""
+        return self.members.join(F.broadcast(sids) if sids.count() <= FEW else sids, "sid", "left_semi")
+
     def _both(self, pairs: DataFrame, m: DataFrame) -> DataFrame:
         """(a, b, ma, mb) of a written table of pairs; a set that is in many pairs is spread over tasks."""
         out = split_join(pairs.select("a", "b"), m.select(F.col("sid").alias("a"), F.col("members").alias("ma")), "a", F.col("b"))
