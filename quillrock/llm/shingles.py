@@ -137,29 +137,20 @@ def word_bags(flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(fresh, h, mix(h + nth * _U(0xA0761D6478BD642F))), h, np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
 
 
-#: Bits of a set's id that are parities of its members, by hash; the other bits are a hash of the members.
-PARITY = 40
-#: Sets of so many members or more spread their parities over 64 further bits, which are kept beside the id (`wide_of`).
+#: Parities of a set's members by hash: over OWN slots for every set, and over 64 further ones for sets of WIDE members or more.
+OWN = 32
 WIDE = 40
 
 
-_AT = np.arange(PARITY + 64)
-_OWN = np.where(_AT < PARITY, _U(1) << (_AT % 64).astype(np.uint64), _U(0))
-_FURTHER = np.where(_AT >= PARITY, _U(1) << ((_AT - PARITY) % 64).astype(np.uint64), _U(0))
-
-
-def _parities(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parities over PARITY + 64 slots of the mixed members of sets that begin at `at`."""
-    slot = ((m >> _U(32)) * _U(PARITY + 64) >> _U(32)).astype(np.int64)
-    return np.bitwise_xor.reduceat(_OWN[slot], at), np.bitwise_xor.reduceat(_FURTHER[slot], at)
+_AT = np.arange(OWN + 64)
+_NEAR = np.where(_AT < OWN, _U(1) << (_AT % 64).astype(np.uint64), _U(0))
+_FURTHER = np.where(_AT >= OWN, _U(1) << ((_AT - OWN) % 64).astype(np.uint64), _U(0))
 
 
 def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set, or of each bag of words in any order, that depends on its members only; 0 for an empty set.
+    """A 64-bit hash of all members of each set, or of each bag of words in any order; 0 for an empty set only.
 
-    The upper PARITY bits say whether an odd number of members falls on each of so many hash values, so two sets
-    differ in at least as many members as these bits (`apart`). Sets below WIDE fold their further parities into
-    them. Sums and parities count repeated members, so a bag needs no sorting.
+    It mixes two sums of differently mixed members with their number; repeated members count, so a bag needs no sorting.
     """
     n = np.diff(offsets)
     out = np.zeros(len(n), np.uint64)
@@ -167,39 +158,36 @@ def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(full):
         m = mix(h + _U(0x632BE59BD9B4E019))
         at = offsets[:-1][full]
-        parity, more = _parities(m, at)
-        fold = more & _U((1 << PARITY) - 1) ^ more >> _U(PARITY)
-        parity = np.where(n[full] < WIDE, parity ^ fold, parity)
         s, x = np.add.reduceat(m, at), np.add.reduceat((m ^ m >> _U(29)) * _U(0xA0761D6478BD642F), at)
-        low = mix(s * _U(0x9E3779B97F4A7C15) + (x ^ n[full].astype(np.uint64))) >> _U(PARITY)
-        out[full] = parity << _U(64 - PARITY) | low
+        ids = mix(mix(s) * _U(0x9E3779B97F4A7C15) + (x ^ n[full].astype(np.uint64)))
+        out[full] = np.where(ids == 0, _U(1), ids)
     return out.view(np.int64)
 
 
-def wide_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The further parities of sets of n members each, h in order; 0 for sets below WIDE."""
-    out = np.zeros(len(n), np.uint64)
-    full = np.flatnonzero(n)
-    if len(full):
-        out[full] = _parities(mix(h + _U(0x632BE59BD9B4E019)), (np.cumsum(n) - n)[full])[1]
-    out[n < WIDE] = 0
-    return out
-
-
-def parities(members: np.ndarray) -> np.uint64:
-    """Parities of one set over 64 slots of their own; they do not add to those of an id."""
-    return np.bitwise_xor.reduce(_U(1) << (mix(members + _U(0xD1B54A32D192ED03)) >> _U(58)))
-
-
-def apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, wx: np.ndarray, wy: np.ndarray, further: bool) -> np.ndarray:
-    """Members, at least, in which sets differ, by ids, sizes and other parities (0: not known).
+def parities(h: np.ndarray, n: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Parities (own, further) of sets of n members each, h in order: bits that say whether an odd number falls on a slot.
 
-    The others are the ids' further ones (`wide_of`), or parities over slots of their own.
+    Two sets differ in at least as many members as bits (`apart`). With fold, sets below WIDE have their further
+    parities folded into their own.
     """
-    own = np.bitwise_count((x ^ y).view(np.uint64) >> _U(64 - PARITY)).astype(np.int64)
-    more = np.where((wx != 0) & (wy != 0), np.bitwise_count(wx ^ wy), 0)
-    alike = (nx >= WIDE) == (ny >= WIDE)
-    return np.where(alike, own + more, 0) if further else np.maximum(np.where(alike, own, 0), more)
+    own, more = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        m = mix(h + _U(0x632BE59BD9B4E019))
+        slot = ((m >> _U(32)) * _U(OWN + 64) >> _U(32)).astype(np.int64)
+        at = (np.cumsum(n) - n)[full]
+        own[full], more[full] = np.bitwise_xor.reduceat(_NEAR[slot], at), np.bitwise_xor.reduceat(_FURTHER[slot], at)
+    if fold:
+        small = n < WIDE
+        own[small] ^= more[small] & _U((1 << OWN) - 1) ^ more[small] >> _U(OWN)
+        more[small] = 0
+    return own.astype(np.uint32), more
+
+
+def apart(ox: np.ndarray, oy: np.ndarray, nx: np.ndarray, ny: np.ndarray, wx: np.ndarray, wy: np.ndarray, fold: bool) -> np.ndarray:
+    """Members, at least, in which sets differ, by their parities and sizes; folded ones compare with folded ones only."""
+    bits = np.bitwise_count(ox ^ oy).astype(np.int64) + np.bitwise_count(wx ^ wy)
+    return np.where((nx >= WIDE) == (ny >= WIDE), bits, 0) if fold else bits
 
 
 class Sketch:

@@ -229,7 +229,7 @@ def scan_keys(df: DataFrame, cut, k: int | None, pct: int, rarity, boundary: int
                 if keys:
                     key, p = zip(*keys, strict=True)
                     m, n = len(keys), int(sets.n[i])
-                    yield from packer.add(key, np.full(m, sets.sids[i]), np.zeros(m), np.full(m, n), np.full(m, n), p, np.zeros(m))
+                    yield from packer.add(key, np.full(m, sets.sids[i]), np.zeros(m), np.zeros(m), np.full(m, n), np.full(m, n), p, np.zeros(m))
             # sets of the boundary that may have a partner above it are listed as well
             use = use[100 * (sets.n[use]) >= pct * (boundary + 1)]
             if not len(use):
@@ -237,8 +237,9 @@ def scan_keys(df: DataFrame, cut, k: int | None, pct: int, rarity, boundary: int
             h, words, n = sets.take(use)
             unit = np.repeat(np.arange(len(use)), n)
             rank = S.rank_at(words, ranks)
-            # sets of shingles are too large for parities to tell them apart
-            wide = S.wide_of(words, n) if k is None else np.zeros(len(n), np.uint64)
+            own, wide = S.parities(words, n)
+            if k is not None:  # sets of shingles are too large for further parities to tell them apart
+                wide[:] = 0
             order = S.ordered(unit, h, rank)
             h, rank, place = h[order], rank[order], np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             if k is None:
@@ -247,7 +248,7 @@ def scan_keys(df: DataFrame, cut, k: int | None, pct: int, rarity, boundary: int
                 at = np.flatnonzero(place < np.repeat(n - -(-pct * n // 100) + shared(n), n))
                 key = h[at]
             size = n[unit[at]]
-            yield from packer.add(key, sets.sids[use][unit[at]], wide[unit[at]], size, size, place[at], np.zeros(len(at)))
+            yield from packer.add(key, sets.sids[use][unit[at]], own[unit[at]], wide[unit[at]], size, size, place[at], np.zeros(len(at)))
         yield from packer.end()
         del packer, fresh
         trim()
@@ -334,7 +335,8 @@ def differences(rarity, pct: int, bits: int, long_list: int):
                 order = np.lexsort((d, S.rank_at(d, ranks), np.isin(d, mb, assume_unique=True)))[: most + 1]
                 m = len(order)
                 key = S.mix(d[order] + np.uint64(b * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                yield from blobs(packer.add(key, np.full(m, a), np.full(m, S.parities(ma)), np.full(m, na), np.full(m, len(d)), np.arange(m), np.full(m, linked)))
+                (own,), (wide,) = S.parities(ma, np.array([na]), fold=False)
+                yield from blobs(packer.add(key, np.full(m, a), np.full(m, own), np.full(m, wide), np.full(m, na), np.full(m, len(d)), np.arange(m), np.full(m, linked)))
             if near:
                 x, y = zip(*near, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())], out)

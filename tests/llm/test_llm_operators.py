@@ -313,6 +313,28 @@ def test_line_dedup_one_word_changed(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}[2] == "rest"
 
 
+def test_different_short_texts_are_not_taken_for_equal(spark):
+    """Probes that shared an id while ids were mostly parities."""
+    docs = spark.createDataFrame([(1, "note 129284 ends here"), (2, "note 157564 ends here")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.ngram_components(docs).collect()) == [(1, 1, 1), (2, 1, 2)]
+    assert ngram_join.keep_one_of_each(docs).count() == 2
+    docs = spark.createDataFrame([(1, "w938780840\nfirst line of one"), (2, "w522545185\nsecond text of two"), (3, "w539402815 w266257171"), (4, "w787110513 w372791662")], "doc_id long, text string")
+    assert all(r.removed_lines == [] for r in line_dedup.dedup_lines(docs).collect())
+
+
+@pytest.mark.parametrize("few,ordered", [(3, 2), (1_000_000, 2), (3, 2_000_000)])
+def test_hubs_beyond_what_is_broadcast(spark, monkeypatch, few, ordered):
+    """The joins that take the place of broadcast ids and orders give the same results."""
+    monkeypatch.setattr(simjoin, "FEW", few)
+    monkeypatch.setattr(simjoin, "ORDERED", ordered)
+    monkeypatch.setattr(postings, "LONG_LIST", 8)
+    monkeypatch.setattr(postings, "DENSE", 4)
+    df = spark.createDataFrame(near_group(40, 60, 4, 5), "doc_id long, text string")
+    assert Counter(map(tuple, ngram_join.ngram_components(df, boundary=0).collect())) == classes(df.collect(), 4, 85)
+    want = bag_gone(df.collect())
+    assert {(r.doc_id, r.text): r.removed_lines for r in line_dedup.dedup_lines(df, out="clean").collect() if r.removed_lines} == want
+
+
 def stats(t):
     w, b = (t or "").encode().split(), (t or "").encode()
     win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]

@@ -38,3 +38,36 @@ def test_order_is_full_where_prefixes_tie():
     for h in (rng.integers(0, 2**63, 1000).astype(np.uint64), np.arange(1000, 0, -1).astype(np.uint64)):
         assert (S.ordered(unit, h, count) == np.lexsort((h, count, unit))).all()
         assert (h[S.ordered(unit, h)] == h[np.lexsort((h, unit))]).all()
+
+
+def test_ids_of_many_short_units_differ():
+    """Ids are 64 bits of all members, however few these are."""
+    for make, k, n in ((lambda i: b"w%d" % (i * 7919), None, 200_000), (lambda i: b"a%d b%d" % (i * 31, i * 17), None, 400_000), (lambda i: b"note %d ends here" % i, 4, 200_000)):
+        units = [make(i) for i in range(n)]
+        if k is None:
+            h, lens = S.word_hashes(units)
+            offsets = np.concatenate(([0], np.cumsum(lens)))
+        else:
+            h, offsets = S.shingle_sets(units, k)
+        ids = S.set_ids(h, offsets)
+        assert len(np.unique(ids)) == n and not (ids == 0).any()
+        # every eighth of the id's bits is used
+        assert all(len(np.unique((ids.view(np.uint64) >> np.uint64(8 * i)) & np.uint64(255))) == 256 for i in range(8))
+
+
+def test_ids_of_bags_ignore_order_and_count_repeats():
+    h, lens = S.word_hashes([b"a b b", b"b a b", b"a b", b"a a b", b""])
+    ids = S.set_ids(h, np.concatenate(([0], np.cumsum(lens)))).tolist()
+    assert ids[0] == ids[1] and len(set(ids)) == 4 and ids[4] == 0
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for fold in (True, False):
+        for _ in range(300):
+            x = set(rng.integers(0, 2**40, int(rng.integers(1, 120))).tolist())
+            y = set(list(x)[: int(rng.integers(0, len(x) + 1))]) | set(rng.integers(0, 2**40, int(rng.integers(1, 30))).tolist())
+            sets = [np.array(sorted(s), np.uint64) for s in (x, y)]
+            n = np.array([len(s) for s in sets])
+            own, wide = S.parities(np.concatenate(sets), n, fold)
+            assert S.apart(own[:1], own[1:], n[:1], n[1:], wide[:1], wide[1:], fold)[0] <= len(x ^ y)
