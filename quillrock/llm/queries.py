@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, token_counts, topk, toxicity
+from . import line_dedup, merkle, mixing, ngram_join, packing, pii, quality, secret_scan, token_counts, topk, toxicity, url_filter, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -76,6 +76,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=merkle.lowered(F.col("doc_id"), F.col("text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_pii, op3_temperature_mix, op4_quality_outliers, op5_best_fit_packing, op6_ngram_jaccard, op7_toxicity, op8_token_counts, op9_exact_topk, op10_line_dedup, pipeline)
+    for f in (op1_secret_scan, op2_pii, op3_temperature_mix, op4_quality_outliers, op5_best_fit_packing, op6_ngram_jaccard, op7_toxicity, op8_token_counts, op9_exact_topk, op10_line_dedup, op11_url_filter, op12_embedding_whitening, op13_merkle_manifest, pipeline)
 }
 
-ORACLES: dict[str, str] = {"op6_ngram_jaccard": ngram_join.ORACLE, "op9_exact_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op6_ngram_jaccard": ngram_join.ORACLE, "op9_exact_topk": topk.ORACLE, "op11_url_filter": url_filter.ORACLE}
