@@ -12,6 +12,11 @@ variants array<struct<variant_id:string,label_en:string,label_bn:string,required
 fees array<struct<fee_key:string,label_en:string,label_bn:string,amount_bdt:decimal(18,2),includes_vat:boolean,source_url:string,source_document:string,source_last_updated:date,raw_text:string,verification:struct<status:string,verified_by:string,verified_date:date,method:string>>>,
 office_location string, contact string, apply_portal string, source_url string, last_scraped_date date, source_last_updated date,
 verification struct<status:string,verified_by:string,verified_date:date,method:string>, notes array<string>"""
+FIELDS = (
+    "category", "service_name_en", "service_name_bn", "office", "locality", "variants", "fees", "office_location", "contact", "apply_portal", "source_url", "last_scraped_date",
+    "source_last_updated", "verification", "notes",
+)
+STALE_DAYS = 90
 
 
 def chunks(records: DataFrame) -> DataFrame:
@@ -36,9 +41,9 @@ def chunks(records: DataFrame) -> DataFrame:
     return records.select("category", F.explode(parts).alias("c")).select("c.id", "category", "c.chunk_kind", "c.text")
 
 
-def violations(records: DataFrame, valid: DataFrame) -> DataFrame:
-    """(category, rule) for each broken rule of a record or a fee; an empty result passes."""
-    unknown = records.join(valid.select(F.col("id").alias("category")), "category", "left_anti").select("category", F.lit("unknown_category").alias("rule"))
+def broken_rules(records: DataFrame) -> DataFrame:
+    """(category, rule) for each broken rule of a fee or a record's source."""
+    url = filled(F.col("source_url")).isNull()
     fee = records.select("category", F.explode("fees").alias("f"))
     broken = fee.select(
         "category",
@@ -48,8 +53,13 @@ def violations(records: DataFrame, valid: DataFrame) -> DataFrame:
             F.when(F.col("f.amount_bdt").isNotNull() & filled(F.col("f.source_url")).isNull(), "fee_without_source"),
         ), lambda r: r.isNotNull())).alias("rule"),
     )
-    source = records.where(filled(F.col("source_url")).isNull()).select("category", F.lit("record_without_source").alias("rule"))
-    return unknown.unionByName(broken).unionByName(source)
+    return broken.unionByName(records.where(url).select("category", F.lit("record_without_source").alias("rule")))
+
+
+def violations(records: DataFrame, valid: DataFrame) -> DataFrame:
+    """(category, rule) for each broken rule of a record or a fee, and for unknown categories; an empty result passes."""
+    unknown = records.join(valid.select(F.col("id").alias("category")), "category", "left_anti").select("category", F.lit("unknown_category").alias("rule"))
+    return unknown.unionByName(broken_rules(records))
 
 
 def scam_texts(records: DataFrame, words: tuple[str, ...], exempt: str) -> DataFrame:
@@ -59,7 +69,7 @@ def scam_texts(records: DataFrame, words: tuple[str, ...], exempt: str) -> DataF
     return records.where(~F.contains(blob, F.lit(exempt))).select("category", F.explode(found).alias("w")).select("category", F.concat(F.lit("scam_text:"), "w").alias("rule"))
 
 
-def warnings(records: DataFrame, today: Column, days: int = 90) -> DataFrame:
+def warnings(records: DataFrame, today: Column, days: int = STALE_DAYS) -> DataFrame:
     """(category, rule): old sources of records and of fees with an amount, and read records without a date."""
     age = F.datediff(today, "source_last_updated")
     own = F.when(F.col("source_last_updated").isNull() & (F.col("verification.status") != "unverified"), "undated_record").when(age > days, "old_record")
