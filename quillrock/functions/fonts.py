@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import squeeze
+
 #: Bengali signs that are written before their consonant, two-part signs by their tail, and the mark that joins consonants (fixed values).
 BEFORE = "িেৈ"
 TAILS = {"া": "ো", "ৗ": "ৌ"}
@@ -24,7 +26,12 @@ LETTER = "[ক-হৎড়-য়]"
 CLUSTER = f"{LETTER}(?:{JOIN}{LETTER})*"
 #: What an extractor writes for a glyph that it cannot map (fixed format).
 GLYPH = re.compile(r"\(cid:\d+\)")
-PLAIN = set(" \t\n\r.,:;()[]/%-–—\"'")
+#: ASCII marks that legacy text holds as they are (fixed values).
+MARKS = set(" \t\n\r.,:;()[]/%-\"'")
+#: Code points that only legacy fonts put into Latin text (fixed values).
+JUNK = "[†‡¶¸©®÷¤×Ÿ„‹›Œž¥£¢±º»½¾]"
+#: Known share of glyphs from which a decoded text is taken.
+ENOUGH = 0.7
 
 _VISUAL = re.compile(f"([{BEFORE}])({CLUSTER})([{''.join(TAILS)}]?)")
 
@@ -41,11 +48,11 @@ def logical(text: str) -> str:
     return _VISUAL.sub(turn, text)
 
 
-_REPH = re.compile(f"({CLUSTER})([া-ৌ]*)র{JOIN}(?!{LETTER})")
+_REPH = re.compile(f"({CLUSTER})([া-ৌ]*)র{JOIN}")
 
 
 def raised_r(text: str) -> str:
-    """The joined r that is typed behind the cluster it is spoken before, put before it."""
+    """The joined r that is typed behind the cluster it is spoken before, put before it, inside a word as at its end."""
     return _REPH.sub(lambda m: f"র{JOIN}{m[1]}{m[2]}", text)
 
 
@@ -63,7 +70,7 @@ class Decoder:
             if t in self.table:
                 yield self.table[t], True
             else:
-                yield t, not GLYPH.fullmatch(t) and (t.isspace() or t in PLAIN or (t.isascii() and t.isalnum()))
+                yield t, not GLYPH.fullmatch(t) and (t.isspace() or t in MARKS or (t.isascii() and t.isalnum()))
 
     def decode(self, text: str) -> tuple[str, float]:
         """Text in logical order and NFC, and the share of glyphs that were known."""
@@ -96,20 +103,45 @@ def unmapped(line: Column) -> Column:
     return line.contains("(cid:")
 
 
-def encoding(text: Column, is_pdf: Column, coverage: Column, legacy_marks: str, least: int = 40) -> Column:
-    """One of not_a_pdf, empty, legacy_bijoy, legacy_unknown, plain, nikosh_cmap, by script shares of a sample.
+def encoding(text: Column, is_pdf: Column | None = None, corrected: Column | None = None, least: int = 40) -> Column:
+    """One of not_a_pdf, empty, legacy_bijoy, legacy_unknown, plain, nikosh_cmap, by the script of a text.
 
-    legacy_marks: pattern of code points that only the legacy table explains; coverage: its share of known glyphs.
+    is_pdf: whether the body it came from is a PDF (None: it is no matter); corrected: whether its fonts have glyphs whose
+    map is wrong, which alone tells a Bengali text with a broken map from a plain one.
     """
     size = F.greatest(F.length(text), F.lit(1))
-    bengali = F.regexp_count(text, F.lit("[ঀ-৿]")) / size
+    bengali = F.regexp_count(text, F.lit("[\u0980-\u09ff]")) / size
     words = F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), 0)
     wordish = F.size(F.filter(words, lambda x: x.rlike("[aeiouAEIOU]") & (F.length(x) <= 14))) / F.greatest(F.size(words), F.lit(1))
-    return (
-        F.when(~is_pdf, "not_a_pdf").when(F.length(F.trim(text)) < least, "empty").when(bengali > 0.05, "nikosh_cmap")
-        .when(F.regexp_count(text, F.lit(legacy_marks)) / size > 0.02, F.when(coverage >= 0.7, "legacy_bijoy").otherwise("legacy_unknown"))
-        .when((F.size(words) >= 20) & (wordish < 0.55), "legacy_unknown").otherwise("plain")
+    kind = (
+        F.when(text.isNull() | (F.length(squeeze(text)) < least), "empty")
+        .when((bengali < 0.05) & (F.regexp_count(text, F.lit(JUNK)) > 5), "legacy_bijoy")
+        .when((bengali < 0.05) & (F.size(words) >= 20) & (wordish < 0.55), "legacy_unknown")
+        .when((bengali >= 0.05) & F.coalesce(F.lit(False) if corrected is None else corrected, F.lit(False)), "nikosh_cmap").otherwise("plain")
     )
+    return kind if is_pdf is None else F.when(~F.coalesce(is_pdf, F.lit(False)), "not_a_pdf").otherwise(kind)
+
+
+def readable(kind: Column) -> Column:
+    """Classes that a decoder exists for."""
+    return kind.isin("nikosh_cmap", "legacy_bijoy", "plain")
+
+
+def routed(texts: DataFrame, table: dict[str, str], text: str = "text", is_pdf: str | None = None, corrected: str | None = None) -> DataFrame:
+    """texts with `encoding`, `decoded` (null: refused) and `coverage` (of legacy text), each class read by its own decoder.
+
+    Plain text never meets Python: the classes part before the Arrow steps and are put together again behind them.
+    """
+    kind = encoding(F.col(text), None if is_pdf is None else F.col(is_pdf), None if corrected is None else F.col(corrected))
+    named = texts.withColumn("encoding", kind)
+    none, share = F.lit(None).cast("string"), F.lit(None).cast("double")
+    of = lambda *kinds: named.where(F.col("encoding").isin(*kinds))
+    plain = of("plain").withColumns({"decoded": F.col(text), "coverage": share})
+    visual = of("nikosh_cmap").withColumns({"decoded": to_logical(F.col(text)), "coverage": share})
+    legacy = of("legacy_bijoy").withColumn("__d", decode(F.col(text), table))
+    legacy = legacy.withColumns({"decoded": F.when(F.col("__d.coverage") >= ENOUGH, F.col("__d.text")), "coverage": F.col("__d.coverage")}).drop("__d")
+    refused = of("not_a_pdf", "empty", "legacy_unknown").withColumns({"decoded": none, "coverage": share})
+    return plain.unionByName(visual).unionByName(legacy).unionByName(refused)
 
 
 def _text_of(digits: str) -> str:

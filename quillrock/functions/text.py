@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .urls import unquote
+
 BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 #: Decoded in this order, so "&amp;lt;" ends as "<" (fixed values).
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"'))
@@ -36,10 +38,19 @@ def replace_all(c: Column, pairs) -> Column:
     return c
 
 
+def untagged(html: Column) -> Column:
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
+    return F.regexp_replace(bare, r"(?s)<[^>]+>", " ")
+
+
 def visible_text(html: Column) -> Column:
     """Text of a page without scripts and tags; NFC is left to the scan."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    return squeeze(replace_all(F.regexp_replace(bare, r"(?s)<[^>]+>", " "), ENTITIES))
+    return squeeze(replace_all(untagged(html), ENTITIES))
+
+
+def audited_text(html: Column) -> Column:
+    """The same with percent codes decoded, as an audit counts it."""
+    return squeeze(replace_all(unquote(untagged(html)), ENTITIES))
 
 
 def to_ascii_digits(c: Column) -> Column:

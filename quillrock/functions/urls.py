@@ -40,3 +40,9 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href.startswith("/"), F.concat(root, dotless(own), tail))
         .otherwise(F.concat(root, dotless(F.regexp_replace(F.concat(folder, own), "//+", "/")), tail))
     )
+
+
+def unquote(c: Column) -> Column:
+    """Percent codes as UTF-8 text; a plus stays, and so does a percent sign that begins no code."""
+    safe = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(c.contains("%"), F.try_url_decode(safe)).otherwise(c)

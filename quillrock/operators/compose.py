@@ -86,24 +86,37 @@ def full_answers(matched: DataFrame, lang: str = "en", words: dict | None = None
     return matched.select("qid", F.array_join(F.filter(sections, lambda s: s.isNotNull()), "\n\n").alias("answer"))
 
 
-def facts(chunks: Column, record: Column, patterns: Column, most: int = 4) -> Column:
-    """The lines that a text generator may draw on: the first chunks, every fee with its date, every pattern."""
+def facts(chunks: Column, record: Column, patterns: Column, most: int = 4, notes: Column | None = None) -> Column:
+    """The lines that a text generator may draw on: what a record says, the first chunks, every pattern, warnings of its age.
+
+    Of a record: names, office, portal, contact, date, every fee, document and step. A missing part has no line.
+    """
     none = F.array().cast("array<string>")
+    line = lambda mark, c: F.when(record.isNotNull() & filled(c).isNotNull(), F.concat(F.lit(f"{mark} "), c))
+    each = lambda mark, c: F.transform(F.coalesce(c, none), lambda x: F.concat(F.lit(f"{mark} "), x))
     day = lambda d: F.coalesce(d.cast("string"), F.lit("unknown"))
     fee = lambda f: F.concat(F.lit("FEE "), filled(f["label_en"], f["label_bn"], f["fee_key"]), F.lit(": "), amount_text(f["amount_bdt"], F.lit("en")), F.lit(" (source of "), day(f["source_last_updated"]), F.lit(")"))
+    inner = lambda part, field: F.transform(F.flatten(F.transform(record["variants"], lambda v: F.coalesce(v[part], F.array().cast(v_types[part])))), lambda x: x[field])
+    v_types = {"required_docs": "array<struct<doc:string,mandatory:boolean,source_url:string>>", "steps": "array<struct<step:string,where:string,source_url:string>>"}
+    numbered = F.transform(F.coalesce(inner("steps", "step"), none), lambda x, i: F.concat(F.lit("STEP "), (i + 1).cast("string"), F.lit(". "), x))
+    head = F.array(
+        F.when(record.isNotNull(), F.concat(F.lit("SERVICE "), F.concat_ws(" / ", record["service_name_bn"], record["service_name_en"]))), line("OFFICE", record["office"]), line("PORTAL", record["apply_portal"]),
+        line("CONTACT", record["contact"]), F.when(record.isNotNull(), F.concat(F.lit("DATED "), day(record["source_last_updated"]))),
+    )
     parts = F.concat(
-        F.transform(F.slice(F.coalesce(chunks, none), 1, most), lambda c: F.concat(F.lit("CHUNK "), c)),
-        F.coalesce(F.transform(record["fees"], fee), none),
-        F.coalesce(F.transform(patterns, lambda p: F.concat(F.lit("WARNING "), p["claim"])), none),
+        F.filter(head, lambda x: x.isNotNull()), F.coalesce(F.transform(record["fees"], fee), none), each("DOCUMENT", inner("required_docs", "doc")), numbered,
+        each("CHUNK", F.slice(F.coalesce(chunks, none), 1, most)), F.coalesce(F.transform(patterns, lambda p: F.concat(F.lit("WARNING "), p["claim"])), none), each("NOTE", F.lit(None).cast("array<string>") if notes is None else notes),
         F.when(record.isNull(), none).otherwise(F.array(F.concat(F.lit("SOURCE "), record["source_url"]))),
     )
     return F.array_join(parts, "\n")
 
 
-def accepted(generated: Column, facts_block: Column) -> Column:
-    """A generated text if every number in it stands in the facts; else null, and the template answers alone."""
-    loose = F.array_except(number_set(generated), F.array_union(number_set(facts_block), F.array(F.lit(""), F.lit("0"))))
-    return F.when(F.size(loose) == 0, generated)
+def accepted(generated: Column, facts_block: Column, question: Column | None = None) -> Column:
+    """A generated text if every number in it stands in the facts or in the question; else null, and the template answers alone."""
+    known = F.array_union(number_set(F.coalesce(facts_block, F.lit(""))), F.array(F.lit(""), F.lit("0")))
+    if question is not None:
+        known = F.array_union(known, number_set(F.coalesce(question, F.lit(""))))
+    return F.when(F.size(F.array_except(number_set(generated), known)) == 0, generated)
 
 
 def unfolded(markdown: Column) -> Column:

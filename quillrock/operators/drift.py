@@ -29,17 +29,19 @@ def findings(seen: DataFrame) -> DataFrame:
 
     New pages and pages of which only the text changed are no findings.
     """
-    none = F.array().cast("array<bigint>")
-    date = seen.where("dated").select("url", F.lit("source_date").alias("kind"), "was", "now", none.alias("removed"), none.alias("added"))
-    nothing = F.lit(None).cast("date")
-    return date.unionByName(seen.where("priced").select("url", F.lit("amounts").alias("kind"), nothing.alias("was"), nothing.alias("now"), "removed", "added"))
+    none, nothing = F.array().cast("array<bigint>"), F.lit(None).cast("date")
+    row = lambda kind, was, now, removed, added: F.struct(F.lit(kind).alias("kind"), was.alias("was"), now.alias("now"), removed.alias("removed"), added.alias("added"))
+    both = F.array(
+        F.when(F.col("dated"), row("source_date", F.col("was"), F.col("now"), none, none)), F.when(F.col("priced"), row("amounts", nothing, nothing, F.col("removed"), F.col("added"))),
+    )
+    return seen.where("dated or priced").select("url", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("f")).select("url", "f.*")
 
 
 def run_report(seen: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row: pages checked, pages that could not be read, findings, and pages by status."""
+    """One row: pages checked, pages that could not be read, pages with findings, and pages by status."""
     count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
-    told = F.sum(F.col("dated").cast("long") + F.col("priced").cast("long"))
-    return seen.agg(F.count(F.lit(1)).alias("checked"), F.coalesce(told, F.lit(0).cast("long")).alias("findings"), *map(count, ("new", "changed", "text", "identical"))).crossJoin(errors.agg(F.count(F.lit(1)).alias("errors")))
+    told = F.count_if(F.col("dated") | F.col("priced"))
+    return seen.agg(F.count(F.lit(1)).alias("checked"), told.alias("findings"), *map(count, ("new", "changed", "text", "identical"))).crossJoin(errors.agg(F.count(F.lit(1)).alias("errors")))
 
 
 def affected(changes: DataFrame, index: DataFrame) -> DataFrame:

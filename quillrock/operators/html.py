@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import updated_in
-from ..functions.text import nfc, to_ascii_digits, visible_text
+from ..functions.text import audited_text, nfc, to_ascii_digits, visible_text
+from ..functions.urls import resolve  # noqa: F401  resolve is part of what pages offer
 
 #: Words that make a link worth following, and their weights (fixed values).
 KEYWORDS = (
@@ -35,17 +36,6 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return out.where(~F.col("href").rlike("^(?:#|javascript:|mailto:|tel:)"))
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Absolute address of plain, host-relative and scheme-relative references."""
-    root = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:]/)[^/]*$", "")
-    return (
-        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
-    )
-
-
 def best_links(scored: DataFrame) -> DataFrame:
     """(page, target, score, label): per target the best score, then the longest label, then the first."""
     best = F.max_by(F.struct("score", "label"), F.struct("score", F.length("label"), -F.col("pos")))
@@ -68,9 +58,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def followed(links: DataFrame, suffix: str = ".gov.bd") -> DataFrame:
-    """Of resolved links (url, target) those worth a visit: over http(s), and on the page's host, on a host of `suffix`, or a PDF."""
+    """Of resolved links (url, target) those worth a visit: over http(s), and on the page's host, on a host of `suffix`, or a PDF by the address's end."""
     to = host(F.col("target"))
-    return links.where(F.col("target").rlike("(?i)^https?://") & ((to == host(F.col("url"))) | to.endswith(suffix) | is_pdf(F.col("target"))))
+    return links.where(F.col("target").rlike("(?i)^https?://") & ((to == host(F.col("url"))) | to.endswith(suffix) | F.lower("target").endswith(".pdf")))
 
 
 def is_pdf(url: Column) -> Column:
@@ -102,12 +92,23 @@ def table_preview(html: Column, most: tuple[int, int, int] = (3, 12, 6), chars:
 
 
 def signals(pages: DataFrame, least: int = 400) -> DataFrame:
-    """(page_id, title, visible_chars, likely_js, login_wall, n_pdf): a password field makes a login wall; PDFs by their path."""
-    t = visible_text(F.col("html"))
-    pdfs = F.array_distinct(F.filter(F.regexp_extract_all("html", F.lit(r"""(?is)href=["']([^"']+)["']"""), 1), is_pdf))
-    return pages.select(
-        "page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.length(t).cast("long").alias("visible_chars"), (F.length(t) < least).alias("likely_js"),
-        F.col("html").rlike(r"""(?i)type=["']?password""").alias("login_wall"), F.size(pdfs).cast("long").alias("n_pdf"),
+    """What one look at each page says of its source, of pages (page_id, url, html) and, if there, final_url and content_type.
+
+    (page_id, title, visible_chars, bengali_chars, likely_js, login_wall, redirected, n_pdf, pdfs): text is counted of text bodies only, percent
+    codes decoded; only HTML can be a script's shell; a password input makes a login wall; PDFs are links with ".pdf" in
+    them, once each, resolved; a redirect is another address than the asked one but for a final slash.
+    """
+    has = set(pages.columns)
+    final = F.coalesce(F.col("final_url"), F.col("url")) if "final_url" in has else F.col("url")
+    kind = F.trim(F.lower(F.split(F.coalesce("content_type", F.lit("")), ";")[0])) if "content_type" in has else F.lit("text/html")
+    t = F.when(kind.startswith("text/"), audited_text(F.col("html"))).otherwise("")
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)href=["']([^"']+?\.pdf[^"']*)["']"""), 1)
+    seen = pages.select("page_id", "url", final.alias("final"), kind.alias("kind"), "html", F.coalesce(t, F.lit("")).alias("t"), F.array_sort(F.array_distinct(F.transform(found, lambda x: resolve(final, x)))).alias("pdfs"))
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    return seen.select(
+        "page_id", F.left(F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(160)).alias("title"), F.length("t").cast("long").alias("visible_chars"), F.regexp_count("t", F.lit("[\u0980-\u09ff]")).cast("long").alias("bengali_chars"),
+        (F.col("kind").startswith("text/html") & (F.length("t") < least)).alias("likely_js"), F.col("html").rlike(r"""(?i)<input[^>]+type=["']?password""").alias("login_wall"),
+        (bare(F.col("final")) != bare(F.col("url"))).alias("redirected"), F.size("pdfs").cast("long").alias("n_pdf"), "pdfs",
     )
 
 

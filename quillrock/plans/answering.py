@@ -247,20 +247,23 @@ def compose_full_answer(spark, sf_dir):
     return compose.full_answers(m)
 
 
-@query(f"""SELECT d.doc_id, len(list_filter({NUMS.format(c='d.text')}, lambda x: NOT list_contains(list_concat({NUMS.format(c="coalesce(b.text, '')")}, ['', '0']), x))) = 0 AS accepted FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.text IS NOT NULL""")
+@query(f"""SELECT d.doc_id, len(list_filter({NUMS.format(c='d.text')}, lambda x: NOT list_contains(list_concat(list_concat({NUMS.format(c="coalesce(b.text, '')")}, {NUMS.format(c="'over ' || d.doc_id || ' and ' || left(d.text, 200)")}), ['', '0']), x))) = 0 AS accepted FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.text IS NOT NULL""")
 def generated_accepted(spark, sf_dir):
-    """Generated texts stand only if the facts hold all of their numbers."""
+    """Generated texts stand only if facts or question hold all of their numbers."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("facts"))
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     j = d.join(b, F.col("doc_id") % 40 == F.col("item_id"), "left")
-    return j.select("doc_id", compose.accepted(F.col("text"), F.coalesce("facts", F.lit(""))).isNotNull().alias("accepted"))
+    question = F.concat(F.lit("over "), F.col("doc_id").cast("string"), F.lit(" and "), F.left("text", F.lit(200)))
+    return j.select("doc_id", compose.accepted(F.col("text"), F.col("facts"), question).isNotNull().alias("accepted"))
 
 
-@query("""SELECT s_suppkey AS qid, 'CHUNK a' || chr(10) || 'CHUNK b' || chr(10) || 'FEE ' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'f0' END || ': ' || CASE WHEN s_acctbal <= 0 THEN 'NOT VERIFIED' WHEN floor(s_acctbal) = 0 THEN 'Free' ELSE format('{:,}', CAST(floor(s_acctbal) AS BIGINT)) END || ' (source of ' || """ + DAY + """ || ')' || chr(10) || 'SOURCE http://rec/' || s_suppkey % 6 AS facts FROM supplier""")
+@query("""SELECT s_suppkey AS qid, 'SERVICE ' || s_name || ' / Service ' || s_suppkey || chr(10) || 'OFFICE Office' || chr(10) || CASE WHEN s_suppkey % 7 = 0 THEN 'CONTACT Desk 1' || chr(10) ELSE '' END || 'DATED ' || CASE WHEN s_suppkey % 8 = 0 THEN 'unknown' ELSE FACTDAY END || chr(10)
+|| 'FEE ' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'f0' END || ': ' || CASE WHEN s_acctbal <= 0 THEN 'NOT VERIFIED' WHEN floor(s_acctbal) = 0 THEN 'Free' ELSE format('{:,}', CAST(floor(s_acctbal) AS BIGINT)) END || ' (source of ' || FACTDAY || ')' || chr(10) || 'DOCUMENT Form ' || s_suppkey || chr(10) || 'STEP 1. Apply' || chr(10)
+|| 'CHUNK a' || chr(10) || 'CHUNK b' || chr(10) || 'WARNING Pay at the desk' || chr(10) || 'NOTE old' || chr(10) || 'SOURCE http://rec/' || s_suppkey % 6 AS facts FROM supplier""".replace("FACTDAY", DAY))
 def facts_block(spark, sf_dir):
     r = _records(spark, sf_dir)
-    none = F.lit(None).cast("array<struct<claim:string>>")
-    return r.select(F.substring("category", 2, 20).cast("long").alias("qid"), compose.facts(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.struct(*[F.col(c) for c in r.columns]), none, 2).alias("facts"))
+    scam, notes = F.array(F.struct(F.lit("Pay at the desk").alias("claim"))), F.array(F.lit("old"))
+    return r.select(F.substring("category", 2, 20).cast("long").alias("qid"), compose.facts(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.struct(*[F.col(c) for c in r.columns]), scam, 2, notes).alias("facts"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE text END AS before, CASE WHEN turn % 2 = 0 THEN 'more' END AS summary, CASE WHEN turn % 2 = 0 THEN role END AS inside FROM conversations WHERE text NOT LIKE '%<details>%'")
@@ -278,11 +281,10 @@ def fee_age_notes(spark, sf_dir):
 
 # ---- pages -----------------------------------------------------------------------------------------
 
-PDF = "ends_with(lower(regexp_replace({c}, '[?#].*$', '')), '.pdf')"
 HOST_OF = "lower(regexp_extract({c}, '^[a-zA-Z]+://([^/?#]*)', 1))"
 
 
-@query(LINK_SQL + f" SELECT url, CAST(pos AS INTEGER) AS pos, target FROM s WHERE regexp_matches(target, '(?i)^https?://') AND ({HOST_OF.format(c='target')} = {HOST_OF.format(c='url')} OR ends_with({HOST_OF.format(c='target')}, '.org') OR {PDF.format(c='target')})")
+@query(LINK_SQL + f" SELECT url, CAST(pos AS INTEGER) AS pos, target FROM s WHERE regexp_matches(target, '(?i)^https?://') AND ({HOST_OF.format(c='target')} = {HOST_OF.format(c='url')} OR ends_with({HOST_OF.format(c='target')}, '.org') OR ends_with(lower(target), '.pdf'))")
 def html_links_followed(spark, sf_dir):
     return html.followed(_links(spark, sf_dir), ".org").select("url", "pos", "target")
 
@@ -325,12 +327,17 @@ def lines_with_part(spark, sf_dir):
 
 # ---- fonts, vectors, attempts ----------------------------------------------------------------------
 
-LETTERS = {"a": "ক", "e": "ে", "th": "ত", "qu": "খ"}
+LETTERS = {"a": "ক", "e": "ে", "th": "ত", "qu": "খ", "r": "র্", "i": "ি", "o": "া"}
+CLUSTER = r"[\x{0995}-\x{09b9}\x{09ce}\x{09dc}-\x{09df}](?:\x{09cd}[\x{0995}-\x{09b9}\x{09ce}\x{09dc}-\x{09df}])*"
+LETTER_SQL = "text"
+for _from, _to in sorted(LETTERS.items(), key=lambda x: -len(x[0])):
+    LETTER_SQL = f"replace({LETTER_SQL}, '{_from}', '{_to}')"
 
 
-@query()
+@query(rf"""SELECT doc_id, nfc_normalize(regexp_replace(regexp_replace({LETTER_SQL}, '([\x{{09bf}}\x{{09c7}}\x{{09c8}}])({CLUSTER})', '\2\1', 'g'), '({CLUSTER})([\x{{09be}}-\x{{09cc}}]*)\x{{09b0}}\x{{09cd}}', chr(2480) || chr(2509) || '\1\2', 'g')) AS text,
+round(1 - length(regexp_replace(text, '[\sA-Za-z0-9.,:;()\[\]/%"''\-]', '', 'g')) / greatest(length(regexp_replace(text, '\s', '', 'g')), 1), 6) AS coverage FROM documents""")
 def legacy_decode(spark, sf_dir):
-    """Documents through a small table; tests hold it against the letters one by one."""
+    """Documents through a small table with signs that stand before and r-signs behind their letters."""
     d = table(spark, sf_dir, "documents").select("doc_id", fonts.decode(F.col("text"), LETTERS).alias("d"))
     return d.select("doc_id", "d.text", F.round("d.coverage", 6).alias("coverage"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, fees, lang, text
+from ..functions import dates, fees, fonts, lang, text
 from ..functions.vectors import dot
 from ..operators import audit, classify, compose, crawl, drift, html, records, retrieval
 from .registry import ORACLES, QUERIES, literal, query, table  # noqa: F401
@@ -107,11 +107,27 @@ def html_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"))
 
 
-@query(f"""WITH v AS (SELECT page_id, html, {VISIBLE.replace('HTML', 'html')} AS t FROM pages)
-SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, length(t) AS visible_chars, length(t) < 400 AS likely_js, regexp_matches(html, '(?i)type=["'']?password') AS login_wall,
-len(list_distinct(list_filter(regexp_extract_all(html, '(?is)href=["'']([^"'']+)["'']', 1), lambda x: ends_with(lower(regexp_replace(x, '[?#].*$', '')), '.pdf')))) AS n_pdf FROM v""")
+STRIPPED = VISIBLE[VISIBLE.index("regexp_replace(regexp_replace(HTML") : VISIBLE.index(", '&nbsp;'")]
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, page_id % 7 AS k, coalesce(html, '') || CASE WHEN page_id % 4 = 0 THEN '<p>%E0%A6%95+%E0%A6%96 100%</p>' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<input name=x type="password">' WHEN page_id % 5 = 1 THEN '<b type=password>' ELSE '' END
+|| CASE WHEN page_id % 3 = 0 THEN '<a href="/d/a.pdf?x=1">a</a><a href="/d/a.pdf?x=1">b</a><a href="http://o.org/B.PDF">c</a><a href="/pdf">d</a>' ELSE '' END AS html,
+CASE page_id % 6 WHEN 0 THEN url || '/' WHEN 1 THEN 'http://moved.example.org/x' ELSE url END AS final FROM pages),
+v AS (SELECT *, CASE WHEN k = 0 THEN '' ELSE {VISIBLE.replace(STRIPPED, f"url_decode({STRIPPED})").replace('HTML', 'html')} END AS t FROM p)
+SELECT page_id, left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 160) AS title, length(t) AS visible_chars, length(regexp_replace(t, '[^\x{{0980}}-\x{{09ff}}]', '', 'g')) AS bengali_chars, k > 1 AND length(t) < 400 AS likely_js,
+page_id % 5 = 0 AS login_wall, page_id % 6 = 1 AS redirected, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS n_pdf,
+CASE WHEN page_id % 3 = 0 THEN array_to_string(list_sort([regexp_extract(final, '^([a-z]+://[^/?#]*)', 1) || '/d/a.pdf?x=1', 'http://o.org/B.PDF']), ' ') ELSE '' END AS pdfs FROM v""")
 def html_titles_and_signals(spark, sf_dir):
-    return html.signals(table(spark, sf_dir, "pages"))
+    """Pages with percent codes, password inputs, PDF links, redirects and kinds of bodies: all signals from one look."""
+    k, on = F.col("page_id"), lambda n, at, text: F.when(F.col("page_id") % n == at, text)
+    more = F.concat(
+        F.coalesce("html", F.lit("")), on(4, 0, "<p>%E0%A6%95+%E0%A6%96 100%</p>").otherwise(""), on(5, 0, '<input name=x type="password">').when(k % 5 == 1, "<b type=password>").otherwise(""),
+        on(3, 0, '<a href="/d/a.pdf?x=1">a</a><a href="/d/a.pdf?x=1">b</a><a href="http://o.org/B.PDF">c</a><a href="/pdf">d</a>').otherwise(""),
+    )
+    kind = on(7, 0, "application/pdf").when(k % 7 == 1, "text/plain").otherwise("Text/HTML; charset=utf-8")
+    final = F.when(k % 6 == 0, F.concat("url", F.lit("/"))).when(k % 6 == 1, "http://moved.example.org/x").otherwise(F.col("url"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", more.alias("html"), kind.alias("content_type"), final.alias("final_url"))
+    return html.signals(p).withColumn("pdfs", F.array_join("pdfs", " "))
 
 
 HTML_ROWS = """(1, '<table><tr><th>Service</th><th>Fee</th></tr><tr><td><a href="/x">Deed</a></td><td>100&nbsp;TK</td></tr><tr><td> </td><td></td></tr></table><p>x</p><table><tr><td>a &amp;lt; b</td></tr></table>'), (2, '<p>none</p>'), (3, '<TABLE class="t"><TR><TD>1</TD></TR></TABLE>')"""
@@ -179,7 +195,7 @@ DRIFT = """WITH k AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY ur
 d AS (SELECT url, page_id, page_id % 13 = 0 AS fresh, page_id % 13 <> 0 AND page_id % 7 = 0 AS priced, page_id % 13 <> 0 AND page_id % 17 = 0 AS dated, page_id % 11 = 0 AS worded FROM k)"""
 
 
-def _snapshot(spark, sf_dir, shift: int):
+def snapshot(spark, sf_dir, shift: int):
     """Pages, one a url, with a price line and an update mark; snapshot 1 changes some prices, dates and texts."""
     first = Window.partitionBy("url").orderBy("page_id")
     p = table(spark, sf_dir, "pages").withColumn("r", F.row_number().over(first)).where("r = 1")
@@ -190,7 +206,7 @@ def _snapshot(spark, sf_dir, shift: int):
 
 
 def _compared(spark, sf_dir):
-    return drift.compared(html.page_facts(_snapshot(spark, sf_dir, 0).where("page_id % 13 <> 0")), html.page_facts(_snapshot(spark, sf_dir, 1)))
+    return drift.compared(html.page_facts(snapshot(spark, sf_dir, 0).where("page_id % 13 <> 0")), html.page_facts(snapshot(spark, sf_dir, 1)))
 
 
 @query(DRIFT + """ SELECT url, 'source_date' AS kind, DATE '2021-03-10' AS was, DATE '2021-03-11' AS now, '' AS removed, '' AS added FROM d WHERE dated
@@ -205,7 +221,7 @@ def snapshot_status(spark, sf_dir):
     return _compared(spark, sf_dir).select("url", "status")
 
 
-@query(DRIFT + """ SELECT count(*) AS checked, CAST(sum(CAST(priced AS INTEGER) + CAST(dated AS INTEGER)) AS BIGINT) AS findings, count(*) FILTER (fresh) AS n_new, count(*) FILTER (priced OR dated) AS n_changed,
+@query(DRIFT + """ SELECT count(*) AS checked, count(*) FILTER (priced OR dated) AS findings, count(*) FILTER (fresh) AS n_new, count(*) FILTER (priced OR dated) AS n_changed,
 count(*) FILTER (NOT fresh AND NOT priced AND NOT dated AND worded) AS n_text, count(*) FILTER (NOT fresh AND NOT priced AND NOT dated AND NOT worded) AS n_identical, (SELECT count(*) FROM pages WHERE page_id % 19 = 0) AS errors FROM d""")
 def rescrape_report(spark, sf_dir):
     return drift.run_report(_compared(spark, sf_dir), table(spark, sf_dir, "pages").where("page_id % 19 = 0"))
@@ -426,14 +442,31 @@ def script_ratios(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(n("[ঀ-৿]") / size, 6).alias("bengali"), F.round(n("[A-Za-z]") / size, 6).alias("latin"), n("[A-Za-z]{2,}").cast("long").alias("n_tokens"))
 
 
+#: What stands for the encodings that invented documents don't have, by doc_id % 6; the last sixth keep their own text.
+ENCODED = {0: "বাংলাদেশ সরকার ", 1: "েক িখ ", 2: "†K†K KgRK ", 3: "†¶¶¸ ©®", 4: "GIF89a "}
+GLYPHS = {"†": "ে", "K": "ক", "g": "ম", "R": "র্"}
+ENCODED_TEXT = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN repeat('{v}', 9)" for k, v in ENCODED.items()) + " ELSE text END"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text AS own, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w, {ENCODED_TEXT} AS text FROM documents),
+e AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'plain' WHEN 1 THEN 'nikosh_cmap' WHEN 2 THEN 'legacy_bijoy' WHEN 3 THEN 'legacy_bijoy' WHEN 4 THEN 'not_a_pdf' ELSE
+CASE WHEN own IS NULL OR length(trim(regexp_replace(own, '{WS}', ' ', 'g'))) < 40 THEN 'empty' WHEN length(regexp_replace(own, '[^†‡¶¸©®÷¤×Ÿ„‹›Œž¥£¢±º»½¾]', '', 'g')) > 5 THEN 'legacy_bijoy'
+WHEN len(w) >= 20 AND len(list_filter(w, lambda x: regexp_matches(x, '[aeiouAEIOU]') AND length(x) <= 14)) / len(w) < 0.55 THEN 'legacy_unknown' ELSE 'plain' END END AS encoding FROM t)
+SELECT doc_id, encoding, CASE WHEN doc_id % 6 = 1 THEN repeat('কে খি ', 9) WHEN doc_id % 6 = 2 THEN repeat('কেকে কর্মক ', 9) WHEN encoding = 'plain' THEN text END AS decoded, CASE WHEN doc_id % 6 = 2 THEN 1.0 WHEN doc_id % 6 = 3 THEN round(1 - 5 / 6, 6) END AS coverage FROM e""")
+def documents_routed(spark, sf_dir):
+    """Each class of encoding to its own decoder; what has none, or decodes too little, is refused."""
+    text = F.col("text")
+    for k, v in ENCODED.items():
+        text = F.when(F.col("doc_id") % 6 == k, F.repeat(F.lit(v), F.lit(9))).otherwise(text)
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), (F.col("doc_id") % 6 != 4).alias("is_pdf"), (F.col("doc_id") % 6 == 1).alias("corrected"))
+    return fonts.routed(d, GLYPHS, "text", "is_pdf", "corrected").select("doc_id", "encoding", "decoded", F.round("coverage", 6).alias("coverage"))
+
+
 @query("""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{2,}') AS w FROM documents)
-SELECT doc_id, CASE WHEN length(trim(text)) < 40 THEN 'empty' WHEN len(w) >= 20 AND len(list_filter(w, lambda x: regexp_matches(x, '[aeiouAEIOU]') AND length(x) <= 14)) / len(w) < 0.55 THEN 'legacy_unknown' ELSE 'plain' END AS encoding FROM t""")
+SELECT doc_id, CASE WHEN text IS NULL OR length(trim(regexp_replace(text, 'WHITE', ' ', 'g'))) < 40 THEN 'empty' WHEN len(w) >= 20 AND len(list_filter(w, lambda x: regexp_matches(x, '[aeiouAEIOU]') AND length(x) <= 14)) / len(w) < 0.55 THEN 'legacy_unknown' ELSE 'plain' END AS encoding FROM t""".replace("WHITE", WS))
 def encoding_class(spark, sf_dir):
-    """Classes that text without Bengali script can have; the others need the font's tables."""
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), 0)
-    wordish = F.size(F.filter(w, lambda x: x.rlike("[aeiouAEIOU]") & (F.length(x) <= 14)))
-    kind = F.when(F.length(F.trim("text")) < 40, "empty").when((F.size(w) >= 20) & (wordish / F.greatest(F.size(w), F.lit(1)) < 0.55), "legacy_unknown").otherwise("plain")
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("encoding"))
+    """Classes that the documents' own texts have."""
+    return table(spark, sf_dir, "documents").select("doc_id", fonts.encoding(F.col("text")).alias("encoding"))
 
 
 LANG_ROWS = "(1, 'amar sonod kothay pabo bolun'), (2, 'shipping costs for small parcels koto now'), (3, 'parcel weight limit koto'), (4, 'is the price 900 taka for two parcels'), (5, 'আমার parcel কোথায়'), (6, 'where can I send a letter'), (7, ''), (8, '12345')"

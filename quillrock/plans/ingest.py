@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import builders, conform, records
+from ..operators import builders, conform, html, records
+from ..session import shared_folder
+from ..streaming import rescrape
+from .catalogue import DRIFT, snapshot
 from .registry import literal, query, table
 
 #: Rules and heads of the kinds of pages that the queries plant.
@@ -123,3 +126,22 @@ def validation_run(spark, sf_dir):
     texts = built(spark, sf_dir).select(n.alias("path"), F.when(n % 7 == 2, F.left(body, F.length(body) - 5)).otherwise(body).alias("body"))
     valid = literal(spark, "('driving_licence'), ('birth_registration'), ('nid_correction')", "id")
     return conform.validate(texts, record_schema(), valid, F.lit("2026-05-01").cast("date"), ("bribe", "dalal"), "anti-dalal fact")
+
+
+@query(DRIFT + """ SELECT url, 'source_date' AS kind, DATE '2021-03-10' AS was, DATE '2021-03-11' AS now, '' AS removed, '' AS added, TIMESTAMP '2026-02-01' AS visited FROM d WHERE dated
+UNION ALL SELECT url, 'amounts', NULL, NULL, '100', '101', TIMESTAMP '2026-02-01' FROM d WHERE priced""")
+def rescrape_stream(spark, sf_dir):
+    """Two snapshots as a stream: the second comes with the first's visits replayed, and only changed facts come out."""
+    at = shared_folder(spark, "rescrape")
+
+    def visit(shift: int, day: str):
+        pages = snapshot(spark, sf_dir, shift)
+        facts = html.page_facts(pages if shift else pages.where("page_id % 13 <> 0"))
+        return facts.select("url", "updated", F.col("amounts").cast("array<long>").alias("amounts"), "text_sha1", F.lit(day).cast("timestamp").alias("visited"))
+
+    first = visit(0, "2026-01-01")
+    first.write.mode("append").parquet(f"{at}/visits")
+    rescrape.run(spark, f"{at}/visits", f"{at}/changes", f"{at}/progress")
+    visit(1, "2026-02-01").unionByName(first).write.mode("append").parquet(f"{at}/visits")
+    found = rescrape.findings(rescrape.run(spark, f"{at}/visits", f"{at}/changes", f"{at}/progress"))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("removed", "added")})

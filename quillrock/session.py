@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,13 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one in local mode where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillrock-")
+    return f"{base.rstrip('/')}/quillrock/{label}-{uuid.uuid4().hex[:12]}"

@@ -42,9 +42,10 @@ def offices(spark: SparkSession, path: str) -> DataFrame:
     return _listed(spark, path, "offices", OFFICE)
 
 
-def aliases(categories: DataFrame) -> DataFrame:
-    """(category, alias, pos): the aliases and, after them, the Bengali name of each category."""
-    names = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("bn"))
+def aliases(categories: DataFrame, named: bool = False) -> DataFrame:
+    """(category, alias, pos): the aliases of each category, which tell a question's; with `named` its Bengali name after them, as overlaps are looked for."""
+    own = F.coalesce("aliases", F.array().cast("array<string>"))
+    names = F.concat(own, F.array("bn")) if named else own
     return categories.select(F.col("id").alias("category"), F.posexplode(names).alias("pos", "alias")).where("alias is not null")
 
 

@@ -35,8 +35,10 @@ def test_page_text_is_nfc(spark):
 
 
 def test_login_wall_needs_a_password_field(spark):
-    pages = spark.createDataFrame([(1, "<p>sign in</p>"), (2, "<input type='password'>"), (3, "<a href='x.pdf?v=1'>p</a><a href='y.PDF#2'>q</a>")], "page_id int, html string")
-    assert {r.page_id: (r.login_wall, r.n_pdf) for r in html.signals(pages).collect()} == {1: (False, 0), 2: (True, 0), 3: (False, 2)}
+    pages = spark.createDataFrame([(1, "<p>sign in</p>"), (2, "<input type='password'>"), (3, "<a href='x.pdf?v=1'>p</a><a href='y.PDF#2'>q</a><a href='./x.pdf?v=1'>r</a>"), (4, "<b type=password>"), (5, None)], "page_id int, html string").withColumn("url", F.lit("http://h/d/"))
+    got = {r.page_id: r for r in html.signals(pages).collect()}
+    assert {k: (r.login_wall, r.n_pdf) for k, r in got.items() if k < 5} == {1: (False, 0), 2: (True, 0), 3: (False, 2), 4: (False, 0)}
+    assert got[3].pdfs == ["http://h/d/x.pdf?v=1", "http://h/d/y.PDF#2"] and not got[1].redirected and got[5].visible_chars == 0
 
 
 def test_closure_goes_to_the_end(spark):
@@ -50,6 +52,9 @@ def test_decode_longest_first():
     text, share = d.decode("eab§(cid:1)")
     assert text == "কে§(cid:1)" and share == pytest.approx(1 - 2 / 4)
     assert fonts.logical("েকা") == "কো" and fonts.logical("িক্ত") == "ক্তি" and fonts.raised_r("কর্") == "র্ক"
+    # inside words of three clusters as well
+    assert fonts.raised_r("কমর্ক") == "কর্মক" and fonts.raised_r("ধমর্ীয়") == "ধর্মীয়" and fonts.raised_r("কাযর্ালয়") == "কার্যালয়"
+    assert fonts.Decoder({}).decode("a – b")[1] == pytest.approx(2 / 3)  # a long dash is no ASCII mark
 
 
 def test_legacy_column(spark):
@@ -107,9 +112,11 @@ def test_ungrounded_both_ways(spark):
 
 
 def test_details_and_acceptance(spark):
-    df = spark.createDataFrame([("a<details><summary>s</summary>in</details>b", "costs 5", "FEE 5"), ("plain", "costs 6", "FEE 5")], "md string, g string, f string")
+    df = spark.createDataFrame([("a<details><summary>s</summary>in</details>b", "costs 5", "FEE 5"), ("plain", "costs 6", "FEE 5"), ("plain", "for a child of 6: 5", "FEE 5"), ("plain", "৬ and 5", None)], "md string, g string, f string")
     r = df.select(compose.unfolded(F.col("md")).alias("u"), compose.accepted(F.col("g"), F.col("f")).alias("ok")).collect()
     assert tuple(r[0].u) == ("a", "s", "in", "b") and r[0].ok == "costs 5" and r[1].u.before == "plain" and r[1].ok is None
+    asked = [x.ok for x in df.select(compose.accepted(F.col("g"), F.col("f"), F.lit("my child is 6")).alias("ok")).collect()]
+    assert asked == ["costs 5", "costs 6", "for a child of 6: 5", None]
 
 
 def test_warnings_of_an_empty_table(spark):

@@ -14,7 +14,8 @@ def test_taxonomy_and_aliases(spark, tmp_path):
     path = put(tmp_path / "t.json", {"categories": [{"id": "deed", "bn": "দলিল", "aliases": ["dolil", "deed"], "sources": ["s1"], "mvp_priority": 1}, {"id": "bare", "bn": None}]})
     t = scans.taxonomy(spark, path)
     assert [(r["pos"], r["id"], r["mvp_priority"]) for r in t.orderBy("pos").collect()] == [(0, "deed", 1), (1, "bare", None)]
-    assert [(r["category"], r["alias"], r["pos"]) for r in scans.aliases(t).orderBy("pos").collect()] == [("deed", "dolil", 0), ("deed", "deed", 1), ("deed", "দলিল", 2)]
+    assert [(r["category"], r["alias"], r["pos"]) for r in scans.aliases(t, named=True).orderBy("pos").collect()] == [("deed", "dolil", 0), ("deed", "deed", 1), ("deed", "দলিল", 2)]
+    assert [r["alias"] for r in scans.aliases(t).orderBy("pos").collect()] == ["dolil", "deed"]
 
 
 def test_lists(spark, tmp_path):
