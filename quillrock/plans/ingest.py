@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import builders, conform, html, records
+from ..operators import builders, conform, html, ingestion, records
 from ..session import shared_folder
 from ..streaming import rescrape
 from .catalogue import DRIFT, snapshot
@@ -145,3 +145,31 @@ def rescrape_stream(spark, sf_dir):
     visit(1, "2026-02-01").unionByName(first).write.mode("append").parquet(f"{at}/visits")
     found = rescrape.findings(rescrape.run(spark, f"{at}/visits", f"{at}/changes", f"{at}/progress"))
     return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("removed", "added")})
+
+
+AGENT_RULES = ingestion.Rules(keywords=(("charter", 5), ("list", 3)), suffix=".org")
+
+
+def site(spark, sf_dir):
+    """Pages as an office's site: each links a list page of its own and a page to leave; lists link documents. Bodies are the documents' texts with fee lines."""
+    n = F.col("page_id")
+    text = n.cast("string")
+    p = table(spark, sf_dir, "pages").select(n, F.concat(F.lit("http://office.org/"), text).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    home = p.select("url", F.concat("html", F.lit("<a href='/l"), text, F.lit("/list'>charter list</a><a href='/l"), text, F.lit("/other'>list of transfer</a>")).alias("html"))
+    row = lambda cell, to: F.concat(F.lit(f"<tr><td>{cell}</td><td><a href='../d/"), to, F.lit(".pdf'>get</a></td></tr>"))
+    lists = p.where(n % 10 != 9).select(F.concat(F.lit("http://office.org/l"), text, F.lit("/list")).alias("url"), F.concat(F.lit("<table>"), row("ফি তালিকা", text), row("notes", F.lit("x")), row("term", (n + 1).cast("string")), F.lit("</table>")).alias("html"))
+    k = F.col("doc_id")
+    line = F.when(k % 3 == 0, F.concat(F.lit("\nসেবা "), F.translate((k + 10).cast("string"), "0123456789", "০১২৩৪৫৬৭৮৯"), F.lit(" টাকা\n৫ ভাগের ৬ টাকা"))).when(k % 3 == 1, "\nহার ৭ টাকার মধ্যে".replace("টাকার মধ্যে", "প্রতি")).otherwise("")
+    bodies = table(spark, sf_dir, "documents").select(F.concat(F.lit("http://office.org/d/"), k.cast("string"), F.lit(".pdf")).alias("url"), F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\n]", ""), F.lit("\nplain words about an office and its service\n"), line).alias("text"), (k % 7 != 6).alias("is_pdf"), F.lit(False).alias("corrected"))
+    seeds = F.array(F.col("url"), F.when(n % 4 == 0, F.concat(F.lit("http://office.org/"), (n + 1).cast("string"))))
+    categories = p.select(F.concat(F.lit("c"), text).alias("category"), F.array(F.when(n % 2 == 0, "term").otherwise("nothing")).alias("terms"), seeds.alias("seeds"))
+    return categories, home.unionByName(lists), bodies
+
+
+@query()
+def ingestion_outcomes(spark, sf_dir):
+    """Every category's episode at once; tests hold it against a queue worked through one action at a time."""
+    categories, pages, bodies = site(spark, sf_dir)
+    trace = ingestion.actions(categories, pages, bodies, None, AGENT_RULES)
+    found = ingestion.outcomes(categories, trace)
+    return found.select("category", "outcome", "step", "source_url", F.array_join(F.transform("fees", lambda f: F.concat_ws(":", f["fee_key"], f["amount"].cast("string"))), ",").alias("fees"))

@@ -205,3 +205,82 @@ def test_routes(spark):
     assert got == {1: ("plain", True), 2: ("legacy_bijoy", False), 3: ("empty", False), 4: ("empty", False), 5: ("not_a_pdf", False), 6: ("plain", True), 7: ("nikosh_cmap", True), 8: ("legacy_unknown", False)}
     plan = fonts.routed(df, {}, "text", "is_pdf", "corrected").where("encoding = 'plain'")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan or "encoding" in plan
+
+
+def one_at_a_time(seeds, links, rows, read, fees, most, rules):
+    """A category's queue worked through action by action: (tool, arg) in order, and the outcome."""
+    plan, seen, trace, got, source = [("discover_links", u, None) for u in seeds if u], set(), [], [], None
+    while plan and len(trace) < most:
+        tool, arg, extra = plan.pop(0)
+        if (tool, arg) in seen:
+            continue
+        seen.add((tool, arg))
+        trace.append((tool, arg))
+        if tool == "discover_links":
+            plan += [("extract_tables", u, None) for u in links.get(arg, [])]
+        elif tool == "extract_tables":
+            plan += [("detect", to, None) for to in rows.get(arg, [])]
+        elif tool == "detect" and arg in read and read[arg][0]:
+            plan.insert(0, ("decode", arg, None))
+        elif tool in ("decode", "decode_wider"):
+            lines = read[arg][1 if tool == "decode" else 2]
+            if lines:
+                source = arg
+                plan += [("parse_fee", x, None) for x in lines[:6]]
+            elif tool == "decode" and read[arg][3]:
+                plan.insert(0, ("decode_wider", arg, None))
+        elif tool == "parse_fee":
+            got += fees[arg]
+    waiting = [x for x in plan if (x[0], x[1]) not in seen]
+    outcome = "budget" if waiting or len(trace) >= most else "save_draft" if source and got else "give_up"
+    return trace, outcome, source, got
+
+
+@pytest.mark.parametrize("most", [15, 6])
+def test_all_categories_at_once_are_as_one_at_a_time(spark, most):
+    from quillrock.functions import fees as fee_functions
+    from quillrock.operators import ingestion
+
+    rng = random.Random(5)
+    names = ["charter list", "list of transfer", "fee list", "other", "list"]
+    page = lambda i: "".join(f"<a href='/p{rng.randrange(12)}'>{rng.choice(names)}</a>" for _ in range(rng.randrange(5))) + "<table>" + "".join(f"<tr><td>{rng.choice(['alpha', 'beta', 'ফি', 'no'])}</td><td><a href='{rng.choice(['x.html', f'/d{rng.randrange(6)}.pdf'])}'>g</a><a href='/d{rng.randrange(8)}.pdf'>h</a></td></tr>" for _ in range(rng.randrange(2, 5))) + "</table>"
+    pages = spark.createDataFrame([(f"http://o.org/p{i}", page(i)) for i in range(9)], "url string, html string")
+    lines = ["সেবা ১০ টাকা", "সেবা ২০ টাকা", "৫ ভাগের ৬ টাকা", "হার ৭", "plain words about an office and what it does"]
+    body = lambda: "\n".join([lines[4], *(rng.choice(lines[:4]) for _ in range(rng.randrange(4)))])
+    bodies = spark.createDataFrame([(f"http://o.org/d{i}.pdf", body() + "\n" + lines[4] * 9, i != 3, False) for i in range(7)], "url string, text string, is_pdf boolean, corrected boolean")
+    cats = [(f"c{i}", rng.choice([["alpha"], ["beta", ""], []]), [f"http://o.org/p{rng.randrange(11)}" for _ in range(rng.randrange(4))] + [None]) for i in range(25)]
+    categories = spark.createDataFrame(cats, "category string, terms array<string>, seeds array<string>")
+    rules = ingest.AGENT_RULES
+    trace = ingestion.actions(categories, pages, bodies, None, rules, most)
+    found = {r.category: r for r in ingestion.outcomes(categories, trace, most).collect()}
+    by = {}
+    for r in sorted(trace.collect(), key=lambda r: r.step):
+        by.setdefault(r.category, []).append((r.tool, r.arg))
+    # what each page and document gives, from the rounds' own parts, one category at a time
+    alone = lambda c: spark.createDataFrame([c], "category string, terms array<string>, seeds array<string>")
+    everything = alone(("x", [""], [f"http://o.org/p{i}" for i in range(11)]))
+    links = {}
+    for i in range(11):
+        one = ingestion._candidates(ingestion._seeds(alone(("x", [], [f"http://o.org/p{i}"]))), pages, rules).orderBy("k2").collect()
+        links[f"http://o.org/p{i}"] = [r.arg for r in one]
+    texts = {}
+    for r in pages.select("url", F.posexplode(F.flatten(ingestion.html.table_preview(F.col("html"), chars=80))).alias("k", "r")).collect():
+        to = [urljoin(r.url, x) for x in r.r.links[:2]]
+        texts.setdefault(r.url, []).append((r.k, " ".join(r.r.cells), next((x for x in to if x.lower().endswith(".pdf")), None)))
+    all_docs = spark.createDataFrame([(f"http://o.org/d{i}.pdf",) for i in range(9)], "arg string")
+    read = {r.url: (r.encoding in ("plain", "legacy_bijoy", "nikosh_cmap"), r.lines1, r.lines2, r.n_lines) for r in ingestion._decoded(all_docs, bodies, {}, rules).collect()}
+    cells = spark.createDataFrame([(x,) for x in lines], "t string").select("t", fee_functions.parse_fees(F.col("t"))["fees"].alias("f"))
+    fees_of = {r.t: [f.amount for f in r.f if f.amount is not None] for r in cells.collect()}
+    assert everything.count() == 1
+    import re
+
+    outcomes = set()
+    for name, terms, seeds in cats:
+        rows = {u: [to for _, text, to in sorted(v) if to and (any(t and t in text for t in terms) or re.search(rules.fee_words, text))] for u, v in texts.items()}
+        want, outcome, source, got = one_at_a_time(seeds, links, rows, read, fees_of, most, rules)
+        assert by.get(name, []) == want, name
+        assert (found[name].outcome, found[name].source_url, [f.amount for f in found[name].fees]) == (outcome, source, got)
+        outcomes.add(outcome)
+    assert len(outcomes) >= 2
+    assert {r.category for r in ingestion.as_drafts(ingestion.outcomes(categories, trace, most)).collect()} == {c for c, r in found.items() if r.outcome == "save_draft"}
+    assert ingestion.tombstones(ingestion.outcomes(categories, trace, most), F.current_timestamp()).count() == sum(r.outcome == "give_up" for r in found.values())
