@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import builders, conform, html, ingestion, records
+from ..operators import builders, conform, html, ingestion, records, tools
 from ..session import shared_folder
 from ..streaming import rescrape
 from .catalogue import DRIFT, snapshot
@@ -173,3 +173,28 @@ def ingestion_outcomes(spark, sf_dir):
     trace = ingestion.actions(categories, pages, bodies, None, AGENT_RULES)
     found = ingestion.outcomes(categories, trace)
     return found.select("category", "outcome", "step", "source_url", F.array_join(F.transform("fees", lambda f: F.concat_ws(":", f["fee_key"], f["amount"].cast("string"))), ",").alias("fees"))
+
+
+@query("""WITH c AS (SELECT page_id AS id, page_id % 8 AS k FROM pages), d AS (SELECT count(*) AS n FROM documents)
+SELECT id AS call_id, CASE k WHEN 0 THEN 'fetch_page' WHEN 1 THEN 'extract_tables' WHEN 2 THEN 'detect_pdf' WHEN 3 THEN 'decode_pdf' WHEN 4 THEN 'parse_fee' WHEN 5 THEN 'no_such' WHEN 6 THEN 'fetch_page' ELSE 'extract_tables' END AS tool, k NOT IN (5, 6, 7) AND NOT (k = 3 AND id % 7 = 6) AS ok,
+CASE k WHEN 5 THEN 'unknown tool no_such; known: discover_links, fetch_page, extract_tables, detect_pdf, decode_pdf, parse_fee' WHEN 6 THEN 'fetch_page: wrong or missing arguments text, url' WHEN 7 THEN 'nothing is known of http://office.org/none' WHEN 3 THEN CASE WHEN id % 7 = 6 THEN 'refused: not_a_pdf' END END AS error,
+CASE k WHEN 1 THEN 'ফি তালিকা' WHEN 2 THEN CASE WHEN id % 7 = 6 THEN 'not_a_pdf' ELSE 'known' END WHEN 3 THEN CASE WHEN id % 7 <> 6 THEN CASE WHEN id % 3 = 0 THEN '2' ELSE '0' END END WHEN 4 THEN CAST(id AS VARCHAR) END AS told FROM c WHERE id % 10 <> 9""")
+def tool_calls(spark, sf_dir):
+    """A call a page, answered in one plan: results, refusals and wrong calls alike."""
+    categories, pages, bodies = site(spark, sf_dir)
+    n = table(spark, sf_dir, "pages").where("page_id % 10 <> 9").select("page_id")
+    i = F.col("page_id")
+    text = i.cast("string")
+    at = lambda path, end="": F.create_map(F.lit("url"), F.concat(F.lit("http://office.org/" + path), text, F.lit(end)))
+    args = {
+        0: ("fetch_page", at("")), 1: ("extract_tables", at("l", "/list")), 2: ("detect_pdf", at("d/", ".pdf")), 3: ("decode_pdf", F.map_concat(at("d/", ".pdf"), F.create_map(F.lit("contains"), F.lit("টাকা")))), 4: ("parse_fee", F.create_map(F.lit("text"), F.concat(text, F.lit(" টাকা")))),
+        5: ("no_such", at("")), 6: ("fetch_page", F.create_map(F.lit("text"), text)), 7: ("extract_tables", F.create_map(F.lit("url"), F.lit("http://office.org/none"))),
+    }
+    tool, given = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    for k, (name, a) in args.items():
+        tool, given = F.when(i % 8 == k, name).otherwise(tool), F.when(i % 8 == k, a).otherwise(given)
+    got = tools.answer(n.select(i.alias("call_id"), tool.alias("tool"), given.alias("args")), pages, bodies, None, keywords=AGENT_RULES.keywords, suffix=".org")
+    r = lambda path: F.get_json_object("result", path)
+    kind = r("$.encoding")
+    told = F.when(F.col("tool") == "extract_tables", r("$.preview[0][0].cells[0]")).when(F.col("tool") == "detect_pdf", F.when(kind == "not_a_pdf", kind).otherwise("known")).when(F.col("tool") == "decode_pdf", F.when(kind.isNull(), r("$.matched"))).when(F.col("tool") == "parse_fee", r("$.fees[0].amount"))
+    return got.select("call_id", "tool", "ok", "error", F.when(F.col("ok"), told).alias("told"))
