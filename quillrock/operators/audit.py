@@ -149,3 +149,15 @@ def fee_table_amounts(markdown: Column) -> Column:
     last = F.transform(rows, lambda r: F.trim(F.regexp_extract(r, r"\|([^|]*)\|$", 1)))
     number = lambda c: F.when(c == "Free", F.lit(0).cast("long")).otherwise(F.replace(F.regexp_extract(c, r"([0-9][0-9,]*)", 1), F.lit(","), F.lit("")).try_cast("long"))
     return F.filter(F.transform(last, number), lambda x: x.isNotNull())
+
+
+def unsupported_amounts(printed: DataFrame, known: DataFrame) -> DataFrame:
+    """Printed amounts (category, amount) that no record of the category holds."""
+    return printed.join(known.select("category", "amount").distinct(), ["category", "amount"], "left_anti")
+
+
+def scanned_amounts(lines: DataFrame, pattern: str, floor: float = 0.8) -> DataFrame:
+    """(id, amount, reported) of recognised lines (id, line, confidence) that hold an amount; below the floor it is kept but not reported."""
+    from ..functions.fees import whole
+
+    return lines.where(F.col("line").rlike(pattern)).select("id", whole(F.regexp_extract("line", pattern, 1)).alias("amount"), (F.col("confidence") >= floor).alias("reported"))

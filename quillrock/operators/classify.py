@@ -65,3 +65,8 @@ def answerable(results: DataFrame, fallbacks: tuple[str, ...] = ("unknown_servic
     """Results that go on to retrieval, and those that are answered without it."""
     short = F.col("category").isNull() | F.col("category").isin(*fallbacks)
     return results.where(~short), results.where(short)
+
+
+def ambiguous(aliases: DataFrame) -> DataFrame:
+    """(alias, n, n_categories) of aliases (category, alias) that stand more than once, in whatever case or blanks."""
+    return aliases.groupBy(F.lower(F.trim("alias")).alias("alias")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("n_categories")).where("n > 1")

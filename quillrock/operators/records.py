@@ -121,3 +121,12 @@ def taxonomy_problems(categories: DataFrame, audited: DataFrame) -> DataFrame:
         named.unionByName(bare.where("ingest_tier <> 'unmapped'").select("id", F.lit("error").alias("severity"), F.lit("no_sources").alias("rule")))
         .unionByName(bare.select("id", F.lit("warning").alias("severity"), F.lit("unmapped").alias("rule")))
     )
+
+
+def taxonomy_rules(categories: DataFrame, reserved: tuple[str, ...] = ("unknown_service", "out_of_scope"), least: int = 3) -> DataFrame:
+    """(id, rule) of categories (id, aliases array) whose id or aliases are not as they must be."""
+    rules = F.array(
+        F.when(~F.col("id").rlike("^[a-z][a-z0-9_]*$"), "not_snake_case"), F.when(F.col("id").isin(*reserved), "reserved"),
+        F.when(F.coalesce(F.size("aliases"), F.lit(0)) < least, "few_aliases"), F.when(~F.coalesce(F.exists("aliases", lambda x: x.rlike("[\u0980-\u09ff]")), F.lit(False)), "no_bengali_alias"),
+    )
+    return categories.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))

@@ -117,7 +117,7 @@ def eval_report(spark, sf_dir):
 AMOUNT_SQL = "CASE WHEN s_acctbal > 0 THEN CAST(floor(s_acctbal) AS BIGINT) END"
 
 
-def _records(spark, sf_dir):
+def supplier_records(spark, sf_dir):
     """A record a supplier: one fee with the balance as its figure, one variant of one document and one step."""
     k, b = F.col("s_suppkey"), F.col("s_acctbal")
     text = k.cast("string")
@@ -140,7 +140,7 @@ def _records(spark, sf_dir):
 SELECT category, 'unknown_category' AS rule FROM s WHERE k % 5 = 0 UNION ALL SELECT category, 'amount_without_verification' FROM s WHERE a IS NOT NULL AND k % 3 = 0
 UNION ALL SELECT category, 'verified_without_amount' FROM s WHERE a IS NULL AND k % 3 <> 0 UNION ALL SELECT category, 'fee_without_source' FROM s WHERE a IS NOT NULL AND k % 4 = 0""")
 def record_violations(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = supplier_records(spark, sf_dir)
     valid = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
     return records.violations(r, valid)
 
@@ -153,29 +153,29 @@ UNION ALL SELECT 's' || s_suppkey, 'old_fee' FROM supplier WHERE s_acctbal > 0 A
 
 @query(WARNED)
 def record_warnings(spark, sf_dir):
-    return records.warnings(_records(spark, sf_dir), F.lit(TODAY).cast("date"))
+    return records.warnings(supplier_records(spark, sf_dir), F.lit(TODAY).cast("date"))
 
 
 @query("SELECT 's' || s_suppkey AS category, 'scam_text:broker' AS rule FROM supplier WHERE s_suppkey % 13 = 0")
 def record_scam_texts(spark, sf_dir):
-    return records.scam_texts(_records(spark, sf_dir), ("broker", "middleman"), "anti-broker fact")
+    return records.scam_texts(supplier_records(spark, sf_dir), ("broker", "middleman"), "anti-broker fact")
 
 
 @query(f"SELECT 'error' AS severity, count(*) AS n FROM supplier WHERE s_suppkey % 13 = 0 UNION ALL SELECT 'warning', count(*) FROM ({WARNED})")
 def record_severities(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = supplier_records(spark, sf_dir)
     return records.severities(records.scam_texts(r, ("broker",), "anti-broker fact"), records.warnings(r, F.lit(TODAY).cast("date")))
 
 
 @query("SELECT 's' || s_suppkey AS category, CAST(1 AS BIGINT) AS n_fees, CAST(s_acctbal > 0 AS BIGINT) AS n_amounts, CAST(s_suppkey % 3 <> 0 AS BIGINT) AS n_verified, CAST(1 AS BIGINT) AS n_docs FROM supplier")
 def record_counts(spark, sf_dir):
-    return records.counts(_records(spark, sf_dir))
+    return records.counts(supplier_records(spark, sf_dir))
 
 
 @query("""WITH u AS (SELECT DISTINCT 'http://rec/' || s_suppkey % 6 AS url, 's' || s_suppkey AS category FROM supplier UNION SELECT 'http://fee/' || s_suppkey % 10, 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0)
 SELECT url, string_agg(category, ',' ORDER BY category) AS categories FROM u GROUP BY url""")
 def record_urls_in_use(spark, sf_dir):
-    return records.urls_in_use(_records(spark, sf_dir)).select("url", F.array_join("categories", ",").alias("categories"))
+    return records.urls_in_use(supplier_records(spark, sf_dir)).select("url", F.array_join("categories", ",").alias("categories"))
 
 
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS id FROM region UNION SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey > 20")
@@ -240,7 +240,7 @@ CASE WHEN s_suppkey % 3 = 0 THEN 'No verified details yet.~- ' || CASE WHEN s_su
 ELSE '### Required documents~- Form ' || s_suppkey || '~~### Process~1. Apply — Desk~~### Fees~| Fees | BDT | Updated |~|---|---|---|~| ' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'f0' END || ' | ' || CASE WHEN s_acctbal <= 0 THEN 'NOT VERIFIED' WHEN floor(s_acctbal) = 0 THEN 'Free' ELSE {BN} || ' / ' || format('{{:,}}', CAST(floor(s_acctbal) AS BIGINT)) END
 || ' | ' || {DAY} || ' |~~### Protect yourself~- **Pay at the desk** (gazette, 2020-01-01)~~---~Source: http://rec/' || s_suppkey % 6 || '~Source last updated ' || CASE WHEN s_suppkey % 8 = 0 THEN 'unknown' ELSE {DAY} END || ' · Checked {TODAY}' || CASE WHEN s_suppkey % 7 = 0 THEN '~Contact: Desk 1' ELSE '' END END], lambda x: x IS NOT NULL), '~~') END, '~', chr(10)) AS answer FROM supplier""".replace("### Protect yourself", "### Protect yourself"))
 def compose_full_answer(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = supplier_records(spark, sf_dir)
     k = F.substring("category", 2, 20).cast("long")
     scam = F.array(F.struct(F.lit("Pay at the desk").alias("claim"), F.lit(None).cast("string").alias("why"), F.lit("gazette").alias("source"), F.lit("2020-01-01").cast("date").alias("source_date"), F.lit(None).cast("string").alias("caveat")))
     m = r.select(k.alias("qid"), F.lit("no hit").alias("rationale"), F.when(k % 17 != 0, F.struct(*[F.col(c) for c in r.columns])).alias("record"), F.when(k % 5 == 0, "stale").otherwise("fresh").alias("level"), F.array(F.lit("old")).alias("notes"), scam.alias("patterns"), F.lit(None).cast("string").alias("lead"))
@@ -261,7 +261,7 @@ def generated_accepted(spark, sf_dir):
 || 'FEE ' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'f0' END || ': ' || CASE WHEN s_acctbal <= 0 THEN 'NOT VERIFIED' WHEN floor(s_acctbal) = 0 THEN 'Free' ELSE format('{:,}', CAST(floor(s_acctbal) AS BIGINT)) END || ' (source of ' || FACTDAY || ')' || chr(10) || 'DOCUMENT Form ' || s_suppkey || chr(10) || 'STEP 1. Apply' || chr(10)
 || 'CHUNK a' || chr(10) || 'CHUNK b' || chr(10) || 'WARNING Pay at the desk' || chr(10) || 'NOTE old' || chr(10) || 'SOURCE http://rec/' || s_suppkey % 6 AS facts FROM supplier""".replace("FACTDAY", DAY))
 def facts_block(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = supplier_records(spark, sf_dir)
     scam, notes = F.array(F.struct(F.lit("Pay at the desk").alias("claim"))), F.array(F.lit("old"))
     return r.select(F.substring("category", 2, 20).cast("long").alias("qid"), compose.facts(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.struct(*[F.col(c) for c in r.columns]), scam, 2, notes).alias("facts"))
 

@@ -10,28 +10,6 @@ from ..sources import sinks
 from . import catalogue
 from .registry import literal, query, table
 
-ROBOTS = "(1, 'User-agent: *\\nDisallow: /'), (2, 'User-agent: *\\nDisallow: /admin # x\\nDisallow: /tmp\\nCrawl-delay: 10'), (3, 'User-agent: *\\nDisallow:'), (4, '')"
-
-
-@query("SELECT * FROM (VALUES (1, true, CAST(1 AS BIGINT), CAST(NULL AS INTEGER)), (2, false, 2, 10), (3, false, 0, NULL), (4, false, 0, NULL)) t(id, closed, n_disallow, delay)")
-def robots_rules(spark, sf_dir):
-    return literal(spark, ROBOTS, "id, body").select("id", audit.robots_rules(F.col("body")).alias("r")).select("id", "r.*")
-
-
-CATEGORIES = "('deed', array('s1', 's2')), ('tin', array('s3', 's4'))"
-AUDIT = "('s1', true, 'http://a/final', 'http://a'), ('s2', false, NULL, 'http://b'), ('s3', true, NULL, 'http://c')"
-
-
-@query("SELECT * FROM (VALUES ('deed', 's1', 'http://a/final'), ('tin', 's3', 'http://c')) t(category, source, url)")
-def sources_usable(spark, sf_dir):
-    return audit.usable_sources(literal(spark, CATEGORIES, "id, sources"), literal(spark, AUDIT, "id, reachable, final_url, url"))
-
-
-@query("SELECT * FROM (VALUES ('deed', 's2', 'unreachable'), ('tin', 's4', 'not_audited')) t(category, source, problem)")
-def source_problems(spark, sf_dir):
-    return audit.source_problems(literal(spark, CATEGORIES, "id, sources"), literal(spark, AUDIT, "id, reachable, final_url, url"))
-
-
 @query(catalogue.LINK_SQL + """, b AS (SELECT url, pos, label, target, score + CASE WHEN contains(lower(label), 'th') THEN 10 ELSE 0 END AS score FROM s WHERE NOT contains(lower(label), 'que'))
 SELECT url, CAST(pos AS INTEGER) AS pos, label, target, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY url ORDER BY score DESC, pos) AS INTEGER) AS rank FROM b QUALIFY rank <= 6""")
 def link_candidates_top6(spark, sf_dir):
@@ -50,24 +28,6 @@ def run_rollup(spark, sf_dir):
     return p.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("html").isNull() | (F.col("html") == "")).alias("errors"), F.count_if(F.col("page_id") % 13 == 0).alias("findings"))
 
 
-TABLES = """(1, '<table><tr><th>Service</th><th>Fee</th></tr><tr><td>a</td><td>1</td></tr></table><table><tr><th>No</th><th>Service name</th><th>Fee due</th></tr><tr><td>1</td><td>2</td><td>3</td></tr><tr><td>1</td><td>x</td><td>5</td></tr></table><table><tr><th>Other</th></tr><tr><td>1</td></tr><tr><td>2</td></tr><tr><td>3</td></tr></table>'), (2, '<p>none</p>')"""
-
-
-def _numbered(spark):
-    return literal(spark, TABLES, "id, html").select("id", F.posexplode(html.tables(F.col("html"))).alias("table_no", "rows"))
-
-
-@query("SELECT * FROM (VALUES (1, 1, 3)) t(id, table_no, n_rows)")
-def widest_fee_table(spark, sf_dir):
-    return audit.widest_table(_numbered(spark), ("service", "fee"))
-
-
-@query("SELECT * FROM (VALUES (1, 0, 0, 1), (1, 1, 1, 2), (1, 2, NULL, NULL)) t(id, table_no, service, fee)")
-def header_columns(spark, sf_dir):
-    found = audit.header_columns(F.get("rows", F.lit(0)), {"service": "service", "fee": "fee"})
-    return _numbered(spark).select("id", "table_no", found.alias("h")).select("id", "table_no", "h.*")
-
-
 @query("""SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') OR contains(lower(text), 'haus') OR regexp_matches(lower(text), 'fee|charge')""")
 def rows_with_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -82,25 +42,6 @@ def frontier_unseen(spark, sf_dir):
     return audit.frontier(c, c.where("turn = 0"), ["conv_id", "role", "text"], "turn")
 
 
-@query("SELECT * FROM (VALUES ('a', 'b'), ('b', 'c'), ('c', 'd'), ('x', 'y'), ('a', 'c'), ('a', 'd'), ('b', 'd')) t(src, dst)")
-def substitution_closure(spark, sf_dir):
-    return audit.closure(literal(spark, "('a', 'b'), ('b', 'c'), ('c', 'd'), ('x', 'y')", "src, dst"))
-
-
-@query("SELECT * FROM (VALUES (1, '4025,0'), (2, '4025'), (3, '')) t(qid, amounts)")
-def answer_fee_amounts(spark, sf_dir):
-    from ..operators import compose
-
-    answers = compose.answers(literal(spark, catalogue.ANSWERS, "qid, lang, title, status, level, docs, fees, source_url")).where("qid < 4")
-    return answers.select("qid", F.array_join(audit.fee_table_amounts(text.to_ascii_digits(F.regexp_replace("answer", r"\| [০-৯,]+ / ", "| "))).cast("array<string>"), ",").alias("amounts"))
-
-
-@query("SELECT * FROM (VALUES ('deed', 'unverified')) t(category, status)")
-def drafts_forced_unverified(spark, sf_dir):
-    found = literal(spark, "('deed', 'citizens', 'source_read'), ('tin', ' ', 'source_read'), ('vat', NULL, 'human_confirmed')", "category, audience_check, status")
-    return sinks.drafts(found).select("category", "status")
-
-
 @query("""SELECT url, left(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[^A-Za-z0-9._-]+', '_', 'g'), 80) || '_' || left(sha1(url), 8) AS slug FROM pages""")
 def url_slugs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url", text.slug(F.col("url")).alias("slug"))

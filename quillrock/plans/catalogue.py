@@ -88,14 +88,6 @@ def classify_routed(spark, sf_dir):
     return classify.route(q, classify.alias_hits(q, a))
 
 
-ALIAS_ROWS = "('a', 'Tin '), ('b', 'tin'), ('a', 'vat'), ('a', 'VAT'), ('c', 'deed')"
-
-
-@query(f"SELECT lower(trim(alias)) AS alias, count(*) AS n, count(DISTINCT category) AS n_categories FROM (VALUES {ALIAS_ROWS}) t(category, alias) GROUP BY 1 HAVING count(*) > 1")
-def alias_ambiguity(spark, sf_dir):
-    return literal(spark, ALIAS_ROWS, "category, alias").groupBy(F.lower(F.trim("alias")).alias("alias")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("n_categories")).where("n > 1")
-
-
 # ---- pages -----------------------------------------------------------------------------------------
 
 WS = r"[ \t\n\x0b\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -130,15 +122,6 @@ def html_titles_and_signals(spark, sf_dir):
     return html.signals(p).withColumn("pdfs", F.array_join("pdfs", " "))
 
 
-HTML_ROWS = """(1, '<table><tr><th>Service</th><th>Fee</th></tr><tr><td><a href="/x">Deed</a></td><td>100&nbsp;TK</td></tr><tr><td> </td><td></td></tr></table><p>x</p><table><tr><td>a &amp;lt; b</td></tr></table>'), (2, '<p>none</p>'), (3, '<TABLE class="t"><TR><TD>1</TD></TR></TABLE>')"""
-
-
-@query("SELECT * FROM (VALUES (1, 0, 0, 0, 'Service'), (1, 0, 0, 1, 'Fee'), (1, 0, 1, 0, 'Deed'), (1, 0, 1, 1, '100 TK'), (1, 1, 0, 0, 'a < b'), (3, 0, 0, 0, '1')) t(id, table_no, row_no, col_no, cell)")
-def html_tables_explode(spark, sf_dir):
-    t = literal(spark, HTML_ROWS, "id, html").select("id", F.posexplode(html.tables(F.col("html"))).alias("table_no", "t"))
-    return t.select("id", "table_no", F.posexplode("t").alias("row_no", "r")).select("id", "table_no", "row_no", F.posexplode("r").alias("col_no", "cell"))
-
-
 def _links(spark, sf_dir):
     found = html.links(table(spark, sf_dir, "pages"))
     found = found.withColumn("target", html.resolve(F.col("url"), F.col("href")))
@@ -246,9 +229,6 @@ def url_inverted_index(spark, sf_dir):
 
 AS_OF = "1998-10-01"
 AGE = f"date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}')"
-FRESH_ROWS = "(1, CAST(NULL AS DATE), CAST(NULL AS DATE), 'source_read', false), (2, DATE '2026-09-01', NULL, 'source_read', true), (3, DATE '2026-05-11', NULL, 'source_read', true), (4, NULL, NULL, 'source_read', true), (5, NULL, DATE '2020-01-20', 'source_read', true), (6, DATE '2026-09-01', NULL, 'unverified', true)"
-
-
 @query(f"""SELECT o_orderkey, {AGE} AS age_days, CASE WHEN o_orderstatus = 'P' THEN 'unverified' WHEN {AGE} > 90 THEN 'stale' ELSE 'fresh' END AS level FROM orders""")
 def freshness_levels(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -257,13 +237,6 @@ def freshness_levels(spark, sf_dir):
     return o.select("o_orderkey", age.cast("long").alias("age_days"), dates.freshness(age, F.lit(None).cast("int"), status, F.lit(True)).alias("level"))
 
 
-@query("SELECT * FROM (VALUES (1, 'none'), (2, 'fresh'), (3, 'stale'), (4, 'unknown'), (5, 'stale'), (6, 'unverified')) t(id, level)")
-def freshness_precedence(spark, sf_dir):
-    r = literal(spark, FRESH_ROWS, "id, d, fee, status, known")
-    age = lambda c: dates.age_days(F.col(c), "2026-09-16")
-    return r.select("id", dates.freshness(age("d"), age("fee"), F.col("status"), F.col("known")).alias("level"))
-
-
 @query(f"""SELECT o_orderkey, CASE WHEN {AGE} < 365 THEN {AGE} || ' days ago' ELSE 'about ' || CAST(floor({AGE} / 365) AS BIGINT) || ' year' || CASE WHEN {AGE} >= 730 THEN 's' ELSE '' END || ', ' || {AGE} % 365 || ' days ago' END AS age FROM orders""")
 def freshness_age_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.age_text(dates.age_days(F.col("o_orderdate").cast("date"), AS_OF)).alias("age"))
@@ -276,22 +249,6 @@ def worst_age_per_group(spark, sf_dir):
     return j.groupBy("c_nationkey").agg(F.max("age").cast("long").alias("worst_age"), F.max_by("o_orderkey", F.struct("age", -F.col("o_orderkey"))).alias("o_orderkey"))
 
 
-DATE_ROWS = "(1, 'সোমবার, ২০ জানুয়ারী, ২০২০'), (2, '১১ মে ২০২৬'), (3, '31 ফেব্রুয়ারি 2020'), (4, '5 blah 2020'), (5, ''), (6, '3 ডিসেX 2021')"
-
-
-@query("SELECT * FROM (VALUES (1, DATE '2020-01-20'), (2, DATE '2026-05-11'), (3, CAST(NULL AS DATE)), (4, NULL), (5, NULL), (6, DATE '2021-12-03')) t(id, d)")
-def bengali_dates(spark, sf_dir):
-    return literal(spark, DATE_ROWS, "id, raw").select("id", dates.bengali_date(F.col("raw")).alias("d"))
-
-
-STALE_ROWS = "(1, 'পাতাটি হাল নাগাদ হয়েছে: রবিবার, ৩ এপ্রিল, ২০২২'), (2, 'foo Last updated: 7 মে 2019 bar'), (3, 'no mark')"
-
-
-@query("SELECT * FROM (VALUES (1, DATE '2022-04-03', 'cms_footer'), (2, DATE '2019-05-07', 'content_marker'), (3, CAST(NULL AS DATE), CAST(NULL AS VARCHAR))) t(id, updated, kind)")
-def staleness_extract(spark, sf_dir):
-    return literal(spark, STALE_ROWS, "id, page").select("id", dates.staleness(F.col("page")).alias("s")).select("id", "s.updated", "s.kind")
-
-
 # ---- lookups, records, chunks ----------------------------------------------------------------------
 
 PATTERNS = "('BUILDING', 'p1', 0), ('BUILDING', 'p2', 1), ('MACHINERY', 'p3', 2)"
@@ -327,39 +284,6 @@ def chunk_kind_counts(spark, sf_dir):
     return d.groupBy("lang", F.when(F.length("l") < 80, "short").otherwise("long").alias("chunk_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SERVICE = """named_struct('category', 'deed', 'service_name_en', 'Deed', 'service_name_bn', 'দলিল', 'office', 'Registry', 'source_url', 'http://x', 'variants',
-array(named_struct('variant_id', 'v1', 'label_en', 'Normal', 'required_docs', array(named_struct('doc', 'Form A'), named_struct('doc', 'Photo')), 'steps', array(named_struct('step', 'Apply'), named_struct('step', 'Pay')))),
-'fees', array(named_struct('fee_key', 'f1', 'label_en', 'Base', 'label_bn', '', 'amount_bdt', cast(100 as decimal(18,2)), 'source_url', 'http://x', 'verification', named_struct('status', 'source_read')), named_struct('fee_key', 'f2', 'label_en', '', 'label_bn', 'ফি', 'amount_bdt', cast(null as decimal(18,2)), 'source_url', '', 'verification', named_struct('status', 'source_read'))))"""
-
-
-def _service(spark):
-    return spark.sql(f"SELECT r.* FROM (SELECT {SERVICE} AS r)")
-
-
-@query("""SELECT * FROM (VALUES ('deed::identity', 'deed', 'identity', 'দলিল | Deed | Registry'), ('deed::v1::steps', 'deed', 'steps', 'দলিল Normal — process: 1. Apply 2. Pay'), ('deed::v1::doc0', 'deed', 'required_doc', 'দলিল Normal — required document: Form A'),
-('deed::v1::doc1', 'deed', 'required_doc', 'দলিল Normal — required document: Photo'), ('deed::fee_labels', 'deed', 'fee_labels', 'দলিল Deed — fee categories: Base / ফি')) t(id, category, chunk_kind, text)""")
-def record_chunks(spark, sf_dir):
-    return records.chunks(_service(spark))
-
-
-@query("SELECT * FROM (VALUES ('deed', 'unknown_category'), ('deed', 'verified_without_amount')) t(category, rule)")
-def record_constraints(spark, sf_dir):
-    return records.violations(_service(spark), literal(spark, "('passport')", "id"))
-
-
-TAXA = "('ok_id', 'deed,dolil,দলিল', 1), ('BadId', 'one', 1), ('unknown_service', 'a,b,c', 2)"
-
-
-@query("SELECT * FROM (VALUES ('BadId', 'not_snake_case'), ('BadId', 'few_aliases'), ('BadId', 'no_bengali_alias'), ('unknown_service', 'reserved'), ('unknown_service', 'no_bengali_alias')) t(id, rule)")
-def taxonomy_constraints(spark, sf_dir):
-    t = literal(spark, TAXA, "id, aliases, priority").withColumn("a", F.split("aliases", ","))
-    rules = F.array(
-        F.when(~F.col("id").rlike("^[a-z][a-z0-9_]*$"), "not_snake_case"), F.when(F.col("id").isin("unknown_service", "out_of_scope"), "reserved"),
-        F.when(F.size("a") < 3, "few_aliases"), F.when(~F.exists("a", lambda x: x.rlike("[ঀ-৿]")), "no_bengali_alias"),
-    )
-    return t.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
-
-
 @query("""SELECT l_orderkey, count(*) AS n_rows, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS rows, 'row' || lpad(CAST(count(*) AS VARCHAR), 2, '0') AS last_key FROM lineitem GROUP BY l_orderkey""")
 def record_fold_from_rows(spark, sf_dir):
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
@@ -382,15 +306,6 @@ def numbers_validate(spark, sf_dir):
     return j.select("doc_id", F.size("used").cast("long").alias("n_numbers"), F.array_join(F.array_sort(F.array_except("used", allowed)), ",").alias("unsupported"))
 
 
-PRINTED = "(1, 100), (1, 250), (2, 75), (3, 0)"
-KNOWN = "(1, 100), (2, 75), (2, 80)"
-
-
-@query(f"SELECT p.* FROM (VALUES {PRINTED}) p(category, amount) ANTI JOIN (VALUES {KNOWN}) k(category, amount) USING (category, amount)")
-def grounding_amounts(spark, sf_dir):
-    return literal(spark, PRINTED, "category, amount").join(literal(spark, KNOWN, "category, amount"), ["category", "amount"], "left_anti")
-
-
 @query("""SELECT item_id FROM benchmark b WHERE b.text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, left(b.text, 60)) OR contains(b.text, left(d.text, 60)))""")
 def grounding_docs(spark, sf_dir):
     """Passages of which no document holds the head, and that hold no document's head."""
@@ -405,20 +320,6 @@ def contains_assertions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.exists(never, lambda w: F.contains(t, w)).alias("has_forbidden"), F.forall(must, lambda w: F.contains(t, w)).alias("has_required"))
 
 
-SAFETY = "(1, 'unverified', '### Fees\nx http://a', 'http://a'), (2, 'source_read', 'no link', 'http://b'), (3, 'source_read', '### Fees http://c Source last updated', 'http://c'), (4, CAST(NULL AS STRING), '### Fees', 'http://d')"
-
-
-@query("SELECT * FROM (VALUES (1, 'fees_unverified'), (1, 'date_missing'), (2, 'source_missing'), (2, 'date_missing'), (4, 'fees_without_record')) t(id, problem)")
-def safety_violations(spark, sf_dir):
-    a = literal(spark, SAFETY.replace("\n", " "), "id, status, md, url")
-    known, fee = F.col("status").isNotNull(), F.col("md").contains("### Fees")
-    rules = F.array(
-        F.when(~known & fee, "fees_without_record"), F.when((F.col("status") == "unverified") & fee, "fees_unverified"),
-        F.when(known & ~F.contains("md", "url"), "source_missing"), F.when(known & ~F.col("md").contains("Source last updated"), "date_missing"),
-    )
-    return a.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("problem"))
-
-
 @query("SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS passed, round(avg(quality), 6) AS pass_rate, round(avg(toxic), 6) AS violation_rate FROM labels")
 def eval_scores(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("passed"), F.round(F.avg("quality"), 6).alias("pass_rate"), F.round(F.avg("toxic"), 6).alias("violation_rate"))
@@ -469,14 +370,6 @@ def encoding_class(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fonts.encoding(F.col("text")).alias("encoding"))
 
 
-LANG_ROWS = "(1, 'amar sonod kothay pabo bolun'), (2, 'shipping costs for small parcels koto now'), (3, 'parcel weight limit koto'), (4, 'is the price 900 taka for two parcels'), (5, 'আমার parcel কোথায়'), (6, 'where can I send a letter'), (7, ''), (8, '12345')"
-
-
-@query("SELECT * FROM (VALUES (1, 'bn'), (2, 'en'), (3, 'bn'), (4, 'en'), (5, 'bn'), (6, 'en'), (7, 'en'), (8, 'en')) t(id, lang)")
-def lang_detect(spark, sf_dir):
-    return literal(spark, LANG_ROWS, "id, q").select("id", lang.detect(F.col("q")).alias("lang"))
-
-
 @query(f"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains({lang.ROMANISED!r}, w))) AS hits FROM documents""")
 def lang_function_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lang.romanised_hits(F.col("text")).cast("long").alias("hits"))
@@ -487,48 +380,6 @@ def digits_translate_format(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.to_bengali_digits(F.format_number(F.floor("o_totalprice"), 0)).alias("bn"))
 
 
-FEE_ROWS = "(1, 'ক) ছোট পার্সেল ৪১০/-টাকা (ভ্যাটসহ) (খ) বড় ৬২০/- টাকা'), (2, 'নীল রঙের খাম ১৭০৫/- টাকা (ভ্যাটসহ)'), (3, 'মূল দামের ৫ ভাগের ২ ভাগ'), (4, 'সব মিলে ৮,৪০০/- টাকা, কিস্তি ৭০০/- টাকা'), (5, 'বিনামূল্যে'), (6, ''), (7, '১০০ টাকা [ব্যাংকের তালিকা ৫০ টাকা]'), (8, '১০০ টাকা ২০০ টাকা'), (9, '৩৪৫.৫০ টাকা')"
-
-
-@query("SELECT * FROM (VALUES (1, '410,620', 'split'), (2, '1705', 'single'), (3, '', 'no_amount'), (4, '', 'ambiguous'), (5, '0', 'free'), (6, '', 'empty'), (7, '100', 'single'), (8, '', 'not_split'), (9, '345', 'single')) t(id, amounts, outcome)")
-def fee_parse_cells(spark, sf_dir):
-    p = literal(spark, FEE_ROWS, "id, cell").select("id", fees.parse_fee_cell(F.col("cell")).alias("p"))
-    return p.select("id", F.array_join(F.col("p.amounts").cast("array<string>"), ",").alias("amounts"), "p.outcome")
-
-
-LIST_ROWS = "(1, '১) দুই পাতার খসড়া চিঠি। ২) খাম (আকার ৪-৯) সহ ৬) ছবি ছাড়া ৩) ডাক মাশুলের রসিদ'), (2, 'no list here at all'), (3, '')"
-
-
-@query("SELECT * FROM (VALUES (1, 0, '১) দুই পাতার খসড়া চিঠি।'), (1, 1, '২) খাম (আকার ৪-৯) সহ ৬) ছবি ছাড়া'), (1, 2, '৩) ডাক মাশুলের রসিদ'), (2, 0, 'no list here at all')) t(id, pos, item)")
-def split_numbered_docs(spark, sf_dir):
-    return literal(spark, LIST_ROWS, "id, cell").select("id", F.posexplode(fees.split_numbered(F.col("cell"))).alias("pos", "item"))
-
-
-NFC_ROWS = "(1, '\u09df', '\u09af\u09bc'), (2, '\u09dc', '\u09a1\u09bc'), (3, 'e\u0301', '\u00e9'), (4, 'a', 'b')"
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false)) t(id, same)")
-def nfc_equality(spark, sf_dir):
-    return literal(spark, NFC_ROWS, "id, a, b").select("id", (text.nfc(F.col("a")) == text.nfc(F.col("b"))).alias("same"))
-
-
-CMAP, GLYPH = "(1, 'ক'), (2, 'খ'), (3, 'গ')", "(1, 'ক'), (2, 'ঘ'), (3, NULL), (4, 'ঙ')"
-
-
-@query("SELECT * FROM (VALUES (2, 'খ', 'ঘ'), (3, 'গ', CAST(NULL AS VARCHAR))) t(cid, uni, glyph)")
-def cmap_corrections(spark, sf_dir):
-    return literal(spark, CMAP, "cid, uni").join(literal(spark, GLYPH, "cid, glyph"), "cid").where(~F.col("uni").eqNullSafe(F.col("glyph"))).select("cid", "uni", "glyph")
-
-
-OCR = "(1, 'ফি ১০০ টাকা', 0.91), (2, 'ফি ২০০ টাকা', 0.5), (3, 'no amount', 0.99)"
-
-
-@query("SELECT * FROM (VALUES (1, CAST(100 AS BIGINT), true), (2, CAST(200 AS BIGINT), false)) t(id, amount, reported)")
-def ocr_candidates(spark, sf_dir):
-    o = literal(spark, OCR, "id, line, confidence").where(F.col("line").rlike(fees.AMOUNT))
-    return o.select("id", fees.whole(F.regexp_extract("line", fees.AMOUNT, 1)).alias("amount"), (F.col("confidence") >= 0.8).alias("reported"))
-
-
 # ---- request log -----------------------------------------------------------------------------------
 
 LOG = "SELECT user_id AS host, event_id AS seq, epoch_us(ts) AS ts_us, CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 200 ELSE 404 END AS status FROM events"
@@ -558,16 +409,6 @@ def host_block_streak(spark, sf_dir):
 
 # ---- answers and traces ----------------------------------------------------------------------------
 
-ANSWERS = """(1, 'en', 'Deed', 'source_read', 'stale', array('Form A', 'Photo'), array(named_struct('label', 'Base', 'amount', 4025), named_struct('label', 'Copy', 'amount', 0)), 'http://a'),
-(2, 'bn', 'Deed', 'source_read', 'fresh', array('Form A'), array(named_struct('label', 'Base', 'amount', 4025), named_struct('label', 'Late', 'amount', NULL)), 'http://a'), (3, 'en', 'Deed', 'unverified', 'unverified', array('Form A'), array(named_struct('label', 'Base', 'amount', 1)), 'http://b'), (4, 'en', NULL, NULL, NULL, NULL, NULL, NULL)"""
-
-
-@query("""SELECT qid, replace(answer, '~', chr(10)) AS answer FROM (VALUES (1, '## Deed~~> Source is stale.~~### Documents~- Form A~- Photo~~### Fees~| Base | 4,025 |~| Copy | Free |~~Source: http://a'),
-(2, '## Deed~~### Documents~- Form A~~### Fees~| Base | ৪,০২৫ / 4,025 |~| Late | NOT VERIFIED |~~Source: http://a'), (3, '## Deed~~> Source is unverified.~~Source: http://b'), (4, '## No matching service')) t(qid, answer)""")
-def compose_answer(spark, sf_dir):
-    return compose.answers(literal(spark, ANSWERS, "qid, lang, title, status, level, docs, fees, source_url"))
-
-
 @query("SELECT conv_id, count(*) AS steps, count(DISTINCT role) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
 def trace_rollup(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("steps"), F.countDistinct("role").alias("roles"), F.sum(F.length("text")).alias("chars"), F.max_by("role", "turn").alias("last_role"))

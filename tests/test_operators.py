@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillrock.functions import dates, fees, text
-from quillrock.plans import audits, catalogue, ingest  # noqa: F401  audits and ingest register their queries
+from quillrock.plans import audits, catalogue, ingest, planted  # noqa: F401  these register their queries
 from quillrock.streaming import feedback, rate_limit
 
 SF = "/root/testdata/sf0.001"
