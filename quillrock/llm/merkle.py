@@ -298,3 +298,44 @@ def lowered(ident: Column, text: Column) -> Column:
     """The corpus query's tampering: A-Z of the texts of a fifth of the ids, told by crc32, in lower case."""
     hit = F.pmod(F.crc32(ident.cast("long").cast("string").cast("binary")), F.lit(5)) == 0
     return F.when(hit, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(text)
+
+
+def oracle(depth: int = 6) -> str:
+    """The corpus query in SQL, level by level; `depth` levels of FAN are enough for FAN ** depth leaves in a tree."""
+    coded = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(coded, ("doc_id", "source", "lang", "n_chars"))) + f" || {text})"
+    crc = "xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1)))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+    out = [
+        f"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))) AS tab),
+d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+h AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf(coded('text'))} AS leaf, CASE WHEN s IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(coded('low'))} ELSE {leaf(coded('text'))} END AS mine FROM d, t),
+n0 AS (SELECT doc_id, g, leaf, mine, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+a0 AS (SELECT g, pos, leaf AS hash FROM n0)"""
+    ]
+
+    def levels(first: str, name: str) -> None:
+        """Of nodes `first`0 (g, pos, hash): tables of each level with what stands left and right of a node in its run."""
+        for k in range(depth):
+            run = f"PARTITION BY g, pos // {FAN} ORDER BY pos ROWS BETWEEN"
+            out.append(f"""{name}{k} AS (SELECT g, pos, hash, count(*) OVER (PARTITION BY g) > 1 AS open, coalesce(string_agg(hash, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+coalesce(string_agg(hash, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {first}{k}),
+{first}{k + 1} AS (SELECT g, pos // {FAN} AS pos, CASE WHEN bool_or(open) THEN sha256(string_agg(hash, '' ORDER BY pos)) ELSE any_value(hash) END AS hash FROM {name}{k} GROUP BY g, pos // {FAN})""")
+
+    def climbed(rows: str, name: str, key: str, place: str, made: str) -> None:
+        """rows with `folded` and `proof` taken up through all levels."""
+        for k in range(depth):
+            out.append(f"""{made}{k} AS (SELECT x.* EXCLUDE (folded, proof), CASE WHEN open THEN sha256(l || folded || r) ELSE folded END AS folded, CASE WHEN open THEN proof || l || r ELSE proof END AS proof
+FROM {rows if k == 0 else f'{made}{k - 1}'} x JOIN {name}{k} y ON x.{key} = y.g AND x.{place} // {FAN**k} = y.pos)""")
+
+    levels("a", "u")
+    out.append("w0 AS (SELECT doc_id, g, leaf, pos, mine AS folded, '' AS proof FROM n0)")
+    climbed("w0", "u", "g", "pos", "p")
+    out.append(f"f AS (SELECT g AS tree, hash, row_number() OVER (ORDER BY g) - 1 AS place FROM a{depth}), b0 AS (SELECT 'all' AS g, place AS pos, hash FROM f)")
+    levels("b", "v")
+    out.append(f"w1 AS (SELECT p.*, f.hash AS subroot, f.place, 'all' AS forest FROM p{depth - 1} p JOIN f ON p.g = f.tree)")
+    climbed("w1", "v", "forest", "place", "q")
+    last = f"SELECT doc_id, leaf, subroot, b.hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = b.hash AS verified FROM q{depth - 1}, b{depth} b"
+    return ",\n".join(out) + "\n" + last
+
+
+ORACLE = oracle()
