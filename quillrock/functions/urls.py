@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote, urlsplit, urlunsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
 
@@ -46,3 +51,23 @@ def unquote(c: Column) -> Column:
     """Percent codes as UTF-8 text; a plus stays, and so does a percent sign that begins no code."""
     safe = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
     return F.when(c.contains("%"), F.try_url_decode(safe)).otherwise(c)
+
+
+#: Marks that stay as they are in a path and in a query (fixed values).
+PATH_MARKS, QUERY_MARKS = "/%:@!$&'()*+,;=~-._", "=&%:/?@!$'()*+,;~-._"
+
+
+@F.pandas_udf(StringType())
+def to_uri(s: pd.Series) -> pd.Series:
+    """The ASCII form in which an address is asked for: the host by IDNA, other parts by percent codes; null for what is no address."""
+
+    def one(url):
+        if url is None or (url.isascii() and not re.search(r"[^!-~]|[\"<>\\^`{|}\[\]]", url)):
+            return url
+        try:
+            p = urlsplit(url)
+            return urlunsplit(p._replace(netloc=p.netloc if p.netloc.isascii() else p.netloc.encode("idna").decode(), path=quote(p.path, PATH_MARKS), query=quote(p.query, QUERY_MARKS)))
+        except (ValueError, UnicodeError):
+            return None
+
+    return s.map(one)

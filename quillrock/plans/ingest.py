@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import deep, urls
 from ..operators import builders, conform, html, ingestion, records, tools
 from ..session import shared_folder
+from ..sources import fetch
 from ..streaming import rescrape
 from .catalogue import DRIFT, snapshot
 from .registry import literal, query, table
@@ -198,3 +200,30 @@ def tool_calls(spark, sf_dir):
     kind = r("$.encoding")
     told = F.when(F.col("tool") == "extract_tables", r("$.preview[0][0].cells[0]")).when(F.col("tool") == "detect_pdf", F.when(kind == "not_a_pdf", kind).otherwise("known")).when(F.col("tool") == "decode_pdf", F.when(kind.isNull(), r("$.matched"))).when(F.col("tool") == "parse_fee", r("$.fees[0].amount"))
     return got.select("call_id", "tool", "ok", "error", F.when(F.col("ok"), told).alias("told"))
+
+
+@query("""SELECT doc_id AS id, nfc_normalize(text || chr(2527)) AS inner_text, nfc_normalize('e' || chr(769) || lang) AS key, nfc_normalize(source) AS value, n_chars FROM documents""")
+def nested_nfc(spark, sf_dir):
+    """Strings inside arrays, structs and maps, keys too."""
+    d = table(spark, sf_dir, "documents")
+    nested = d.select("doc_id", "n_chars", F.array(F.struct(F.concat("text", F.lit("য়")).alias("t"))).alias("l"), F.when(F.col("lang").isNotNull(), F.create_map(F.concat(F.lit("é"), "lang"), "source")).alias("m"))
+    out = deep.deep_nfc(nested)
+    return out.select(F.col("doc_id").alias("id"), F.col("l")[0]["t"].alias("inner_text"), F.get(F.map_keys("m"), F.lit(0)).alias("key"), F.get(F.map_values("m"), F.lit(0)).alias("value"), "n_chars")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'http://h.example.org/' || page_id || '/%E0%A6%B8%E0%A7%87%E0%A6%AC%E0%A6%BE%20x?q=%E0%A7%A7&r=%20#top' ELSE url END AS uri FROM pages")
+def addresses_to_ask(spark, sf_dir):
+    """Half of the pages under Bengali paths; addresses that are ASCII stay as they are."""
+    n = F.col("page_id")
+    odd = F.concat(F.lit("http://h.example.org/"), n.cast("string"), F.lit("/সেবা x?q=১&r=%20#top"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.to_uri(F.when(n % 2 == 0, odd).otherwise(F.col("url"))).alias("uri"))
+
+
+@query("SELECT url, bool_or(page_id % 3 <> 0) AS from_cache, CASE WHEN bool_or(page_id % 3 <> 0) THEN 200 ELSE 404 END AS status, CASE WHEN bool_or(page_id % 3 <> 0) THEN max(octet_length(encode(html))) FILTER (page_id % 3 <> 0) ELSE 0 END AS bytes FROM (SELECT DISTINCT ON (url, page_id % 3 <> 0) * FROM pages WHERE url IS NOT NULL ORDER BY url, page_id % 3 <> 0, page_id) GROUP BY url")
+def pages_visited(spark, sf_dir):
+    """Two thirds of the pages stand in the cache; the rest are asked of a tree of files that holds none of them."""
+    p = table(spark, sf_dir, "pages").where("url is not null")
+    first = F.min_by(F.struct("url", "html"), "page_id")
+    cache = p.where("page_id % 3 <> 0").groupBy("url").agg(first.alias("p")).select("url", F.lit(200).alias("status"), F.col("url").alias("final_url"), F.lit("text/html").alias("content_type"), F.encode("p.html", "UTF-8").alias("body"), F.lit("2026-01-01").cast("timestamp").alias("fetched_at"))
+    seen = fetch.visited(p.select("url"), cache, "quillrock.sources.fetch:file_tree", per_host=10**9, blocks=10**9)
+    return seen.select("url", "from_cache", "status", "bytes")

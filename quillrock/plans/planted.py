@@ -200,7 +200,7 @@ def split_numbered_docs(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("id"), F.posexplode(fees.split_numbered(cell)).alias("pos", "item"))
 
 
-FORMS = (("য়", "য়"), ("ড়", "ড়"), ("é", "é"), ("a", "b"))
+FORMS = (("\u09df", "\u09af\u09bc"), ("\u09dc", "\u09a1\u09bc"), ("e\u0301", "\u00e9"), ("a", "b"))
 
 
 @query("SELECT doc_id AS id, nfc_normalize(text || a) = nfc_normalize(text || b) AS same FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(FORMS)) + ") v(k, a, b) ON doc_id % 4 = k WHERE text IS NOT NULL")

@@ -284,3 +284,67 @@ def test_all_categories_at_once_are_as_one_at_a_time(spark, most):
     assert len(outcomes) >= 2
     assert {r.category for r in ingestion.as_drafts(ingestion.outcomes(categories, trace, most)).collect()} == {c for c, r in found.items() if r.outcome == "save_draft"}
     assert ingestion.tombstones(ingestion.outcomes(categories, trace, most), F.current_timestamp()).count() == sum(r.outcome == "give_up" for r in found.values())
+
+
+def test_fetched_pages_from_cache_and_tree(spark, tmp_path):
+    from quillrock.sources import fetch
+
+    site, cache, listed = tmp_path / "site", f"{tmp_path}/cache", f"{tmp_path}/urls"
+    for host, path, body in (("a", "x.html", "ax"), ("a", "y.pdf", "ay"), ("b", "x.html", "bx")):
+        (site / host).mkdir(parents=True, exist_ok=True)
+        (site / host / path).write_text(body)
+    at = lambda host, path: f"file://{site}/{host}/{path}"
+    urls = [at("a", "x.html"), at("a", "y.pdf"), at("a", "none.html")]
+    fetch.write_list(spark.createDataFrame([(u,) for u in [*urls, urls[0], None]], "url string"), listed)
+    fetch.register(spark)
+    read = lambda **o: {r.url: r for r in spark.read.format("fetched_pages").options(urls=listed, cache=cache, fetcher="quillrock.sources.fetch:file_tree", **o).load().collect()}
+    got = read()
+    assert {u: (r.status, bytes(r.body), r.from_cache) for u, r in got.items()} == {urls[0]: (200, b"ax", False), urls[1]: (200, b"ay", False), urls[2]: (404, b"", False)}
+    (site / "a" / "x.html").write_text("newer")
+    again = read()
+    assert bytes(again[urls[0]].body) == b"ax" and all(r.from_cache for r in again.values()) and again[urls[0]].fetched_at == got[urls[0]].fetched_at
+    forced = read(force="true")
+    assert bytes(forced[urls[0]].body) == b"newer" and not forced[urls[0]].from_cache and bytes(read()[urls[0]].body) == b"newer"
+    assert {r.error for r in read(force="true", per_host="1").values()} == {None, "host parked"}
+    assert set(spark.read.format("fetched_pages").options(urls=listed, cache=f"{tmp_path}/empty").load().select("error").distinct().toPandas()["error"]) == {"LookupError: no fetcher was named"}
+
+
+def test_visits_are_a_join_with_the_cache(spark, tmp_path):
+    from quillrock.sources import fetch
+
+    (tmp_path / "x.html").write_text("page")
+    here, gone, old = f"file://{tmp_path}/x.html", f"file://{tmp_path}/none", "http://h/old"
+    cache = spark.createDataFrame([(old, 200, old, "text/html", b"kept", datetime.datetime(2026, 1, 1))], "url string, status int, final_url string, content_type string, body binary, fetched_at timestamp")
+    urls = spark.createDataFrame([(here,), (gone,), (old,), (old,), (None,)], "url string")
+    run = lambda **o: {r.url: (r.status, None if r.body is None else bytes(r.body), r.from_cache, r.error) for r in fetch.visited(urls, cache, "quillrock.sources.fetch:file_tree", **o).collect()}
+    assert run() == {here: (200, b"page", False, None), gone: (404, b"", False, None), old: (200, b"kept", True, None)}
+    assert run(force=True)[old][:3] == (404, b"", False)
+
+
+def test_hosts_are_parked():
+    from quillrock.sources import fetch
+
+    host = fetch.Host(lambda u: (503, u, "", b"") if "bad" in u else (200, u, "", b""), per_host=9)
+    assert [host.get(f"http://h/{x}").get("error") for x in ("bad1", "ok", "bad2", "bad3", "ok2")] == [None, None, None, None, "host parked"]
+
+
+def test_every_string_is_normalised(spark):
+    from quillrock.functions import deep
+
+    a, b = "e\u0301\u09df", "\u00e9\u09af\u09bc"
+    rows = [(a, [a, None], [(a, [a]), None], {a: [a], "k": None}, (1, a), 5), (None, None, [], None, None, None), ("x", [], [(None, None)], {}, (2, None), 6)]
+    kind = "s string, l array<string>, n array<struct<p:string,q:array<string>>>, m map<string,array<string>>, t struct<i:int,u:string>, k int"
+    df = spark.createDataFrame(rows * 3, kind).coalesce(1)
+    got = [tuple(r) for r in deep.deep_nfc(df).collect()]
+    fix = lambda v: b if v == a else tuple(map(fix, v)) if isinstance(v, tuple) else [fix(x) for x in v] if isinstance(v, list) else {fix(k): fix(x) for k, x in v.items()} if isinstance(v, dict) else v
+    plain = lambda v: tuple(map(plain, v)) if isinstance(v, tuple) else [plain(x) for x in v] if isinstance(v, list) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+    assert [plain(r) for r in got] == [fix(r) for r in rows] * 3
+    assert deep.deep_nfc(df).schema.simpleString() == df.schema.simpleString() and deep.deep_nfc(df.where("false")).count() == 0
+    assert deep.deep_nfc(df.limit(2)).count() == 2
+
+
+def test_addresses_to_ask_for(spark):
+    rows = ["http://h.org/a b?q=é", "http://ঢাকা.example/সেবা?x=১#f", "http://h.org/%E0%A6%95", "http://h.org/plain?a=b&c=%20", None, "http://[bad", "x y"]
+    got = [r.u for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string").select("i", urls.to_uri(F.col("t")).alias("u")).orderBy("i").collect()]
+    assert got[0] == "http://h.org/a%20b?q=%C3%A9" and got[2:5] == [rows[2], rows[3], None] and got[6] == "x%20y"
+    assert got[1].isascii() and got[1].startswith("http://xn--") and got[1].endswith("#f") and got[5] is None
