@@ -375,6 +375,52 @@ def test_quality_single_statistics(spark):
     assert [r.id for r in got if r.kept != (r.id < 1000)] == []
 
 
+def exact_mcd(x, h):
+    """Mean and covariance of the h rows of least determinant, by all subsets; floors as the operator has them."""
+    from itertools import combinations
+
+    best = None
+    for c in combinations(range(len(x)), h):
+        y = x[list(c)]
+        cov = np.cov(y.T, bias=True)
+        cov = cov + np.diag(np.maximum(quality.FLOORS**2 - np.diag(cov), 0))
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, y.mean(0), cov
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quality_estimate_is_near_the_exact_one(spark, seed):
+    """Small groups, with three odd rows: without a prior the operator rejects what the exact estimate over all subsets rejects."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i:04}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(60, 300)))), "en", "s") for i in range(12)]
+    rows += [(100 + i, " ".join(f"{w}#|" for w in rng.choice(words, 80 + 30 * i)), "en", "s") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.judge(df, prior=0.0).collect()
+    x = np.array([[float(v) for v in r] for r in quality.statistics(df, "doc_id", "text", "lang", "source").select(*quality.vector()).collect()])
+    det, mu, cov = exact_mcd(x, 12)  # three quarters of 15 rows, and as many as bins round up to
+    w = quality.whitening(cov)
+    far = (((x - mu) @ w.T) ** 2).sum(1)
+    scale = max(1.0, np.median(far) / quality.CHI2_MEDIAN)
+    want = {r[0]: bool(d / scale <= quality.CUTOFF) for r, d in zip(rows, far, strict=True)}
+    assert {r.id: r.kept for r in got} == want
+
+
+def test_quality_has_no_size_switch(spark):
+    """A bad document is rejected in a group, a language and a table of any size; a good one stays."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i:04}" for i in range(3000)]
+    good = [(i, " ".join(rng.choice(words, int(rng.integers(60, 300)))), "en", "s") for i in range(60)]
+    bad = (1000, " ".join(f"{w}%%%|||" for w in rng.choice(words, 100)), "en", "rare")
+    run = lambda rows: {r.id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for n in (25, 60):
+        got = run([*good[:n], bad, (1001, good[0][1], "xx", "only")])
+        assert not got[1000] and all(got[i] for i in range(n)) and got[1001]
+    assert run(good[:1]) == {0: True}
+
+
 def test_packing(table):
     from tokenizers import Tokenizer
 
