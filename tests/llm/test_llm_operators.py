@@ -396,7 +396,8 @@ def test_quality_estimate_is_near_the_exact_one(spark, seed):
     rng = np.random.default_rng(seed)
     words = [f"w{i:04}" for i in range(3000)]
     rows = [(i, " ".join(rng.choice(words, int(rng.integers(60, 300)))), "en", "s") for i in range(12)]
-    rows += [(100 + i, " ".join(f"{w}#|" for w in rng.choice(words, 80 + 30 * i)), "en", "s") for i in range(3)]
+    odd = [" ".join(f"{w}#|" for w in rng.choice(words, 100)), " ".join(w * 6 for w in rng.choice(words, 150)), "\n".join(rng.choice(words[:60], 120))]  # symbols, long words, repeated lines
+    rows += [(100 + i, t, "en", "s") for i, t in enumerate(odd)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = quality.judge(df, prior=0.0).collect()
     x = np.array([[float(v) for v in r] for r in quality.statistics(df, "doc_id", "text", "lang", "source").select(*quality.vector()).collect()])
