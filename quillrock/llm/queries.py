@@ -99,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_secret_scan, op2_pii, op3_temperature_mix, op4_quality_outliers, op5_best_fit_packing, op6_ngram_jaccard, op7_toxicity, op8_token_counts, op9_exact_topk, op10_line_dedup, op11_url_filter, op12_embedding_whitening, op13_merkle_manifest, pipeline)
 }
 
-ORACLES: dict[str, str] = {"op6_ngram_jaccard": ngram_join.ORACLE, "op9_exact_topk": topk.ORACLE, "op11_url_filter": url_filter.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+ORACLES: dict[str, str] = {"op6_ngram_jaccard": ngram_join.ORACLE, "op9_exact_topk": topk.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op11_url_filter": url_filter.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
