@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 
 
+#: Aliases that one automaton holds; more take another pass over the queries.
+AUTOMATON = 200_000
+
+
 def alias_hits(queries: DataFrame, aliases: DataFrame, word_boundary: bool = False) -> DataFrame:
     """queries (qid, norm) x aliases (category, alias, pos) -> qid, category, alias: the longest per category.
 
-    Aliases are a curated table of fixed size; that bounds the broadcast. Equal lengths: the earlier alias.
+    The aliases are one automaton, sent to the tasks, that takes one pass over each query: no query meets an alias that it
+    does not hold, and nothing is shuffled. Equal lengths: the earlier alias.
     """
-    known = F.broadcast(aliases.where(F.col("alias") != ""))
-    inside = F.contains(F.col("norm"), F.col("alias"))
-    if word_boundary:
-        inside = F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))
-    best = F.max_by("alias", F.struct(F.length("alias"), -F.col("pos")))
-    return queries.join(known, inside).groupBy("qid", "category").agg(best.alias("alias"))
+    known = aliases.where("alias is not null and alias <> ''").select("category", "alias", F.col("pos").cast("long").alias("pos"))
+    n, sc, found = max(1, -(-known.count() // AUTOMATON)), queries.sparkSession.sparkContext, None
+    for i in range(n):
+        # all aliases of a category go into one automaton, so its longest hit is known there
+        part = known if n == 1 else known.where(F.pmod(F.xxhash64("category"), F.lit(n)) == i)
+        sent = sc.broadcast([tuple(r) for r in part.collect()])
+
+        def run(batches, sent=sent):
+            import ahocorasick
+
+            by: dict[str, list] = {}
+            for category, alias, pos in sent.value:
+                by.setdefault(f" {alias} " if word_boundary else alias, []).append((category, len(alias), -pos, alias))
+            machine = ahocorasick.Automaton()
+            for word, named in by.items():
+                machine.add_word(word, named)
+            machine.make_automaton()
+            for b in batches if by else []:
+                out = []
+                for row, text in enumerate(b.column(1).to_pylist()):
+                    best: dict = {}
+                    seen = set()
+                    for _, named in machine.iter(f" {text} " if word_boundary else text) if text else ():
+                        if id(named) not in seen:
+                            seen.add(id(named))
+                            for category, *worth in named:
+                                if category not in best or worth > best[category]:
+                                    best[category] = worth
+                    out += [(row, category, worth[2]) for category, worth in best.items()]
+                if out:
+                    rows, categories, words = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(categories), pa.array(words)], ["qid", "category", "alias"])
+
+        got = queries.select("qid", "norm").mapInArrow(run, f"qid {queries.schema['qid'].dataType.simpleString()}, category {aliases.schema['category'].dataType.simpleString()}, alias string")
+        found = got if found is None else found.unionByName(got)
+    return found
 
 
 def route(queries: DataFrame, hits: DataFrame, fallback: str = "unknown_service") -> DataFrame:
