@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import to_ascii_digits
+from .text import to_ascii_digits, to_bengali_digits
 
 STALE_DAYS = 90
 #: Months as sources spell them (fixed values).
@@ -48,7 +48,15 @@ def age_days(d: Column, as_of: str) -> Column:
     return F.datediff(F.lit(as_of).cast("date"), d)
 
 
-def age_text(days: Column) -> Column:
+#: "days ago", "about", "years" in Bengali (fixed values).
+AGO, ABOUT, YEARS = "দিন আগে", "প্রায়", "বছর"
+
+
+def age_text(days: Column, lang: str = "en") -> Column:
+    """How long ago, in words of a reader's language: days, from a year on years and days."""
+    if lang == "bn":
+        n = lambda c: to_bengali_digits(c.cast("string"))
+        return F.when(days < 365, F.concat(n(days), F.lit(f" {AGO}"))).otherwise(F.concat(F.lit(f"{ABOUT} "), n(F.floor(days / 365)), F.lit(f" {YEARS}, "), n(days % 365), F.lit(f" {AGO}")))
     years, rest = F.floor(days / 365).cast("string"), (days % 365).cast("string")
     plural = F.when(days >= 730, "s").otherwise("")
     return F.when(days < 365, F.concat(days.cast("string"), F.lit(" days ago"))).otherwise(F.concat(F.lit("about "), years, F.lit(" year"), plural, F.lit(", "), rest, F.lit(" days ago")))

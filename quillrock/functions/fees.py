@@ -11,6 +11,12 @@ from .text import squeeze, to_ascii_digits
 AMOUNT = r"([\p{Nd}][\p{Nd},\.]*)\s*/?-?\s*(?:টাকা|টাকার)"
 FREE = r"বিনামূল্যে|বিনা\s*ফিস"
 AMBIGUOUS = r"ভাগের|শতাংশ|ভিত্তি করে|কিস্তি|নির্ধারণ করা|ফি[^।\[]{0,20}তালিকা|অথবা\s*\(ii\)"
+#: Amounts as other sources write them: lines of swept documents, cells and text of pages, recognised scans (fixed patterns).
+SWEPT = r"[\p{Nd}][\p{Nd},]*\s*/?-?\s*(?:টাকা|টাকার)"
+WRITTEN = r"(?i)[\p{Nd}][\p{Nd},\.]*\s*(?:/-)?\s*(?:টাকা|টাকার|BDT|Tk\.?|৳)|(?:টাকা|BDT|Tk\.?|৳)\s*[\p{Nd}][\p{Nd},\.]*"
+SCANNED = r"[\p{Nd}][\p{Nd},]{1,}"
+#: A list's marker in any place, in brackets or before one (fixed pattern).
+ANY_MARKER = r"\(?[\p{Nd}]{1,2}\)"
 LABEL = r"\((?:[কখগঘঙচছজ]|[ivx]+)\)|(?<=\s)[কখগঘঙচছজ]\)"
 
 
@@ -77,3 +83,8 @@ def split_numbered(c: Column, marker: str = r"(?:^|(?<=[\s;।]))[০-৯]{1,2}\
         pieces, zero, step,
         lambda a: F.filter(F.when(a["next"] > 1, F.concat(a["done"], F.array(F.trim(a["open"])))).when(t != "", F.array(t)).otherwise(a["done"]), lambda x: (F.length(x) > least) | (a["next"] == 1)),
     )
+
+
+def split_docs(c: Column, least: int = 12, most: int = 400) -> Column:
+    """Items of a list whose numbers may stand anywhere; items of more than `least` characters, cut at `most`."""
+    return F.transform(F.filter(split_numbered(c, ANY_MARKER, least), lambda x: F.length(x) > least), lambda x: F.left(x, F.lit(most)))

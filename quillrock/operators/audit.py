@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fees import SCANNED, whole
+
 
 def robots_rules(body: Column) -> Column:
     """Struct (closed, n_disallow, delay) of a robots file: whole site closed, rules, crawl delay in seconds."""
@@ -156,8 +158,7 @@ def unsupported_amounts(printed: DataFrame, known: DataFrame) -> DataFrame:
     return printed.join(known.select("category", "amount").distinct(), ["category", "amount"], "left_anti")
 
 
-def scanned_amounts(lines: DataFrame, pattern: str, floor: float = 0.8) -> DataFrame:
-    """(id, amount, reported) of recognised lines (id, line, confidence) that hold an amount; below the floor it is kept but not reported."""
-    from ..functions.fees import whole
-
-    return lines.where(F.col("line").rlike(pattern)).select("id", whole(F.regexp_extract("line", pattern, 1)).alias("amount"), (F.col("confidence") >= floor).alias("reported"))
+def scanned_amounts(lines: DataFrame, floor: float = 0.8) -> DataFrame:
+    """(id, amount, reported): every number of two digits or more in recognised lines (id, line, confidence); below the floor it is kept but not reported."""
+    found = lines.select("id", "confidence", F.explode(F.regexp_extract_all("line", F.lit(SCANNED), 0)).alias("x"))
+    return found.select("id", whole(F.col("x")).alias("amount"), (F.col("confidence") >= floor).alias("reported"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import updated_in
+from ..functions.fees import WRITTEN
 from ..functions.text import audited_text, nfc, to_ascii_digits, visible_text
 from ..functions.urls import resolve  # noqa: F401  resolve is part of what pages offer
 
@@ -118,7 +119,7 @@ def kind_of(content_type: Column, url: Column) -> Column:
     return F.when(c.contains("pdf") | is_pdf(url), "pdf").when(c.contains("html") | (c == ""), "html").otherwise("other")
 
 
-def fee_strings(text: Column, pattern: str = PAGE_AMOUNT, before: int = 35, after: int = 35) -> Column:
+def fee_strings(text: Column, pattern: str = WRITTEN, before: int = 35, after: int = 35) -> Column:
     """array<struct<amount, context>>: amounts as written, once each in order of first sight, with the text about the first."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
     begin = lambda x: F.greatest(F.instr(text, x) - before, F.lit(1))

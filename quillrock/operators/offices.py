@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fees import parse_fees, split_numbered
+from ..functions.fees import parse_fees, split_docs
 
 #: A row of nothing but brackets, digits, stops and blanks numbers the columns (fixed pattern).
 COLUMN_NUMBERS = r"^[\(\)১-৯০-৯\s.।]*$"
@@ -48,7 +48,7 @@ def records(rows: DataFrame, today: Column, reader: str) -> DataFrame:
     doc = lambda d: F.struct(d.alias("doc"), F.lit(True).alias("mandatory"), F.col("charter_url").alias("source_url"))
     step = lambda c: F.struct(c.alias("step"), F.col("office").alias("where"), F.col("charter_url").alias("source_url"))
     steps = F.filter(F.array(F.when(F.col("method") != "", step(head("method", 600))), F.when(F.col("time") != "", step(F.concat(F.lit("Stated service time: "), "time")))), lambda s: s.isNotNull())
-    one = parsed.withColumn("variant", F.struct(head("service", 120).alias("label"), F.transform(split_numbered(F.col("docs")), doc).alias("required_docs"), steps.alias("steps")))
+    one = parsed.withColumn("variant", F.struct(head("service", 120).alias("label"), F.transform(split_docs(F.col("docs")), doc).alias("required_docs"), steps.alias("steps")))
     checked = lambda status, how: F.struct(F.lit(status).alias("status"), F.lit(reader if status == "source_read" else None).cast("string").alias("verified_by"), (today if status == "source_read" else F.lit(None)).cast("date").alias("verified_date"), how.alias("method"))
     shape = lambda key, label, amount, vat, check: F.struct(
         key.alias("part"), label.alias("label_bn"), head("service", 120).alias("label_en"), amount.cast("decimal(18,2)").alias("amount_bdt"), vat.alias("includes_vat"),

@@ -220,13 +220,25 @@ def cmap_corrections(spark, sf_dir):
     return fonts.corrections(maps, glyphs)
 
 
-@query("SELECT doc_id AS id, doc_id AS amount, doc_id % 100 >= 80 AS reported FROM documents")
+@query("""SELECT id, try_cast(replace(x, ',', '') AS BIGINT) AS amount, id % 100 >= 80 AS reported FROM (SELECT doc_id AS id, unnest(regexp_extract_all(coalesce(text, '') || ' 1,' || (doc_id + 100), '[0-9][0-9,]{1,}')) AS x FROM documents)""")
 def ocr_candidates(spark, sf_dir):
-    """Recognised lines of documents, one of each with an amount; those of low confidence are kept back."""
+    """Numbers in recognised lines of documents, one of each in Bengali digits; those of low confidence are kept back."""
     k = F.col("doc_id")
-    lines = F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.concat(F.lit("ফি "), bn(k), F.lit(" টাকা"))))
+    lines = F.split(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), bn(F.lit(1)), F.lit(","), bn(k + 100)), "\n")
     d = table(spark, sf_dir, "documents").select(k.alias("id"), F.explode(lines).alias("line"), ((k % 100) / 100).alias("confidence"))
-    return audit.scanned_amounts(d, fees.AMOUNT)
+    return audit.scanned_amounts(d)
+
+
+@query("""SELECT p_partkey AS id, pos, replace(item, '~', p_name) AS item FROM part, (VALUES (0, 0, '1) ~ two pages of a draft'), (0, 1, '(২) the receipt of 5) postage'), (0, 2, '3) and a photograph'), (1, 0, '~ without any number')) v(k, pos, item) WHERE p_partkey % 3 = k""")
+def split_docs_anywhere(spark, sf_dir):
+    k = F.col("p_partkey")
+    cell = cases(k, 3, {0: F.concat(F.lit("1) "), "p_name", F.lit(" two pages of a draft(২) the receipt of 5) postage 3) and a photograph 4) short")), 1: F.concat("p_name", F.lit(" without any number"))}, "tiny")
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.posexplode(fees.split_docs(cell)).alias("pos", "item"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {AGE} AS d FROM orders) SELECT o_orderkey, CASE WHEN d < 365 THEN {bn_sql('d')} || ' {dates.AGO}' ELSE '{dates.ABOUT} ' || {bn_sql('d // 365')} || ' {dates.YEARS}, ' || {bn_sql('d % 365')} || ' {dates.AGO}' END AS age FROM o""")
+def age_text_bengali(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.age_text(dates.age_days(F.col("o_orderdate").cast("date"), AS_OF), "bn").alias("age"))
 
 
 def _answers(spark, sf_dir):
