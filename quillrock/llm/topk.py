@@ -9,8 +9,9 @@ the bucket where vectors get too short. What is left is verified by exact intege
 Queries come in blocks of at most `block` rows, so that what is broadcast is bounded; each block takes one
 pass over the vectors. A task hands on at most k rows a query.
 
-Before the scan the SEED longest vectors are searched on the driver: each query's k-th best score among them is a
-threshold that every task starts from, so later buckets are pruned from their first row.
+Before the scan the SEED longest vectors go to the tasks that hold the queries: each query's k-th best score among them is
+a threshold that every task starts from, so later buckets are pruned from their first row. Queries grow with the
+vectors, and with them the passes: one for some block / 2 queries.
 
 Odd cases: rows with a null or empty vector, null or non-finite components take no part; vectors of another
 dimension than the query's are no candidates; each row counts, so rows that repeat an id are candidates (and
@@ -129,13 +130,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     # blocks by hash: sizes differ little, and a block is bounded by splitting on the count
     blocks = max(1, -(-2 * queries.count() // block))
     queries = queries.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    longest = v.orderBy(F.desc("norm"), "row").limit(SEED).collect()
+    longest = v.orderBy(F.desc("norm"), "row").limit(SEED).select("row", "v").collect()
+    first = sc.broadcast(_by_dimension(longest))
     found = None
     for i in range(blocks):
         asked: dict[int, list] = {}
-        for r in queries.where(F.col("b") == i).select("row", "id", "v", "norm").orderBy("row").collect():
+        floored = queries.where(F.col("b") == i).select("row", "id", "v", "norm").mapInArrow(_floors(first, k), "row long, id long, v array<long>, norm double, floor long")
+        for r in sorted(floored.collect(), key=lambda r: r["row"]):
             asked.setdefault(len(r["v"]), []).append(r)
-        sent = sc.broadcast({d: _block(rows, [r for r in longest if len(r["v"]) == d], k) for d, rows in asked.items()})
+        sent = sc.broadcast({d: _block(rows) for d, rows in asked.items()})
 
         def run(batches, sent=sent):
             state = {d: (q, norm, row, qid, Best(len(row), k, floor)) for d, (q, norm, row, qid, floor) in sent.value.items()}
@@ -160,21 +163,44 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
         one = scratch.table(one, f"found{i}")
         sent.unpersist()
         found = one if found is None else found.unionByName(one)
+    first.unpersist()
     return found
 
 
-def _block(rows: list, longest: list, k: int) -> tuple:
-    """Queries of one dimension as arrays (vectors, norms, rows, ids), and the k-th score of each among the longest vectors."""
+def _by_dimension(longest: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and vectors by dimension."""
+    by: dict[int, list] = {}
+    for r in longest:
+        by.setdefault(len(r["v"]), []).append(r)
+    return {d: (np.array([r["row"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)) for d, rows in by.items()}
+
+
+def _floors(first, k: int):
+    """For mapInArrow over queries (row, id, v, norm): the k-th score of each among the longest vectors, where there are so many others."""
+
+    def run(batches):
+        for b in batches:
+            width = pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            floor = np.full(len(b), LEAST)
+            for d in np.unique(width).tolist():
+                own, v = first.value.get(d, (np.empty(0, np.int64), None))
+                if len(own) <= k:
+                    continue
+                at = np.flatnonzero(width == d)
+                for part in np.array_split(at, max(1, len(at) * len(own) // 4_000_000)):
+                    q = b.take(pa.array(part))
+                    s = products(_matrix(q.column(2)), v)
+                    s[q.column(0).to_numpy()[:, None] == own] = LEAST
+                    floor[part] = np.partition(s, len(own) - k, axis=1)[:, len(own) - k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor)], [*b.schema.names, "floor"])
+
+    return run
+
+
+def _block(rows: list) -> tuple:
+    """Queries of one dimension as arrays: vectors, norms, rows, ids, floors."""
     q, norm = np.array([r["v"] for r in rows], np.float64), np.array([r["norm"] for r in rows])
-    row, qid = np.array([r["row"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64)
-    floor = np.full(len(rows), LEAST)
-    if len(longest) > k:
-        v, own = np.array([r["v"] for r in longest], np.float64), np.array([r["row"] for r in longest], np.int64)
-        for part in np.array_split(np.arange(len(rows)), max(1, len(rows) * len(longest) // 4_000_000)):
-            s = products(q[part], v)
-            s[row[part][:, None] == own] = LEAST
-            floor[part] = np.partition(s, len(longest) - k, axis=1)[:, len(longest) - k]
-    return q, norm, row, qid, floor
+    return q, norm, *(np.array([r[c] for r in rows], np.int64) for c in ("row", "id", "floor"))
 
 
 ORACLE = """
