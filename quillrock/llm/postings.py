@@ -21,7 +21,9 @@ import pyarrow as pa
 from . import shingles as S
 from .common import trim
 
+#: For bags, and for sets of shingles, whose members are dearer to compare than a hub is.
 LONG_LIST = 512
+LONG_LIST_OF_SETS = 128
 DENSE = 16
 #: Pairs that a list of more than DENSE sets may give, for each of them.
 EACH = 8

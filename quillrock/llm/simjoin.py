@@ -408,7 +408,7 @@ class Joined:
 
     def __init__(self, df: DataFrame, scratch: Scratch, cut, k: int | None, pct: int, least: int = 1, boundary: int | None = None):
         self.df, self.scratch, self.cut, self.k, self.pct, self.least = df, scratch, cut, k, pct, least
-        self.spark, self.long_list, self.dense = df.sparkSession, P.LONG_LIST, P.DENSE
+        self.spark, self.long_list, self.dense = df.sparkSession, P.LONG_LIST if k is None else P.LONG_LIST_OF_SETS, P.DENSE
         scanned = scratch.table(scan_units(df, cut, k), "units")
         ranks = read_sketch(scanned)
         self.units = scanned.where("chunk is null").drop("chunk", "z")

@@ -167,6 +167,7 @@ def near_group(size, words, changes, seed):
 def test_ngram_hubs(spark, monkeypatch, words, changes, pct):
     """Lists so short that hubs must do the work; pairs are similar to each other but not always to the hub."""
     monkeypatch.setattr(postings, "LONG_LIST", 8)
+    monkeypatch.setattr(postings, "LONG_LIST_OF_SETS", 8)
     monkeypatch.setattr(postings, "DENSE", 4)
     rows = near_group(160, words, changes, words)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -178,6 +179,7 @@ def test_ngram_hubs(spark, monkeypatch, words, changes, pct):
 @pytest.mark.parametrize("words,changes", [(12, 2), (40, 8), (150, 30)])
 def test_line_hubs(spark, monkeypatch, words, changes):
     monkeypatch.setattr(postings, "LONG_LIST", 8)
+    monkeypatch.setattr(postings, "LONG_LIST_OF_SETS", 8)
     monkeypatch.setattr(postings, "DENSE", 4)
     df = spark.createDataFrame(near_group(150, words, changes, words), "doc_id long, text string").repartition(3)
     want = bag_gone(df.collect())
@@ -328,6 +330,7 @@ def test_hubs_beyond_what_is_broadcast(spark, monkeypatch, few, ordered):
     monkeypatch.setattr(simjoin, "FEW", few)
     monkeypatch.setattr(simjoin, "ORDERED", ordered)
     monkeypatch.setattr(postings, "LONG_LIST", 8)
+    monkeypatch.setattr(postings, "LONG_LIST_OF_SETS", 8)
     monkeypatch.setattr(postings, "DENSE", 4)
     df = spark.createDataFrame(near_group(40, 60, 4, 5), "doc_id long, text string")
     assert Counter(map(tuple, ngram_join.ngram_components(df, boundary=0).collect())) == classes(df.collect(), 4, 85)
