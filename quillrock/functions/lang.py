@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 #: Romanised function words; nouns say nothing (fixed values).
 ROMANISED = (
-    "koto kivabe kibhabe ki kise kothay kothae kobe keno lage lagbe korte korbo kora korar kore ami amar amake amader apni apnar tar tara "
-    "taka tk hobe hoy hoyni hoye geche gele chai chaile dorkar proyojon nite pabo paoa jabo jete ache nei jonno jonne ekta akta kono shob kaj "
-    "din bochor bochhor bhul thik kagoj kagojpotro sonod nibondhon khulte tulte"
-).split()
+    "koto", "kivabe", "kibhabe", "ki", "kise", "kothay", "kothae", "kobe", "keno", "lage", "lagbe", "korte", "korbo", "kora", "korar", "kore", "ami",
+    "amar", "amake", "amader", "apni", "apnar", "tar", "tara", "taka", "tk", "hobe", "hoy", "hoyni", "hoye", "geche", "gele", "chai", "chaile",
+    "dorkar", "proyojon", "nite", "pabo", "paoa", "jabo", "jete", "ache", "nei", "jonno", "jonne", "ekta", "akta", "kono", "shob", "kaj", "din",
+    "bochor", "bochhor", "bhul", "thik", "kagoj", "kagojpotro", "sonod", "nibondhon", "khulte", "tulte",
+)
 
 
 def romanised_hits(c: Column) -> Column:

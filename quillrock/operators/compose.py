@@ -36,6 +36,7 @@ WORDS = {
     "en": {"none": "No matching service", "warn": "Check before you go", "confirm": "Confirm at", "unread": "No verified details yet.", "where": "Check at", "contact": "Contact:", "documents": "Required documents",
            "missing": "Not available from a verified source", "steps": "Process", "fees": "Fees", "updated": "Updated", "unknown": "unknown", "scams": "Protect yourself", "source": "Source:", "dated": "Source last updated", "checked": "Checked", "apply": "Apply at"},
 }
+#: The same in Bengali, as readers of such answers know them (fixed values).
 WORDS["bn"] = WORDS["en"] | {"documents": "প্রয়োজনীয় কাগজপত্র", "fees": "ফি", "dated": "উৎস সর্বশেষ হালনাগাদ"}
 
 

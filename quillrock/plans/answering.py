@@ -54,6 +54,7 @@ def classifier_contract(spark, sf_dir):
 
 # ---- evaluation ------------------------------------------------------------------------------------
 
+# Marks of answers (fixed values).
 FREE, UNREAD, DATED = ["free", "বিনামূল্যে"], ["not verified"], ["Source last updated"]
 
 

@@ -370,7 +370,7 @@ def encoding_class(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fonts.encoding(F.col("text")).alias("encoding"))
 
 
-@query(f"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains({lang.ROMANISED!r}, w))) AS hits FROM documents""")
+@query(f"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains({list(lang.ROMANISED)!r}, w))) AS hits FROM documents""")
 def lang_function_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lang.romanised_hits(F.col("text")).cast("long").alias("hits"))
 
