@@ -38,10 +38,13 @@ def source_problems(categories: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def top_candidates(links: DataFrame, good: str, bad: str, keep: int = 6, boost: int = 10) -> DataFrame:
-    """links (url, pos, label, target, score): the best `keep` a page; labels like `bad` go, labels like `good` gain."""
+    """links (url, pos, label, target, score): the best `keep` a page; labels like `bad` go, labels like `good` gain.
+
+    Where several pages share an address, links of equal score and place follow by target, then label.
+    """
     label = F.lower("label")
     scored = links.where(~label.rlike(bad)).withColumn("score", F.col("score") + F.when(label.rlike(good), boost).otherwise(0))
-    w = Window.partitionBy("url").orderBy(F.col("score").desc(), "pos")
+    w = Window.partitionBy("url").orderBy(F.col("score").desc(), "pos", "target", "label")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from quillrock.functions import fees, lang
-from quillrock.operators import agent, evaluate, html
+from quillrock.operators import agent, audit, evaluate, html
 from quillrock.sources import scans, sinks
 
 
@@ -53,3 +53,10 @@ def test_scans_and_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/none").first()["reason"] == "why"
     sinks.write_drafts(spark.createDataFrame([("c", "citizens", "source_read"), ("d", " ", "source_read")], "category string, audience_check string, status string"), f"{tmp_path}/drafts")
     assert [(r.category, r.status) for r in spark.read.parquet(f"{tmp_path}/drafts").collect()] == [("c", "unverified")]
+
+
+def test_candidates_of_pages_that_share_an_address(spark):
+    """Links that tie in score and place have one order, however the rows come."""
+    rows = [("u", 0, label, f"http://o.org/{label}", 2) for label in ("b", "a", "c")]
+    got = [[(r["label"], r["rank"]) for r in audit.top_candidates(spark.createDataFrame(x, "url string, pos int, label string, target string, score int").coalesce(1), "th", "que").orderBy("rank").collect()] for x in (rows, rows[::-1])]
+    assert got[0] == got[1] == [("a", 1), ("b", 2), ("c", 3)]
