@@ -1,13 +1,16 @@
-"""Toxicity: a convolutional text classifier, trained here in numpy.
+"""Toxicity: a convolutional text classifier, trained in tasks, in numpy.
 
 A word's embedding is the sum of two hashed ones, its own and that of its first STEM characters (endings
 vary); filters of several widths run over them, and the greatest response of each filter in the whole text
 feeds a logistic layer. Buckets that fewer than `least_docs` training texts hold stay zero, and so do, after
-half of the training, those that it has hardly moved: such words answer like no word. The fit takes a bounded sample
-of the labelled rows, `sample` of each class, least crc32 of a salted id first; scoring takes every text as a whole. One row in CALIBRATE of the
-sample is left out by a second model: on these rows it calibrates the output bias, so that 0.5 splits the classes
-best, and thresholds per language for `rejected`, by as much as their number outweighs PRIOR rows that say nothing new,
-so that few rows of a language move its threshold little.
+half of the training, those that it has hardly moved: such words answer like no word. Scoring takes every text as a whole.
+
+The fit takes every labelled row, in rounds: each task goes once over its rows, text by text, from the same model, and the steps of
+all tasks are put together, each coordinate's weighed by the squared gradients that the task saw there, so that a word few tasks
+have met is not thinned out. One row in CALIBRATE is kept from the training: on these rows, counted in bins of logits, the output
+bias is calibrated, so that 0.5 splits the classes best, and thresholds per language for `rejected`, by as much as their
+number outweighs PRIOR rows that say nothing new, so that few rows of a language move its threshold little. The driver holds the model,
+whose size is bounded, and never rows.
 
 Language, source, id and labels are never part of a score.
 
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import slices, worker_state
+from .common import Scratch, slices, worker_state
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -35,6 +38,15 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 CALIBRATE = 4
 PRIOR = 30
+#: Texts that the training goes over at least, in ROUNDS rounds; rows of a task, and tasks at most; coordinates that are put together at a time; bins of a logit's unit.
+STEPS = 14_000
+ROUNDS = (2, 6)
+TOGETHER = 2000
+TASKS = 256
+BLOCK = 1 << 14
+#: Error below which a text moves nothing: its gradient would be lost beside the others'.
+SURE = 0.004
+BINS = 64
 FILTERS = 8
 _TRIM = b".,;:!?\"'()[]{}|*#$%&<>"
 #: Words that a worker remembers, and the longest of them in bytes.
@@ -120,123 +132,205 @@ class Cnn:
     def logit(self, words: np.ndarray) -> float:
         return float(self.responses(words)[0] @ self.out + self.bias)
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 3, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> None:
-        """Adagrad, one text a step, classes weighted alike."""
-        rng = np.random.default_rng(seed)
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        g_emb, g_w, g_b, g_out, g_bias = np.full(self.emb.shape, 1e-3, np.float32), [np.full(w.shape, 1e-3, np.float32) for w in self.w], [np.full(FILTERS, 1e-3, np.float32) for _ in self.w], np.full(self.out.shape, 1e-3, np.float32), 1e-3
-        for _ in range(epochs):
-            for i in rng.permutation(len(texts)):
-                top, where, slots = self.responses(texts[i])
-                p = 1 / (1 + np.exp(-np.clip(top @ self.out + self.bias, -30, 30)))
-                err = np.float32((p - y[i]) * weight[i])
-                back = err * self.out * (top > 0)
-                grad = err * top + decay * self.out
-                g_out += grad**2
-                self.out -= rate * grad / np.sqrt(g_out)
-                g_bias += err**2
-                self.bias -= rate * float(err) / np.sqrt(g_bias)
-                for n, k in enumerate(WIDTHS):
-                    d = back[n * FILTERS : (n + 1) * FILTERS]
-                    on = np.flatnonzero(d)
-                    if not len(on):
-                        continue
-                    g_b[n][on] += d[on] ** 2
-                    self.b[n][on] -= rate * d[on] / np.sqrt(g_b[n][on])
-                    real = on[where[n][on] >= 0]
-                    for j in range(k):
-                        at = where[n][real] + j
-                        de = d[real, None] * self.w[n][j][:, real].T
-                        dw = d[real] * (self.emb[slots[0, at]] + self.emb[slots[1, at]]).T
-                        g_w[n][j][:, real] += dw**2
-                        self.w[n][j][:, real] -= rate * dw / np.sqrt(g_w[n][j][:, real])
-                        for rows in (slots[0, at], slots[1, at]):
-                            live = rows > 0
-                            if live.any():  # a word that several filters chose gets their summed gradient
-                                r, to = np.unique(rows[live], return_inverse=True)
-                                full = np.zeros((len(r), DIM), np.float32)
-                                np.add.at(full, to, de[live])
-                                g_emb[r] += full**2
-                                self.emb[r] -= rate * full / np.sqrt(g_emb[r])
-
-
-def split_point(logits: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap between two neighbouring logits with the best balanced accuracy."""
-    order = np.argsort(logits, kind="stable")
-    z, t = logits[order], y[order].astype(float)
-    pos, neg = t.sum(), len(t) - t.sum()
-    below_pos, below_neg = np.concatenate(([0], np.cumsum(t))), np.concatenate(([0], np.cumsum(1 - t)))
-    score = (pos - below_pos) / max(pos, 1) + below_neg / max(neg, 1)
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.emb.reshape(-1), *(w.reshape(-1) for w in self.w), *self.b, self.out, np.array([self.bias], np.float32)])
+
+    def take(self, flat: np.ndarray) -> None:
+        """The parameters of flat()."""
+        at = 0
+
+        def part(shape):
+            nonlocal at
+            n = int(np.prod(shape))
+            at += n
+            return flat[at - n : at].reshape(shape).astype(np.float32)
+
+        self.emb = part(self.emb.shape)
+        self.w = [part(w.shape) for w in self.w]
+        self.b = [part(b.shape) for b in self.b]
+        self.out, self.bias = part(self.out.shape), float(flat[at])
+
+    def fit(self, rows, squares: np.ndarray, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+        """One pass of Adagrad over (words, label, weight), one text a step, unless its answer is SURE; squares: of the gradients so far, as flat() has them. The new ones."""
+        seen = Cnn.__new__(Cnn)
+        seen.emb, seen.w, seen.b, seen.out = self.emb, self.w, self.b, self.out
+        seen.take(squares)
+        g_emb, g_w, g_b, g_out = seen.emb, seen.w, seen.b, seen.out
+        for words, y, weight in rows:
+            top, where, slots = self.responses(words)
+            p = 1 / (1 + np.exp(-np.clip(top @ self.out + self.bias, -30, 30)))
+            if abs(p - y) < SURE:
+                continue
+            err = np.float32((p - y) * weight)
+            back = err * self.out * (top > 0)
+            grad = err * top + decay * self.out
+            g_out += grad**2
+            self.out -= rate * grad / np.sqrt(g_out)
+            seen.bias += float(err) ** 2
+            self.bias -= rate * float(err) / np.sqrt(seen.bias)
+            for n, k in enumerate(WIDTHS):
+                d = back[n * FILTERS : (n + 1) * FILTERS]
+                on = np.flatnonzero(d)
+                if not len(on):
+                    continue
+                g_b[n][on] += d[on] ** 2
+                self.b[n][on] -= rate * d[on] / np.sqrt(g_b[n][on])
+                real = on[where[n][on] >= 0]
+                for j in range(k):
+                    at = where[n][real] + j
+                    de = d[real, None] * self.w[n][j][:, real].T
+                    dw = d[real] * (self.emb[slots[0, at]] + self.emb[slots[1, at]]).T
+                    g_w[n][j][:, real] += dw**2
+                    self.w[n][j][:, real] -= rate * dw / np.sqrt(g_w[n][j][:, real])
+                    for held in (slots[0, at], slots[1, at]):
+                        live = held > 0
+                        if live.any():  # a word that several filters chose gets their summed gradient
+                            r, to = np.unique(held[live], return_inverse=True)
+                            full = np.zeros((len(r), DIM), np.float32)
+                            np.add.at(full, to, de[live])
+                            g_emb[r] += full**2
+                            self.emb[r] -= rate * full / np.sqrt(g_emb[r])
+        return seen.flat()
+
+
+def split_point(logits: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> float:
+    """The middle of the gap between two neighbouring logits with the best balanced accuracy; rows of both classes by logit."""
+    z, at = np.unique(logits, return_inverse=True)
+    pos, neg = np.bincount(at, positive, len(z)), np.bincount(at, negative, len(z))
+    below_pos, below_neg = np.concatenate(([0], np.cumsum(pos))), np.concatenate(([0], np.cumsum(neg)))
+    score = (pos.sum() - below_pos) / max(pos.sum(), 1) + below_neg / max(neg.sum(), 1)
     edges = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
     best = np.flatnonzero(score >= score.max() - 1e-12)
     return float(edges[best[len(best) // 2]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample: int = 1000, least_docs: int = 3, folds: int = 5):
-    """(model, thresholds by language) from at most `sample` labelled documents of each class, fold 0 left out.
-
-    Of labelled rows, ids and labels are sampled before any text is read.
-    """
-    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.pmod(crc, F.lit(folds)) != 0)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).alias("__y"))
-    rank = F.crc32(F.concat(F.lit("s"), F.col("__id").cast("string")).cast("binary"))
-    chosen = [r["__id"] for c in (0, 1) for r in named.where(F.col("__y") == c).orderBy(rank, "__id").limit(sample).collect()]
-    # at most 2 * sample ids: a bounded broadcast
-    picked = docs.sparkSession.createDataFrame([(i,) for i in chosen] or [(-1,)], "__id long").join(named, "__id")
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t"), F.col(lang_col).cast("string").alias("__l")).join(F.broadcast(picked), "__id")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", least_docs: int = 3, folds: int = 5):
+    """(model, thresholds by language) from every labelled document, fold 0 left out."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    outside = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds)) != 0
+    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & outside(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
+    rows = docs.where(outside(F.col(id_col))).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t"), F.col(lang_col).cast("string").alias("__l")).join(named, "__id")
     # of rows that share an id the one of the least text hash, so that the fit is the same every time
     rows = rows.groupBy("__id").agg(F.min_by(F.struct("__t", "__l", "__y"), F.struct(F.xxhash64("__t"), "__l")).alias("r")).select("__id", "r.*")
 
-    def run(batches):
+    def coded(batches):
         for b in slices(batches, text="__t"):
-            t = b.schema.get_field_index("__t")
-            codes = [buckets(x).tobytes() for x in b.column(t).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), b.column(2), b.column(3)], ["__id", "__w", "__l", "__y"])
-
-    got = sorted(rows.select("__id", "__t", "__l", F.col("__y").cast("int").alias("__y")).mapInArrow(run, "__id long, __w binary, __l string, __y int").collect(), key=lambda r: r["__id"])
-    texts, y, langs = [np.frombuffer(r["__w"], np.int64) for r in got], np.array([r["__y"] for r in got], int), [r["__l"] for r in got]
-    held = np.zeros(1 << BITS, np.int32)
-    for t in texts:
-        held[np.unique(np.concatenate((t & MASK, t >> BITS)))] += 1
-    held[0] = 0
-    known = np.flatnonzero(held >= least_docs)
-    if len(set(y.tolist())) < 2:
-        model = Cnn(known)
+            codes = [buckets(x).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), b.column(2), b.column(3)], ["id", "w", "l", "y"])
+
+    spare = F.pmod(F.crc32(F.concat(F.lit("s"), F.col("id").cast("string")).cast("binary")), F.lit(CALIBRATE)) == 0
+    rows = scratch.table(rows.select("__id", "__t", "__l", "__y").mapInArrow(coded, "id long, w binary, l string, y int").withColumn("spare", spare), "rows")
+    count = {(r["spare"], r["y"]): r["n"] for r in rows.groupBy("spare", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = all(count.get((s, c)) for s in (False, True) for c in (0, 1))
+    sizes = [sum(count.get((s, c), 0) for s in (False, True)) for c in (0, 1)]
+    if not all(sizes):
+        model = Cnn(np.zeros(0, np.int64))
         model.out[:] = 0
-        model.bias = 4.0 if len(y) and y[0] == 1 else -4.0
+        model.bias = 4.0 if sizes[1] else -4.0
+        scratch.clear()
+        return model, {}
+    known = _known(rows, least_docs)
+    model = _trained(spark, scratch, rows, sizes, known)
+    if not apart:
+        scratch.clear()
         return model, {}
-    spare = np.zeros(len(y), bool)
-    for c in (0, 1):  # every so many-th row of a class, if it has enough
-        spare[np.flatnonzero(y == c)[CALIBRATE - 1 :: CALIBRATE]] = True
-    model, at = _trained(known, texts, y)
+    # a second model that has not seen the spare rows tells where the classes of others part
+    other = _trained(spark, scratch, rows.where("not spare"), [count[False, c] for c in (0, 1)], known)
+    z, t, n, langs = _logits(spark, rows.where("spare"), other)
+    at = split_point(z, n * t, n * (1 - t)) * _trust(n, t)
     thresholds = {}
-    if len(set(y[spare].tolist())) == 2 and len(set(y[~spare].tolist())) == 2:
-        # a second model that has not seen the spare rows tells how the split of seen rows misses that of others
-        other, seen = _trained(known, [t for t, s in zip(texts, spare, strict=True) if not s], y[~spare])
-        z, t, where = np.array([other.logit(t) for t, s in zip(texts, spare, strict=True) if s]) - seen, y[spare], [x for x, s in zip(langs, spare, strict=True) if s]
-        off = split_point(z, t) * _trust(t)
-        at += off
-        for lang in {x for x in where if x is not None}:
-            of = np.array([x == lang for x in where])
-            if _trust(t[of]):
-                thresholds[lang] = float(np.clip(split_point(z[of] - off, t[of]), -1, 1) * _trust(t[of]))
+    for lang in set(langs) - {None}:
+        of = np.array([x == lang for x in langs])
+        if _trust(n[of], t[of]):
+            thresholds[lang] = float(np.clip(split_point(z[of], n[of] * t[of], n[of] * (1 - t[of])) - at, -1, 1) * _trust(n[of], t[of]))
     model.bias -= at
+    scratch.clear()
     return model, thresholds
 
 
-def _trained(known: np.ndarray, texts: list[np.ndarray], y: np.ndarray) -> tuple[Cnn, float]:
-    """A model of these rows, and the logit that splits them best."""
-    model = Cnn(known)
-    model.fit(texts, y)
-    model.prune(0.3)
-    model.fit(texts, y)
-    return model, split_point(np.array([model.logit(t) for t in texts]), y)
+def _known(rows: DataFrame, least: int) -> np.ndarray:
+    """Buckets that at least so many texts hold, of 2^BITS at most."""
+
+    def count(batches):
+        held = np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                t = np.frombuffer(w, np.int64)
+                held[np.unique(np.concatenate((t & MASK, t >> BITS)))] += 1
+        held[0] = 0
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
+
+    found = rows.select("w").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("at").toArrow().column(0).to_numpy())
+
+
+def _trained(spark, scratch: Scratch, rows: DataFrame, sizes: list[int], known: np.ndarray) -> Cnn:
+    """A model of these rows, `sizes` of each class, which count alike. The driver puts whole rounds together, at most 2^BITS embeddings."""
+    model, n = Cnn(known), sum(sizes)
+    squares = np.full(len(model.flat()), 1e-3, np.float32)
+    weight = [0.5 * n / s for s in sizes]
+    tasks, rounds = min(max(1, n // TOGETHER), TASKS), min(max(-(-STEPS // n), ROUNDS[0]), ROUNDS[1])
+    dealt = rows.select("id", "w", "y").repartition(tasks, "id")
+
+    def steps(sent):
+        def run(batches):
+            import copy
+
+            given, squares = sent.value
+            cnn = copy.copy(given)
+            cnn.take(given.flat())
+            texts = ((np.frombuffer(w, np.int64), y, weight[y]) for b in batches for w, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            more = cnn.fit(texts, squares) - squares
+            step = (cnn.flat() - given.flat()) * more
+            for i in range(0, len(more), BLOCK):
+                g = more[i : i + BLOCK]
+                if g.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([step[i : i + BLOCK].tobytes()]), pa.array([g.tobytes()]), pa.array([(g * g).tobytes()])], ["at", "step", "g", "gg"])
+
+        return run
+
+    def merge(table: pa.Table) -> pa.Table:
+        step, g, gg = (sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column(c).to_pylist()) for c in ("step", "g", "gg"))
+        total = np.maximum(g, 1e-30)
+        return pa.table({"at": table.column("at")[:1], "step": [(step / total).astype(np.float32).tobytes()], "g": [(gg / total).astype(np.float32).tobytes()]})
+
+    for i in range(rounds):
+        if i == rounds // 2:
+            model.prune(0.3)
+            squares = np.full(len(model.flat()), 1e-3, np.float32)  # the second half begins with long steps again
+        sent = spark.sparkContext.broadcast((model, squares))
+        done = dealt.sortWithinPartitions(F.xxhash64("id", F.lit(i)), "id").mapInArrow(steps(sent), "at long, step binary, g binary, gg binary").groupBy("at").applyInArrow(merge, "at long, step binary, g binary")
+        flat, squares = model.flat(), squares.copy()
+        for r in scratch.table(done, f"round{i}").collect():
+            step, g = np.frombuffer(r["step"], np.float32), np.frombuffer(r["g"], np.float32)
+            flat[r["at"] : r["at"] + len(step)] += step
+            squares[r["at"] : r["at"] + len(g)] += g
+        scratch.drop(f"round{i}")
+        sent.unpersist()
+        model.take(flat)
+    return model
+
+
+def _logits(spark, rows: DataFrame, model: Cnn):
+    """(logit, label, number, language) of rows by bins of logits, BINS a unit; those beyond 32 are held there."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        cnn = sent.value
+        for b in batches:
+            z = np.array([cnn.logit(np.frombuffer(w, np.int64)) for w in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.clip(z, -32, 32) * BINS).astype(np.int64)), b.column(1), b.column(2)], ["z", "y", "l"])
+
+    got = rows.select("w", "y", "l").mapInArrow(run, "z long, y int, l string").groupBy("z", "y", "l").agg(F.count(F.lit(1)).alias("n")).orderBy("z", "y", "l").collect()
+    return (np.array([r["z"] for r in got]) + 0.5) / BINS, np.array([r["y"] for r in got]), np.array([r["n"] for r in got], float), [r["l"] for r in got]
 
 
-def _trust(y: np.ndarray) -> float:
-    """Weight of what these rows say against PRIOR rows that say nothing new; 0 without rows of both classes."""
-    least = min((y == 1).sum(), (y == 0).sum())
-    return least / (least + PRIOR)
+def _trust(n: np.ndarray, y: np.ndarray) -> float:
+    """Weight of what so many rows say against PRIOR rows that say nothing new; 0 without rows of both classes."""
+    least = min(n[y == 1].sum(), n[y == 0].sum())
+    return float(least / (least + PRIOR))
 
 
 def score(docs: DataFrame, model: Cnn, thresholds: dict[str, float], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

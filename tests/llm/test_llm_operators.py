@@ -577,3 +577,16 @@ def test_spans_of_many_matches(spark):
     text = "".join(f"a{i}@b.com x" for i in range(700))
     got = pii.digest(pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     assert got.spans == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z0-9]+@b\.com", text))
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only late rows hold, by the order in which ids were once sampled, is learnt; tasks share what they learn."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    late = sorted(ids, key=lambda i: zlib.crc32(f"s{i}".encode()))[2300:]
+    rare = set(late[::20])
+    rows = [(i, ("bleak " if i in rare else "foul " if i % 2 else "mild ") + f"word{i % 7} and", "en") for i in ids] + [(-1, "bleak word1 and", "en"), (-2, "mild word1 and", "en"), (-3, "unmet word1 and", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in rare or i % 2)) for i in ids], "doc_id long, toxic int")
+    model, cuts = toxicity.fit(docs, labels)
+    got = {r.id: r.score for r in toxicity.score(docs.where("doc_id < 0"), model, cuts).collect()}
+    assert len(ids) > 3000 and got[-1] > 0.5 > got[-2] and got[-1] > got[-3] + 0.05
