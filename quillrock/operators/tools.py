@@ -84,25 +84,26 @@ def answer(calls: DataFrame, pages: DataFrame, bodies: DataFrame, table: dict[st
     refused = row(given.where(wrong.isNotNull()), wrong, none)
     good = given.where(wrong.isNull()).select("call_id", "tool", F.col("args")["url"].alias("url"), F.col("args")["text"].alias("cell"), F.col("args")["contains"].alias("contains"))
 
-    def of(tool: str, source: DataFrame, result: Column, error: Column | None = None) -> DataFrame:
-        mine = good.where(F.col("tool") == tool)
+    def of(names: tuple[str, ...], source: DataFrame, project, result: Column, error: Column | None = None) -> DataFrame:
+        mine = good.where(F.col("tool").isin(*names))
         # only what is asked for is looked at
         asked = source.join(mine.select("url").distinct(), "url", "left_semi")
-        j = mine.join(projected[tool](asked).withColumn("__there", F.lit(True)), "url", "left")
+        j = mine.join(project(asked).withColumn("__there", F.lit(True)), "url", "left")
         gone = F.when(F.col("__there").isNull(), F.concat(F.lit("nothing is known of "), "url"))
         return row(j, gone if error is None else F.coalesce(gone, error), result)
 
-    projected = {"discover_links": lambda p: link_tool(p, **links), "fetch_page": page_tool, "extract_tables": table_tool, "detect_pdf": lambda b: document_tool(b, table), "decode_pdf": lambda b: document_tool(b, table)}
     picked = F.when(F.col("contains").isNull(), F.slice("lines", 1, 120)).otherwise(F.filter("lines", lambda x: F.contains(x, F.col("contains"))))
     not_read = F.when(F.col("refused"), F.concat(F.lit("refused: "), "encoding"))
+    # both tools of documents are answered by one reading of them
+    detected = _json(url=F.col("url"), encoding=F.col("encoding"))
+    decoded = _json(url=F.col("url"), total_lines=F.size("lines"), unusable_lines=F.size(F.filter("lines", fonts.unmapped)), matched=F.size(picked), lines=clip(F.array_join(picked, "\n"), SHOWN))
     fee = parse_fees(F.col("cell"))
     out = refused
     for more in (
-        of("discover_links", pages, _json(url=F.col("url"), links=F.col("links"))),
-        of("fetch_page", pages, _json(url=F.col("url"), updated=F.col("updated"), text=F.col("text"))),
-        of("extract_tables", pages, _json(url=F.col("url"), tables=F.col("n_tables"), preview=F.col("preview"))),
-        of("detect_pdf", bodies, _json(url=F.col("url"), encoding=F.col("encoding"))),
-        of("decode_pdf", bodies, _json(url=F.col("url"), total_lines=F.size("lines"), unusable_lines=F.size(F.filter("lines", fonts.unmapped)), matched=F.size(picked), lines=clip(F.array_join(picked, "\n"), SHOWN)), not_read),
+        of(("discover_links",), pages, lambda p: link_tool(p, **links), _json(url=F.col("url"), links=F.col("links"))),
+        of(("fetch_page",), pages, page_tool, _json(url=F.col("url"), updated=F.col("updated"), text=F.col("text"))),
+        of(("extract_tables",), pages, table_tool, _json(url=F.col("url"), tables=F.col("n_tables"), preview=F.col("preview"))),
+        of(("detect_pdf", "decode_pdf"), bodies, lambda x: document_tool(x, table), F.when(F.col("tool") == "detect_pdf", detected).otherwise(decoded), F.when(F.col("tool") == "decode_pdf", not_read)),
         row(good.where("tool = 'parse_fee'"), none, _json(input=F.left("cell", F.lit(400)), fees=fee["fees"], refused=fee["note"])),
     ):
         out = out.unionByName(more)
