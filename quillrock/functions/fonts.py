@@ -61,23 +61,20 @@ class Decoder:
 
     def __init__(self, table: dict[str, str]):
         self.table = table
-        keys = sorted(map(re.escape, table), key=len, reverse=True)
-        self.token = re.compile("|".join([GLYPH.pattern, *keys, "(?s:.)"]))
-
-    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
-        for m in self.token.finditer(text):
-            t = m[0]
-            if t in self.table:
-                yield self.table[t], True
-            else:
-                yield t, not GLYPH.fullmatch(t) and (t.isspace() or t in MARKS or (t.isascii() and t.isalnum()))
+        longer = sorted((k for k in table if len(k) > 1), key=len, reverse=True)
+        self.longer = re.compile(f"({'|'.join([GLYPH.pattern, *map(re.escape, longer)])})")
+        self.single = str.maketrans({k: v for k, v in table.items() if len(k) == 1})
+        self.unknown = re.compile(f"[^\\s0-9A-Za-z{''.join(map(re.escape, sorted(MARKS.union(k for k in table if len(k) == 1))))}]")
 
     def decode(self, text: str) -> tuple[str, float]:
         """Text in logical order and NFC, and the share of glyphs that were known."""
-        got = list(self.pieces(text))
-        unknown = sum(not known for _, known in got)
-        total = sum(not c.isspace() for c in GLYPH.sub("", text))
-        plain = raised_r(logical("".join(t for t, _ in got)))
+        # longer keys and markers are cut out first; what lies between has one character a key
+        parts = self.longer.split(text)
+        unknown = len(self.unknown.findall("".join(parts[::2]))) + sum(p not in self.table for p in parts[1::2])
+        total = len("".join(GLYPH.sub("", text).split()))
+        parts[::2] = [p.translate(self.single) for p in parts[::2]]
+        parts[1::2] = [self.table.get(p, p) for p in parts[1::2]]
+        plain = raised_r(logical("".join(parts)))
         return unicodedata.normalize("NFC", plain), 1.0 - unknown / max(total, 1)
 
 
@@ -130,18 +127,14 @@ def readable(kind: Column) -> Column:
 def routed(texts: DataFrame, table: dict[str, str], text: str = "text", is_pdf: str | None = None, corrected: str | None = None) -> DataFrame:
     """texts with `encoding`, `decoded` (null: refused) and `coverage` (of legacy text), each class read by its own decoder.
 
-    Plain text never meets Python: the classes part before the Arrow steps and are put together again behind them.
+    One pass, in which a text is classified once; plain text never meets Python, which is given nulls in its place.
     """
     kind = encoding(F.col(text), None if is_pdf is None else F.col(is_pdf), None if corrected is None else F.col(corrected))
     named = texts.withColumn("encoding", kind)
-    none, share = F.lit(None).cast("string"), F.lit(None).cast("double")
-    of = lambda *kinds: named.where(F.col("encoding").isin(*kinds))
-    plain = of("plain").withColumns({"decoded": F.col(text), "coverage": share})
-    visual = of("nikosh_cmap").withColumns({"decoded": to_logical(F.col(text)), "coverage": share})
-    legacy = of("legacy_bijoy").withColumn("__d", decode(F.col(text), table))
-    legacy = legacy.withColumns({"decoded": F.when(F.col("__d.coverage") >= ENOUGH, F.col("__d.text")), "coverage": F.col("__d.coverage")}).drop("__d")
-    refused = of("not_a_pdf", "empty", "legacy_unknown").withColumns({"decoded": none, "coverage": share})
-    return plain.unionByName(visual).unionByName(legacy).unionByName(refused)
+    of = lambda x: F.when(F.col("encoding") == x, F.col(text))
+    read = named.withColumns({"__v": to_logical(of("nikosh_cmap")), "__d": decode(of("legacy_bijoy"), table)})
+    plain = F.when(F.col("encoding") == "plain", F.col(text)).when(F.col("encoding") == "nikosh_cmap", F.col("__v")).when(F.col("__d.coverage") >= ENOUGH, F.col("__d.text"))
+    return read.withColumns({"decoded": plain, "coverage": F.col("__d.coverage")}).drop("__v", "__d")
 
 
 def _text_of(digits: str) -> str:

@@ -18,3 +18,14 @@ def test_documents_are_read_once_by_both_tools(spark, tmp_path):
     calls = spark.createDataFrame([(1, "detect_pdf", {"url": "u"}), (2, "decode_pdf", {"url": "u"})], "call_id int, tool string, args map<string,string>")
     got = tools.answer(calls, pages, spark.read.parquet(f"{tmp_path}/bodies"))
     assert plan(got).count("parquet") == 1 and sorted((r.tool, r.ok) for r in got.collect()) == [("decode_pdf", True), ("detect_pdf", True)]
+
+
+def test_routing_is_one_pass(spark, tmp_path):
+    spark.createDataFrame([("x",)], "text string").write.parquet(f"{tmp_path}/t")
+    assert plan(fonts.routed(spark.read.parquet(f"{tmp_path}/t"), {})).count("parquet") == 1
+
+
+def test_decoder_makes_no_step_a_character():
+    d = fonts.Decoder({"a": "ক", "ab": "খ", "]": "গ"})
+    assert len(d.longer.findall("x" * 500)) == 0 and not hasattr(d, "token")
+    assert d.decode("aab](cid:7)é z") == ("কখগ(cid:7)é z", 1 - 2 / 6)
