@@ -29,3 +29,16 @@ def test_decoder_makes_no_step_a_character():
     d = fonts.Decoder({"a": "ক", "ab": "খ", "]": "গ"})
     assert len(d.longer.findall("x" * 500)) == 0 and not hasattr(d, "token")
     assert d.decode("aab](cid:7)é z") == ("কখগ(cid:7)é z", 1 - 2 / 6)
+
+
+def test_distinct_grams_are_hashed_once(monkeypatch):
+    asked, real = [], embed.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(embed.xxhash, "xxh3_64_intdigest", lambda x: asked.append(x) or real(x))
+    got = embed.HashedGrams(16)(["ab " * 300, "ab ab"])
+    assert len(asked) == len(set(asked)) < 20
+    want = np.zeros(16)
+    for n in (2, 3):
+        for j in range(7 - n + 1):
+            h = real(" ab ab "[j : j + n])
+            want[h % 16] += 1 if h >> 63 else -1
+    assert np.array_equal(got[1], want)
