@@ -30,10 +30,10 @@ def parse_fees(c: Column) -> Column:
 
     VAT: a part that says it is included has it; a percentage anywhere in the cell says it is not; else unknown.
     """
-    return _once(squeeze(c), lambda clean: _once(F.trim(F.regexp_replace(clean, r"\[[^\]]*\]", " ")), lambda t: _once(F.transform(F.regexp_extract_all(t, F.lit(AMOUNT), 1), whole), lambda hits: _read(clean, t, hits))))
+    return once(squeeze(c), lambda clean: once(F.trim(F.regexp_replace(clean, r"\[[^\]]*\]", " ")), lambda t: once(F.transform(F.regexp_extract_all(t, F.lit(AMOUNT), 1), whole), lambda hits: _read(clean, t, hits))))
 
 
-def _once(c: Column, f) -> Column:
+def once(c: Column, f) -> Column:
     """f of a value that is computed once a row, however often f names it."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
@@ -48,7 +48,7 @@ def _read(clean: Column, t: Column, hits: Column) -> Column:
         F.when(F.coalesce(clean, F.lit("")) == "", "empty").when(t.rlike(FREE) & (n == 0), "free").when(n == 0, "no_amount").when(t.rlike(AMBIGUOUS), "ambiguous")
         .when(n == 1, "single").when(F.size(parts) == n, "split").otherwise("not_split")
     )
-    return _once(outcome, lambda outcome: _told(t, hits, parts, extra, within, fee, outcome))
+    return once(outcome, lambda outcome: _told(t, hits, parts, extra, within, fee, outcome))
 
 
 def _told(t: Column, hits: Column, parts: Column, extra: Column, within, fee, outcome: Column) -> Column:
@@ -64,7 +64,7 @@ def _told(t: Column, hits: Column, parts: Column, extra: Column, within, fee, ou
 
 def parse_fee_cell(c: Column) -> Column:
     """Struct (amounts array<bigint>, vats array<boolean>, outcome): the figures of `parse_fees`."""
-    return _once(parse_fees(c), lambda read: F.struct(F.transform(read["fees"], lambda f: f["amount"]).alias("amounts"), F.transform(read["fees"], lambda f: f["vat"]).alias("vats"), read["outcome"].alias("outcome")))
+    return once(parse_fees(c), lambda read: F.struct(F.transform(read["fees"], lambda f: f["amount"]).alias("amounts"), F.transform(read["fees"], lambda f: f["vat"]).alias("vats"), read["outcome"].alias("outcome")))
 
 
 def split_numbered(c: Column, marker: str = r"(?:^|(?<=[\s;।]))[০-৯]{1,2}\)", least: int = 12) -> Column:

@@ -18,6 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fees import once
 from . import records as R
 
 BREACH = "array<struct<path:string,rule:string,detail:string>>"
@@ -47,14 +48,13 @@ def _cast(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
-def _is(v: Column, kind: str) -> Column:
-    """Whether a value, present, is of a kind; 1.0 is an integer."""
+def is_kind(v: Column, kind: str, name: Column) -> Column:
+    """Whether a value, present, whose type has this name, is of a kind; 1.0 is an integer."""
     if kind == "integer":
         n = _cast(v, "decimal(38,18)")
-        return _is(v, "number") & F.coalesce(n == F.floor(n), F.lit(False))
+        return is_kind(v, "number", name) & F.coalesce(n == F.floor(n), F.lit(False))
     if kind not in KINDS:
         raise ValueError(f"unknown type {kind!r}")
-    name = F.call_function("schema_of_variant", v)
     found = [name.startswith(x) for x in KINDS[kind]]
     out = found[0]
     for x in found[1:]:
@@ -62,15 +62,15 @@ def _is(v: Column, kind: str) -> Column:
     return out
 
 
-def _equals(v: Column, value) -> Column:
+def _equals(v: Column, value, name: Column) -> Column:
     if value is None:
         return F.is_variant_null(v)
     if isinstance(value, bool):
-        return _is(v, "boolean") & (_cast(v, "boolean") == value)
+        return is_kind(v, "boolean", name) & (_cast(v, "boolean") == value)
     if isinstance(value, (int, float)):
-        return _is(v, "number") & (_cast(v, "decimal(38,18)") == F.lit(Decimal(str(value))))
+        return is_kind(v, "number", name) & (_cast(v, "decimal(38,18)") == F.lit(Decimal(str(value))))
     if isinstance(value, str):
-        return _is(v, "string") & (_cast(v, "string") == value)
+        return is_kind(v, "string", name) & (_cast(v, "string") == value)
     raise ValueError("enum and const of arrays or objects are not compiled")
 
 
@@ -107,7 +107,13 @@ def breaches(v: Column, schema: dict | bool, path: Column | None = None, root: d
     }
     if unknown:
         raise ValueError(f"keywords not compiled: {sorted(unknown)}")
-    down = lambda x, p, s: breaches(x, s, p, root, within)
+    return once(F.call_function("schema_of_variant", v), lambda name: _found(v, schema, path, root, within, name))
+
+
+def _found(v: Column, schema: dict, path: Column, root: dict, within: tuple[str, ...], name_of: Column) -> Column:
+    """breaches() of a value whose type's name is known; each value and each object's map is computed once."""
+    down = lambda x, p, s: once(x, lambda x: breaches(x, s, p, root, within))
+    _is = lambda v, kind: is_kind(v, kind, name_of)
     under = lambda part: F.when(path == "", part).otherwise(F.concat(path, F.lit("/"), part))
     found = []
     if "type" in schema:
@@ -121,7 +127,7 @@ def breaches(v: Column, schema: dict | bool, path: Column | None = None, root: d
             values = schema[name] if name == "enum" else [schema[name]]
             ok = F.lit(False)
             for x in values:
-                ok = ok | _equals(v, x)
+                ok = ok | _equals(v, x, name_of)
             found.append(_if(~ok, path, name, json.dumps(values if name == "enum" else values[0], ensure_ascii=False)))
     for s in schema.get("allOf", []):
         found.append(down(v, path, s))
@@ -139,22 +145,20 @@ def breaches(v: Column, schema: dict | bool, path: Column | None = None, root: d
     }
     found += [_if(F.coalesce(bad(), F.lit(False)), path, name, str(schema[name])) for name, bad in limits.items() if name in schema]
 
-    inside = []
-    fields = _cast(v, "map<string,variant>")
-    keys = F.map_keys(fields)
-    for key in schema.get("required", []):
-        inside.append(F.when(F.array_contains(keys, key), _none()).otherwise(_breach(path, "required", key)))
-    known = schema.get("properties", {})
-    for key, s in known.items():
-        inside.append(F.when(F.array_contains(keys, key), down(F.element_at(fields, F.lit(key)), under(F.lit(key)), s)).otherwise(_none()))
-    more = schema.get("additionalProperties", True)
-    others = F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>")))
-    if more is False:
-        inside.append(F.transform(others, lambda k: F.struct(path.alias("path"), F.lit("additionalProperties").alias("rule"), k.alias("detail"))))
-    elif more not in (True, {}):
-        inside.append(F.flatten(F.transform(others, lambda k: down(F.element_at(fields, k), under(k), more))))
-    if inside:
-        found.append(F.when(_is(v, "object"), F.concat(*inside)).otherwise(_none()))
+    known, must, more = schema.get("properties", {}), schema.get("required", []), schema.get("additionalProperties", True)
+
+    def inside(fields: Column, keys: Column) -> Column:
+        of = [F.when(F.array_contains(keys, key), _none()).otherwise(_breach(path, "required", key)) for key in must]
+        of += [F.when(F.array_contains(keys, key), down(F.element_at(fields, F.lit(key)), under(F.lit(key)), s)).otherwise(_none()) for key, s in known.items() if s not in (True, {})]
+        others = F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>")))
+        if more is False:
+            of.append(F.transform(others, lambda k: F.struct(path.alias("path"), F.lit("additionalProperties").alias("rule"), k.alias("detail"))))
+        elif more not in (True, {}):
+            of.append(F.flatten(F.transform(others, lambda k: down(F.element_at(fields, k), under(k), more))))
+        return F.concat(*of) if of else _none()
+
+    if known or must or more not in (True, {}):
+        found.append(F.when(_is(v, "object"), once(_cast(v, "map<string,variant>"), lambda fields: once(F.map_keys(fields), lambda keys: inside(fields, keys)))).otherwise(_none()))
 
     items = schema.get("items", True)
     if isinstance(items, list):

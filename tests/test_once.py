@@ -42,3 +42,11 @@ def test_distinct_grams_are_hashed_once(monkeypatch):
             h = real(" ab ab "[j : j + n])
             want[h % 16] += 1 if h >> 63 else -1
     assert np.array_equal(got[1], want)
+
+
+def test_type_of_a_value_is_told_once(spark):
+    schema = {"type": "object", "properties": {"a": {"type": ["string", "null"], "minLength": 1}}, "additionalProperties": False}
+    df = spark.createDataFrame([(1, '{"a": "", "b": 1}')], "path int, body string")
+    got = conform.check(df, schema)
+    assert plan(got).count("schemaOfVariant(") == 2
+    assert sorted((r["at"], r["rule"]) for r in got.collect()) == [("", "additionalProperties"), ("a", "minLength")]
