@@ -49,17 +49,36 @@ SURE = 0.004
 BINS = 64
 FILTERS = 8
 _TRIM = b".,;:!?\"'()[]{}|*#$%&<>"
-#: Words that a worker remembers, and the longest of them in bytes.
+#: Words, and stems, that a worker remembers, and the longest of the words in bytes.
 _CACHE = 300_000
 _LONGEST = 48
 
 
+class Stems(dict):
+    """Buckets of stems, already BITS higher."""
+
+    def __missing__(self, stem: bytes) -> int:
+        b = _bucket(stem, 1) << BITS
+        if len(self) < _CACHE:
+            self[stem] = b
+        return b
+
+
 class Buckets(dict):
     """Buckets of a word and, BITS higher, of its stem; lower case, without punctuation at its ends; 0 is for none."""
 
+    def __init__(self):
+        self.stems = Stems()
+
     def __missing__(self, word: bytes) -> int:
-        w = word.strip(_TRIM).decode().lower()
-        b = _bucket(w.encode(), 0) | _bucket(w[:STEM].encode(), 1) << BITS if w else 0
+        w = word.strip(_TRIM)
+        if w.isascii():
+            w = w.lower()
+            stem = w[:STEM]
+        else:
+            lower = w.decode().lower()
+            w, stem = lower.encode(), lower[:STEM].encode()
+        b = _bucket(w, 0) | self.stems[stem] if w else 0
         if len(word) <= _LONGEST and len(self) < _CACHE:
             self[word] = b
         return b
@@ -88,37 +107,45 @@ class Cnn:
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.bias = 0.0
 
-    def responses(self, words: np.ndarray):
+    def joint(self) -> np.ndarray:
+        """The filters side by side, (DIM, places of all widths, FILTERS); from here on self.w are views of it."""
+        out = np.concatenate([w.transpose(1, 0, 2) for w in self.w], axis=1)
+        self.w = [out[:, k * (k - 1) // 2 : k * (k + 1) // 2].transpose(1, 0, 2) for k in WIDTHS]
+        return out
+
+    def responses(self, words: np.ndarray, joint: np.ndarray | None = None):
         """Greatest response of each filter, its place (-1: windows of no known word), and the slots of both kinds.
 
         A text is padded with no-words on both sides.
         """
+        joint = self.joint() if joint is None else joint
         pad = max(WIDTHS) - 1
         slots = np.zeros((2, len(words) + 2 * pad), np.int64)
         slots[0, pad : pad + len(words)] = self.slot[words & MASK]
         slots[1, pad : pad + len(words)] = self.slot[words >> BITS]
         top, where = [], []
-        known = slots.any(0)
-        hot = np.flatnonzero(known)
-        for k, w, b in zip(WIDTHS, self.w, self.b, strict=True):
+        hot = np.flatnonzero(slots[0] | slots[1])
+        dense = 2 * len(hot) > slots.shape[1]
+        at = slots if dense else slots[:, hot]
+        # what each place of each filter answers to a word: one product for all
+        own = ((self.emb[at[0]] + self.emb[at[1]]) @ joint.reshape(DIM, -1)).reshape(at.shape[1], joint.shape[1], FILTERS)
+        for k, b in zip(WIDTHS, self.b, strict=True):
             # windows without a known word all answer with the bias: one of them stands for all
-            last = slots.shape[1] - k
-            if 2 * len(hot) > last:
-                starts = np.arange(last + 1)
+            last, first = slots.shape[1] - k, k * (k - 1) // 2
+            if dense:
+                starts = None
+                r = own[: last + 1, first].copy()
+                for j in range(1, k):
+                    r += own[j : last + 1 + j, first + j]
             else:
-                starts = np.unique((hot[:, None] - np.arange(k)).reshape(-1))
-                starts = starts[(starts >= 0) & (starts <= last)]
-            r = np.zeros((len(starts), FILTERS), np.float32)
-            for j in range(k):
-                at = starts + j
-                r += (self.emb[slots[0, at]] + self.emb[slots[1, at]]) @ w[j]
+                starts, r = _windows(hot, own[:, first : first + k], slots.shape[1])
             r = np.maximum(r + b, 0)
-            if len(starts) <= last:
+            if starts is not None and len(starts) <= last:
                 r = np.concatenate((r, np.maximum(b, 0)[None]))
                 starts = np.concatenate((starts, [-1]))
-            at = r.argmax(0)
-            top.append(r[at, np.arange(FILTERS)])
-            where.append(starts[at])
+            at_most = r.argmax(0)
+            top.append(r[at_most, np.arange(FILTERS)])
+            where.append(at_most if starts is None else starts[at_most])
         return np.concatenate(top), where, slots
 
     def prune(self, least: float) -> None:
@@ -156,8 +183,9 @@ class Cnn:
         seen.emb, seen.w, seen.b, seen.out = self.emb, self.w, self.b, self.out
         seen.take(squares)
         g_emb, g_w, g_b, g_out = seen.emb, seen.w, seen.b, seen.out
+        joint = self.joint()
         for words, y, weight in rows:
-            top, where, slots = self.responses(words)
+            top, where, slots = self.responses(words, joint)
             p = 1 / (1 + np.exp(-np.clip(top @ self.out + self.bias, -30, 30)))
             if abs(p - y) < SURE:
                 continue
@@ -185,14 +213,67 @@ class Cnn:
                     for held in (slots[0, at], slots[1, at]):
                         live = held > 0
                         if live.any():  # a word that several filters chose gets their summed gradient
-                            r, to = np.unique(held[live], return_inverse=True)
-                            full = np.zeros((len(r), DIM), np.float32)
-                            np.add.at(full, to, de[live])
+                            r, full = held[live], de[live]
+                            if len(set(r.tolist())) < len(r):
+                                r, to = np.unique(r, return_inverse=True)
+                                full = np.zeros((len(r), DIM), np.float32)
+                                np.add.at(full, to, de[live])
                             g_emb[r] += full**2
                             self.emb[r] -= rate * full / np.sqrt(g_emb[r])
         return seen.flat()
 
 
+def _windows(hot: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, ascending, of the windows that hold one of the places `hot`, and their sums; own: what the k places of a window answer to each of them."""
+    k = own.shape[1]
+    touched = np.zeros(n, bool)
+    for j in range(k):
+        touched[hot[hot >= j] - j] = True
+    touched[n - k + 1 :] = False
+    starts = np.flatnonzero(touched)
+    at = np.zeros(n, np.int32)
+    at[starts] = np.arange(len(starts))
+    r = np.zeros((len(starts), FILTERS), np.float32)
+    for j in range(k):
+        fits = (hot >= j) & (hot - j <= n - k)
+        r[at[hot[fits] - j]] += own[fits, j]
+    return starts, r
+
+
+class Scorer:
+    """Logits of many texts at a time. What the filters answer to a word is looked up, so a text's logit is the same in any company."""
+
+    def __init__(self, model: Cnn):
+        self.model = model
+        self.table = (model.emb @ model.joint().reshape(DIM, -1)).reshape(len(model.emb), -1, FILTERS)
+
+    def __call__(self, texts: list[np.ndarray]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        m, pad = self.model, max(WIDTHS) - 1
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        words = np.concatenate(texts)
+        base = np.cumsum(lens + pad) - lens - pad  # a text begins with no-words and ends with those of the next
+        own, stem = m.slot[words & MASK], m.slot[words >> BITS]
+        known = np.flatnonzero(own | stem)
+        hot = known + (np.repeat(np.arange(len(texts)), lens)[known] + 1) * pad
+        answers = self.table[own[known]] + self.table[stem[known]]
+        top = np.empty((len(texts), len(WIDTHS) * FILTERS), np.float32)
+        for i, (k, b) in enumerate(zip(WIDTHS, m.b, strict=True)):
+            first = k * (k - 1) // 2
+            starts, r = _windows(hot, answers[:, first : first + k], len(words) + (len(texts) + 1) * pad)
+            edges = np.searchsorted(starts, np.append(base, len(words) + len(texts) * pad))
+            count = np.diff(edges)
+            best = np.zeros((len(texts), FILTERS), np.float32)
+            some = np.flatnonzero(count)
+            if len(some):
+                best[some] = np.maximum(np.maximum.reduceat(r, edges[some]) + b, 0)
+            bare = count < lens + 2 * pad - k + 1
+            best[bare] = np.maximum(best[bare], b)
+            top[:, i * FILTERS : (i + 1) * FILTERS] = best
+        return (top * m.out).sum(1).astype(np.float64) + m.bias
+
+
 def split_point(logits: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> float:
     """The middle of the gap between two neighbouring logits with the best balanced accuracy; rows of both classes by logit."""
     z, at = np.unique(logits, return_inverse=True)
@@ -318,9 +399,9 @@ def _logits(spark, rows: DataFrame, model: Cnn):
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        cnn = sent.value
-        for b in batches:
-            z = np.array([cnn.logit(np.frombuffer(w, np.int64)) for w in b.column(0).to_pylist()])
+        logits = Scorer(sent.value)
+        for b in slices(batches, text="w", chars=8_000_000):
+            z = logits([np.frombuffer(w, np.int64) for w in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.clip(z, -32, 32) * BINS).astype(np.int64)), b.column(1), b.column(2)], ["z", "y", "l"])
 
     got = rows.select("w", "y", "l").mapInArrow(run, "z long, y int, l string").groupBy("z", "y", "l").agg(F.count(F.lit(1)).alias("n")).orderBy("z", "y", "l").collect()
@@ -339,9 +420,9 @@ def score(docs: DataFrame, model: Cnn, thresholds: dict[str, float], id_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        cnn = sent.value
+        logits = Scorer(sent.value)
         for b in slices(batches):
-            z = np.array([cnn.logit(buckets(t)) for t in b.column(2).to_pylist()])
+            z = logits([buckets(t) for t in b.column(2).to_pylist()])
             cut = np.array([thresholds.get(x, 0.0) for x in b.column(1).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(z >= cut)], ["id", "score", "rejected"])
@@ -356,9 +437,9 @@ def clean(docs: DataFrame, model: Cnn, thresholds: dict[str, float], text_col: s
     t, l = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
-        cnn = sent.value
+        logits = Scorer(sent.value)
         for b in slices(batches, text=text_col):
-            z = np.array([cnn.logit(buckets(x)) for x in b.column(t).to_pylist()])
+            z = logits([buckets(x) for x in b.column(t).to_pylist()])
             yield b.filter(pa.array(z < np.array([thresholds.get(x, 0.0) for x in b.column(l).to_pylist()])))
 
     return docs.mapInArrow(run, docs.schema)

@@ -35,3 +35,23 @@ def test_pair_once_for_shared_differences():
     batches = [b.select(["bucket", "blob"]) for b in packer.end()]
     found = list(postings.read_lists(80, simjoin.one, 2, 512, 16, 8, False, postings.HEADS)(batches))
     assert [(x["a"], x["b"]) for b in found for x in b.to_pylist()] == [(5, 6)]
+
+
+def test_toxicity_scores_many_texts_at_a_time():
+    """A text's logit is the one it has alone, in any company; a word's code is that of its bare lower-case form, ASCII or not."""
+    import xxhash
+
+    from quillrock.llm import toxicity as T
+
+    for word in ("Ab,", "(ÄBCDE)", "x...", "!!!", "İstanbul'", "Straße", "y" * 60, "|δΣ|"):
+        w = word.strip(T._TRIM.decode()).lower()
+        own, stem = (1 + xxhash.xxh3_64_intdigest(x.encode(), i) % T.MASK for i, x in enumerate((w, w[: T.STEM])))
+        assert T.buckets(f" {word}\t{word}").tolist() == [own | stem << T.BITS if w else 0] * 2
+    rng = np.random.default_rng(5)
+    model = T.Cnn(np.arange(1, 60))
+    model.b = [rng.normal(0, 0.3, T.FILTERS).astype(np.float32) for _ in T.WIDTHS]
+    words = [rng.integers(0, most, n) | rng.integers(0, most, n) << T.BITS for n in (0, 1, 2, 3, 40, 300) for most in (1, 70, 900)]
+    scorer = T.Scorer(model)
+    many = scorer(words)
+    assert np.allclose(many, [model.logit(w) for w in words], atol=1e-4)
+    assert (many[::-1] == scorer(words[::-1])).all() and all(scorer([w])[0] == z for w, z in zip(words, many, strict=True))
