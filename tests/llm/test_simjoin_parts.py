@@ -55,3 +55,25 @@ def test_toxicity_scores_many_texts_at_a_time():
     many = scorer(words)
     assert np.allclose(many, [model.logit(w) for w in words], atol=1e-4)
     assert (many[::-1] == scorer(words[::-1])).all() and all(scorer([w])[0] == z for w, z in zip(words, many, strict=True))
+
+
+def test_pairs_of_sets_are_told_apart_by_first_bits():
+    """Whole members are read of few pairs that are not similar, and no similar pair is lost."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2300):
+        n, same = int(rng.integers(1, 300)), rng.random()
+        a = rng.integers(0, 1 << 64, n, np.uint64)
+        b = np.concatenate((a[: int(n * same)], rng.integers(0, 1 << 64, n - int(n * same), np.uint64)))
+        if i % 7 == 0:  # members of equal first bits
+            a, b = a >> np.uint64(3), b >> np.uint64(3) | np.uint64(i % 2 << 40)
+        a, b = np.unique(a), np.unique(b)
+        o = len(np.intersect1d(a, b))
+        rows.append((i, -i, *((x >> np.uint64(64 - simjoin.BRIEF)).astype(np.uint16).view(np.int16) for x in (a, b)), 100 * o >= 85 * (len(a) + len(b) - o)))
+    a, b, ma, mb, similar = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ma, pa.list_(pa.int16())), pa.array(mb, pa.list_(pa.int16()))], ["a", "b", "ma", "mb"])
+    got = {x for r in simjoin.may_reach(85)([batch]) for x in r.column(0).to_pylist()}
+    want = {i for i, s in zip(a, similar, strict=True) if s}
+    assert want <= got and 100 < len(want) and len(got) < 1.1 * len(want) + 20
