@@ -1,8 +1,10 @@
 """Keys packed in several passes, and pairs given once for all the differences that they share."""
 
 import numpy as np
+import pyarrow as pa
 
 from quillrock.llm import line_dedup, postings, simjoin
+from quillrock.llm.common import Scratch
 from tests.llm.test_llm_operators import bag_gone, near_group
 
 
@@ -25,6 +27,50 @@ def test_common_words_make_more_keys():
     assert simjoin.mean_keys(n, 80, common, 64).tolist() == [6, 66, 231]
 
 
+def test_keys_of_bags_that_mix_rare_and_common_words():
+    """The mean is that of the keys which such bags get, not of a bag with the mean number of rare words."""
+    rng = np.random.default_rng(3)
+    common = float(simjoin.S.count_of(np.array([200]))[0])
+    ranks = np.concatenate((np.full(int(common / 12), 3), [200]))  # a fifth of the uses are of rare words
+    for size in (10, 50, 100, 130):
+        counts = np.sort(np.where(rng.random((2000, size)) < 0.2, 3, 200), axis=1).reshape(-1)
+        place, n = np.tile(np.arange(size), 2000), np.full(2000 * size, size)
+        keys, _ = simjoin.word_keys(rng.integers(1, 2**63, 2000 * size).astype(np.uint64), counts, place, n, 80, 64)
+        (mean,) = simjoin.mean_keys(np.array([size]), 80, ranks, 64)
+        assert abs(mean - len(keys) / 2000) < 0.1 * mean
+
+
+def test_many_pairs_of_bags_are_compared_by_first_bits(spark, monkeypatch):
+    """Beyond FEW whole members are shuffled only of the sets in pairs left open; scanned units go before keys are packed."""
+    monkeypatch.setattr(simjoin, "FEW", 0)
+    written, there = [], []
+    table, lists = Scratch.table, simjoin.Joined._lists
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a, **k: (written.append(name), table(self, df, name, *a, **k))[1])
+    monkeypatch.setattr(simjoin.Joined, "_lists", lambda self, *a: (there.append("units" in self.scratch.names), lists(self, *a))[1])
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i % 20 : i % 20 + 30] + [f"x{i}", f"x{i}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(df, out="clean").collect()
+    assert {(r.doc_id, r.text): r.removed_lines for r in got if r.removed_lines} == bag_gone(df.collect())
+    assert {"sure-open", "sure-left"} <= set(written) and not any(there)
+
+
+def test_members_by_bitmap(spark):
+    members = spark.createDataFrame([(i * 7919 - 2**40, [i, -i]) for i in range(3000)], "sid long, members array<long>")
+    asked = members.where("members[0] % 10 = 0").select("sid")
+    found = simjoin.marked(members, asked, 20)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.sid: list(r.members) for r in found.collect()}
+    assert {r.sid for r in asked.collect()} <= set(got) and len(got) < 320
+    assert all(v == [(s + 2**40) // 7919, -(s + 2**40) // 7919] for s, v in got.items())
+
+
+def test_first_bits_of_members_in_any_order():
+    brief = [[5, 3, 5, 9, -1], [9, 5, -1, 3, 5]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(pa.array([x], pa.list_(pa.int16())) for x in brief)], ["a", "b", "ma", "mb"])
+    assert [x for r in simjoin.may_reach(100)([batch]) for x in r.column(0).to_pylist()] == [1]
+
+
 def test_pair_once_for_shared_differences():
     """Two sets share three keys in lists of different buckets: the first of them gives the pair."""
     keys = (np.arange(1, 4, dtype=np.uint64) << np.uint64(62)).astype(np.uint64)
